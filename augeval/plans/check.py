@@ -20,7 +20,7 @@ def duck(sf_dir: str):
     return con
 
 
-def _norm(v, digits=6):
+def _norm(v, digits=12):
     if v is None:
         return None
     if isinstance(v, float):
@@ -41,7 +41,7 @@ def _norm(v, digits=6):
 
 
 def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> dict:
-    from augeval.plans.registry import ORACLE, QUERIES, load_all
+    from augeval.plans.registry import ORACLE, QUERIES, load_all, rounded_sql
     load_all()
     con = con or duck(sf_dir)
     t0 = time.time()
@@ -53,7 +53,7 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> di
     if name not in ORACLE:
         res["oracle"] = None
         return res
-    cur = con.execute(ORACLE[name])
+    cur = con.execute(rounded_sql(name))
     d_cols_raw = [c[0] for c in cur.description]
     d_rows = [dict(zip(d_cols_raw, r)) for r in cur.fetchall()]
     d_cols = sorted(d_cols_raw)

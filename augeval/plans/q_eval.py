@@ -1 +1,307 @@
-"""Registered plans."""
+"""Registered plans: metrics, paired statistics, early stopping, sampling, bootstrap."""
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from augeval.functions.ranks import average_rank
+from augeval.operators import bootstrap, metrics, paired, sampling
+from augeval.plans import roles, stages
+from augeval.plans.oracle_roles import avg_rank_sql, corr_sql, with_roles
+from augeval.plans.registry import query
+from augeval.session import load
+
+# Fixed parameters of the evaluation plans.
+SEEDS = [1, 2, 3, 4, 5, 6, 7]
+MODELS = ["A", "N", "R"]
+EDGES = [900.0, 10000.0, 30000.0, 50000.0, 70000.0, 90000.0]
+PAIRS = [("N-A", "N", "A"), ("R-A", "R", "A"), ("N-R", "N", "R")]
+PATIENCES = [3, 5, 10]
+ARMS = ["real", "generated", "labeled"]
+RESAMPLES = 200
+
+E = "(y_pred - y_true)"
+BASIC_SQL = f"""SELECT run, seed, count(*) AS n, avg(abs{E}) AS mae, sqrt(avg({E} * {E})) AS rmse,
+    CASE WHEN var_pop(y_true) * count(*) > 0 THEN 1 - sum({E} * {E}) / (var_pop(y_true) * count(*)) END AS r2,
+    avg{E} AS mean_signed_error FROM preds GROUP BY run, seed"""
+PAIRS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{l}', '{a}', '{b}')" for l, a, b in PAIRS) + ") p(label, run_a, run_b)"
+
+
+def _basic(spark, sf):
+    m = metrics.regression_metrics(roles.preds(spark, sf))
+    return m.drop("spearman")
+
+
+@query("regression_metrics", with_roles(f"""
+  SELECT run, seed, count(*) AS n, avg(abs{E}) AS mae, sqrt(avg({E} * {E})) AS rmse,
+    CASE WHEN var_pop(y_true) * count(*) > 0 THEN 1 - sum({E} * {E}) / (var_pop(y_true) * count(*)) END AS r2,
+    avg{E} AS mean_signed_error, {corr_sql('rx', 'ry')} AS spearman
+  FROM (SELECT *, {avg_rank_sql('y_true', 'run, seed')} AS rx, {avg_rank_sql('y_pred', 'run, seed')} AS ry FROM preds)
+  GROUP BY run, seed
+""", "preds"))
+def q_regression_metrics(spark, sf):
+    """A4: MAE, RMSE, R2, Spearman, signed error per (run, seed)."""
+    return metrics.regression_metrics(roles.preds(spark, sf))
+
+
+@query("run_summary", with_roles("""
+  SELECT run, count(DISTINCT seed) AS n_seeds, avg(mae) AS mae_mean, stddev_samp(mae) AS mae_sd,
+         avg(rmse) AS rmse_mean, stddev_samp(rmse) AS rmse_sd, avg(r2) AS r2_mean, stddev_samp(r2) AS r2_sd
+  FROM m GROUP BY run
+""", "preds", extra=[("m", BASIC_SQL)]))
+def q_run_summary(spark, sf):
+    """A5: mean and SD over seeds of each metric per run."""
+    return metrics.run_summary(_basic(spark, sf))
+
+
+@query("seed_completeness", with_roles("""
+  SELECT run, count(DISTINCT seed) AS n_seeds, (SELECT count(DISTINCT seed) FROM preds) AS n_all_seeds
+  FROM preds GROUP BY run HAVING count(DISTINCT seed) < (SELECT count(DISTINCT seed) FROM preds)
+""", "preds"))
+def q_seed_completeness(spark, sf):
+    """Runs lacking some seed."""
+    return metrics.seed_completeness(roles.preds(spark, sf))
+
+
+@query("pivot_seeds", with_roles("SELECT run, " + ", ".join(f"max(CASE WHEN seed = {s} THEN mae END) AS seed_{s}" for s in SEEDS)
+                                 + " FROM m GROUP BY run", "preds", extra=[("m", BASIC_SQL)]))
+def q_pivot_seeds(spark, sf):
+    """Run x seed matrix of the MAE."""
+    return metrics.pivot_seeds(_basic(spark, sf), SEEDS)
+
+
+@query("seed_mean_error", digits=8, tie_safe=True, sql=with_roles(f"""
+  SELECT run, entity, avg(abs{E}) AS abs_error, count(*) AS n_seeds FROM preds GROUP BY run, entity
+""", "preds"))
+def q_seed_mean_error(spark, sf):
+    """Per-entity absolute error averaged over seeds."""
+    return metrics.seed_mean_error(roles.preds(spark, sf))
+
+
+@query("average_rank", with_roles(f"""
+  SELECT run, seed, entity, {avg_rank_sql('y_true', 'run, seed')} AS rank FROM preds
+""", "preds"))
+def q_average_rank(spark, sf):
+    """Tie-averaged rank of y_true per (run, seed)."""
+    return average_rank(roles.preds(spark, sf), "y_true", ["run", "seed"]).select("run", "seed", "entity", "rank")
+
+
+def _band_case(col: str) -> str:
+    parts = [f"WHEN {col} >= {lo!r} AND {col} < {hi!r} THEN '[{lo:g}, {hi:g})'" for lo, hi in zip(EDGES[:-1], EDGES[1:])]
+    return "CASE " + " ".join(parts) + " END"
+
+
+@query("band_join", with_roles(f"SELECT run, seed, entity, {_band_case('y_true')} AS band FROM preds", "preds"))
+def q_band_join(spark, sf):
+    """Half-open bands from a band table (broadcast range join, table bounded by the parameter)."""
+    return metrics.band_join(roles.preds(spark, sf), "y_true", EDGES).select("run", "seed", "entity", "band")
+
+
+@query("error_by_band", with_roles(f"""
+  SELECT band, count(*) AS n, avg(abs{E}) AS mae, avg{E} AS mean_signed_error
+  FROM (SELECT *, {_band_case('y_true')} AS band FROM preds) WHERE band IS NOT NULL GROUP BY band
+""", "preds"))
+def q_error_by_band(spark, sf):
+    """N, MAE and signed error per observed band."""
+    return metrics.error_by_band(roles.preds(spark, sf), EDGES)
+
+
+@query("stratified_error", with_roles(f"""
+  SELECT coalesce(band, 'all') AS stratum, count(*) AS n,
+         {", ".join(f"avg(CASE WHEN run = '{m}' THEN abs{E} END) AS mae_{m}" for m in MODELS)}
+  FROM (SELECT *, {_band_case('y_true')} AS band FROM preds) WHERE band IS NOT NULL GROUP BY ROLLUP (band)
+""", "preds"))
+def q_stratified_error(spark, sf):
+    """Per stratum n and MAE per model, plus the 'all' row (rollup)."""
+    return metrics.stratified_error(roles.preds(spark, sf), metrics.band("y_true", EDGES), MODELS)
+
+
+@query("density_histogram", with_roles("""
+  SELECT bin, 0.0 + bin * 5000.0 AS bin_lo, count(*) AS n,
+         count(*) / ((SELECT count(*) FROM preds WHERE y_true BETWEEN 0.0 AND 100000.0) * 5000.0) AS density
+  FROM (SELECT CAST(least(floor((y_true - 0.0) / 5000.0), 19) AS INTEGER) AS bin FROM preds
+        WHERE y_true BETWEEN 0.0 AND 100000.0) GROUP BY bin
+""", "preds"))
+def q_density_histogram(spark, sf):
+    """Density per fixed-width bin, last bin closed on the right."""
+    return metrics.density_histogram(roles.preds(spark, sf), "y_true", 0.0, 100000.0, 20)
+
+
+@query("median_error_by_band", with_roles(f"""
+  SELECT floor(y_true / 5000.0) * 5000.0 AS band_lo, count(*) AS n, median(abs{E}) AS median_abs_error
+  FROM preds GROUP BY 1 HAVING count(*) >= 10
+""", "preds"))
+def q_median_error_by_band(spark, sf):
+    """Median error per 5000-unit band with 10+ rows."""
+    return metrics.median_error_by_band(roles.preds(spark, sf), 5000.0, 10)
+
+
+@query("prediction_noise", with_roles(f"""
+  SELECT a.run, mae_mean, mae_sd, mae_min, mae_max, entity_sd_mean, entity_sd_max FROM
+   (SELECT run, avg(m) AS mae_mean, stddev_samp(m) AS mae_sd, min(m) AS mae_min, max(m) AS mae_max
+    FROM (SELECT run, seed, avg(abs{E}) AS m FROM preds GROUP BY run, seed) GROUP BY run) a
+  JOIN (SELECT run, avg(sd) AS entity_sd_mean, max(sd) AS entity_sd_max
+        FROM (SELECT run, entity, stddev_samp(y_pred) AS sd FROM preds GROUP BY run, entity) GROUP BY run) b
+  ON a.run = b.run
+""", "preds"))
+def q_prediction_noise(spark, sf):
+    """Spread of the MAE over passes and of each entity's prediction."""
+    return metrics.prediction_noise(roles.preds(spark, sf))
+
+
+_K = repr(2 / math.sqrt(math.pi))
+
+
+@query("noise_floor", with_roles(f"""
+  SELECT quantity, value FROM (
+    SELECT 'n_multi' AS quantity, CAST(count_if(multi) AS DOUBLE) AS value FROM per
+    UNION ALL SELECT 'median_sd', median(CASE WHEN multi THEN sd END) FROM per
+    UNION ALL SELECT 'mean_sd', avg(CASE WHEN multi THEN sd END) FROM per
+    UNION ALL SELECT 'expected_diff_median', median(CASE WHEN multi THEN sd END) * {_K} FROM per
+    UNION ALL SELECT 'expected_diff_mean', avg(CASE WHEN multi THEN sd END) * {_K} FROM per
+    {"".join(f'''UNION ALL SELECT 'mae_inside_{m}', avg(CASE WHEN run = '{m}' AND multi THEN abs_error END) FROM ej
+    UNION ALL SELECT 'mae_outside_{m}', avg(CASE WHEN run = '{m}' AND NOT multi THEN abs_error END) FROM ej
+    ''' for m in MODELS)})
+""", "obs_valid", "preds", extra=[
+    ("per", "SELECT part_key AS entity, count(*) >= 2 AS multi, stddev_samp(value) AS sd FROM obs_valid "
+            "WHERE reliability = 'A' GROUP BY part_key"),
+    ("err", f"SELECT run, entity, avg(abs{E}) AS abs_error FROM preds GROUP BY run, entity"),
+    ("ej", "SELECT err.*, per.multi FROM err JOIN per ON per.entity = err.entity")]))
+def q_noise_floor(spark, sf):
+    """Measurement noise floor of repeated entities and model error inside / outside it."""
+    measured = stages.obs_valid(spark, sf).filter(F.col("reliability") == "A").select(
+        F.col("part_key").alias("entity"), "value")
+    errors = metrics.seed_mean_error(roles.preds(spark, sf))
+    return metrics.noise_floor(measured, errors, MODELS)
+
+
+@query("attach_truth", digits=8, sql=with_roles(f"""
+  SELECT t.entity, t.y_true, p.y_pred,
+         (SELECT avg(abs(p2.y_pred - t2.y_true)) FROM preds t2 JOIN preds p2 ON p2.entity = t2.entity
+          WHERE t2.run = 'A' AND t2.seed = 1 AND p2.run = 'N' AND p2.seed = 1) AS mae_usable
+  FROM (SELECT entity, y_true FROM preds WHERE run = 'A' AND seed = 1) t
+  LEFT JOIN (SELECT entity, y_pred FROM preds WHERE run = 'N' AND seed = 1) p ON p.entity = t.entity
+""", "preds"))
+def q_attach_truth(spark, sf):
+    """Truth left join predictions (null where unusable) with the usable-only MAE."""
+    from augeval.operators.evaluate import attach_truth
+    p = roles.preds(spark, sf)
+    truth = p.filter((F.col("run") == "A") & (F.col("seed") == 1)).select("entity", "y_true")
+    pred = p.filter((F.col("run") == "N") & (F.col("seed") == 1)).select("entity", "y_pred")
+    return attach_truth(truth, pred, "entity")
+
+
+@query("alignment_check", with_roles("""
+  SELECT count_if(a.entity IS NOT NULL AND b.entity IS NOT NULL)::BIGINT AS n_both,
+         count_if(b.entity IS NULL)::BIGINT AS n_only_a, count_if(a.entity IS NULL)::BIGINT AS n_only_b
+  FROM (SELECT entity FROM preds WHERE run = 'A' AND seed = 1) a
+  FULL OUTER JOIN (SELECT entity FROM preds WHERE run = 'N' AND seed = 1) b ON a.entity = b.entity
+""", "preds"))
+def q_alignment_check(spark, sf):
+    """Do two prediction tables hold the same entities (full outer join + one-sided counts)."""
+    from augeval.operators.evaluate import alignment_check
+    p = roles.preds(spark, sf)
+    a = p.filter((F.col("run") == "A") & (F.col("seed") == 1)).select("entity")
+    b = p.filter((F.col("run") == "N") & (F.col("seed") == 1)).select("entity")
+    return alignment_check(a, b, "entity")
+
+
+@query("standardize", with_roles("""
+  SELECT run, seed, entity, (y_true - m) / s AS z, ((y_true - m) / s) * s + m AS y_back FROM preds
+  JOIN (SELECT run, avg(y_true) AS m, stddev_samp(y_true) AS s FROM preds GROUP BY run) USING (run)
+""", "preds"))
+def q_standardize(spark, sf):
+    """P10: z-score by the run's own mean and sample SD, and the inverse."""
+    from augeval.operators.evaluate import standardize, unstandardize
+    z = standardize(roles.preds(spark, sf), ["run"], "y_true", "z")
+    return unstandardize(z, "z", "y_back").select("run", "seed", "entity", "z", "y_back")
+
+
+@query("restandardize", with_roles("""
+  SELECT seed, entity, ((y_true - a.m) / a.s * a.s + a.m - b.m) / b.s AS z2
+  FROM preds, (SELECT avg(y_true) AS m, stddev_samp(y_true) AS s FROM preds WHERE run = 'A') a,
+       (SELECT avg(y_true) AS m, stddev_samp(y_true) AS s FROM preds WHERE run = 'N') b
+  WHERE run = 'A'
+""", "preds"))
+def q_restandardize(spark, sf):
+    """Map a score from run A's scale to run N's scale, the value unchanged."""
+    from augeval.operators.evaluate import restandardize, scale_stats
+    p = roles.preds(spark, sf)
+    sa, sb = scale_stats(p.filter(F.col("run") == "A"), "y_true"), scale_stats(p.filter(F.col("run") == "N"), "y_true")
+    a = p.filter(F.col("run") == "A")
+    z = (F.col("y_true") - sa[0]) / sa[1]
+    return a.select("seed", "entity", restandardize(z, sa[0], sa[1], sb[0], sb[1]).alias("z2"))
+
+
+# ---------------------------------------------------------------- paired statistics
+
+_PAIRED_SQL = f"""SELECT p.label, a.seed, a.mae AS a, b.mae AS b, a.mae - b.mae AS diff
+  FROM pairs p JOIN m a ON a.run = p.run_a JOIN m b ON b.run = p.run_b AND b.seed = a.seed"""
+_DIFF_EXTRA = [("m", BASIC_SQL), ("pairs", PAIRS_SQL), ("pd", _PAIRED_SQL),
+               ("x", f"""SELECT *, avg(diff) OVER (PARTITION BY label) AS mu,
+                          {avg_rank_sql('abs(diff)', 'label')} AS rk FROM pd"""),
+               ("g", """SELECT label, count(*) AS n, avg(diff) AS mean, stddev_samp(diff) AS sd, min(diff) AS min,
+                          max(diff) AS max, count_if(sign(diff) = sign(mu))::BIGINT AS same_sign,
+                          max(abs(diff)) AS maxabs, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wplus,
+                          sum(CASE WHEN diff < 0 THEN rk ELSE 0 END) AS wminus, count_if(diff = 0) AS zeros,
+                          count(DISTINCT abs(diff)) AS nd FROM x GROUP BY label HAVING count(*) >= 2""")]
+
+
+def _t_p_sql(t: str, v: str) -> str:
+    t, v = f"({t})", f"({v})"
+    th = f"atan(abs({t}) / sqrt({v}))"
+    c2 = f"pow(cos({th}), 2)"
+    ev = (f"sin({th}) * list_sum(list_transform(range(0, ({v} - 2) // 2 + 1), lambda k: exp(coalesce(list_sum("
+          f"list_transform(range(1, k + 1), lambda j: ln((2 * j - 1) / (2 * j)))), 0)) * pow({c2}, k)))")
+    od = (f"2 / pi() * ({th} + sin({th}) * cos({th}) * list_sum(list_transform(range(0, ({v} - 3) // 2 + 1), lambda k: "
+          f"exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln((2 * j) / (2 * j + 1)))), 0)) * pow({c2}, k))))")
+    return (f"greatest(0.0, 1 - CASE WHEN {v} % 2 = 0 THEN {ev} WHEN {v} = 1 THEN 2 * {th} / pi() ELSE {od} END)")
+
+
+@query("seed_pairs", with_roles("SELECT label, seed, a, b, diff FROM pd", "preds", extra=_DIFF_EXTRA[:3]))
+def q_seed_pairs(spark, sf):
+    """Runs paired on seed through a pair table."""
+    pairs = spark.createDataFrame(PAIRS, "label string, run_a string, run_b string")
+    return paired.seed_pairs(_basic(spark, sf), pairs)
+
+
+def _diff(spark, sf):
+    pairs = spark.createDataFrame(PAIRS, "label string, run_a string, run_b string")
+    return paired.seed_matched_diff(paired.seed_pairs(_basic(spark, sf), pairs))
+
+
+@query("seed_matched_diff", with_roles("SELECT label, n, mean, sd, min, max, same_sign FROM g", "preds",
+                                       extra=_DIFF_EXTRA))
+def q_seed_matched_diff(spark, sf):
+    """Per pair n, mean, SD, min, max and same-sign count of the seed-matched differences."""
+    return _diff(spark, sf).select("label", "n", "mean", "sd", "min", "max", "same_sign")
+
+
+@query("paired_t", with_roles(f"""
+  SELECT label, CASE WHEN maxabs > 0 AND sd > 0 THEN {_t_p_sql('mean / (sd / sqrt(n))', 'n - 1')} END AS t_p FROM g
+""", "preds", extra=_DIFF_EXTRA))
+def q_paired_t(spark, sf):
+    """Two-sided paired t p-value (closed form for integer df)."""
+    return _diff(spark, sf).select("label", "t_p")
+
+
+@query("wilcoxon", with_roles("""
+  SELECT label, CASE WHEN maxabs > 0 AND zeros = 0 AND nd = n THEN least(1.0, 2.0 * (
+           SELECT count(*) FROM range(0, (1::BIGINT << CAST(n AS INTEGER))) t(mk)
+           WHERE list_sum([(k + 1) * ((mk >> k) & 1) for k in range(CAST(n AS INTEGER))]) <= least(wplus, wminus))
+         / pow(2, n)) END AS wilcoxon_p,
+         CASE WHEN NOT maxabs > 0 THEN 'all zero' WHEN zeros = 0 AND nd = n THEN 'exact' ELSE 'ties or zeros' END
+           AS wilcoxon_method
+  FROM g
+""", "preds", extra=_DIFF_EXTRA))
+def q_wilcoxon(spark, sf):
+    """A10: exact two-sided signed-rank p for untied non-zero differences (method column otherwise)."""
+    return _diff(spark, sf).select("label", "wilcoxon_p", "wilcoxon_method")
+
+
+@query("same_sign_label", with_roles("SELECT label, CAST(same_sign AS VARCHAR) || '/' || CAST(n AS VARCHAR) AS same_sign_label FROM g",
+                                     "preds", extra=_DIFF_EXTRA))
+def q_same_sign_label(spark, sf):
+    """Seeds agreeing with the sign of the mean difference, as k/n."""
+    return _diff(spark, sf).select("label", "same_sign_label")

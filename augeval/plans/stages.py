@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from augeval.functions.keys import add_cycle_key, md5_bucket, numeric_or_null, with_keys
 from augeval.operators import curate
@@ -12,11 +12,16 @@ from augeval.plans.roles import RANGE_HI, RANGE_LO, split_of_bucket
 from augeval.session import cut_lineage
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column half-even (oracle rule: 6 digits or fewer on both sides)."""
-    cols = [F.bround(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
-            else F.col(f.name) for f in df.schema.fields]
-    return df.select(*cols)
+def round_doubles(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round every floating column (and floating array) half-even; the oracle SQL rounds the same columns."""
+    def rnd(f):
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            return F.bround(F.col(f.name).cast("double") + F.lit(nudge), digits).alias(f.name) if nudge else \
+                F.bround(F.col(f.name).cast("double"), digits).alias(f.name)
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, (DoubleType, FloatType)):
+            return F.transform(f.name, lambda x: F.bround(x.cast("double") + F.lit(nudge), digits)).alias(f.name)
+        return F.col(f.name)
+    return df.select(*[rnd(f) for f in df.schema.fields])
 
 
 _KEYED: dict[tuple, DataFrame] = {}

@@ -16,20 +16,20 @@ def _draw(seed: int, b, i, n) -> F.Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n + 1
 
 
-def draws(spark, n: int, resamples: int, seed: int) -> DataFrame:
-    """The draw table (b, position): for resample b, n positions drawn with replacement. Built from
-    ``spark.range`` (partitioned, B x n rows), never on the driver."""
-    d = spark.range(1, resamples * n + 1).select(
-        (F.floor((F.col("id") - 1) / n) + 1).alias("b"), (((F.col("id") - 1) % n) + 1).alias("i"))
-    return d.select("b", _draw(seed, F.col("b"), F.col("i"), F.lit(n)).alias("position"))
+def draws(numbered: DataFrame, resamples: int, seed: int, position: str = "position") -> DataFrame:
+    """The draw table (b, position): for every resample b, n positions drawn with replacement, where n is the
+    row count of ``numbered`` (positions 1..n). Each numbered row emits its B draw slots by ``explode``, so the
+    B x n table is generated in parallel from the data's own partitions (no driver-side range, no cross join)."""
+    n = numbered.select(F.count(F.lit(1))).scalar()
+    slots = numbered.select(F.col(position).alias("i"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    return slots.select("b", _draw(seed, F.col("b"), F.col("i"), n).alias(position))
 
 
 def bootstrap_ci(df: DataFrame, id_col: str, value_col: str, resamples: int = 1000, seed: int = 42,
                  lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Percentile interval of the mean over B resamples (exact positions of an md5 order, then a join)."""
-    n = df.select(F.count(F.lit(1))).scalar()
     numbered = seeded_order(df.select(id_col, value_col), id_col, seed, "position")
-    dt = draws(df.sparkSession, n, resamples, seed)
+    dt = draws(numbered, resamples, seed)
     means = dt.join(numbered, "position").groupBy("b").agg(F.avg(value_col).alias("m"))
     point = df.agg(F.avg(value_col).alias("mean"))
     ci = means.agg(F.percentile("m", [lo, hi]).alias("_q"))
@@ -44,10 +44,8 @@ def paired_bootstrap(errors: DataFrame, id_col: str, model_col: str, value_col:
     ref = errors.filter(F.col(model_col) == reference).select(id_col, F.col(value_col).alias("_r"))
     d = (errors.filter(F.col(model_col) != reference).join(ref, id_col)
                .select(model_col, id_col, (F.col(value_col) - F.col("_r")).alias("d")))
-    ids = ref.select(id_col)
-    n = ids.select(F.count(F.lit(1))).scalar()
-    numbered = seeded_order(ids, id_col, seed, "position")
-    dt = draws(errors.sparkSession, n, resamples, seed).join(numbered, "position")
+    numbered = seeded_order(ref.select(id_col), id_col, seed, "position")
+    dt = draws(numbered, resamples, seed).join(numbered, "position")
     means = dt.join(d, id_col).groupBy(model_col, "b").agg(F.avg("d").alias("m"))
     ci = means.groupBy(model_col).agg(F.percentile("m", [lo, hi]).alias("_q"))
     point = d.groupBy(model_col).agg(F.avg("d").alias("mean_diff"))

@@ -53,12 +53,14 @@ def seed_matched_diff(paired: DataFrame, by: Sequence[str] = ("label",), diff: s
          .alias("wilcoxon_method"))
 
 
-def early_stop(hist: DataFrame, keys: Sequence[str], order: str, metric: str, patience: int) -> DataFrame:
+def early_stop(hist: DataFrame, keys: Sequence[str], order: str, metric: str, patience) -> DataFrame:
     """Replay of early stopping with STRICT improvement: per run, the best row when training stops after
     ``patience`` non-improving steps (or at the last step). Windows are per run (a bounded history).
 
+    ``patience`` is a number or the name of a column (one replay per patience value in a single pass).
     Output: keys, best_<order>, best_<metric>, steps_run."""
     keys = list(keys)
+    patience = F.col(patience) if isinstance(patience, str) else F.lit(patience)
     w = Window.partitionBy(*keys).orderBy(order)
     prior_min = F.min(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
     h = hist.withColumn("_improved", prior_min.isNull() | (F.col(metric) < prior_min))

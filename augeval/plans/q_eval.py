@@ -305,3 +305,267 @@ def q_wilcoxon(spark, sf):
 def q_same_sign_label(spark, sf):
     """Seeds agreeing with the sign of the mean difference, as k/n."""
     return _diff(spark, sf).select("label", "same_sign_label")
+
+
+# ---------------------------------------------------------------- early stopping
+
+_HIST_MAP_SQL = ("SELECT *, 250 + 250 * (run % 2) AS n_real, "
+                 "CASE (run // 2) % 3 WHEN 0 THEN 'real' WHEN 1 THEN 'generated' ELSE 'labeled' END AS run_arm, "
+                 "run // 6 AS run_seed FROM hist")
+
+
+def _hist_mapped(spark, sf):
+    """hist runs as (size, arm, seed) cells of an experiment grid: run r has n_real = 250 + 250 (r % 2),
+    arm = ARMS[(r div 2) % 3], seed = r div 6."""
+    h = roles.hist(spark, sf)
+    arm = F.element_at(F.array(*[F.lit(a) for a in ARMS]), (F.expr("run div 2") % 3 + 1).cast("int"))
+    return h.select("*", (250 + 250 * (F.col("run") % 2)).alias("n_real"), arm.alias("run_arm"),
+                    F.expr("run div 6").alias("run_seed"))
+
+
+def _stop_sql(patience: str, keys: str) -> list[tuple[str, str]]:
+    return [
+        ("h1", f"""SELECT *, min(val_mae) OVER (PARTITION BY {keys} ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+                   FROM hx"""),
+        ("h2", "SELECT *, pm IS NULL OR val_mae < pm AS imp FROM h1"),
+        ("h3", f"""SELECT *, max(CASE WHEN imp THEN epoch END) OVER (PARTITION BY {keys} ORDER BY epoch
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM h2"""),
+        ("st", f"""SELECT {keys}, coalesce(min(CASE WHEN epoch - li >= {patience} THEN epoch END), max(epoch)) AS steps_run
+                   FROM h3 GROUP BY {keys}"""),
+        ("stop", f"""SELECT {keys}, max(epoch) AS best_epoch, arg_max(val_mae, epoch) AS best_val_mae, steps_run
+                     FROM h3 JOIN st USING ({keys}) WHERE imp AND epoch <= steps_run GROUP BY {keys}, steps_run""")]
+
+
+@query("early_stop", with_roles("SELECT run, best_epoch, best_val_mae, steps_run FROM stop", "hist",
+                                extra=[("hx", "SELECT * FROM hist")] + _stop_sql("3", "run")))
+def q_early_stop(spark, sf):
+    """Best epoch when stopping after 3 non-improving epochs (strict improvement)."""
+    return paired.early_stop(roles.hist(spark, sf), ["run"], "epoch", "val_mae", 3)
+
+
+@query("best_step", with_roles("""
+  SELECT run, arg_min(epoch, (val_mae, epoch)) AS best_epoch, min(val_mae) AS best_val_mae FROM hist GROUP BY run
+""", "hist"))
+def q_best_step(spark, sf):
+    """First epoch with the smallest metric per run."""
+    return paired.best_step(roles.hist(spark, sf), ["run"], "epoch", "val_mae")
+
+
+@query("steps_to_best", with_roles("""
+  SELECT run, best_epoch, best_epoch * CAST(ceil(n_real / 16.0) AS BIGINT) AS steps_to_best
+  FROM stop JOIN (SELECT DISTINCT run, 250 + 250 * (run % 2) AS n_real FROM hist) USING (run)
+""", "hist", extra=[("hx", "SELECT * FROM hist")] + _stop_sql("3", "run")))
+def q_steps_to_best(spark, sf):
+    """optimizer steps to the best epoch: epochs x ceil(rows / batch of 16)."""
+    st = paired.early_stop(_hist_mapped(spark, sf), ["run", "n_real"], "epoch", "val_mae", 3)
+    return st.select("run", "best_epoch", (F.col("best_epoch") * F.ceil(F.col("n_real") / 16.0)).alias("steps_to_best"))
+
+
+_PAT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({p})" for p in PATIENCES) + ") p(patience)"
+_ABL_EXTRA = [("hm", _HIST_MAP_SQL), ("pt", _PAT_SQL), ("hx", "SELECT * FROM hm, pt")] + \
+    _stop_sql("patience", "run, patience, n_real, run_arm, run_seed") + [
+    ("cells", """SELECT n_real, patience, run_seed, run_arm, best_val_mae AS mae, best_epoch, steps_run FROM stop"""),
+    ("complete", """SELECT n_real, patience, run_seed FROM cells GROUP BY ALL HAVING count(DISTINCT run_arm) = 3"""),
+    ("pd", """SELECT a.n_real, a.patience, a.run_arm AS arm, a.run_seed, a.mae AS a, r.mae AS b, a.mae - r.mae AS diff
+              FROM cells a JOIN cells r ON r.n_real = a.n_real AND r.patience = a.patience AND r.run_seed = a.run_seed
+                AND r.run_arm = 'real'
+              JOIN complete c ON c.n_real = a.n_real AND c.patience = a.patience AND c.run_seed = a.run_seed
+              WHERE a.run_arm <> 'real'"""),
+    ("g", """SELECT n_real, patience, arm, count(*) AS seeds, avg(b) AS mae_real_mean, stddev_samp(b) AS mae_real_sd,
+                    avg(a) AS mae_arm_mean, stddev_samp(a) AS mae_arm_sd, avg(diff) AS d_mean, stddev_samp(diff) AS d_sd,
+                    count_if(sign(diff) = sign(mu))::BIGINT AS same_sign, max(abs(diff)) AS maxabs
+             FROM (SELECT *, avg(diff) OVER (PARTITION BY n_real, patience, arm) AS mu FROM pd)
+             GROUP BY n_real, patience, arm HAVING count(*) >= 2""")]
+
+
+def _ablation(spark, sf):
+    h = _hist_mapped(spark, sf)
+    h = h.withColumn("patience", F.explode(F.array(*[F.lit(p) for p in PATIENCES])))
+    keys = ["run", "patience", "n_real", "run_arm", "run_seed"]
+    st = paired.early_stop(h, keys, "epoch", "val_mae", "patience")
+    cells = st.select("n_real", "patience", "run_seed", "run_arm", F.col("best_val_mae").alias("mae"))
+    complete = cells.groupBy("n_real", "patience", "run_seed").agg(F.count_distinct("run_arm").alias("_k")) \
+        .filter(F.col("_k") == 3).drop("_k")
+    real = cells.filter(F.col("run_arm") == "real").select("n_real", "patience", "run_seed", F.col("mae").alias("b"))
+    pd_ = (cells.filter(F.col("run_arm") != "real").join(real, ["n_real", "patience", "run_seed"])
+                .join(complete, ["n_real", "patience", "run_seed"])
+                .select("n_real", "patience", F.col("run_arm").alias("arm"), "run_seed", F.col("mae").alias("a"), "b",
+                        (F.col("mae") - F.col("b")).alias("diff")))
+    by = ["n_real", "patience", "arm"]
+    d = paired.seed_matched_diff(pd_, by)
+    side = pd_.groupBy(*by).agg(F.avg("b").alias("mae_real_mean"), F.stddev_samp("b").alias("mae_real_sd"),
+                                F.avg("a").alias("mae_arm_mean"), F.stddev_samp("a").alias("mae_arm_sd"))
+    return d.join(side, by).select(*by, F.col("n").alias("seeds"), "mae_real_mean", "mae_real_sd", "mae_arm_mean",
+                                   "mae_arm_sd", F.col("mean").alias("d_mean"), F.col("sd").alias("d_sd"),
+                                   "same_sign_label", "t_p")
+
+
+@query("patience_table", with_roles(f"""
+  SELECT n_real, patience, arm, seeds, mae_real_mean, mae_real_sd, mae_arm_mean, mae_arm_sd, d_mean, d_sd,
+         CAST(same_sign AS VARCHAR) || '/' || CAST(seeds AS VARCHAR) AS same_sign_label,
+         CASE WHEN maxabs > 0 AND d_sd > 0 THEN {_t_p_sql('d_mean / (d_sd / sqrt(seeds))', 'seeds - 1')} END AS t_p
+  FROM g
+""", "hist", extra=_ABL_EXTRA))
+def q_patience_table(spark, sf):
+    """Patience ablation: per (size, patience, arm) seeds, arm means / SDs, seed-matched difference, p."""
+    return _ablation(spark, sf)
+
+
+@query("gain_lost", with_roles("""
+  SELECT a.n_real, a.arm, a.d_mean AS d3, b.d_mean AS d10,
+         CASE WHEN a.d_mean <> 0 THEN 1 - b.d_mean / a.d_mean END AS share_lost,
+         CASE WHEN l.d_mean <> 0 THEN a.d_mean / l.d_mean END AS ratio_to_labeled
+  FROM g a JOIN g b ON b.n_real = a.n_real AND b.arm = a.arm AND b.patience = 10
+  JOIN g l ON l.n_real = a.n_real AND l.arm = 'labeled' AND l.patience = 3
+  WHERE a.patience = 3
+""", "hist", extra=_ABL_EXTRA))
+def q_gain_lost(spark, sf):
+    """Share of a gain at patience 3 that vanishes at patience 10; ratio of the two arms' gains."""
+    t = _ablation(spark, sf).select("n_real", "arm", "patience", "d_mean")
+    a = t.filter(F.col("patience") == 3).select("n_real", "arm", F.col("d_mean").alias("d3"))
+    b = t.filter(F.col("patience") == 10).select("n_real", "arm", F.col("d_mean").alias("d10"))
+    lab = a.filter(F.col("arm") == "labeled").select("n_real", F.col("d3").alias("_dl"))
+    j = a.join(b, ["n_real", "arm"]).join(lab, "n_real")
+    return j.select("n_real", "arm", "d3", "d10",
+                    F.when(F.col("d3") != 0, 1 - F.try_divide(F.col("d10"), F.col("d3"))).alias("share_lost"),
+                    F.when(F.col("_dl") != 0, F.try_divide(F.col("d3"), F.col("_dl"))).alias("ratio_to_labeled"))
+
+
+@query("best_epoch_stats", with_roles("""
+  SELECT run_arm, avg(best_epoch) AS best_epoch_mean, avg(steps_run) AS steps_run_mean, max(steps_run) AS steps_run_max
+  FROM stop GROUP BY run_arm
+""", "hist", extra=[("hm", _HIST_MAP_SQL), ("hx", "SELECT * FROM hm")] + _stop_sql("3", "run, run_arm")))
+def q_best_epoch_stats(spark, sf):
+    """Mean best epoch, mean and max epochs run per arm (patience 3)."""
+    st = paired.early_stop(_hist_mapped(spark, sf), ["run", "run_arm"], "epoch", "val_mae", 3)
+    return st.groupBy("run_arm").agg(F.avg("best_epoch").alias("best_epoch_mean"),
+                                     F.avg("steps_run").alias("steps_run_mean"), F.max("steps_run").alias("steps_run_max"))
+
+
+# ---------------------------------------------------------------- splits and samples
+
+_SPLIT_SQL = """SELECT entity_id, CASE WHEN pos <= nt THEN 'test' WHEN pos <= nt + nv THEN 'validation' ELSE 'train' END AS split
+  FROM (SELECT *, round_even(CAST(cnt AS DOUBLE) * 0.2, 0) AS nt, round_even((cnt - round_even(CAST(cnt AS DOUBLE) * 0.2, 0)) * 0.1, 0) AS nv
+        FROM (SELECT entity_id, count(*) OVER () AS cnt, row_number() OVER (ORDER BY md5('42|' || entity_id), entity_id) AS pos
+              FROM merged WHERE flag = 'A'))"""
+
+
+def _split(spark, sf):
+    m = stages.merged(spark, sf).filter(F.col("flag") == "A").select("entity_id", "value")
+    return sampling.seeded_split(m, "entity_id", 42)
+
+
+@query("seeded_split", with_roles(_SPLIT_SQL, "merged"))
+def q_seeded_split(spark, sf):
+    """Exact seeded split: round(n x 0.2) test, round(rest x 0.1) validation, in md5 order."""
+    return _split(spark, sf).select("entity_id", "split")
+
+
+@query("split_by_threshold", with_roles("""
+  SELECT entity_id, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.28 THEN 'validation' ELSE 'train' END AS split
+  FROM (SELECT entity_id, CAST(('0x' || substr(md5('42|' || entity_id), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+        FROM merged WHERE flag = 'A')
+""", "merged"))
+def q_split_by_threshold(spark, sf):
+    """W3 (threshold mode): stateless hash-threshold split, no count and no numbering."""
+    m = stages.merged(spark, sf).filter(F.col("flag") == "A").select("entity_id")
+    return sampling.split_by_threshold(m, "entity_id", 42)
+
+
+@query("nested_subsets", with_roles(f"""
+  SELECT subset, entity_id, position FROM (
+    SELECT entity_id, row_number() OVER (ORDER BY md5('43|' || entity_id), entity_id) AS position
+    FROM sp WHERE split = 'train') t,
+  (VALUES ('n100', 100), ('n250', 250), ('n500', 500), ('full', NULL)) s(subset, size)
+  WHERE size IS NULL OR position <= size
+""", "merged", extra=[("sp", _SPLIT_SQL)]))
+def q_nested_subsets(spark, sf):
+    """Nested first-n subsets (100, 250, 500, full) of one seeded order of the training split."""
+    tr = _split(spark, sf).filter(F.col("split") == "train").select("entity_id")
+    return sampling.nested_subsets(tr, "entity_id", 43, [100, 250, 500])
+
+
+@query("distinct_sample", """
+  SELECT md5(text) AS text_md5, length(text) AS n_chars FROM (SELECT DISTINCT text FROM documents)
+  ORDER BY md5('7|' || text) LIMIT 50
+""")
+def q_distinct_sample(spark, sf):
+    """Distinct texts, then exactly 50 in seeded hash order."""
+    s = sampling.distinct_sample(load(spark, sf, "documents"), ["text"], 50, 7)
+    return s.select(F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("pilot_head", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 10")
+def q_pilot_head(spark, sf):
+    """First 10 documents in id order."""
+    return sampling.pilot_head(load(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id", 10)
+
+
+@query("shuffle_labels", with_roles("""
+  SELECT a.entity_id, a.value, b.shuffled FROM
+    (SELECT entity_id, value, row_number() OVER (ORDER BY md5('0|' || entity_id), entity_id) AS p FROM merged WHERE flag = 'A') a
+  JOIN (SELECT value AS shuffled, row_number() OVER (ORDER BY md5('42|' || entity_id), entity_id) AS p
+        FROM merged WHERE flag = 'A') b ON a.p = b.p
+""", "merged"))
+def q_shuffle_labels(spark, sf):
+    """Values permuted across entities, fixed per seed."""
+    m = stages.merged(spark, sf).filter(F.col("flag") == "A").select("entity_id", "value")
+    return sampling.shuffle_labels(m, "entity_id", "value", 42).select("entity_id", "value", "shuffled")
+
+
+# ---------------------------------------------------------------- bootstrap
+
+_ERR_SQL = "SELECT entity, abs(y_pred - y_true) AS v FROM preds WHERE run = 'N' AND seed = 1"
+_DRAW_SQL = f"""SELECT b, (CAST(('0x' || substr(md5('42|' || CAST(b AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) % cnt) + 1 AS position
+  FROM (SELECT count(*) AS cnt FROM ids) c, range(1, {RESAMPLES} + 1) rb(b), LATERAL range(1, c.cnt + 1) ri(i)"""
+
+
+def _errors_n1(spark, sf):
+    p = roles.preds(spark, sf).filter((F.col("run") == "N") & (F.col("seed") == 1))
+    return p.select("entity", F.abs(F.col("y_pred") - F.col("y_true")).alias("v"))
+
+
+@query("bootstrap_ci", with_roles("""
+  SELECT (SELECT avg(v) FROM e) AS mean, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi
+  FROM (SELECT b, avg(v) AS m FROM d JOIN nb USING (position) GROUP BY b)
+""", "preds", extra=[("e", _ERR_SQL), ("ids", "SELECT entity FROM e"),
+                     ("nb", "SELECT v, row_number() OVER (ORDER BY md5('42|' || entity), entity) AS position FROM e"),
+                     ("d", _DRAW_SQL)]))
+def q_bootstrap_ci(spark, sf):
+    """Percentile interval of the MAE over 200 md5-drawn resamples."""
+    return bootstrap.bootstrap_ci(_errors_n1(spark, sf), "entity", "v", RESAMPLES, 42)
+
+
+@query("paired_bootstrap", with_roles(f"""
+  SELECT a.run, mean_diff, ci_lo, ci_hi, ci_lo > 0 OR ci_hi < 0 AS excludes_zero FROM
+    (SELECT run, avg(d) AS mean_diff FROM dd GROUP BY run) a
+  JOIN (SELECT run, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM
+          (SELECT run, b, avg(d) AS m FROM d JOIN nb USING (position) JOIN dd USING (entity) GROUP BY run, b) GROUP BY run) c
+  ON a.run = c.run
+""", "preds", extra=[
+    ("err", f"SELECT run, entity, avg(abs{E}) AS abs_error FROM preds GROUP BY run, entity"),
+    ("ref", "SELECT entity, abs_error AS r FROM err WHERE run = 'A'"),
+    ("dd", "SELECT run, entity, abs_error - r AS d FROM err JOIN ref USING (entity) WHERE run <> 'A'"),
+    ("ids", "SELECT entity FROM ref"),
+    ("nb", "SELECT entity, row_number() OVER (ORDER BY md5('42|' || entity), entity) AS position FROM ref"),
+    ("d", _DRAW_SQL)]))
+def q_paired_bootstrap(spark, sf):
+    """Paired bootstrap of each model's error minus the reference model's, shared draws."""
+    err = metrics.seed_mean_error(roles.preds(spark, sf))
+    return bootstrap.paired_bootstrap(err, "entity", "run", "abs_error", "A", RESAMPLES, 42)
+
+
+def _poisson_case(u: str) -> str:
+    return "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(bootstrap.POISSON1_CDF)) + " ELSE 8 END"
+
+
+@query("poisson_bootstrap", with_roles(f"""
+  SELECT (SELECT avg(v) FROM e) AS mean, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
+    SELECT b, CASE WHEN sum(w) <> 0 THEN sum(w * v) / sum(w) END AS m FROM (
+      SELECT b, v, {_poisson_case('u')} AS w FROM (
+        SELECT b, v, CAST(('0x' || substr(md5('42|' || CAST(b AS VARCHAR) || '|' || CAST(entity AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+        FROM e, range(1, {RESAMPLES} + 1) rb(b))) GROUP BY b)
+""", "preds", extra=[("e", _ERR_SQL)]))
+def q_poisson_bootstrap(spark, sf):
+    """One-pass Poisson bootstrap (no join, no numbering)."""
+    return bootstrap.poisson_bootstrap(_errors_n1(spark, sf), "entity", "v", RESAMPLES, 42)

@@ -85,5 +85,5 @@ def write_manifest(spark: SparkSession, sf_dir: str) -> dict:
 
 def load_all() -> None:
     """Import every module that registers plans."""
-    from augeval.plans import (q_curate, q_eval, q_ledger, q_similarity, q_streaming,  # noqa: F401
-                               q_report)
+    from augeval.plans import (q_curate, q_eval, q_ledger, q_ml, q_report, q_similarity,  # noqa: F401
+                               q_streaming)

@@ -1 +1,76 @@
-"""Registered plans."""
+"""Registered plans: Structured Streaming over the response log and the epoch log.
+
+Each plan writes the role table as JSON files in several batches, runs the stream to completion with
+``trigger(availableNow=True)`` into a file sink, and returns the sink as a table; its batch twin is the oracle."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from augeval.operators.ledger import LOG_SCHEMA
+from augeval.plans import roles
+from augeval.plans.oracle_roles import with_roles
+from augeval.plans.q_eval import _stop_sql
+from augeval.plans.registry import query
+from augeval.session import scratch_path
+from augeval.streaming import log_stream as ls
+
+BATCHES = 4
+LOG_COLS = [f.name for f in LOG_SCHEMA.fields]
+HIST_SCHEMA = T.StructType([T.StructField("run", T.LongType()), T.StructField("epoch", T.LongType()),
+                            T.StructField("val_mae", T.DoubleType()), T.StructField("ts", T.TimestampNTZType())])
+
+
+def _log_stream(spark, sf, name):
+    path = scratch_path(spark, name)
+    ls.write_batches(roles.log(spark, sf).select(*LOG_COLS), path, "seq", BATCHES)
+    return ls.read_stream(spark, path)
+
+
+@query("stream_log_ingest", with_roles("SELECT DISTINCT custom_id FROM log", "log"))
+def q_stream_log_ingest(spark, sf):
+    """First arrival per id within the watermark (delay longer than the log's span: one row per id)."""
+    s = ls.ingest(_log_stream(spark, sf, "t1-in"), "400 days").select("custom_id", "seq")
+    return ls.run_to_table(s, spark, "t1").select("custom_id")
+
+
+@query("stream_cost", with_roles("""
+  SELECT strftime(ts, '%Y-%m-%d') AS day, task, sum(cost_usd) AS cost_usd, count(*) AS requests FROM log
+  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR
+  GROUP BY 1, 2
+""", "log"))
+def q_stream_cost(spark, sf):
+    """Cost per task in daily tumbling windows, emitted when the watermark closes them (append mode)."""
+    s = ls.cost_windows(_log_stream(spark, sf, "t2-in"), "1 hour")
+    return ls.run_to_table(s, spark, "t2")
+
+
+@query("stream_decontaminate", with_roles("""
+  SELECT custom_id, seq FROM log WHERE custom_id NOT IN (
+    SELECT printf('req_%04d_%s', user_id, event_type) FROM events
+    WHERE CAST(('0x' || substr(md5('7|' || printf('req_%04d_%s', user_id, event_type)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.3)
+""", "log"))
+def q_stream_decontaminate(spark, sf):
+    """Stream rows whose id is not held out (stream-static left join + null test)."""
+    from augeval.plans.q_ledger import SAMPLE_SHARE, _planned
+    from augeval.functions.keys import seeded_hash
+    p = _planned(spark, sf)
+    u = F.conv(F.substring(seeded_hash(7, "custom_id"), 1, 8), 16, 10).cast("double") / float(16 ** 8)
+    held = p.filter(u < SAMPLE_SHARE).select("custom_id")
+    s = ls.decontaminate_stream(_log_stream(spark, sf, "t3-in"), held, "custom_id").select("custom_id", "seq")
+    return ls.run_to_table(s, spark, "t3")
+
+
+@query("stream_early_stop", with_roles("""
+  SELECT run, best_epoch, best_val_mae, steps_run FROM stop WHERE run IN (SELECT run FROM h3 WHERE epoch - li >= 3)
+""", "hist", extra=[("hx", "SELECT * FROM hist")] + _stop_sql("3", "run")))
+def q_stream_early_stop(spark, sf):
+    """T4: stateful early stopping over the epoch stream; emits the stop row of every run that stops."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
+    h = roles.hist(spark, sf).join(ev, "event_id").select(
+        "run", F.col("epoch").cast("bigint").alias("epoch"), "val_mae", "ts")
+    path = scratch_path(spark, "t4-in")
+    h = h.withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp")))     # batches follow event time
+    ls.write_batches(h, path, "_o", BATCHES)
+    s = ls.read_stream(spark, path, T.StructType(HIST_SCHEMA.fields + [T.StructField("_o", T.LongType())]))
+    return ls.run_to_table(ls.early_stop_stream(s.select("run", "epoch", "val_mae"), 3), spark, "t4")

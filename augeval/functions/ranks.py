@@ -11,12 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from augeval.session import cut_lineage
+
 
 def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
                  buckets: int = 64) -> DataFrame:
     """Add the tie-averaged rank (1-based) of ``value_col`` within ``by``; null values get a null rank."""
     by = list(by)
     vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    # read three times below (sketch, bucket totals, local ranks): cut its lineage once (reliable checkpoint)
+    vals = cut_lineage(vals)
     pcts = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(value_col, pcts, 10000)
     v = F.col(value_col)

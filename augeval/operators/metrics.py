@@ -11,14 +11,14 @@ from augeval.functions.ranks import spearman
 
 
 def regression_metrics(preds: DataFrame, by: Sequence[str] = ("run", "seed"), y_true: str = "y_true",
-                       y_pred: str = "y_pred") -> DataFrame:
-    """n, MAE, RMSE, R2 (1 - SSE/SST, null when SST = 0), Spearman and mean signed error per group."""
+                       y_pred: str = "y_pred", with_spearman: bool = True) -> DataFrame:
+    """n, MAE, RMSE, R2 (1 - SSE/SST, null when SST = 0), mean signed error and (optionally) Spearman per group."""
     e = F.col(y_pred) - F.col(y_true)
     sst = F.var_pop(y_true) * F.count(F.lit(1))
     base = preds.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         F.when(sst > 0, 1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.avg(e).alias("mean_signed_error"))
-    return base.join(spearman(preds, y_true, y_pred, by), list(by), "left")
+    return base.join(spearman(preds, y_true, y_pred, by), list(by), "left") if with_spearman else base
 
 
 def run_summary(metrics: DataFrame, by: Sequence[str] = ("run",), cols: Sequence[str] = ("mae", "rmse", "r2"),

@@ -22,17 +22,13 @@ def add_tokens(df: DataFrame, text_col: str, out: str = "_tokens") -> DataFrame:
 
 
 def add_ngrams(df: DataFrame, tokens_col: str, max_n: int, out: str = "_grams") -> DataFrame:
-    """All token n-grams for n = 1..max_n, joined by a space (the token array is a column, read once per row)."""
-    t = F.col(tokens_col)
-    n = F.size(t)
-    def gram(k: int):
-        return lambda i: F.array_join(F.slice(t, i, F.lit(k)), " ")   # one-argument lambda (arity matters)
-
-    parts = []
-    for k in range(1, max_n + 1):
-        idx = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(idx, gram(k)))
-    return df.withColumn(out, F.concat(*parts))
+    """All token n-grams for n = 1..max_n, joined by a space (Spark ML's JVM ``NGram`` transformer per n)."""
+    from pyspark.ml.feature import NGram
+    cols = [F.col(tokens_col)]
+    for k in range(2, max_n + 1):
+        df = NGram(n=k, inputCol=tokens_col, outputCol=f"_ng{k}").transform(df)
+        cols.append(F.col(f"_ng{k}"))
+    return df.withColumn(out, F.concat(*cols)).drop(*[f"_ng{k}" for k in range(2, max_n + 1)])
 
 
 def hash_bits(grams: Column, bits: int) -> Column:

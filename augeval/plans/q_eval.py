@@ -29,8 +29,7 @@ PAIRS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{l}', '{a}', '{b}')" for l,
 
 
 def _basic(spark, sf):
-    m = metrics.regression_metrics(roles.preds(spark, sf))
-    return m.drop("spearman")
+    return metrics.regression_metrics(roles.preds(spark, sf), with_spearman=False)
 
 
 @query("regression_metrics", with_roles(f"""

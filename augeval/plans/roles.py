@@ -79,13 +79,23 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("input_tokens"), out_tok.alias("output_tokens"), cost.alias("cost_usd"), text.alias("text"))
 
 
+_PREDS: dict[tuple, DataFrame] = {}
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions per (run, seed, entity): run = return flag, seed = line number, entity = part."""
-    li = load(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.col("l_returnflag").alias("run"), F.col("l_linenumber").alias("seed"),
-                       F.col("l_partkey").alias("entity"))
-              .agg(F.avg("l_extendedprice").alias("y_true"),
-                   F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y_pred")))
+    """Predictions per (run, seed, entity): run = return flag, seed = line number, entity = part.
+
+    An aggregate read by most evaluation plans, several times within one plan: materialized once per session."""
+    from augeval.session import cut_lineage
+    memo = (id(spark.sparkContext._jsc), sf_dir)
+    if memo not in _PREDS:
+        li = load(spark, sf_dir, "lineitem")
+        p = (li.groupBy(F.col("l_returnflag").alias("run"), F.col("l_linenumber").alias("seed"),
+                        F.col("l_partkey").alias("entity"))
+               .agg(F.avg("l_extendedprice").alias("y_true"),
+                    F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y_pred")))
+        _PREDS[memo] = cut_lineage(p)
+    return _PREDS[memo]
 
 
 def hist(spark: SparkSession, sf_dir: str) -> DataFrame:

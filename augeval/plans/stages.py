@@ -36,8 +36,10 @@ def obs_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     memo = (id(spark.sparkContext._jsc), sf_dir)
     if memo not in _KEYED:
-        o = with_keys(roles.obs(spark, sf_dir), "raw_key")
-        o = o.withColumn("value", numeric_or_null("value_text"))
+        o = roles.obs(spark, sf_dir)
+        # keys once per distinct spelling (a partial aggregate), joined back on the spelling
+        keys = with_keys(o.select("raw_key").distinct(), "raw_key")
+        o = o.join(keys, "raw_key", "left").withColumn("value", numeric_or_null("value_text"))
         _KEYED[memo] = cut_lineage(o)
     return _KEYED[memo]
 
@@ -49,27 +51,44 @@ def obs_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.between(o, "value", RANGE_LO, RANGE_HI)
 
 
+_MERGED: dict[tuple, DataFrame] = {}
+
+
+def merged_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule 5 for every flag, with the spelling's alt key and the split bucket of measured entities.
+
+    One row per (flag, entity); materialized once per session (read by the real, synthetic, funnel, holdout and
+    memorization plans, several times within one plan)."""
+    memo = (id(spark.sparkContext._jsc), sf_dir)
+    if memo not in _MERGED:
+        v = obs_valid(spark, sf_dir).withColumnRenamed("reliability", "flag")
+        m = curate.merge_duplicates(v, "entity_id", "exact_key", "value", by=["flag"])
+        m = add_cycle_key(m, "smiles", "alt_key")
+        m = m.withColumn("split", F.when(F.col("flag") == "A", split_of_bucket(md5_bucket("entity_id"))))
+        _MERGED[memo] = cut_lineage(m)
+    return _MERGED[memo]
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 5: one row per (flag, entity) with the smallest spelling and the median value."""
-    v = obs_valid(spark, sf_dir).withColumnRenamed("reliability", "flag")
-    return curate.merge_duplicates(v, "entity_id", "exact_key", "value", by=["flag"])
+    return merged_keyed(spark, sf_dir).select("flag", "entity_id", "smiles", "value")
 
 
 def real(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measured set with its splits: flag A entities whose md5 bucket is under 50."""
-    m = merged(spark, sf_dir).filter(F.col("flag") == "A")
-    m = m.withColumn("split", split_of_bucket(md5_bucket("entity_id"))).filter(F.col("split").isNotNull())
-    return add_cycle_key(m, "smiles", "alt_key").select("entity_id", "smiles", "value", "alt_key", "split")
+    m = merged_keyed(spark, sf_dir).filter((F.col("flag") == "A") & F.col("split").isNotNull())
+    return m.select("entity_id", "smiles", "value", "alt_key", "split")
 
 
 def syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two synthetic sets after rules 1-5."""
-    m = merged(spark, sf_dir).filter(F.col("flag").isin("N", "R"))
+    m = merged_keyed(spark, sf_dir).filter(F.col("flag").isin("N", "R"))
     return m.select(F.when(F.col("flag") == "N", "generated").otherwise("labeled").alias("synthetic_set"),
                     "entity_id", "smiles", "value")
 
 
 def syn_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic merged entities with their spelling's keys (exact_key = smiles, alt_key = its cycle key)."""
-    s = syn(spark, sf_dir)
-    return add_cycle_key(s.withColumn("exact_key", F.col("smiles")))
+    m = merged_keyed(spark, sf_dir).filter(F.col("flag").isin("N", "R"))
+    return m.select(F.when(F.col("flag") == "N", "generated").otherwise("labeled").alias("synthetic_set"),
+                    "entity_id", "smiles", "value", F.col("smiles").alias("exact_key"), "alt_key")

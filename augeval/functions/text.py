@@ -15,9 +15,10 @@ def _col(c):
 def first_last_slice(text, open_ch: str, close_ch: str) -> Column:
     """Text from the first ``open_ch`` to the last ``close_ch``; null when either is missing or out of order."""
     t = _col(text)
-    start = F.locate(open_ch, t)
-    last = F.length(t) - F.locate(close_ch, F.reverse(t)) + 1
-    ok = (start > 0) & (F.locate(close_ch, F.reverse(t)) > 0) & (last >= start)
+    start = F.instr(t, open_ch)
+    after_last = F.substring_index(t, close_ch, -1)          # text after the last close_ch (all of t if none)
+    last = F.length(t) - F.length(after_last)                 # 1-based position of the last close_ch, 0 if none
+    ok = (start > 0) & (last > 0) & (last >= start)
     return F.when(ok, t.substr(start, last - start + 1))
 
 

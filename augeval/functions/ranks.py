@@ -20,7 +20,7 @@ def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str
     by = list(by)
     vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
     # read three times below (sketch, bucket totals, local ranks): cut its lineage once (reliable checkpoint)
-    vals = cut_lineage(vals)
+    vals = cut_lineage(vals, "rank-values")
     pcts = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(value_col, pcts, 10000)
     v = F.col(value_col)

@@ -94,7 +94,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("l_partkey").alias("entity"))
                .agg(F.avg("l_extendedprice").alias("y_true"),
                     F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y_pred")))
-        _PREDS[memo] = cut_lineage(p)
+        _PREDS[memo] = cut_lineage(p, "preds")
     return _PREDS[memo]
 
 

@@ -40,7 +40,7 @@ def obs_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
         # keys once per distinct spelling (a partial aggregate), joined back on the spelling
         keys = with_keys(o.select("raw_key").distinct(), "raw_key")
         o = o.join(keys, "raw_key", "left").withColumn("value", numeric_or_null("value_text"))
-        _KEYED[memo] = cut_lineage(o)
+        _KEYED[memo] = cut_lineage(o, "obs-keyed")
     return _KEYED[memo]
 
 
@@ -65,7 +65,7 @@ def merged_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = curate.merge_duplicates(v, "entity_id", "exact_key", "value", by=["flag"])
         m = add_cycle_key(m, "smiles", "alt_key")
         m = m.withColumn("split", F.when(F.col("flag") == "A", split_of_bucket(md5_bucket("entity_id"))))
-        _MERGED[memo] = cut_lineage(m)
+        _MERGED[memo] = cut_lineage(m, "merged")
     return _MERGED[memo]
 
 

@@ -56,10 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage with a written table: parquet in a fresh folder under the shared checkpoint folder, read back.
+
+    Survives lost executors (readers recompute nothing upstream) and, unlike an RDD checkpoint, later plans get a
+    columnar scan with column pruning and pushed filters."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

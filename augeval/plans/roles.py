@@ -87,7 +87,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An aggregate read by most evaluation plans, several times within one plan: materialized once per session."""
     from augeval.session import cut_lineage
-    memo = (id(spark.sparkContext._jsc), sf_dir)
+    memo = (spark.sparkContext.applicationId, sf_dir)
     if memo not in _PREDS:
         li = load(spark, sf_dir, "lineitem")
         p = (li.groupBy(F.col("l_returnflag").alias("run"), F.col("l_linenumber").alias("seed"),

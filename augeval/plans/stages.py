@@ -34,7 +34,7 @@ def obs_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     read by every later stage, and without the cut Catalyst pushes join-inferred ``isnotnull(alt_key)`` filters
     under the key projections and re-evaluates the whole key chain inside each rotation lambda.
     """
-    memo = (id(spark.sparkContext._jsc), sf_dir)
+    memo = (spark.sparkContext.applicationId, sf_dir)
     if memo not in _KEYED:
         o = roles.obs(spark, sf_dir)
         # keys once per distinct spelling (a partial aggregate), joined back on the spelling
@@ -59,7 +59,7 @@ def merged_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One row per (flag, entity); materialized once per session (read by the real, synthetic, funnel, holdout and
     memorization plans, several times within one plan)."""
-    memo = (id(spark.sparkContext._jsc), sf_dir)
+    memo = (spark.sparkContext.applicationId, sf_dir)
     if memo not in _MERGED:
         v = obs_valid(spark, sf_dir).withColumnRenamed("reliability", "flag")
         m = curate.merge_duplicates(v, "entity_id", "exact_key", "value", by=["flag"])

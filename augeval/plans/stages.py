@@ -37,8 +37,11 @@ def obs_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     memo = (spark.sparkContext.applicationId, sf_dir)
     if memo not in _KEYED:
         o = roles.obs(spark, sf_dir)
-        # keys once per distinct spelling (a partial aggregate), joined back on the spelling
-        keys = with_keys(o.select("raw_key").distinct(), "raw_key")
+        # keys once per distinct spelling (a partial aggregate). The key lambdas are CPU-heavy and the distinct
+        # table is small, so AQE would coalesce it into a few tasks: spread it over the cluster's cores first, and
+        # write the key table before joining it back on the spelling.
+        spellings = o.select("raw_key").distinct().repartition(2 * spark.sparkContext.defaultParallelism)
+        keys = cut_lineage(with_keys(spellings, "raw_key"), "spelling-keys")
         o = o.join(keys, "raw_key", "left").withColumn("value", numeric_or_null("value_text"))
         _KEYED[memo] = cut_lineage(o, "obs-keyed")
     return _KEYED[memo]

@@ -15,7 +15,7 @@ from augeval.session import cut_lineage
 
 
 def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
-                 fanout: int = 32, accuracy: int = 100000) -> DataFrame:
+                 fanout: int = 32, accuracy: int = 10000) -> DataFrame:
     """Add the tie-averaged rank (1-based) of ``value_col`` within ``by``; null values get a null rank."""
     by = list(by)
     vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))

@@ -7,7 +7,7 @@ from augeval.operators import metrics, similarity
 from augeval.plans import roles
 from augeval.plans.oracle_roles import with_roles
 from augeval.plans.registry import query
-from augeval.session import load
+from augeval.session import load, spread
 
 # Fixed parameters.
 SIM_EDGES = [0.0, 0.4, 0.55, 0.7, 0.85, 1.0001]
@@ -34,7 +34,7 @@ _TANI_SQL = """SELECT b.vec_id, coalesce(max(CAST(c AS DOUBLE) / (a + bb - c)),
 @query("hash_fingerprint", _FP_SQL)
 def q_hash_fingerprint(spark, sf):
     """M1: 2048-bit fingerprint (on-bit list) of every whole document from hashed word n-grams up to 3."""
-    d = load(spark, sf, "documents").select("doc_id", "text")
+    d = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return similarity.fingerprint(d, "text", BITS, RADIUS).select("doc_id", "bits")
 
 

@@ -66,7 +66,7 @@ def merged_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     if memo not in _MERGED:
         v = obs_valid(spark, sf_dir).withColumnRenamed("reliability", "flag")
         m = curate.merge_duplicates(v, "entity_id", "exact_key", "value", by=["flag"])
-        m = add_cycle_key(m, "smiles", "alt_key")
+        m = add_cycle_key(m.repartition(2 * spark.sparkContext.defaultParallelism), "smiles", "alt_key")
         m = m.withColumn("split", F.when(F.col("flag") == "A", split_of_bucket(md5_bucket("entity_id"))))
         _MERGED[memo] = cut_lineage(m, "merged")
     return _MERGED[memo]

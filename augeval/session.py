@@ -80,3 +80,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/augeval-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a small-in-bytes but CPU-heavy input over the cores when its scan yields fewer partitions
+    than the cluster has cores (e.g. one small parquet file of long texts). A large input is already split by
+    the scan and is returned unchanged (no extra shuffle)."""
+    target = factor * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target // factor else df

@@ -84,3 +84,17 @@ def shuffle_labels(df: DataFrame, id_col: str, value_col: str, seed: int, base_s
     by_seed = seeded_order(df.select(id_col, value_col), id_col, seed, "_p").select(
         "_p", F.col(value_col).alias("shuffled"))
     return by_base.join(by_seed, "_p").join(df, id_col).drop("_p")
+
+
+def number_within(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: F.Column, out: str = "rn") -> DataFrame:
+    """Exact 1-based row number per group in ``order`` without holding a whole group in one window: ``bucket`` is a
+    coarse, order-preserving key (e.g. the day of a timestamp); the per-(group, bucket) counts (a small table) give
+    offsets, and each window holds one (group, bucket)."""
+    by = list(by)
+    d = df.withColumn("_nb", bucket)
+    counts = d.groupBy(*by, "_nb").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy(*by).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).drop("_c")
+    wl = Window.partitionBy(*by, "_nb").orderBy(*order)
+    local = d.withColumn("_rl", F.row_number().over(wl))
+    return local.join(offs, [*by, "_nb"]).withColumn(out, F.col("_off") + F.col("_rl")).drop("_nb", "_off", "_rl")

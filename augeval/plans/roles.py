@@ -99,13 +99,13 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-epoch training history: events of one user are the epochs of one run, in (ts, event_id) order.
-
-    The numbering is a window partitioned by run (never a global single-partition window)."""
+    """Per-epoch training history: events of one user are the epochs of one run, in (ts, event_id) order."""
+    from augeval.operators.sampling import number_within
     ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").alias("run"), F.row_number().over(w).alias("epoch"),
-                     F.col("value").alias("val_mae"), F.col("event_type").alias("arm"), F.col("event_id"))
+    # epochs numbered per run in (ts, event_id) order; day buckets keep a hot run out of one single window
+    n = number_within(ev, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "epoch")
+    return n.select(F.col("user_id").alias("run"), F.col("epoch").cast("int").alias("epoch"),
+                    F.col("value").alias("val_mae"), F.col("event_type").alias("arm"), F.col("event_id"))
 
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:

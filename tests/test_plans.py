@@ -11,7 +11,8 @@ load_all()
 FAST = ["merge_duplicates", "holdout_anti", "match_type", "cleaning_funnel", "memorization", "regression_metrics",
         "seed_matched_diff", "wilcoxon", "early_stop", "seeded_split", "bootstrap_ci", "poisson_bootstrap",
         "parse_pair_array", "parse_label_object", "latest_response", "cost_rollup", "max_tanimoto",
-        "hash_fingerprint", "stream_early_stop", "experiment_grid"]
+        "hash_fingerprint", "stream_early_stop", "stream_log_ingest", "stream_cost", "stream_decontaminate",
+        "experiment_grid", "scan_response_log", "scan_run_records", "nested_subsets", "shuffle_labels"]
 
 
 def physical(df):

@@ -19,8 +19,7 @@ def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str
     """Add the tie-averaged rank (1-based) of ``value_col`` within ``by``; null values get a null rank."""
     by = list(by)
     vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
-    # read three times below (sketch, bucket totals, local ranks): cut its lineage once (reliable checkpoint)
-    vals = cut_lineage(vals, "rank-values")
+
     buckets = fanout * fanout                                   # two-level search: ~2 x fanout comparisons per value
     pcts = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(value_col, pcts, accuracy)   # bounded sketch per group, not the group's rows
@@ -34,6 +33,8 @@ def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str
     cut_join = cut_join.withColumn("_hi", F.size(F.filter(coarse_cuts, lambda c: c < v)))
     fine_cuts = F.slice("_cuts", F.col("_hi") * fanout + 1, F.lit(fanout - 1))
     vb = cut_join.withColumn("_b", F.col("_hi") * fanout + F.size(F.filter(fine_cuts, lambda c: c < v))).drop("_cuts", "_hi")
+    # read twice below (bucket totals, local ranks): cut its lineage once so the bucket search runs once
+    vb = cut_lineage(vb, "rank-buckets")
     tot = vb.groupBy(*by, "_b").agg(F.sum("_c").alias("_bt"))
     wo = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wo), F.lit(0))).drop("_bt")

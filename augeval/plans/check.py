@@ -40,6 +40,12 @@ def _norm(v, digits=12):
     return v
 
 
+# Spark simple type -> DuckDB type name, for the schema comparison.
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "float": "FLOAT", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+            "array<double>": "DOUBLE[]", "array<int>": "INTEGER[]", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> dict:
     from augeval.plans.registry import ORACLE, QUERIES, load_all, rounded_sql
     load_all()
@@ -53,6 +59,13 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> di
     if name not in ORACLE:
         res["oracle"] = None
         return res
+    rel = con.sql(rounded_sql(name))
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    type_diffs = [(c, t, d_types.get(c)) for c, t in s_types.items() if TYPE_MAP.get(t, t) != d_types.get(c)]
+    res["types_match"] = not type_diffs
+    if type_diffs:
+        res["type_diffs"] = type_diffs
     cur = con.execute(rounded_sql(name))
     d_cols_raw = [c[0] for c in cur.description]
     d_rows = [dict(zip(d_cols_raw, r)) for r in cur.fetchall()]
@@ -87,7 +100,8 @@ def main(argv):
             r = compare(spark, n, sf_dir, con)
         except Exception as e:  # report and continue
             r = {"name": n, "error": repr(e)[:600]}
-        ok = r.get("values_match") and r.get("cols_match") and r.get("spark_rows") == r.get("duck_rows")
+        ok = (r.get("values_match") and r.get("cols_match") and r.get("types_match")
+              and r.get("spark_rows") == r.get("duck_rows"))
         if r.get("oracle", 1) is None:
             ok = "rows-only"
         if ok is not True:

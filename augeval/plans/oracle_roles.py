@@ -113,7 +113,7 @@ role("preds", """
 """)
 
 role("hist", """
-  SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch,
+  SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS epoch,
          value AS val_mae, event_type AS arm, event_id
   FROM events
 """)

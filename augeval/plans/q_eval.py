@@ -117,7 +117,7 @@ def q_stratified_error(spark, sf):
 
 
 @query("density_histogram", with_roles("""
-  SELECT bin, 0.0 + bin * 5000.0 AS bin_lo, count(*) AS n,
+  SELECT bin, CAST(0.0 + bin * 5000.0 AS DOUBLE) AS bin_lo, count(*) AS n,
          count(*) / ((SELECT count(*) FROM preds WHERE y_true BETWEEN 0.0 AND 100000.0) * 5000.0) AS density
   FROM (SELECT CAST(least(floor((y_true - 0.0) / 5000.0), 19) AS INTEGER) AS bin FROM preds
         WHERE y_true BETWEEN 0.0 AND 100000.0) GROUP BY bin

@@ -35,7 +35,7 @@ def _slice_sql(t: str, o: str, c: str) -> str:
             f"THEN substr({t}, strpos({t}, '{o}'), {_pos_last(t, c)} - strpos({t}, '{o}') + 1) END")
 
 
-_PAIRS_SQL = f"""SELECT custom_id, seq, task, i AS item, json_extract_string(e, '$.smiles') AS smiles,
+_PAIRS_SQL = f"""SELECT custom_id, seq, task, CAST(i AS INTEGER) AS item, json_extract_string(e, '$.smiles') AS smiles,
     {numeric("json_extract_string(e, '$.tg_celsius')")} AS tg_celsius
   FROM (SELECT custom_id, seq, task, i, json_extract(body, '$[' || CAST(i AS VARCHAR) || ']') AS e
         FROM (SELECT *, {_slice_sql('text', '[', ']')} AS body FROM log) v,
@@ -78,7 +78,7 @@ def q_append_log(spark, sf):
     return ledger.scan_log(spark, path).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("parse_pair_array", with_roles(_PAIRS_SQL.replace(", task, i AS item", ", i AS item", 1), "log"))
+@query("parse_pair_array", with_roles(_PAIRS_SQL.replace(", task, CAST(i AS INTEGER) AS item", ", CAST(i AS INTEGER) AS item", 1), "log"))
 def q_parse_pair_array(spark, sf):
     """object items of each generation answer (outermost [ ... ] as JSON; other items skipped)."""
     return ledger.parse_pairs(roles.log(spark, sf))
@@ -306,7 +306,7 @@ def q_cost_per_clean_row(spark, sf):
 
 
 @query("budget_guard", with_roles(f"""
-  SELECT spent, n_pending, estimate, {BUDGET_USD} AS budget_limit, spent + estimate <= {BUDGET_USD} AS within_budget FROM (
+  SELECT spent, n_pending, estimate, CAST({BUDGET_USD} AS DOUBLE) AS budget_limit, spent + estimate <= {BUDGET_USD} AS within_budget FROM (
     SELECT spent, n_pending, n_pending * (avg_in * 2 + {EXPECTED_OUT_TOKENS} * 10) / 1000000.0 * 0.5 AS estimate FROM
       (SELECT sum(cost_usd) AS spent, avg(input_tokens) AS avg_in FROM log),
       (SELECT count(*) AS n_pending FROM planned WHERE custom_id NOT IN (SELECT custom_id FROM done)))
@@ -372,8 +372,8 @@ def q_running_total(spark, sf):
 
 
 @query("distinct_curve", with_roles("""
-  SELECT seq, new_entities, sum(new_entities) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_distinct,
-         sum(items) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_items
+  SELECT seq, new_entities, CAST(sum(new_entities) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_distinct,
+         CAST(sum(items) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_items
   FROM (SELECT l.seq, coalesce(n.k, 0) AS new_entities, coalesce(i.k, 0) AS items FROM log l
         LEFT JOIN (SELECT first AS seq, count(*) AS k FROM
                      (SELECT smiles, min(seq) AS first FROM pairs WHERE smiles IS NOT NULL GROUP BY smiles) GROUP BY first) n

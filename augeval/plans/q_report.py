@@ -51,7 +51,7 @@ _RUNS_SQL = f"""SELECT CASE WHEN run = 'R' THEN 'rf_run_R' ELSE 'run_' || run EN
     CASE WHEN run = 'R' THEN 'random_forest' ELSE 'transformer' END AS model, CAST(seed AS BIGINT) AS seed,
     n AS n_real, n AS n_train_rows, CASE WHEN run <> 'R' THEN CAST(seed AS BIGINT) END AS best_epoch,
     CASE WHEN run <> 'R' THEN CAST(seed AS BIGINT) + 3 END AS epochs_run, CASE WHEN run <> 'R' THEN mae * 1.1 END AS best_val_mae,
-    mae, rmse, r2, CAST(NULL AS DOUBLE) AS spearman, n * 0.5 AS train_seconds FROM m"""
+    mae, rmse, r2, CAST(NULL AS DOUBLE) AS spearman, CAST(n * 0.5 AS DOUBLE) AS train_seconds FROM m"""
 
 
 @query("scan_run_records", with_roles(_RUNS_SQL, "preds", extra=[("m", BASIC_SQL)]))
@@ -65,7 +65,7 @@ def q_scan_run_records(spark, sf):
     return files.scan_runs(spark, path)
 
 
-@query("explode_history", with_roles("SELECT run, epoch, val_mae / 10.0 AS train_mse_standardized, val_mae FROM hist", "hist"))
+@query("explode_history", with_roles("SELECT run, CAST(epoch AS BIGINT) AS epoch, val_mae / 10.0 AS train_mse_standardized, val_mae FROM hist", "hist"))
 def q_explode_history(spark, sf):
     """Per-run records carrying the epoch history as an array of structs, written, read, then ``inline``d."""
     h = roles.hist(spark, sf)

@@ -62,7 +62,8 @@ def q_stream_decontaminate(spark, sf):
 
 
 @query("stream_early_stop", with_roles("""
-  SELECT run, best_epoch, best_val_mae, steps_run FROM stop WHERE run IN (SELECT run FROM h3 WHERE epoch - li >= 3)
+  SELECT run, CAST(best_epoch AS BIGINT) AS best_epoch, best_val_mae, CAST(steps_run AS BIGINT) AS steps_run FROM stop
+  WHERE run IN (SELECT run FROM h3 WHERE epoch - li >= 3)
 """, "hist", extra=[("hx", "SELECT * FROM hist")] + _stop_sql("3", "run")))
 def q_stream_early_stop(spark, sf):
     """T4: stateful early stopping over the epoch stream; emits the stop row of every run that stops."""

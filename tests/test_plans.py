@@ -47,6 +47,6 @@ def test_oracle_agrees(spark, sf, name):
     con = duck(sf)
     r = compare(spark, name, sf, con)
     if name in ORACLE:
-        assert r["cols_match"] and r["spark_rows"] == r["duck_rows"] and r["values_match"], r
+        assert r["cols_match"] and r["types_match"] and r["spark_rows"] == r["duck_rows"] and r["values_match"], r
     else:
         assert r["spark_rows"] >= 0

@@ -52,8 +52,22 @@ def split_of_bucket(bucket) -> F.Column:
              .when(bucket < SPLIT_KEEP_MAX, "train"))
 
 
+_LOG: dict[tuple, DataFrame] = {}
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response log: one record per request answer, with ids repeated over time (a retry log)."""
+    """Response log: one record per request answer, with ids repeated over time (a retry log).
+
+    Derived from events and written once per session (read by about 25 plans), so answer parsing reads a text
+    column, as it would from a saved log."""
+    from augeval.session import cut_lineage
+    memo = (spark.sparkContext.applicationId, sf_dir)
+    if memo not in _LOG:
+        _LOG[memo] = cut_lineage(_log(spark, sf_dir), "log")
+    return _LOG[memo]
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events")
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"))
     v = F.col("value").cast("decimal(10,2)").cast("string")

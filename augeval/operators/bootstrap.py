@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augeval.operators.sampling import seeded_order
+from augeval.session import cut_lineage, spread
 
 
 def _draw(seed: int, b, i, n) -> F.Column:
@@ -21,14 +22,17 @@ def draws(numbered: DataFrame, resamples: int, seed: int, position: str = "posit
     row count of ``numbered`` (positions 1..n). Each numbered row emits its B draw slots by ``explode``, so the
     B x n table is generated in parallel from the data's own partitions (no driver-side range, no cross join)."""
     n = numbered.select(F.count(F.lit(1))).scalar()
-    slots = numbered.select(F.col(position).alias("i"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    # the numbered table is small in bytes but emits B rows each (md5 per draw): spread it over the cores first
+    slots = spread(numbered).select(F.col(position).alias("i"),
+                                    F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
     return slots.select("b", _draw(seed, F.col("b"), F.col("i"), n).alias(position))
 
 
 def bootstrap_ci(df: DataFrame, id_col: str, value_col: str, resamples: int = 1000, seed: int = 42,
                  lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Percentile interval of the mean over B resamples (exact positions of an md5 order, then a join)."""
-    numbered = seeded_order(df.select(id_col, value_col), id_col, seed, "position")
+    # read three times (count, draw slots, join): written once
+    numbered = cut_lineage(seeded_order(df.select(id_col, value_col), id_col, seed, "position"), "boot-numbered")
     dt = draws(numbered, resamples, seed)
     means = dt.join(numbered, "position").groupBy("b").agg(F.avg(value_col).alias("m"))
     point = df.agg(F.avg(value_col).alias("mean"))
@@ -44,7 +48,7 @@ def paired_bootstrap(errors: DataFrame, id_col: str, model_col: str, value_col:
     ref = errors.filter(F.col(model_col) == reference).select(id_col, F.col(value_col).alias("_r"))
     d = (errors.filter(F.col(model_col) != reference).join(ref, id_col)
                .select(model_col, id_col, (F.col(value_col) - F.col("_r")).alias("d")))
-    numbered = seeded_order(ref.select(id_col), id_col, seed, "position")
+    numbered = cut_lineage(seeded_order(ref.select(id_col), id_col, seed, "position"), "boot-numbered")
     dt = draws(numbered, resamples, seed).join(numbered, "position")
     means = dt.join(d, id_col).groupBy(model_col, "b").agg(F.avg("d").alias("m"))
     ci = means.groupBy(model_col).agg(F.percentile("m", [lo, hi]).alias("_q"))
@@ -72,7 +76,7 @@ def poisson_bootstrap(df: DataFrame, id_col: str, value_col: str, resamples: int
     means per b are partial aggregates (no join, no numbering); percentiles of the B means."""
     by = list(by)
     bs = F.sequence(F.lit(1), F.lit(resamples))
-    x = df.select(*by, id_col, value_col, F.explode(bs).alias("b"))
+    x = spread(df).select(*by, id_col, value_col, F.explode(bs).alias("b"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"),
                                             F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") / float(16 ** 8)
     x = x.withColumn("w", poisson_weight(u))

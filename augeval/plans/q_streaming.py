@@ -23,7 +23,7 @@ HIST_SCHEMA = T.StructType([T.StructField("run", T.LongType()), T.StructField("e
 
 def _log_stream(spark, sf, name):
     path = scratch_path(spark, name)
-    ls.write_batches(roles.log(spark, sf).select(*LOG_COLS), path, "seq", BATCHES)
+    ls.write_batches(roles.log(spark, sf, spread_rows=False).select(*LOG_COLS), path, "seq", BATCHES)
     return ls.read_stream(spark, path)
 
 

@@ -55,16 +55,17 @@ def split_of_bucket(bucket) -> F.Column:
 _LOG: dict[tuple, DataFrame] = {}
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
     """Response log: one record per request answer, with ids repeated over time (a retry log).
 
     Derived from events and written once per session (read by about 25 plans), so answer parsing reads a text
     column, as it would from a saved log."""
-    from augeval.session import cut_lineage
+    from augeval.session import cut_lineage, spread
     memo = (spark.sparkContext.applicationId, sf_dir)
     if memo not in _LOG:
         _LOG[memo] = cut_lineage(_log(spark, sf_dir), "log")
-    return _LOG[memo]
+    # answer parsing is CPU-heavy per row and a small log file is one scan split; streams keep the file order
+    return spread(_LOG[memo]) if spread_rows else _LOG[memo]
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ COLS = [f.name for f in LOG_SCHEMA.fields]
 
 
 def test_late_row_ignored(spark, sf):
-    log = roles.log(spark, sf).select(*COLS)
+    log = roles.log(spark, sf, spread_rows=False).select(*COLS)
     path = scratch_path(spark, "late")
     ls.write_batches(log, path, "seq", 3)
     first_day = log.agg(F.min("date")).first()[0]
@@ -24,7 +24,7 @@ def test_late_row_ignored(spark, sf):
 
 
 def test_ingest_one_row_per_id(spark, sf):
-    log = roles.log(spark, sf).select(*COLS)
+    log = roles.log(spark, sf, spread_rows=False).select(*COLS)
     path = scratch_path(spark, "ingest")
     ls.write_batches(log, path, "seq", 3)
     out = ls.run_to_table(ls.ingest(ls.read_stream(spark, path), "400 days").select("custom_id", "seq"), spark, "ing")

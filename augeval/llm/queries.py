@@ -19,6 +19,13 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document, digests of the ids and of the decoded bytes."""
+    from augeval.llm.bpe import digests
+    return digests(load(spark, sf_dir, "documents"))
+
+
 # Jaccard at 0.9 over 3-word shingles: SQL sets per document, pairs that share a shingle, and reachability.
 _OP2 = """
 WITH RECURSIVE w AS (

@@ -4,7 +4,7 @@ Words are runs of anything but space and 0x09-0x0D, A-Z in lower case; a text's
 Two texts link when ``den * |intersection| >= num * |union|``. Linked sets of sizes with sum S differ in at most
 D = floor(S * (den - num) / (den + num)) shingles.
 
-Method. Shingles are hashed into groups and the group counts are a text's point. The groups are dealt to blocks of 64
+Method. Shingles are hashed into groups and the group counts are a text's point. The groups are dealt to blocks of 2**20
 coordinates; sets of one size class share the dealing, and a set that can have larger partners is entered in the next
 class too. A set that may differ from a partner in at most r shingles shares at least two of its first r + 2 block
 points with that partner, so a search needs to enter only those nodes of the tree whose bounding box is the query's
@@ -12,10 +12,13 @@ own point in a block (an inner node = one block point; a box with room around it
 radius of about 0.1 n in every coordinate exceeds the spread of the counts of unrelated texts). Inside a node:
 
 1. every set is compared with the node's smallest member (one star per node), which joins most copies;
-2. nodes that still hold several components are cut into leaves of bounded size, and leaf pairs go down by the bound
-   "sum of coordinate minima of the two boxes", then the same bound for two points, then the exact sets.
+2. in nodes that still hold several components, members of different components are compared: nodes of up to SMALL
+   sets give their pairs (a pair that meets in many nodes is compared once); larger nodes are cut into leaves of
+   bounded size, and leaf pairs go down by the bound "sum of coordinate minima of the two boxes", then the same bound
+   for two points, then the exact sets.
 
-Only spanning edges leave a leaf pair, so rows grow with the texts and not with the pairs. Identical sets are one node
+Pairs of single sets also pass the bound on their points before their sets are fetched. Only spanning edges leave a
+leaf pair, so rows grow with the texts and not with the pairs. Identical sets are one node
 of the graph from the start. Hashes are 64 bits wide: sets are compared by shingle hash, set identity by 64 bits of
 its shingles.
 
@@ -33,12 +36,14 @@ from augeval.llm.graph import connected_components
 from augeval.llm.textops import mix, segment_sum, set_batches, shingle_sets, text_chunks
 from augeval.session import cut_lineage
 
-COORDS = 64           # coordinates of one block
+COORDS = 1 << 20      # coordinates of one block (few, and blocks of one or two shingles would meet by chance)
 BOUND_COORDS = 256    # coordinates of the point that the minima bound uses
 LEAF = 128            # sets in a leaf, on average
+SMALL = 16            # sets in a node whose pairs are listed
 CLASS_RATIO = 1.6     # sizes within a class
 BUCKET_BYTES = 8 << 20
-_R = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+SAMPLE_DOCS = 8000        # texts that tell common shingles from rare ones
+COMMON_SHINGLES = 200_000
 
 
 def size_edges(top: int) -> np.ndarray:
@@ -53,24 +58,29 @@ def _distance(total: np.ndarray, num: int, den: int) -> np.ndarray:
     return total * (den - num) // (den + num)
 
 
-def block_points(h: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def block_points(h: np.ndarray, bounds: np.ndarray, num: int, den: int, common: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, text) of every block point that the texts of a chunk enter in the tree.
 
     A text that differs from a partner in at most r shingles looks at its first r + 2 s + 1 blocks (s by class) and
-    leaves out the s with the fewest shingles: at least 2 s + 1 of them are equal, each side leaves out s, one stays."""
+    leaves out s of them: at least 2 s + 1 are equal, each side leaves out s, one stays. It leaves out the blocks whose
+    rarest shingle is the most common (``common``: sorted hashes and their counts), then those with the fewest shingles."""
     n = np.diff(bounds)
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     edges = size_edges(int(n.max()) * den // num + 1)
     cls = np.searchsorted(edges, n, "right") - 1
     top = n * den // num  # largest size of a partner
+    frequency = np.zeros(len(h), np.int32)
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        frequency = np.where(common[0][at] == h, common[1][at], 0).astype(np.int32)
     out_s, out_d = [], []
     for up in (0, 1):
         c = cls + up
         last = edges[np.minimum(c + 1, len(edges) - 1)] - 1
         r = _distance(n + np.minimum(top, last), num, den)
         most = _distance(2 * last, num, den)
-        spare = 1 + most // 10
+        spare = 1 + most // 6
         m = most + 2 * spare + 1
         use = (n > 0) & (r > 0) & ((top >= edges[np.minimum(c, len(edges) - 1)]) if up else True)
         rows = np.flatnonzero(np.repeat(use, n))
@@ -78,22 +88,24 @@ def block_points(h: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple
             continue
         d = np.repeat(np.arange(len(n)), n)[rows]
         x = mix(h[rows] ^ (c[d].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
-        block = ((x >> np.uint64(16)) % m[d].astype(np.uint64)).astype(np.int64)
+        block = ((x & np.uint64(0xFFFFFFFFFF)) % m[d].astype(np.uint64)).astype(np.int64)
         look = r + 2 * spare + 1
         keep = block < look[d]
         d, block, x = d[keep], block[keep], x[keep]
         width = int(look[use].max())
         cell = d * width + block
         order = np.argsort(cell, kind="stable")
-        cell, val = cell[order], _R[(x[order] & np.uint64(COORDS - 1)).astype(np.int64)]
+        cell, val = cell[order], mix(((x[order] >> np.uint64(40)) & np.uint64(COORDS - 1)) + np.uint64(0xC2B2AE3D27D4EB4F))
+        count = frequency[rows][keep][order]
         at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         point = np.add.reduceat(val, at)
         size = np.diff(np.append(at, len(cell)))
+        rarest = np.minimum.reduceat(count, at)
         cell = cell[at]
         dd = cell // width
         filled = np.bincount(dd, minlength=len(n))
         drop = np.maximum(spare - (look - filled), 0)
-        by_size = np.lexsort((size, dd))
+        by_size = np.lexsort((size, -rarest, dd))
         rank = np.empty(len(dd), np.int64)
         rank[by_size] = np.arange(len(dd)) - np.searchsorted(dd, dd[by_size])
         stay = rank >= drop[dd]
@@ -129,14 +141,36 @@ def _keys(words: int):
     return run
 
 
-def _entries(words: int, num: int, den: int, buckets: int):
+def _sampled(words: int):
+    """Shingles of sampled texts, counted within the chunk before they are shuffled."""
+    def run(batches):
+        for b in batches:
+            for _, _, buf, offs in text_chunks(b.column("text")):
+                h, n = np.unique(shingle_sets(buf, offs, words)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+    return run
+
+
+def common_shingles(docs: DataFrame, words: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met in 3 or more texts of a bounded sample (SAMPLE_DOCS texts, COMMON_SHINGLES shingles). They only
+    say which blocks a text had better leave out: they change the work, never the result."""
+    step = max(1, n_docs // SAMPLE_DOCS)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
+    rows = some.mapInArrow(_sampled(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3") \
+        .orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toPandas()
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows["n"].to_numpy()[order]
+
+
+def _entries(words: int, num: int, den: int, buckets: int, common):
     """Block points packed by bucket; a point met more than once in a chunk sends its smallest set only (combined before the
     shuffle), and its other sets go out under negative buckets, which no point has to wait for."""
     def run(batches):
         for b in batches:
             for _, _, buf, offs in text_chunks(b.column("text")):
                 h, bounds = shingle_sets(buf, offs, words)
-                sig, d = block_points(h, bounds, num, den)
+                sig, d = block_points(h, bounds, num, den, common.value)
                 if not len(sig):
                     continue
                 key = _set_keys(h, bounds)[d]
@@ -200,11 +234,43 @@ def _sets(words: int):
                 h, bounds = shingle_sets(buf, offs, words)
                 arr = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
                 own = pa.array(_set_keys(h, bounds))
-                part = pa.RecordBatch.from_arrays([own, arr], names=["key", "shingles"])
+                counts = _counts([h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
+                point = [c.astype(np.uint16).tobytes() if c.max() < 65536 else None for c in counts]
+                part = pa.RecordBatch.from_arrays([own, arr, pa.array(point, pa.binary())], names=["key", "shingles", "point"])
                 yield part.filter(pc.equal(own, b.column("key").slice(lo, hi - lo)))
     return run
 
 
+def _within_bound(num: int, den: int):
+    """Keep the pairs whose points allow a link (a set too large for a point always stays)."""
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("pa").to_pylist(), b.column("pb").to_pylist(), strict=True):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                o, total = int(np.minimum(x, y).sum(dtype=np.int64)), int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
+                keep.append(den * o >= num * (total - o))
+            idx = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(idx), b.column("b").take(idx)], names=["a", "b"])
+    return run
+
+
+def _pairs():
+    """Pairs of different components in small nodes."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for members in b.column("members").to_pylist():
+                m = sorted((x["key"], x["comp"]) for x in members)
+                out += [(k, j) for i, (k, c) in enumerate(m) for j, d in m[:i] if c != d]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
+                                             names=["a", "b"])
+    return run
+
+
 def _links(num: int, den: int):
     """Verify candidate pairs: exact sizes of intersections of sorted hash arrays."""
     def run(batches):
@@ -290,6 +356,15 @@ def join_leaves(left, right, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
+def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of set keys that link: first by their points, then by their sets."""
+    side = lambda c, k, to: held.select(F.col("key").alias(k), F.col(c).alias(to))
+    near = pairs.join(side("point", "a", "pa"), "a").join(side("point", "b", "pb"), "b").mapInArrow(
+        _within_bound(num, den), "a long, b long")
+    return near.join(side("shingles", "a", "sa"), "a").join(side("shingles", "b", "sb"), "b").mapInArrow(
+        _links(num, den), "a long, b long")
+
+
 def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, set_key, component_id."""
     if den > CLASS_RATIO * num:
@@ -298,21 +373,20 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     set_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = cut_lineage(d.mapInArrow(_keys(words), "doc_id long, n_shingles long, set_key long"), "jaccard-keys")
-    total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
+    n_docs, total = keyed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    common = spark.sparkContext.broadcast(common_shingles(d, words, n_docs))
     buckets = int(max(24, total * (den - num) / num * 2 * 16 // BUCKET_BYTES))
-    entries = d.mapInArrow(_entries(words, num, den, buckets), "bucket long, sigs binary, keys binary, leads binary")
+    entries = d.mapInArrow(_entries(words, num, den, buckets, common), "bucket long, sigs binary, keys binary, leads binary")
     nodes = entries.groupBy("bucket").applyInArrow(_nodes, "sig long, key long, lead long")
     nodes = cut_lineage(nodes, "jaccard-nodes")
     rep = keyed.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_key").alias("key")).agg(
         F.min("doc_id").alias("rep"))
     wanted = nodes.select("key").union(nodes.select(F.col("lead").alias("key"))).distinct().join(rep, "key")
     held = wanted.join(d, F.col("rep") == F.col("doc_id")).select("key", "text")
-    held = cut_lineage(held.mapInArrow(_sets(words), "key long, shingles array<long>").dropDuplicates(["key"]), "jaccard-sets")
+    held = cut_lineage(held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary").dropDuplicates(["key"]), "jaccard-sets")
 
     pairs = nodes.where("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
-    sa = held.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    sb = held.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    star = cut_lineage(pairs.join(sa, "a").join(sb, "b").mapInArrow(_links(num, den), "a long, b long"), "jaccard-star")
+    star = cut_lineage(_verified(pairs, held, num, den), "jaccard-star")
     first = cut_lineage(connected_components(star), "jaccard-first")
 
     comp = F.coalesce(F.col("component"), F.col("key"))
@@ -321,9 +395,13 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         first, F.col("key") == F.col("node"), "left").select("sig", "key", comp.alias("comp"))
     member = cut_lineage(member.union(lead).distinct(), "jaccard-members")
     mixed = member.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    leaves = member.join(mixed, "sig").withColumn("n_leaves", F.ceil(F.col("size") / LEAF).cast("int")) \
+    member = member.join(mixed.select("sig", "size"), "sig")
+    small = member.where(F.col("size") <= SMALL).groupBy("sig").agg(F.collect_list(F.struct("key", "comp")).alias("members"))
+    near = small.select("members").mapInArrow(_pairs(), "a long, b long").distinct()
+    listed = cut_lineage(_verified(near, held, num, den), "jaccard-listed")
+    leaves = member.where(F.col("size") > SMALL).withColumn("n_leaves", F.ceil(F.col("size") / LEAF).cast("int")) \
         .withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("n_leaves")).cast("int"))
-    leaves = leaves.join(held, "key").groupBy("sig", "n_leaves", "leaf").agg(
+    leaves = leaves.join(held.select("key", "shingles"), "key").groupBy("sig", "n_leaves", "leaf").agg(
         F.collect_list(F.struct("key", "comp", "shingles")).alias("members"))
     met = leaves.select("sig", F.explode(F.sequence(F.lit(0), F.col("n_leaves") - 1)).alias("other"), "leaf", "members") \
         .select("sig", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "members") \
@@ -331,7 +409,7 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     set_batches(spark, 16)
     deep = cut_lineage(met.mapInArrow(_leaf_pairs(num, den), "a long, b long"), "jaccard-deep")
     set_batches(spark)
-    groups = connected_components(star.union(deep))
+    groups = connected_components(star.union(listed).union(deep))
 
     by_key = rep.join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "key").alias("comp"))

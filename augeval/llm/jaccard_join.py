@@ -38,6 +38,7 @@ from augeval.session import cut_lineage
 
 COORDS = 1 << 20      # coordinates of one block (few, and blocks of one or two shingles would meet by chance)
 BOUND_COORDS = 256    # coordinates of the point that the minima bound uses
+SET_ROWS = 100        # rows with two whole sets in an Arrow batch
 LEAF = 128            # sets in a leaf, on average
 SMALL = 16            # sets in a node whose pairs are listed
 CLASS_RATIO = 1.6     # sizes within a class
@@ -386,6 +387,7 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     held = cut_lineage(held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary").dropDuplicates(["key"]), "jaccard-sets")
 
     pairs = nodes.where("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
+    set_batches(spark, SET_ROWS)
     star = cut_lineage(_verified(pairs, held, num, den), "jaccard-star")
     first = cut_lineage(connected_components(star), "jaccard-first")
 

@@ -50,3 +50,89 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at Jaccard 0.9 of their 3-word shingles: set size and link component."""
     from augeval.llm.jaccard_join import link_components
     return link_components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+# The ledger in SQL: the same words, lines and five-word windows, the same conditions of policy v1.
+_OP4 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS p, ws FROM w WHERE len(ws) >= 5),
+h AS (SELECT r, p, array_to_string(ws[p:p+4], ' ') AS gram FROM g),
+t AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, gram) AS n FROM h) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT p + k) AS n FROM t, (SELECT unnest(range(5)) AS k) GROUP BY r),
+m AS (SELECT d.r, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
+             length(regexp_replace(d.text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(d.text, '[^a-z]', '', 'g')) AS n_lower
+      FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_upper > n_upper + n_lower) AS kept
+FROM b
+"""
+
+
+@query("op4_quality_rules", _OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger measurements of every document and the verdict of policy v1."""
+    from augeval.llm.rules import apply_policy, ledger
+    return apply_policy(ledger(load(spark, sf_dir, "documents")), "v1").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model learned from the labels outside the held-out fold."""
+    from augeval.llm.quality import FOLDS, score, train
+    from augeval.llm.textops import crc32_mod
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, load(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", (crc32_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score",
+                                     (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model learned from the languages outside the held-out fold."""
+    from augeval.llm.langid import FOLDS, HELD_OUT, predict, train
+    from augeval.llm.textops import crc32_mod
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predict(docs, train(docs)).select("doc_id", (crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
+                                             "lang_pred", "score", "rejected")
+
+
+# The schedule in SQL: the same shares, the cycle slot by slot, and the documents' md5 order.
+_OP9 = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+c AS (SELECT src, CAST(floor(sqrt(CAST(count(*) AS DOUBLE)) * 1000) AS BIGINT) AS w FROM d GROUP BY src),
+b AS (SELECT src, 1 + (w * (1000 - count(*) OVER ())) // CAST(sum(w) OVER () AS BIGINT) AS base,
+             (w * (1000 - count(*) OVER ())) % CAST(sum(w) OVER () AS BIGINT) AS rest FROM c),
+s AS (SELECT src, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, src) <= 1000 - sum(base) OVER () THEN 1 ELSE 0 END AS share FROM b),
+a AS (SELECT list(src ORDER BY src) AS srcs, list(CAST(share AS BIGINT) ORDER BY src) AS n FROM s),
+e AS (SELECT -1 AS t, list_transform(n, lambda x: CAST(1 AS BIGINT)) AS nxt, n, CAST(NULL AS STRUCT(deadline BIGINT, i BIGINT)) AS p FROM a
+      UNION ALL
+      SELECT t + 1, list_transform(nxt, lambda v, k: CASE WHEN k = q.i THEN v + 1 ELSE v END), n, q
+      FROM (SELECT t, nxt, n, list_min(list_transform(list_filter(range(1, len(n) + 1),
+                     lambda k: nxt[k] <= n[k] AND ((nxt[k] - 1) * 1000) // n[k] <= t + 1),
+                     lambda k: {'deadline': (nxt[k] * 1000 + n[k] - 1) // n[k], 'i': k})) AS q FROM e WHERE t < 999)),
+o AS (SELECT a.srcs[p.i] AS src, CAST(t AS BIGINT) AS slot, a.n[p.i] AS share,
+             row_number() OVER (PARTITION BY p.i ORDER BY t) AS j FROM e, a WHERE p IS NOT NULL),
+r AS (SELECT doc_id, src, row_number() OVER (PARTITION BY src ORDER BY h, doc_id) - 1 AS n FROM d),
+k AS (SELECT r.doc_id, r.src, n // 32 AS block, n % 32 AS place FROM r)
+SELECT k.doc_id, k.src AS source, k.block, (k.block // o.share) * 1000 + o.slot AS slot,
+       (k.block // o.share) * 1000 + ((o.j - 1) * 1000) // o.share AS release,
+       (k.block // o.share) * 1000 + (o.j * 1000 + o.share - 1) // o.share AS deadline, k.place
+FROM k JOIN o ON o.src = k.src AND o.j = k.block % o.share + 1
+"""
+
+
+@query("op9_source_mixing", _OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and place of every document in the mixing schedule of the sources."""
+    from augeval.llm.mixing import schedule
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return schedule(docs).select("doc_id", "source", "block", "slot", "release", "deadline", "place")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -155,6 +156,7 @@ def crc32_mod(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def set_batches(spark, records: int = 2000) -> None:
-    """Bound the rows (and so the bytes) of an Arrow batch sent to a Python worker."""
+def set_batches(spark, records: int = 1000) -> None:
+    """Bound the rows and the bytes of an Arrow batch sent to a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augeval.llm.graph import connected_components
+from augeval.llm.meeting import SCHEMA, met, pack
 from augeval.llm.textops import mix, segment_sum, set_batches, shingle_sets, text_chunks
 from augeval.session import cut_lineage
 
@@ -165,69 +166,17 @@ def common_shingles(docs: DataFrame, words: int, n_docs: int) -> tuple[np.ndarra
 
 
 def _entries(words: int, num: int, den: int, buckets: int, common):
-    """Block points packed by bucket; a point met more than once in a chunk sends its smallest set only (combined before the
-    shuffle), and its other sets go out under negative buckets, which no point has to wait for."""
     def run(batches):
         for b in batches:
             for _, _, buf, offs in text_chunks(b.column("text")):
                 h, bounds = shingle_sets(buf, offs, words)
                 sig, d = block_points(h, bounds, num, den, common.value)
-                if not len(sig):
-                    continue
-                key = _set_keys(h, bounds)[d]
-                order = np.lexsort((key, sig))
-                sig, key = sig[order], key[order]
-                new = np.concatenate(([True], sig[1:] != sig[:-1]))
-                lead = key[new][np.cumsum(new) - 1]
-                other = ~new & (key != lead)
-                rows = _pack((sig[new] % np.uint64(buckets)).astype(np.int64), sig[new], key[new], key[new])
-                if other.any():
-                    side = -1 - (key[other].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                    more = _pack(side, sig[other], key[other], lead[other])
-                    rows = [x + y for x, y in zip(rows, more, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()),
-                                                  pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())],
-                                                 names=["bucket", "sigs", "keys", "leads"])
+                rows = pack(sig, _set_keys(h, bounds)[d], buckets)
+                if rows is not None:
+                    yield rows
     return run
 
 
-def _pack(bucket, sig, key, lead):
-    order = np.argsort(bucket, kind="stable")
-    bucket, sig, key, lead = bucket[order], sig[order], key[order], lead[order]
-    at = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
-    own = bool((bucket < 0).any())
-    out = [[], [], [], []]
-    for lo, hi in zip(at[:-1], at[1:], strict=True):
-        out[0].append(int(bucket[lo]))
-        out[1].append(sig[lo:hi].tobytes())
-        out[2].append(key[lo:hi].tobytes())
-        out[3].append(lead[lo:hi].tobytes() if own else b"")
-    return out
-
-
-def _nodes(table: pa.Table) -> pa.Table:
-    """Shared block points of one bucket as (sig, key, lead) rows."""
-    join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    sig, key = join("sigs", np.uint64), join("keys", np.int64)
-    if len(sig) and table.column("bucket")[0].as_py() < 0:
-        lead = join("leads", np.int64)
-    else:
-        order = np.lexsort((key, sig))
-        sig, key = sig[order], key[order]
-        if len(sig):
-            new = np.concatenate(([True], sig[1:] != sig[:-1]))
-            at = np.cumsum(new) - 1
-            lead = key[new][at]
-            uneven = np.zeros(int(at[-1]) + 1, bool)
-            uneven[at[key != lead]] = True
-            first = new | np.concatenate(([True], key[1:] != key[:-1]))
-            keep = uneven[at] & first
-            sig, key, lead = sig[keep], key[keep], lead[keep]
-        else:
-            lead = key
-    return pa.table({"sig": sig.view(np.int64), "key": key, "lead": lead})
-
-
 def _sets(words: int):
     def run(batches):
         for b in batches:
@@ -377,9 +326,8 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     n_docs, total = keyed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     common = spark.sparkContext.broadcast(common_shingles(d, words, n_docs))
     buckets = int(max(24, total * (den - num) / num * 2 * 16 // BUCKET_BYTES))
-    entries = d.mapInArrow(_entries(words, num, den, buckets, common), "bucket long, sigs binary, keys binary, leads binary")
-    nodes = entries.groupBy("bucket").applyInArrow(_nodes, "sig long, key long, lead long")
-    nodes = cut_lineage(nodes, "jaccard-nodes")
+    entries = d.mapInArrow(_entries(words, num, den, buckets, common), SCHEMA)
+    nodes = cut_lineage(met(entries), "jaccard-nodes")
     rep = keyed.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_key").alias("key")).agg(
         F.min("doc_id").alias("rep"))
     wanted = nodes.select("key").union(nodes.select(F.col("lead").alias("key"))).distinct().join(rep, "key")

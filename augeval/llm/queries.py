@@ -84,6 +84,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in several documents, every occurrence with its place."""
+    from augeval.llm.suffix_dedup import find_passages
+    return find_passages(load(spark, sf_dir, "documents")).drop("th")
+
+
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a model learned from the labels outside the held-out fold."""

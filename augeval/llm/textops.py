@@ -107,11 +107,17 @@ def ngram_hash(wh: np.ndarray, n: int) -> np.ndarray:
     m = len(wh) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    base = np.uint64(0xD6E8FEB86659FD93)
-    acc = np.zeros(m, np.uint64)
-    for k in range(n):
-        acc = acc * base + wh[k:k + m]
-    return mix(acc)
+    base = 0xD6E8FEB86659FD93
+    # Polynomial of a + b words: that of the first a, shifted by b words, plus that of the next b.
+    done, width, part, out = 0, 1, wh, None
+    while True:
+        if n & width:
+            out = part if out is None else out[:len(part) - done] * np.uint64(pow(base, width, 1 << 64)) + part[done:]
+            done += width
+        if done == n:
+            return mix(out[:m])
+        part = part[:-width] * np.uint64(pow(base, width, 1 << 64)) + part[width:]
+        width *= 2
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

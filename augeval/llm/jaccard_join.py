@@ -15,10 +15,10 @@ radius of about 0.1 n in every coordinate exceeds the spread of the counts of un
 2. in nodes that still hold several components, members of different components are compared: nodes of up to SMALL
    sets give their pairs (a pair that meets in many nodes is compared once); larger nodes are cut into leaves of
    bounded size, and leaf pairs go down by the bound "sum of coordinate minima of the two boxes", then the same bound
-   for two points, then the exact sets.
+   for two points. A first round takes only as many pairs as would join the components, a second one all pairs that
+   are still between components: few, as the bound is close.
 
-Pairs of single sets also pass the bound on their points before their sets are fetched. Only spanning edges leave a
-leaf pair, so rows grow with the texts and not with the pairs. Identical sets are one node
+Every pair passes the bound on its points before its sets are fetched and compared exactly. Identical sets are one node
 of the graph from the start. Hashes are 64 bits wide: sets are compared by shingle hash, set identity by 64 bits of
 its shingles.
 
@@ -250,29 +250,32 @@ def _counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _leaf_pairs(num: int, den: int):
-    """Rows of one or two leaves of a node -> spanning edges of the links between their sets."""
+def _leaf_pairs(num: int, den: int, spanning: bool):
+    """Rows of one or two leaves of a node -> pairs of different components whose points allow a link."""
     def run(batches):
         for b in batches:
-            ea, eb = [], []
+            out = []
             for leaves in b.column("leaves").to_pylist():
-                sides = [[(m["key"], m["comp"], np.array(m["shingles"], np.int64)) for m in x["members"]] for x in leaves]
-                if len({m[1] for s in sides for m in s}) < 2:
-                    continue
-                left, right = sides[0], sides[-1]
-                for x, y in join_leaves(left, right, num, den):
-                    ea.append(x)
-                    eb.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(ea, pa.int64()), pa.array(eb, pa.int64())], names=["a", "b"])
+                sides = [[(m["key"], m["comp"], m["point"]) for m in x["members"]] for x in leaves]
+                if len({m[1] for s in sides for m in s}) > 1:
+                    out += join_leaves(sides[0], sides[-1], num, den, spanning)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
+                                             names=["a", "b"])
     return run
 
 
-def join_leaves(left, right, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between sets of two leaves (key, component, sorted hashes) that join components, as spanning edges."""
-    ca, cb = _counts([m[2] for m in left]), _counts([m[2] for m in right])
+def join_leaves(left, right, num: int, den: int, spanning: bool) -> list[tuple[int, int]]:
+    """Pairs between two leaves of (key, component, point): components differ and the points allow a link. ``spanning``:
+    only as many as would join the components if all of them were links."""
+    def matrix(side):
+        return np.array([np.frombuffer(p, np.uint16) if p is not None else np.full(BOUND_COORDS, 65535) for _, _, p in side], np.int64)
+
+    ca, cb = matrix(left), matrix(right)
+    open_a, open_b = (np.array([p is None for _, _, p in side]) for side in (left, right))
     na, nb = ca.sum(1), cb.sum(1)
     reach = lambda o, x, y: den * o >= num * (x + y - o)
-    if not reach(int(np.minimum(ca.max(0), cb.max(0)).sum()), int(na.min()), int(nb.min())):
+    box = int(np.minimum(ca.max(0), cb.max(0)).sum())
+    if not (open_a.any() or open_b.any() or reach(box, int(na.min()), int(nb.min()))):
         return []
     parent: dict[int, int] = {}
 
@@ -282,27 +285,18 @@ def join_leaves(left, right, num: int, den: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    vocab = np.unique(np.concatenate([m[2] for m in left + right]))
-    dense = None
-    if len(vocab) * len(right) <= 4_000_000:
-        dense = np.zeros((len(right), len(vocab)), np.float32)
-        for j, m in enumerate(right):
-            dense[j, np.searchsorted(vocab, m[2])] = 1
     out = []
-    for i, (key, comp, s) in enumerate(left):
-        low = np.minimum(ca[i], cb).sum(1)
-        js = np.flatnonzero(reach(low, na[i], nb))
-        js = [j for j in js if right[j][0] != key and find(right[j][1]) != find(comp)]
-        if not js:
-            continue
-        if dense is not None:
-            inter = dense[js][:, np.searchsorted(vocab, s)].sum(1).astype(np.int64)
-        else:
-            inter = np.array([len(np.intersect1d(s, right[j][2], assume_unique=True)) for j in js])
-        for j, o in zip(js, inter, strict=True):
-            if reach(int(o), int(na[i]), int(nb[j])) and find(right[j][1]) != find(comp):
-                parent[find(right[j][1])] = find(comp)
-                out.append((key, right[j][0]))
+    for i, (key, comp, _) in enumerate(left):
+        near = reach(np.minimum(ca[i], cb).sum(1), na[i], nb) | open_b | open_a[i]
+        for j in np.flatnonzero(near):
+            other, its, _ = right[j]
+            if its == comp or other == key or (left is right and j >= i):
+                continue
+            if spanning:
+                if find(its) == find(comp):
+                    continue
+                parent[find(its)] = find(comp)
+            out.append((max(key, other), min(key, other)))
     return out
 
 
@@ -315,6 +309,26 @@ def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFram
         _links(num, den), "a long, b long")
 
 
+def _mixed(member: DataFrame, components: DataFrame) -> DataFrame:
+    """Members (sig, key) of the nodes that hold several components, with comp and the node's size."""
+    m = member.join(components, F.col("key") == F.col("node"), "left").select("sig", "key", F.coalesce("component", "key").alias("comp"))
+    nodes = m.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return m.join(nodes.where("lo <> hi").select("sig", "size"), "sig")
+
+
+def _leaf_join(member: DataFrame, held: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
+    """Candidate pairs (a, b) of large nodes: leaves of bounded size, every two leaves of a node in a row of their own."""
+    leaves = member.withColumn("n_leaves", F.ceil(F.col("size") / LEAF).cast("int")) \
+        .withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("n_leaves")).cast("int"))
+    leaves = leaves.join(held.select("key", "point"), "key").groupBy("sig", "n_leaves", "leaf").agg(
+        F.collect_list(F.struct("key", "comp", "point")).alias("members"))
+    met_leaves = leaves.select("sig", F.explode(F.sequence(F.lit(0), F.col("n_leaves") - 1)).alias("other"), "leaf", "members") \
+        .select("sig", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "members") \
+        .groupBy("sig", "i", "j").agg(F.collect_list(F.struct("leaf", "members")).alias("leaves")).select("leaves")
+    set_batches(member.sparkSession, 50)
+    return met_leaves.mapInArrow(_leaf_pairs(num, den, spanning), "a long, b long").distinct()
+
+
 def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, set_key, component_id."""
     if den > CLASS_RATIO * num:
@@ -339,27 +353,20 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     star = cut_lineage(_verified(pairs, held, num, den), "jaccard-star")
     first = cut_lineage(connected_components(star), "jaccard-first")
 
-    comp = F.coalesce(F.col("component"), F.col("key"))
-    member = nodes.join(first, F.col("key") == F.col("node"), "left").select("sig", "key", comp.alias("comp"))
-    lead = nodes.where("key <> lead").select("sig", F.col("lead").alias("key")).distinct().join(
-        first, F.col("key") == F.col("node"), "left").select("sig", "key", comp.alias("comp"))
-    member = cut_lineage(member.union(lead).distinct(), "jaccard-members")
-    mixed = member.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    member = member.join(mixed.select("sig", "size"), "sig")
+    member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
+    member = cut_lineage(_mixed(member, first), "jaccard-members")
     small = member.where(F.col("size") <= SMALL).groupBy("sig").agg(F.collect_list(F.struct("key", "comp")).alias("members"))
     near = small.select("members").mapInArrow(_pairs(), "a long, b long").distinct()
     listed = cut_lineage(_verified(near, held, num, den), "jaccard-listed")
-    leaves = member.where(F.col("size") > SMALL).withColumn("n_leaves", F.ceil(F.col("size") / LEAF).cast("int")) \
-        .withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("n_leaves")).cast("int"))
-    leaves = leaves.join(held.select("key", "shingles"), "key").groupBy("sig", "n_leaves", "leaf").agg(
-        F.collect_list(F.struct("key", "comp", "shingles")).alias("members"))
-    met = leaves.select("sig", F.explode(F.sequence(F.lit(0), F.col("n_leaves") - 1)).alias("other"), "leaf", "members") \
-        .select("sig", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "members") \
-        .groupBy("sig", "i", "j").agg(F.collect_list(F.struct("leaf", "members")).alias("leaves")).select("leaves")
-    set_batches(spark, 16)
-    deep = cut_lineage(met.mapInArrow(_leaf_pairs(num, den), "a long, b long"), "jaccard-deep")
-    set_batches(spark)
-    groups = connected_components(star.union(listed).union(deep))
+    large = member.where(F.col("size") > SMALL)
+    # Pairs that would join all components; where one of them is no link, all pairs that the points allow.
+    links = star.union(listed)
+    for spanning in (True, False):
+        large = cut_lineage(_mixed(large.select("sig", "key"), connected_components(links)), "jaccard-large")
+        near = cut_lineage(_leaf_join(large, held, num, den, spanning), "jaccard-near")
+        set_batches(spark, SET_ROWS)
+        links = links.union(cut_lineage(_verified(near, held, num, den), "jaccard-deep"))
+    groups = connected_components(links)
 
     by_key = rep.join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "key").alias("comp"))

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from augeval.llm.jaccard_join import block_points, join_leaves, link_components
+from augeval.llm.jaccard_join import _counts, block_points, join_leaves, link_components
 from augeval.llm.textops import shingle_sets, text_chunks
 
 
@@ -73,10 +73,16 @@ def test_linked_sets_share_a_block_point(num):
         assert points[0] & points[1]
 
 
-def test_leaves_give_spanning_edges():
-    sets = [(k, k, np.arange(k, k + 100)) for k in range(6)]
-    edges = join_leaves(sets, sets, 90, 100)
-    assert len(edges) == 5
+def test_leaves_bound_and_span():
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**64, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], r.integers(0, 2**64, k, dtype=np.uint64)])) for k in range(6)]
+    far = r.integers(0, 2**64, 100, dtype=np.uint64)
+    side = [(k, k, _counts([s])[0].astype(np.uint16).tobytes()) for k, s in enumerate([*sets, far])]
+    linked = {(a, b) for a in range(6) for b in range(a)}
+    assert linked >= set(join_leaves(side, side, 90, 100, False)) >= {(a, a - 1) for a in range(1, 6)}
+    assert len(join_leaves(side, side, 90, 100, True)) == 5
+    assert len(join_leaves(side, [(9, 9, None)], 90, 100, False)) == 7
 
 
 def test_shingles_do_not_depend_on_the_chunk():

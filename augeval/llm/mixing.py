@@ -12,7 +12,8 @@ follows by arithmetic. Documents are numbered within a source by their md5 order
 window in each bucket, and offsets from the bucket counts, so a hot source is spread over 4,096 windows.
 
 Cases: a null source counts as the source named ''; a null id is numbered as the text 'null'; rows that repeat an id
-are separate documents; an empty table gives no rows; more than ``cycle`` sources raise an error in the job."""
+are separate documents; an empty table gives no rows; more than ``cycle`` sources raise an error in the job; other columns stay, but those named like
+a column of the schedule give way to it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
@@ -68,7 +69,7 @@ def schedule(docs: DataFrame, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE)
         .withColumn("_src", F.coalesce(F.col("source").cast("string"), F.lit(""))) \
         .withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))) \
         .withColumn("_bucket", F.conv(F.substring("_md5", 1, 3), 16, 10).cast("int")) \
-        .withColumn("_content", F.xxhash64(*[c for c in names if c != "doc_id"]))
+        .withColumn("_content", F.xxhash64(*[c for c in names if c not in ("doc_id", *out_names)]))
     counts = d.groupBy("_src", "_bucket").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_from", F.coalesce(F.sum("_n").over(upto), F.lit(0)))

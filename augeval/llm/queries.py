@@ -143,3 +143,59 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from augeval.llm.mixing import schedule
     docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
     return schedule(docs).select("doc_id", "source", "block", "slot", "release", "deadline", "place")
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the template of its host."""
+    from augeval.llm.template import extract
+    return extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+_SIZES = " + ".join(f"(length(v) - length(replace(v, '{s}', ''))) // {len(s)}" for s in
+                    ["\\", "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"])
+_OP3 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, (SELECT length(v) + {_SIZES} FROM (SELECT c.text AS v)) + (SELECT length(v) + {_SIZES} FROM (SELECT c.role AS v)) + 13 AS chars FROM c),
+u AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS last FROM p)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
+FROM u GROUP BY conv_id
+"""
+
+
+@query("op3_chat_formatting", _OP3)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -1, read back from their formatted prefixes."""
+    from augeval.llm.chat import digests, render
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return digests(render(c.union(own)))
+
+
+# Brute-force cosine within labels in double precision, links and reachability.
+_OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+f AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v
+      WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND list_sum(list_transform(e, lambda y: y * y)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM f x JOIN f y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.u) = len(y.u)
+      WHERE list_dot_product(x.u, y.u) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS low FROM v UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+@query("op8_embedding_near_dedup", _OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at cosine 0.98: links, component, kept."""
+    from augeval.llm.hnsw import near_duplicates
+    return near_duplicates(load(spark, sf_dir, "embeddings"))

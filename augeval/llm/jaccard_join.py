@@ -39,7 +39,7 @@ from augeval.session import cut_lineage
 
 COORDS = 1 << 20      # coordinates of one block (few, and blocks of one or two shingles would meet by chance)
 BOUND_COORDS = 256    # coordinates of the point that the minima bound uses
-SET_ROWS = 100        # rows with two whole sets in an Arrow batch
+SET_ROWS = 100        # rows with two whole sets, or with leaves, in an Arrow batch
 LEAF = 128            # sets in a leaf, on average
 SMALL = 16            # sets in a node whose pairs are listed
 CLASS_RATIO = 1.6     # sizes within a class
@@ -325,7 +325,6 @@ def _leaf_join(member: DataFrame, held: DataFrame, num: int, den: int, spanning:
     met_leaves = leaves.select("sig", F.explode(F.sequence(F.lit(0), F.col("n_leaves") - 1)).alias("other"), "leaf", "members") \
         .select("sig", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "members") \
         .groupBy("sig", "i", "j").agg(F.collect_list(F.struct("leaf", "members")).alias("leaves")).select("leaves")
-    set_batches(member.sparkSession, 50)
     return met_leaves.mapInArrow(_leaf_pairs(num, den, spanning), "a long, b long").distinct()
 
 
@@ -351,22 +350,25 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     pairs = nodes.where("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
     set_batches(spark, SET_ROWS)
     star = cut_lineage(_verified(pairs, held, num, den), "jaccard-star")
-    first = cut_lineage(connected_components(star), "jaccard-first")
-
+    # One hop is enough to leave out most pairs that are joined already.
+    hop = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(
+        F.least(F.min("b"), F.first("a")).alias("component"))
     member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
-    member = cut_lineage(_mixed(member, first), "jaccard-members")
+    member = cut_lineage(_mixed(member, hop), "jaccard-members")
     small = member.where(F.col("size") <= SMALL).groupBy("sig").agg(F.collect_list(F.struct("key", "comp")).alias("members"))
-    near = small.select("members").mapInArrow(_pairs(), "a long, b long").distinct()
-    listed = cut_lineage(_verified(near, held, num, den), "jaccard-listed")
+    near = small.select("members").mapInArrow(_pairs(), "a long, b long")
     large = member.where(F.col("size") > SMALL)
     # Pairs that would join all components; where one of them is no link, all pairs that the points allow.
-    links = star.union(listed)
-    for spanning in (True, False):
-        large = cut_lineage(_mixed(large.select("sig", "key"), connected_components(links)), "jaccard-large")
-        near = cut_lineage(_leaf_join(large, held, num, den, spanning), "jaccard-near")
-        set_batches(spark, SET_ROWS)
-        links = links.union(cut_lineage(_verified(near, held, num, den), "jaccard-deep"))
+    near = near.union(_leaf_join(large, held, num, den, True)).distinct()
+    set_batches(spark, SET_ROWS)
+    links = star.union(cut_lineage(_verified(near, held, num, den), "jaccard-listed"))
     groups = connected_components(links)
+    large = cut_lineage(_mixed(large.select("sig", "key"), groups), "jaccard-large")
+    near = cut_lineage(_leaf_join(large, held, num, den, False), "jaccard-near")
+    set_batches(spark, SET_ROWS)
+    deep = cut_lineage(_verified(near, held, num, den), "jaccard-deep")
+    if not deep.isEmpty():
+        groups = connected_components(links.union(deep))
 
     by_key = rep.join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "key").alias("comp"))

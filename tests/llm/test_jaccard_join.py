@@ -101,3 +101,18 @@ def test_nulls_repeats_empty_and_other_columns(spark, frame):
         (1, 2, 1), (1, 2, 1), (4, 0, 4), (4, 2, 4)]
     assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert link_components(frame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_by_stars_and_in_one_task(spark, frame):
+    from augeval.llm.graph import connected_components
+    r = random.Random(9)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7), (None, 3), (5, None)]
+    low = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            if a in low and b in low and a is not None and b is not None and a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    e = frame(edges, "a long, b long")
+    for bound in (0, 10_000):
+        assert {x.node: x.component for x in connected_components(e, bound).collect()} == low
+    assert connected_components(frame([], "a long, b long")).count() == 0

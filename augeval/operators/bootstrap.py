@@ -8,37 +8,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augeval.operators.sampling import seeded_order
+from augeval.functions.keys import seeded_hash
+from augeval.operators.sampling import number_within, seeded_order
 from augeval.session import cut_lineage, spread
 
 
 def _draw(seed: int, b, i, n) -> F.Column:
+    """1 + floor(u * n) for a 60-bit u in [0, 1), in whole numbers (n under 2**33; beyond, the product overflows and fails)."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), i.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n + 1
+    hi, lo = (F.conv(F.substring(h, at, n_hex), 16, 10).cast("bigint") for at, n_hex in ((1, 8), (9, 7)))
+    return F.shiftright(hi * n + F.shiftright(lo * n, 28), 32) + 1
 
 
-def draws(numbered: DataFrame, resamples: int, seed: int, position: str = "position") -> DataFrame:
-    """The draw table (b, position): for every resample b, n positions drawn with replacement, where n is the
-    row count of ``numbered`` (positions 1..n). Each numbered row emits its B draw slots by ``explode``, so the
+def draws(numbered: DataFrame, resamples: int, seed: int, position: str = "position", by: Sequence[str] = ()) -> DataFrame:
+    """The draw table (by, b, position): for every resample b, n positions drawn with replacement, where n is the
+    row count of the group in ``numbered`` (positions 1..n). Each numbered row emits its B draw slots by ``explode``, so the
     B x n table is generated in parallel from the data's own partitions (no driver-side range, no cross join)."""
-    n = numbered.select(F.count(F.lit(1))).scalar()
+    by = list(by)
     # the numbered table is small in bytes but emits B rows each (md5 per draw): spread it over the cores first
-    slots = spread(numbered).select(F.col(position).alias("i"),
+    slots = spread(numbered).select(*by, F.col(position).alias("i"),
                                     F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    return slots.select("b", _draw(seed, F.col("b"), F.col("i"), n).alias(position))
+    if by:
+        slots, n = slots.join(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by), F.col("_n")
+    else:
+        n = numbered.select(F.count(F.lit(1))).scalar()
+    return slots.select(*by, "b", _draw(seed, F.col("b"), F.col("i"), n).alias(position))
 
 
 def bootstrap_ci(df: DataFrame, id_col: str, value_col: str, resamples: int = 1000, seed: int = 42,
-                 lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """Percentile interval of the mean over B resamples (exact positions of an md5 order, then a join)."""
+                 lo: float = 0.025, hi: float = 0.975, by: Sequence[str] = ()) -> DataFrame:
+    """Percentile interval of the mean over B resamples, per group of ``by`` (positions of an md5 order, then a join)."""
+    by = list(by)
+    d = df.select(*by, id_col, value_col).withColumn("_h", seeded_hash(seed, id_col))
     # read three times (count, draw slots, join): written once
-    numbered = cut_lineage(seeded_order(df.select(id_col, value_col), id_col, seed, "position"), "boot-numbered")
-    dt = draws(numbered, resamples, seed)
-    means = dt.join(numbered, "position").groupBy("b").agg(F.avg(value_col).alias("m"))
-    point = df.agg(F.avg(value_col).alias("mean"))
-    ci = means.agg(F.percentile("m", [lo, hi]).alias("_q"))
-    q = ci.select("_q").scalar()                    # one-row aggregate as a scalar subquery
-    return point.select("mean", q[0].alias("ci_lo"), q[1].alias("ci_hi"))
+    numbered = cut_lineage(number_within(d, by, ["_h", id_col], F.substring("_h", 1, 3), "position").drop("_h"), "boot-numbered")
+    dt = draws(numbered, resamples, seed, by=by)
+    means = dt.join(numbered, [*by, "position"]).groupBy(*by, "b").agg(F.avg(value_col).alias("m"))
+    point = df.groupBy(*by).agg(F.avg(value_col).alias("mean"))
+    ci = means.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("_q"))   # B values a group
+    j = point.join(ci, by) if by else point.withColumn("_q", ci.select("_q").scalar())
+    return j.select(*by, "mean", F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
 
 
 def paired_bootstrap(errors: DataFrame, id_col: str, model_col: str, value_col: str, reference: str,
@@ -58,14 +67,15 @@ def paired_bootstrap(errors: DataFrame, id_col: str, model_col: str, value_col:
     return out.withColumn("excludes_zero", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
-# The cumulative Poisson(1) distribution at 0..7, from the rule P(X <= k) = e^-1 * sum_{j<=k} 1/j!.
-POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+# The cumulative Poisson(1) distribution, P(X <= k) = e^-1 * sum_{j<=k} 1/j!, up to the k from which on the
+# rest is below the resolution of a double.
+POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(17)]
 
 
 def poisson_weight(u: F.Column) -> F.Column:
-    """Poisson(1) draw from a uniform u by CDF steps (P(X > 8) < 1e-5 is folded into 8)."""
-    w = F.lit(8)
-    for k in reversed(range(8)):
+    """Poisson(1) draw from a uniform u by CDF steps."""
+    w = F.lit(len(POISSON1_CDF))
+    for k in reversed(range(len(POISSON1_CDF))):
         w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
     return w
 
@@ -78,7 +88,7 @@ def poisson_bootstrap(df: DataFrame, id_col: str, value_col: str, resamples: int
     bs = F.sequence(F.lit(1), F.lit(resamples))
     x = spread(df).select(*by, id_col, value_col, F.explode(bs).alias("b"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"),
-                                            F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") / float(16 ** 8)
+                                            F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("bigint").cast("double") / float(16 ** 15)
     x = x.withColumn("w", poisson_weight(u))
     means = x.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(value_col)), F.sum("w")).alias("m"))
     ci = means.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("_q"))

@@ -76,70 +76,63 @@ def merge_duplicates(df: DataFrame, id_col: str = "entity_id", key_col: str = "e
 def merge_measurements(df: DataFrame, id_col: str = "entity_id", key_col: str = "exact_key",
                        value_col: str = "value", n_col: str = "n_points", tag_col: str = "source",
                        class_col: str = "class", by: Sequence[str] = ()) -> DataFrame:
-    """Merge with pooled measurements: sum of points, pooled values, joined distinct tags, first class,
-    merged row count and the SD of the pooled values (null for one value).
+    """Merge with pooled measurements: sum of points, joined distinct tags, first class, merged row count, the median of the
+    row values, and number and SD of the pooled measurements (a list column ``values`` if there is one, else the
+    row values; the SD is null for one value). An entity with empty lists keeps its row, with 0 measurements.
 
-    The SD and median come from the exploded values, so the pooled array is never the aggregation state."""
+    Number and SD come from the exploded values, so the pooled array is never the aggregation state."""
     keys = [*by, id_col]
-    vals = df.select(*keys, F.explode(F.col("values")).alias("_v")) if "values" in df.columns else \
-        df.select(*keys, F.col(value_col).alias("_v"))
-    pooled = vals.groupBy(*keys).agg(F.median("_v").alias("value"), F.stddev_samp("_v").alias("value_sd"),
-                                     F.count("_v").alias("n_values"))
+    value = F.median(value_col).alias("value")
     first_class = F.min_by(F.col(class_col), F.struct(F.col(key_col), F.col(class_col)))
     rows = df.groupBy(*keys).agg(
         F.min(key_col).alias("smiles"), F.sum(n_col).alias("n_points"),
         F.array_join(F.array_sort(F.collect_set(tag_col)), "/").alias("sources"),
-        first_class.alias("class"), F.count(F.lit(1)).alias("rows_merged"))
-    return rows.join(pooled, keys)
+        first_class.alias("class"), F.count(F.lit(1)).alias("rows_merged"), value,
+        *([] if "values" in df.columns else [F.stddev_samp(value_col).alias("value_sd"), F.count(value_col).alias("n_values")]))
+    if "values" not in df.columns:
+        return rows
+    pooled = df.select(*keys, F.explode("values").alias("_v")).groupBy(*keys).agg(
+        F.stddev_samp("_v").alias("value_sd"), F.count("_v").alias("n_values"))
+    return rows.join(pooled, keys, "left").fillna(0, ["n_values"])
 
 
 # ---------------------------------------------------------------- funnel
 
-def funnel_flags(df: DataFrame, value_col: str = "value", key_col: str = "exact_key",
-                 lo: float = 1000.0, hi: float = 100000.0, marker: str | None = None, k: int = 0) -> DataFrame:
-    """Cumulative pass flags of rules 1-4 on every row; counts stay right however Catalyst orders filters."""
-    r1 = F.col(value_col).isNotNull()
-    r2 = r1 & F.col(key_col).isNotNull()
-    r3 = r2 & (marker_count(key_col, marker) == k if marker else F.lit(True))
-    r4 = r3 & F.col(value_col).between(F.lit(lo), F.lit(hi))
-    return df.withColumn("_r1", r1).withColumn("_r2", r2).withColumn("_r3", r3).withColumn("_r4", r4)
-
-
-def cleaning_funnel(flagged: DataFrame, matched: DataFrame, by: str = "synthetic_set") -> DataFrame:
-    """Rows left after each rule, in rule order, as a long (set, step_order, step, n) table.
-
-    ``flagged`` has the cumulative flags of rules 1-4 plus exact_key and entity_id; ``matched`` has one row per merged
-    entity with its test / validation match kind (null, 'exact', 'alt'). One aggregation pass per input.
-    """
-    cnt = lambda c: F.count_if(F.col(c)).cast("bigint")
-    passing = lambda c: F.when(F.col("_r4"), F.col(c))
-    rows = flagged.groupBy(by).agg(
-        F.count(F.lit(1)).alias("s0_raw"), cnt("_r1").alias("s1_numeric"), cnt("_r2").alias("s2_valid_key"),
-        cnt("_r3").alias("s3_markers"), cnt("_r4").alias("s4_in_range"),
-        F.count_distinct(passing("exact_key")).alias("s5a_unique_exact"),
-        F.count_distinct(passing("entity_id")).alias("s5b_unique_either"))
-    t, v = F.col("test_match"), F.col("validation_match")
-    ents = matched.groupBy(by).agg(
-        F.count_if(t == "exact").cast("bigint").alias("removed_test_exact"),
-        F.count_if(t == "alt").cast("bigint").alias("removed_test_alt"),
-        F.count_if(t.isNull()).cast("bigint").alias("s6a_not_in_test"),
-        F.count_if(t.isNull() & (v == "exact")).cast("bigint").alias("removed_validation_exact"),
-        F.count_if(t.isNull() & (v == "alt")).cast("bigint").alias("removed_validation_alt"),
-        F.count_if(t.isNull() & v.isNull()).cast("bigint").alias("s6b_not_in_validation"))
-    steps = ["s0_raw", "s1_numeric", "s2_valid_key", "s3_markers", "s4_in_range", "s5a_unique_exact",
-             "s5b_unique_either", "removed_test_exact", "removed_test_alt", "s6a_not_in_test",
-             "removed_validation_exact", "removed_validation_alt", "s6b_not_in_validation"]
-    wide = rows.join(ents, by, "left").fillna(0)
-    stack = ", ".join(f"{i}, '{s}', {s}" for i, s in enumerate(steps))
+def cleaning_funnel(df: DataFrame, rules: Sequence[tuple[str, Column]], matched: DataFrame, held: Sequence[str],
+                    by: str = "synthetic_set", key_col: str = "exact_key") -> DataFrame:
+    """Rows left after each rule, in the caller's order, as a long (set, step_order, step, n) table.
+
+    ``rules`` are (name, predicate) pairs, applied one after the other: a row counts for a rule if it passes that rule and
+    all before it, however Catalyst orders filters. ``matched`` has one row per merged entity with a column
+    ``<name>_match`` (null, 'exact', 'alt') for each held-out set in ``held``. Steps: raw, the rules, distinct_keys,
+    distinct_entities, and per held-out set <name>_exact, <name>_alt and after_<name>. One pass per input, distinct
+    keys by a two-level count."""
+    passed, counts = F.lit(True), [F.count(F.lit(1)).alias("raw")]
+    for name, predicate in rules:
+        passed = passed & predicate
+        counts.append(F.count_if(passed).cast("bigint").alias(name))
+    names = ["raw", *[name for name, _ in rules]]
+    rows = df.groupBy(by, key_col).agg(*counts).groupBy(by).agg(
+        *[F.sum(c).alias(c) for c in names],
+        F.count_if(F.col(key_col).isNotNull() & (F.col(names[-1]) > 0)).cast("bigint").alias("distinct_keys"))
+    left, ents = F.lit(True), [F.count(F.lit(1)).alias("distinct_entities")]
+    for h in held:
+        m = F.col(f"{h}_match")
+        ents += [F.count_if(left & (m == kind)).cast("bigint").alias(f"{h}_{kind}") for kind in ("exact", "alt")]
+        left = left & m.isNull()
+        ents.append(F.count_if(left).cast("bigint").alias(f"after_{h}"))
+    steps = [*names, "distinct_keys", "distinct_entities", *[x for h in held for x in (f"{h}_exact", f"{h}_alt", f"after_{h}")]]
+    wide = rows.join(matched.groupBy(by).agg(*ents), by, "left").fillna(0)
+    stack = ", ".join(f"{i}, '{c}', `{c}`" for i, c in enumerate(steps))
     return wide.selectExpr(by, f"stack({len(steps)}, {stack}) AS (step_order, step, n)")
 
 
 def funnel_removed(funnel: DataFrame, by: str = "synthetic_set") -> DataFrame:
-    """Rows removed by each counting step (detail lines 'removed_*' are skipped), via ``lag`` over step order.
+    """Rows removed by each counting step (the detail lines per match kind are skipped), via ``lag`` over step order.
 
     The window is per set over a table of a dozen rows per set."""
     from pyspark.sql import Window
-    steps = funnel.filter(~F.col("step").startswith("removed_"))
+    steps = funnel.filter(~F.col("step").rlike("_(exact|alt)$"))
     w = Window.partitionBy(by).orderBy("step_order")
     return steps.withColumn("removed", F.lag("n").over(w) - F.col("n"))
 

@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 
 
 def attach_truth(truth: DataFrame, pred: DataFrame, id_col: str, y_true: str = "y_true",
-                 y_pred: str = "y_pred") -> DataFrame:
-    """Truth left join predictions (null where no usable prediction) with the MAE over usable rows."""
-    j = truth.join(pred, id_col, "left")
-    mae = j.select(F.avg(F.abs(F.col(y_pred) - F.col(y_true)))).scalar()
-    return j.select(id_col, y_true, y_pred, mae.alias("mae_usable"))
+                 y_pred: str = "y_pred", by: Sequence[str] = ()) -> DataFrame:
+    """Truth left join predictions (null where no usable prediction) with the MAE over usable rows of each group."""
+    by = list(by)
+    j = truth.join(pred, [*by, id_col], "left")
+    mae = j.groupBy(*by).agg(F.avg(F.abs(F.col(y_pred) - F.col(y_true))).alias("mae_usable"))
+    j = j.join(mae, by) if by else j.withColumn("mae_usable", mae.scalar())
+    return j.select(*by, id_col, y_true, y_pred, "mae_usable")
 
 
-def alignment_check(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
-    """Entities in both tables and on one side only (full outer join); a check for position-free alignment."""
-    j = a.select(F.col(id_col).alias("_a")).join(b.select(F.col(id_col).alias("_b")), F.col("_a") == F.col("_b"),
-                                                  "full_outer")
-    return j.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).cast("bigint").alias("n_both"),
-                 F.count_if(F.col("_b").isNull()).cast("bigint").alias("n_only_a"),
-                 F.count_if(F.col("_a").isNull()).cast("bigint").alias("n_only_b"))
+def alignment_check(a: DataFrame, b: DataFrame, id_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Entities in both tables and on one side only, per group (full outer join): a check for position-free alignment."""
+    keys = [*by, id_col]
+    j = a.select(*keys, F.lit(True).alias("_a")).join(b.select(*keys, F.lit(True).alias("_b")), keys, "full_outer")
+    return j.groupBy(*by).agg(F.count_if(F.col("_a") & F.col("_b")).cast("bigint").alias("n_both"),
+                              F.count_if(F.col("_b").isNull()).cast("bigint").alias("n_only_a"),
+                              F.count_if(F.col("_a").isNull()).cast("bigint").alias("n_only_b"))
 
 
 def standardize(df: DataFrame, by: Sequence[str], y: str, out: str = "z") -> DataFrame:
-    """z-score by the group's own mean and sample SD (aggregate joined back on the group keys)."""
+    """z-score by the group's own mean and sample SD (aggregate joined back on the group keys); a constant group, or one of
+    a single row, has no scale and gets null."""
     st = df.groupBy(*by).agg(F.avg(y).alias("_m"), F.stddev_samp(y).alias("_s"))
-    return df.join(st, list(by)).withColumn(out, (F.col(y) - F.col("_m")) / F.col("_s"))
+    return df.join(st, list(by)).withColumn(out, F.try_divide(F.col(y) - F.col("_m"), F.col("_s")))
 
 
 def unstandardize(df: DataFrame, z: str, out: str) -> DataFrame:
@@ -35,12 +38,12 @@ def unstandardize(df: DataFrame, z: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(z) * F.col("_s") + F.col("_m"))
 
 
-def scale_stats(df: DataFrame, y: str) -> tuple[Column, Column]:
-    """Mean and sample SD of a column as scalar subqueries."""
-    return (df.select(F.avg(y)).scalar(), df.select(F.stddev_samp(y)).scalar())
+def scale_stats(df: DataFrame, by: Sequence[str], y: str, mean: str, sd: str) -> DataFrame:
+    """Mean and sample SD of a column per group: one aggregate, one row a group."""
+    return df.groupBy(*by).agg(F.avg(y).alias(mean), F.stddev_samp(y).alias(sd))
 
 
 def restandardize(z, m1, s1, m2, s2) -> Column:
     """Map a score on scale (m1, s1) to scale (m2, s2) so that the underlying value is unchanged."""
     z = F.col(z) if isinstance(z, str) else z
-    return (z * s1 + m1 - m2) / s2
+    return F.try_divide(z * s1 + m1 - m2, s2)

@@ -59,7 +59,11 @@ def memorization(syn: DataFrame, real: DataFrame, set_col: str = "synthetic_set"
         guarded_corr("_rx", "_ry").alias("spearman"), F.avg("err").alias("mean_signed_error"))
     uniq = syn.groupBy(set_col).agg(F.count_distinct("entity_id").alias("_u"))
     big = F.col("n") >= min_n
-    out = stats.join(uniq, set_col).select(
+    # every (set, split, kind) is reported, also those without a match
+    kinds_of = F.explode(F.array(F.lit("exact"), F.lit("alt"), F.lit("either"))).alias("match")
+    grid = uniq.withColumn("_one", F.lit(1)).join(real.select(split_col).distinct().withColumn("_one", F.lit(1)), "_one").select(
+        set_col, "_u", split_col, kinds_of)
+    out = grid.join(stats, grp, "left").withColumn("n", F.coalesce("n", F.lit(0))).select(
         *grp, "n", (F.col("n") * 100.0 / F.col("_u")).alias("percent_of_unique"),
         *[F.when(big, F.col(c)).alias(c) for c in ("mae", "median_ae", "spearman", "mean_signed_error")])
     return out

@@ -94,10 +94,44 @@ def token_cost(input_tokens, output_tokens, batched, price_in: float = 2.0, pric
 
 
 def json_text(c) -> Column:
-    """A string column as a JSON string literal (quote and backslash escaped)."""
-    c = F.col(c) if isinstance(c, str) else c
-    esc = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), esc, F.lit('"')))
+    """A string column as a JSON string literal in plain ASCII: short escapes, and \\uXXXX (UTF-16 units) for all else outside
+    0x20-0x7E."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    short = F.create_map(*[F.lit(x) for pair in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
+                                                 ("\b", "\\b"), ("\f", "\\f")) for x in pair])
+
+    def one(ch):
+        code = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        units = F.when(F.length(code) == 8, F.concat(F.lit("\\u"), F.substring(code, 1, 4), F.lit("\\u"), F.substring(code, 5, 4))) \
+            .otherwise(F.concat(F.lit("\\u"), code))
+        return F.coalesce(F.try_element_at(short, ch), F.when(ch.rlike("[\\x20-\\x7E]"), ch).otherwise(units))
+    plain = c.rlike(r'\A[\x20\x21\x23-\x5B\x5D-\x7E]*\z')
+    body = F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+
+
+def json_float(c) -> Column:
+    """A double as JSON text in Python's form: shortest digits, positional from 1e-4 to below 1e16, else like 3e-05."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    s = F.abs(c).cast("string")
+    mantissa = F.substring_index(s, "E", 1)
+    power = F.coalesce(F.when(F.contains(s, F.lit("E")), F.substring_index(s, "E", -1).try_cast("int")), F.lit(0))
+    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    digits = F.concat(whole, part)
+    lead = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
+    d = F.rtrim(F.ltrim(digits, F.lit("0")), F.lit("0"))
+    point = F.length(whole) + power - lead            # digits before the point
+    n = F.length(d)
+    positional = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d))
+                   .when(point >= n, F.concat(d, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+                   .otherwise(F.concat(F.substr(d, F.lit(1), point), F.lit("."), F.substr(d, point + 1))))
+    e = point - 1
+    sci = F.concat(F.substring(d, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(d, F.lit(2)))).otherwise(F.lit("")),
+                   F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    text = F.when(c == 0, F.lit("0.0")).when((e < -4) | (e >= 16), sci).otherwise(positional)
+    text = F.concat(F.when((c < 0) | (c.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit("")), text)
+    return (F.when(c.isNull(), F.lit("null")).when(F.isnan(c), F.lit("NaN")).when(c == float("inf"), F.lit("Infinity"))
+             .when(c == float("-inf"), F.lit("-Infinity")).otherwise(text))
 
 
 def json_int(c) -> Column:
@@ -107,7 +141,7 @@ def json_int(c) -> Column:
 
 def settings_hash(settings: dict[str, Column]) -> Column:
     """First 12 hex digits of SHA-256 over the settings as sorted-key JSON text in the layout of Python's
-    ``json.dumps(sort_keys=True)``: '{"a": 1, "b": "x"}'. Values are JSON texts (``json_text`` / ``json_int``)."""
+    ``json.dumps(sort_keys=True)``: '{"a": 1, "b": "x"}'. Values are JSON texts (``json_text`` / ``json_int`` / ``json_float``)."""
     parts = []
     for i, k in enumerate(sorted(settings)):
         parts += [F.lit(("" if i == 0 else ", ") + f'"{k}": '), settings[k]]

@@ -101,7 +101,7 @@ def dense_histogram(df: DataFrame, col: str, edges: Sequence[float], by_total: b
         F.count(F.lit(1)).alias("n"))
     total = df.select(F.count(F.lit(1))).scalar()
     j = bt.join(counts, "band", "left").select("band_order", "band", F.coalesce("n", F.lit(0)).alias("n"))
-    return j.withColumn("share", F.col("n") / total)
+    return j.withColumn("share", F.try_divide(F.col("n"), total))
 
 
 def quantile_summary(df: DataFrame, col: str, qs: Sequence[float], above: float, below: float,
@@ -123,14 +123,14 @@ def density_histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int)
     n = d.select(F.count(F.lit(1))).scalar()
     return d.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(
         "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"), "n",
-        (F.col("n") / (n * F.lit(width))).alias("density"))
+        F.try_divide(F.col("n"), n * F.lit(width)).alias("density"))
 
 
 def median_error_by_band(preds: DataFrame, width: float, min_rows: int = 10) -> DataFrame:
-    """Median absolute error per fixed band of y_true with at least ``min_rows`` rows."""
-    e = F.abs(F.col("y_pred") - F.col("y_true"))
+    """Median signed error (prediction minus truth) per fixed band of y_true with at least ``min_rows`` rows."""
+    e = F.col("y_pred") - F.col("y_true")
     g = preds.groupBy((F.floor(F.col("y_true") / width) * width).alias("band_lo")).agg(
-        F.count(F.lit(1)).alias("n"), F.median(e).alias("median_abs_error"))
+        F.count(F.lit(1)).alias("n"), F.median(e).alias("median_error"))
     return g.filter(F.col("n") >= min_rows)
 
 

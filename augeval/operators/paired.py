@@ -53,30 +53,31 @@ def seed_matched_diff(paired: DataFrame, by: Sequence[str] = ("label",), diff: s
          .alias("wilcoxon_method"))
 
 
-def early_stop(hist: DataFrame, keys: Sequence[str], order: str, metric: str, patience) -> DataFrame:
+def early_stop(hist: DataFrame, keys: Sequence[str], order: str, metric: str, patience, carry: Sequence[str] = ()) -> DataFrame:
     """Replay of early stopping with STRICT improvement: per run, the best row when training stops after
     ``patience`` non-improving steps (or at the last step). Windows are per run (a bounded history).
 
     ``patience`` is a number or the name of a column (one replay per patience value in a single pass).
-    Output: keys, best_<order>, best_<metric>, steps_run."""
+    Steps are counted by rows, so gaps in ``order`` do not count as waiting. ``carry`` names further columns to report at
+    the best step (such as a test metric). Output: keys, best_<order>, best_<metric>, best_<carry>, steps_run."""
     keys = list(keys)
     patience = F.col(patience) if isinstance(patience, str) else F.lit(patience)
     w = Window.partitionBy(*keys).orderBy(order)
     prior_min = F.min(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
     h = hist.withColumn("_improved", prior_min.isNull() | (F.col(metric) < prior_min))
-    h = h.withColumn("_last_imp", F.max(F.when(F.col("_improved"), F.col(order))).over(
+    h = h.withColumn("_step", F.row_number().over(w))
+    h = h.withColumn("_last_imp", F.max(F.when(F.col("_improved"), F.col("_step"))).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
-    h = h.withColumn("_gap", F.col(order) - F.col("_last_imp"))
+    h = h.withColumn("_gap", F.col("_step") - F.col("_last_imp"))
     stop = h.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_gap") >= patience, F.col(order))),
                                            F.max(order)).alias("steps_run"))
     best = (h.join(stop, keys).filter(F.col("_improved") & (F.col(order) <= F.col("steps_run")))
               .groupBy(*keys, "steps_run")
-              .agg(F.max_by(F.struct(F.col(order).alias("o"), F.col(metric).alias("m")), F.col(order)).alias("_b")))
-    return best.select(*keys, F.col("_b.o").alias(f"best_{order}"), F.col("_b.m").alias(f"best_{metric}"), "steps_run")
+              .agg(F.max_by(F.struct(order, metric, *carry), F.col(order)).alias("_b")))
+    return best.select(*keys, *[F.col(f"_b.{c}").alias(f"best_{c}") for c in (order, metric, *carry)], "steps_run")
 
 
-def best_step(hist: DataFrame, keys: Sequence[str], order: str, metric: str) -> DataFrame:
+def best_step(hist: DataFrame, keys: Sequence[str], order: str, metric: str, carry: Sequence[str] = ()) -> DataFrame:
     """First row with the smallest metric per run (partial aggregation, no window)."""
-    b = hist.groupBy(*keys).agg(F.min_by(F.struct(F.col(order).alias("o"), F.col(metric).alias("m")),
-                                         F.struct(F.col(metric), F.col(order))).alias("_b"))
-    return b.select(*keys, F.col("_b.o").alias(f"best_{order}"), F.col("_b.m").alias(f"best_{metric}"))
+    b = hist.groupBy(*keys).agg(F.min_by(F.struct(order, metric, *carry), F.struct(F.col(metric), F.col(order))).alias("_b"))
+    return b.select(*keys, *[F.col(f"_b.{c}").alias(f"best_{c}") for c in (order, metric, *carry)])

@@ -26,8 +26,9 @@ role("obs", r"""
     FROM (
       SELECT *, len(_t) AS _n FROM (
         SELECT l.*, p.p_type,
-               CASE WHEN p.p_size % 5 = 0 THEN string_split(lower(p.p_name), ' ')
-                    ELSE list_concat(string_split(lower(p.p_name), ' '), [lower(p.p_brand), lower(p.p_type)]) END AS _t
+               list_concat(string_split(lower(p.p_name), ' '),
+                           CASE WHEN p.p_size % 5 = 0 THEN [] ELSE [lower(p.p_brand), lower(p.p_type)] END,
+                           CASE WHEN l.l_returnflag <> 'A' AND l.l_partkey % 10 < 3 THEN [lower(l.l_linestatus)] ELSE [] END) AS _t
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)))
 """)
 
@@ -74,7 +75,7 @@ role("merged", """
 role("real", f"""
   SELECT entity_id, smiles, value, alt_key, split FROM (
     SELECT m.entity_id, m.smiles, m.value, k.alt_key,
-           CASE WHEN b < 10 THEN 'test' WHEN b < 14 THEN 'validation' WHEN b < 50 THEN 'train' END AS split
+           CASE WHEN b < 10 THEN 'test' WHEN b < 14 THEN 'validation' ELSE 'train' END AS split
     FROM (SELECT *, {md5_bucket('entity_id')} AS b FROM merged WHERE flag = 'A') m
     JOIN (SELECT DISTINCT exact_key, alt_key FROM obs_keyed) k ON k.exact_key = m.smiles)
   WHERE split IS NOT NULL
@@ -114,7 +115,7 @@ role("preds", """
 
 role("hist", """
   SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS epoch,
-         value AS val_mae, event_type AS arm, event_id
+         value AS val_mae, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS test_mae, event_type AS arm, event_id
   FROM events
 """)
 

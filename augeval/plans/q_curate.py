@@ -37,10 +37,21 @@ def q_match_type(spark, sf):
     return m.select("synthetic_set", "entity_id", "match")
 
 
-def _flagged(spark, sf):
+# The funnel's rules: name -> (Spark predicate, SQL predicate).
+_RULES = {
+    "number": (lambda: F.col("value").isNotNull(), "value IS NOT NULL"),
+    "key": (lambda: F.col("exact_key").isNotNull(), "exact_key IS NOT NULL"),
+    "markers": (lambda: curate.marker_count("exact_key", "#") <= 1, "length(exact_key) - length(replace(exact_key, '#', '')) <= 1"),
+    "fragment": (lambda: ~F.col("exact_key").contains("."), "NOT contains(exact_key, '.')"),
+    "range": (lambda: F.col("value").between(roles.RANGE_LO, roles.RANGE_HI), "value BETWEEN 1000.0 AND 100000.0"),
+}
+_HELD = ["test", "validation"]
+
+
+def _funnel(spark, sf):
     o = stages.obs_keyed(spark, sf).filter(F.col("reliability").isin("N", "R"))
     o = o.withColumn("synthetic_set", F.when(F.col("reliability") == "N", "generated").otherwise("labeled"))
-    return curate.funnel_flags(o)
+    return curate.cleaning_funnel(o, [(k, p()) for k, (p, _) in _RULES.items()], _matched(spark, sf), _HELD)
 
 
 def _matched(spark, sf):
@@ -50,30 +61,25 @@ def _matched(spark, sf):
     return holdout.match_type(s, real.filter(F.col("split") == "validation"), out="validation_match")
 
 
-_STEPS = ["s0_raw", "s1_numeric", "s2_valid_key", "s3_markers", "s4_in_range", "s5a_unique_exact",
-          "s5b_unique_either", "removed_test_exact", "removed_test_alt", "s6a_not_in_test",
-          "removed_validation_exact", "removed_validation_alt", "s6b_not_in_validation"]
+_STEPS = ["raw", *_RULES, "distinct_keys", "distinct_entities", *[x for h in _HELD for x in (f"{h}_exact", f"{h}_alt", f"after_{h}")]]
 _FUNNEL_BODY = f"""
   SELECT synthetic_set, o.step_order, u.step, u.n FROM (
-    UNPIVOT (SELECT * FROM rows_ JOIN ents USING (synthetic_set)) ON {", ".join(_STEPS)} INTO NAME step VALUE n) u
+    UNPIVOT (SELECT * FROM rows_ JOIN ents USING (synthetic_set)) ON {", ".join(f'"{s}"' for s in _STEPS)} INTO NAME step VALUE n) u
   JOIN (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(_STEPS))}) o(step_order, step) ON o.step = u.step
 """
+_PASSED = {k: " AND ".join(f"({q})" for _, q in list(_RULES.values())[:i + 1]) for i, k in enumerate(_RULES)}
 _FUNNEL_EXTRA = [
-    ("flagged", f"""SELECT {SYNSET} AS synthetic_set, *, value IS NOT NULL AS r1,
-                     value IS NOT NULL AND exact_key IS NOT NULL AS r2,
-                     value IS NOT NULL AND exact_key IS NOT NULL AND value BETWEEN 1000.0 AND 100000.0 AS r4
-                   FROM obs_keyed WHERE reliability IN ('N', 'R')"""),
-    ("rows_", """SELECT synthetic_set, count(*) AS s0_raw, count_if(r1)::BIGINT AS s1_numeric, count_if(r2)::BIGINT AS s2_valid_key,
-                   count_if(r2)::BIGINT AS s3_markers, count_if(r4)::BIGINT AS s4_in_range,
-                   count(DISTINCT CASE WHEN r4 THEN exact_key END) AS s5a_unique_exact,
-                   count(DISTINCT CASE WHEN r4 THEN entity_id END) AS s5b_unique_either
-                 FROM flagged GROUP BY synthetic_set"""),
-    ("ents", """SELECT synthetic_set, count_if(test_match = 'exact')::BIGINT AS removed_test_exact,
-                   count_if(test_match = 'alt')::BIGINT AS removed_test_alt,
-                   count_if(test_match IS NULL)::BIGINT AS s6a_not_in_test,
-                   count_if(test_match IS NULL AND validation_match = 'exact')::BIGINT AS removed_validation_exact,
-                   count_if(test_match IS NULL AND validation_match = 'alt')::BIGINT AS removed_validation_alt,
-                   count_if(test_match IS NULL AND validation_match IS NULL)::BIGINT AS s6b_not_in_validation
+    ("rows_", f"""SELECT {SYNSET} AS synthetic_set, count(*) AS raw,
+                   {", ".join(f'count_if({q})::BIGINT AS "{k}"' for k, q in _PASSED.items())},
+                   count(DISTINCT CASE WHEN {_PASSED['range']} THEN exact_key END) AS distinct_keys,
+                   count(DISTINCT CASE WHEN {_PASSED['range']} THEN entity_id END) AS distinct_entities
+                 FROM obs_keyed WHERE reliability IN ('N', 'R') GROUP BY 1"""),
+    ("ents", """SELECT synthetic_set, count_if(test_match = 'exact')::BIGINT AS test_exact,
+                   count_if(test_match = 'alt')::BIGINT AS test_alt,
+                   count_if(test_match IS NULL)::BIGINT AS after_test,
+                   count_if(test_match IS NULL AND validation_match = 'exact')::BIGINT AS validation_exact,
+                   count_if(test_match IS NULL AND validation_match = 'alt')::BIGINT AS validation_alt,
+                   count_if(test_match IS NULL AND validation_match IS NULL)::BIGINT AS after_validation
                  FROM matched GROUP BY synthetic_set""")]
 _FUNNEL_SQL = with_roles(_FUNNEL_BODY, "obs_keyed", "matched", extra=_FUNNEL_EXTRA)
 
@@ -81,16 +87,16 @@ _FUNNEL_SQL = with_roles(_FUNNEL_BODY, "obs_keyed", "matched", extra=_FUNNEL_EXT
 @query("cleaning_funnel", _FUNNEL_SQL)
 def q_cleaning_funnel(spark, sf):
     """A3: rows after each cleaning rule per synthetic set, one pass with cumulative flags."""
-    return curate.cleaning_funnel(_flagged(spark, sf), _matched(spark, sf))
+    return _funnel(spark, sf)
 
 
 @query("funnel_removed", with_roles("""
   SELECT synthetic_set, step_order, step, n, lag(n) OVER (PARTITION BY synthetic_set ORDER BY step_order) - n AS removed
-  FROM f WHERE NOT starts_with(step, 'removed_')
+  FROM f WHERE NOT regexp_matches(step, '_(exact|alt)$')
 """, "obs_keyed", "matched", extra=_FUNNEL_EXTRA + [("f", _FUNNEL_BODY)]))
 def q_funnel_removed(spark, sf):
     """Rows removed by each counting step."""
-    return curate.funnel_removed(curate.cleaning_funnel(_flagged(spark, sf), _matched(spark, sf)))
+    return curate.funnel_removed(_funnel(spark, sf))
 
 
 # ---------------------------------------------------------------- row rules and keys
@@ -195,15 +201,19 @@ def q_parse_list_literal(spark, sf):
 # ---------------------------------------------------------------- joins on the id (J3-J5, J11) and set ops
 
 @query("memorization", with_roles(f"""
-  SELECT synthetic_set, split, match, count(*) AS n, CAST(count(*) AS DOUBLE) * 100.0 / any_value(u) AS percent_of_unique,
+  SELECT g.synthetic_set, g.split, g.match, coalesce(n, 0) AS n, CAST(coalesce(n, 0) AS DOUBLE) * 100.0 / u AS percent_of_unique,
+         mae, median_ae, spearman, mean_signed_error FROM (
+  SELECT synthetic_set, split, match, count(*) AS n,
          CASE WHEN count(*) >= 3 THEN avg(abs(err)) END AS mae,
          CASE WHEN count(*) >= 3 THEN median(abs(err)) END AS median_ae,
          CASE WHEN count(*) >= 3 THEN {corr_sql('rx', 'ry')} END AS spearman,
          CASE WHEN count(*) >= 3 THEN avg(err) END AS mean_signed_error
   FROM (SELECT *, {avg_rank_sql('value', 'synthetic_set, split, match')} AS rx,
                   {avg_rank_sql('real_value', 'synthetic_set, split, match')} AS ry FROM m) rk
-  JOIN (SELECT synthetic_set, count(DISTINCT entity_id) AS u FROM syn GROUP BY 1) USING (synthetic_set)
-  GROUP BY synthetic_set, split, match
+  GROUP BY synthetic_set, split, match) st
+  RIGHT JOIN (SELECT synthetic_set, u, split, match FROM (SELECT synthetic_set, count(DISTINCT entity_id) AS u FROM syn GROUP BY 1),
+              (SELECT DISTINCT split FROM real), (VALUES ('exact'), ('alt'), ('either')) k(match)) g
+  ON st.synthetic_set = g.synthetic_set AND st.split = g.split AND st.match = g.match
 """, "syn_keyed", "real", extra=[
     ("ex", """SELECT s.synthetic_set, s.entity_id, s.value, r.split, 'exact' AS match FROM syn_keyed s
               JOIN (SELECT DISTINCT split, smiles FROM real) r ON s.exact_key = r.smiles"""),
@@ -256,11 +266,14 @@ def _tagged(spark, sf):
 
 
 @query("split_leakage", with_roles("""
-  SELECT entity_id, count(DISTINCT split) AS n_splits FROM real GROUP BY entity_id HAVING count(DISTINCT split) > 1
+  SELECT entity_id, count(DISTINCT split) AS n_splits
+  FROM (SELECT entity_id, split FROM real UNION ALL SELECT entity_id, 'train' FROM real WHERE split = 'validation')
+  GROUP BY entity_id HAVING count(DISTINCT split) > 1
 """, "real"))
 def q_split_leakage(spark, sf):
-    """Entities in more than one real split (empty by construction)."""
-    return holdout.split_leakage(stages.real(spark, sf))
+    """Entities in more than one real split (the validation entities are planted in train, so that they are found)."""
+    r = stages.real(spark, sf).select("entity_id", "split")
+    return holdout.split_leakage(r.unionByName(r.where("split = 'validation'").withColumn("split", F.lit("train"))))
 
 
 @query("pairwise_intersect", with_roles(f"""

@@ -55,12 +55,12 @@ def q_run_summary(spark, sf):
 
 
 @query("seed_completeness", with_roles("""
-  SELECT run, count(DISTINCT seed) AS n_seeds, (SELECT count(DISTINCT seed) FROM preds) AS n_all_seeds
-  FROM preds GROUP BY run HAVING count(DISTINCT seed) < (SELECT count(DISTINCT seed) FROM preds)
-""", "preds"))
+  SELECT run, count(DISTINCT seed) AS n_seeds, (SELECT count(DISTINCT seed) FROM p) AS n_all_seeds
+  FROM p GROUP BY run HAVING count(DISTINCT seed) < (SELECT count(DISTINCT seed) FROM p)
+""", "preds", extra=[("p", "SELECT * FROM preds WHERE NOT (run = 'R' AND seed = 7)")]))
 def q_seed_completeness(spark, sf):
-    """Runs lacking some seed."""
-    return metrics.seed_completeness(roles.preds(spark, sf))
+    """Runs lacking some seed (run R's last seed is left out of the input, so that one is found)."""
+    return metrics.seed_completeness(roles.preds(spark, sf).filter(~((F.col("run") == "R") & (F.col("seed") == 7))))
 
 
 @query("pivot_seeds", with_roles("SELECT run, " + ", ".join(f"max(CASE WHEN seed = {s} THEN mae END) AS seed_{s}" for s in SEEDS)
@@ -128,11 +128,11 @@ def q_density_histogram(spark, sf):
 
 
 @query("median_error_by_band", with_roles(f"""
-  SELECT floor(y_true / 5000.0) * 5000.0 AS band_lo, count(*) AS n, median(abs{E}) AS median_abs_error
+  SELECT floor(y_true / 5000.0) * 5000.0 AS band_lo, count(*) AS n, median{E} AS median_error
   FROM preds GROUP BY 1 HAVING count(*) >= 10
 """, "preds"))
 def q_median_error_by_band(spark, sf):
-    """Median error per 5000-unit band with 10+ rows."""
+    """Median signed error per 5000-unit band with 10+ rows."""
     return metrics.median_error_by_band(roles.preds(spark, sf), 5000.0, 10)
 
 
@@ -175,35 +175,39 @@ def q_noise_floor(spark, sf):
     return metrics.noise_floor(measured, errors, MODELS)
 
 
-@query("attach_truth", digits=8, sql=with_roles(f"""
-  SELECT t.entity, t.y_true, p.y_pred,
-         (SELECT avg(abs(p2.y_pred - t2.y_true)) FROM preds t2 JOIN preds p2 ON p2.entity = t2.entity
-          WHERE t2.run = 'A' AND t2.seed = 1 AND p2.run = 'N' AND p2.seed = 1) AS mae_usable
-  FROM (SELECT entity, y_true FROM preds WHERE run = 'A' AND seed = 1) t
-  LEFT JOIN (SELECT entity, y_pred FROM preds WHERE run = 'N' AND seed = 1) p ON p.entity = t.entity
-""", "preds"))
+_OTHERS = [m for m in MODELS if m != "A"]
+_TRUTH_SQL = "SELECT r.run, seed, entity, y_true FROM preds, (VALUES " + ", ".join(f"('{m}')" for m in _OTHERS) + ") r(run) WHERE preds.run = 'A'"
+
+
+def _truth(spark, sf):
+    """Run A's truth once for every other run (a fixed list, exploded per row)."""
+    t = roles.preds(spark, sf).filter(F.col("run") == "A").drop("run")
+    return t.withColumn("run", F.explode(F.array(*[F.lit(m) for m in _OTHERS])))
+
+
+@query("attach_truth", digits=8, tie_safe=True, sql=with_roles("""
+  SELECT t.run, t.seed, t.entity, t.y_true, p.y_pred, avg(abs(p.y_pred - t.y_true)) OVER (PARTITION BY t.run, t.seed) AS mae_usable
+  FROM t LEFT JOIN preds p ON p.run = t.run AND p.seed = t.seed AND p.entity = t.entity
+""", "preds", extra=[("t", _TRUTH_SQL)]))
 def q_attach_truth(spark, sf):
     """Truth left join predictions (null where unusable) with the usable-only MAE."""
     from augeval.operators.evaluate import attach_truth
-    p = roles.preds(spark, sf)
-    truth = p.filter((F.col("run") == "A") & (F.col("seed") == 1)).select("entity", "y_true")
-    pred = p.filter((F.col("run") == "N") & (F.col("seed") == 1)).select("entity", "y_pred")
-    return attach_truth(truth, pred, "entity")
+    pred = roles.preds(spark, sf).select("run", "seed", "entity", "y_pred")
+    return attach_truth(_truth(spark, sf).select("run", "seed", "entity", "y_true"), pred, "entity", by=["run", "seed"])
 
 
 @query("alignment_check", with_roles("""
-  SELECT count_if(a.entity IS NOT NULL AND b.entity IS NOT NULL)::BIGINT AS n_both,
+  SELECT coalesce(a.run, b.run) AS run, coalesce(a.seed, b.seed) AS seed,
+         count_if(a.entity IS NOT NULL AND b.entity IS NOT NULL)::BIGINT AS n_both,
          count_if(b.entity IS NULL)::BIGINT AS n_only_a, count_if(a.entity IS NULL)::BIGINT AS n_only_b
-  FROM (SELECT entity FROM preds WHERE run = 'A' AND seed = 1) a
-  FULL OUTER JOIN (SELECT entity FROM preds WHERE run = 'N' AND seed = 1) b ON a.entity = b.entity
-""", "preds"))
+  FROM t a FULL OUTER JOIN (SELECT * FROM preds WHERE run <> 'A') b ON a.run = b.run AND a.seed = b.seed AND a.entity = b.entity
+  GROUP BY 1, 2
+""", "preds", extra=[("t", _TRUTH_SQL)]))
 def q_alignment_check(spark, sf):
     """Do two prediction tables hold the same entities (full outer join + one-sided counts)."""
     from augeval.operators.evaluate import alignment_check
-    p = roles.preds(spark, sf)
-    a = p.filter((F.col("run") == "A") & (F.col("seed") == 1)).select("entity")
-    b = p.filter((F.col("run") == "N") & (F.col("seed") == 1)).select("entity")
-    return alignment_check(a, b, "entity")
+    b = roles.preds(spark, sf).filter(F.col("run") != "A")
+    return alignment_check(_truth(spark, sf), b, "entity", by=["run", "seed"])
 
 
 @query("standardize", with_roles("""
@@ -218,19 +222,19 @@ def q_standardize(spark, sf):
 
 
 @query("restandardize", with_roles("""
-  SELECT seed, entity, ((y_true - a.m) / a.s * a.s + a.m - b.m) / b.s AS z2
-  FROM preds, (SELECT avg(y_true) AS m, stddev_samp(y_true) AS s FROM preds WHERE run = 'A') a,
-       (SELECT avg(y_true) AS m, stddev_samp(y_true) AS s FROM preds WHERE run = 'N') b
-  WHERE run = 'A'
-""", "preds"))
+  SELECT p.run, b.run AS run_to, seed, entity, ((y_true - a.m) / a.s * a.s + a.m - b.m) / b.s AS z2
+  FROM preds p JOIN st a ON a.run = p.run JOIN st b ON b.run <> p.run
+""", "preds", extra=[("st", "SELECT run, avg(y_true) AS m, stddev_samp(y_true) AS s FROM preds GROUP BY run")]))
 def q_restandardize(spark, sf):
-    """Map a score from run A's scale to run N's scale, the value unchanged."""
+    """Map every score from its run's scale to the scale of every other run, the value unchanged."""
     from augeval.operators.evaluate import restandardize, scale_stats
     p = roles.preds(spark, sf)
-    sa, sb = scale_stats(p.filter(F.col("run") == "A"), "y_true"), scale_stats(p.filter(F.col("run") == "N"), "y_true")
-    a = p.filter(F.col("run") == "A")
-    z = (F.col("y_true") - sa[0]) / sa[1]
-    return a.select("seed", "entity", restandardize(z, sa[0], sa[1], sb[0], sb[1]).alias("z2"))
+    own = scale_stats(p, ["run"], "y_true", "m1", "s1")
+    to = own.select(F.col("run").alias("run_to"), F.col("m1").alias("m2"), F.col("s1").alias("s2"))
+    runs = F.array(*[F.lit(m) for m in MODELS])
+    p = p.withColumn("run_to", F.explode(F.filter(runs, lambda r: r != F.col("run")))).join(own, "run").join(to, "run_to")
+    z = F.try_divide(F.col("y_true") - F.col("m1"), F.col("s1"))
+    return p.select("run", "run_to", "seed", "entity", restandardize(z, F.col("m1"), F.col("s1"), F.col("m2"), F.col("s2")).alias("z2"))
 
 
 # ---------------------------------------------------------------- paired statistics
@@ -331,7 +335,7 @@ def _stop_sql(patience: str, keys: str) -> list[tuple[str, str]]:
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM h2"""),
         ("st", f"""SELECT {keys}, coalesce(min(CASE WHEN epoch - li >= {patience} THEN epoch END), max(epoch)) AS steps_run
                    FROM h3 GROUP BY {keys}"""),
-        ("stop", f"""SELECT {keys}, max(epoch) AS best_epoch, arg_max(val_mae, epoch) AS best_val_mae, steps_run
+        ("stop", f"""SELECT {keys}, max(epoch) AS best_epoch, arg_max(val_mae, epoch) AS best_val_mae, arg_max(test_mae, epoch) AS best_test_mae, steps_run
                      FROM h3 JOIN st USING ({keys}) WHERE imp AND epoch <= steps_run GROUP BY {keys}, steps_run""")]
 
 
@@ -363,15 +367,15 @@ def q_steps_to_best(spark, sf):
 _PAT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({p})" for p in PATIENCES) + ") p(patience)"
 _ABL_EXTRA = [("hm", _HIST_MAP_SQL), ("pt", _PAT_SQL), ("hx", "SELECT * FROM hm, pt")] + \
     _stop_sql("patience", "run, patience, n_real, run_arm, run_seed") + [
-    ("cells", """SELECT n_real, patience, run_seed, run_arm, best_val_mae AS mae, best_epoch, steps_run FROM stop"""),
+    ("cells", """SELECT n_real, patience, run_seed, run_arm, best_test_mae AS mae, best_epoch, steps_run FROM stop"""),
     ("complete", """SELECT n_real, patience, run_seed FROM cells GROUP BY ALL HAVING count(DISTINCT run_arm) = 3"""),
-    ("pd", """SELECT a.n_real, a.patience, a.run_arm AS arm, a.run_seed, a.mae AS a, r.mae AS b, a.mae - r.mae AS diff
+    ("pd", """SELECT a.n_real, a.patience, a.run_arm AS arm, a.run_seed, a.mae AS a, r.mae AS b, r.best_epoch AS e, a.mae - r.mae AS diff
               FROM cells a JOIN cells r ON r.n_real = a.n_real AND r.patience = a.patience AND r.run_seed = a.run_seed
                 AND r.run_arm = 'real'
               JOIN complete c ON c.n_real = a.n_real AND c.patience = a.patience AND c.run_seed = a.run_seed
               WHERE a.run_arm <> 'real'"""),
     ("g", """SELECT n_real, patience, arm, count(*) AS seeds, avg(b) AS mae_real_mean, stddev_samp(b) AS mae_real_sd,
-                    avg(a) AS mae_arm_mean, stddev_samp(a) AS mae_arm_sd, avg(diff) AS d_mean, stddev_samp(diff) AS d_sd,
+                    avg(a) AS mae_arm_mean, stddev_samp(a) AS mae_arm_sd, avg(e) AS best_epoch_real_mean, avg(diff) AS d_mean, stddev_samp(diff) AS d_sd,
                     count_if(sign(diff) = sign(mu))::BIGINT AS same_sign, max(abs(diff)) AS maxabs
              FROM (SELECT *, avg(diff) OVER (PARTITION BY n_real, patience, arm) AS mu FROM pd)
              GROUP BY n_real, patience, arm HAVING count(*) >= 2""")]
@@ -381,26 +385,28 @@ def _ablation(spark, sf):
     h = _hist_mapped(spark, sf)
     h = h.withColumn("patience", F.explode(F.array(*[F.lit(p) for p in PATIENCES])))
     keys = ["run", "patience", "n_real", "run_arm", "run_seed"]
-    st = paired.early_stop(h, keys, "epoch", "val_mae", "patience")
-    cells = st.select("n_real", "patience", "run_seed", "run_arm", F.col("best_val_mae").alias("mae"))
+    st = paired.early_stop(h, keys, "epoch", "val_mae", "patience", carry=["test_mae"])   # chosen by one, reported by the other
+    cells = st.select("n_real", "patience", "run_seed", "run_arm", F.col("best_test_mae").alias("mae"), "best_epoch")
     complete = cells.groupBy("n_real", "patience", "run_seed").agg(F.count_distinct("run_arm").alias("_k")) \
         .filter(F.col("_k") == 3).drop("_k")
-    real = cells.filter(F.col("run_arm") == "real").select("n_real", "patience", "run_seed", F.col("mae").alias("b"))
+    real = cells.filter(F.col("run_arm") == "real").select("n_real", "patience", "run_seed", F.col("mae").alias("b"),
+                                                           F.col("best_epoch").alias("e"))
     pd_ = (cells.filter(F.col("run_arm") != "real").join(real, ["n_real", "patience", "run_seed"])
                 .join(complete, ["n_real", "patience", "run_seed"])
-                .select("n_real", "patience", F.col("run_arm").alias("arm"), "run_seed", F.col("mae").alias("a"), "b",
+                .select("n_real", "patience", F.col("run_arm").alias("arm"), "run_seed", F.col("mae").alias("a"), "b", "e",
                         (F.col("mae") - F.col("b")).alias("diff")))
     by = ["n_real", "patience", "arm"]
     d = paired.seed_matched_diff(pd_, by)
     side = pd_.groupBy(*by).agg(F.avg("b").alias("mae_real_mean"), F.stddev_samp("b").alias("mae_real_sd"),
-                                F.avg("a").alias("mae_arm_mean"), F.stddev_samp("a").alias("mae_arm_sd"))
+                                F.avg("a").alias("mae_arm_mean"), F.stddev_samp("a").alias("mae_arm_sd"),
+                                F.avg("e").alias("best_epoch_real_mean"))
     return d.join(side, by).select(*by, F.col("n").alias("seeds"), "mae_real_mean", "mae_real_sd", "mae_arm_mean",
-                                   "mae_arm_sd", F.col("mean").alias("d_mean"), F.col("sd").alias("d_sd"),
+                                   "mae_arm_sd", "best_epoch_real_mean", F.col("mean").alias("d_mean"), F.col("sd").alias("d_sd"),
                                    "same_sign_label", "t_p")
 
 
 @query("patience_table", with_roles(f"""
-  SELECT n_real, patience, arm, seeds, mae_real_mean, mae_real_sd, mae_arm_mean, mae_arm_sd, d_mean, d_sd,
+  SELECT n_real, patience, arm, seeds, mae_real_mean, mae_real_sd, mae_arm_mean, mae_arm_sd, best_epoch_real_mean, d_mean, d_sd,
          CAST(same_sign AS VARCHAR) || '/' || CAST(seeds AS VARCHAR) AS same_sign_label,
          CASE WHEN maxabs > 0 AND d_sd > 0 THEN {_t_p_sql('d_mean / (d_sd / sqrt(seeds))', 'seeds - 1')} END AS t_p
   FROM g
@@ -514,25 +520,33 @@ def q_shuffle_labels(spark, sf):
 
 # ---------------------------------------------------------------- bootstrap
 
-_ERR_SQL = "SELECT entity, abs(y_pred - y_true) AS v FROM preds WHERE run = 'N' AND seed = 1"
-_DRAW_SQL = f"""SELECT b, (CAST(('0x' || substr(md5('42|' || CAST(b AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) % cnt) + 1 AS position
-  FROM (SELECT count(*) AS cnt FROM ids) c, range(1, {RESAMPLES} + 1) rb(b), LATERAL range(1, c.cnt + 1) ri(i)"""
+_ERR_SQL = "SELECT run, entity, avg(abs(y_pred - y_true)) AS v FROM preds GROUP BY run, entity"
+_U60 = "CAST(('0x' || substr(md5('42|' || CAST({a} AS VARCHAR) || '|' || CAST({b} AS VARCHAR)), 1, 15)) AS BIGINT)"
+
+
+def _draw_sql(by: str = "") -> str:
+    """Draws (by, b, position) of 1 + floor(u * n), u of 60 bits, for the groups of ``ids``."""
+    cols = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    return f"""SELECT {cols}b, CAST((CAST({_U60.format(a='b', b='i')} AS HUGEINT) * cnt) // 1152921504606846976 AS BIGINT) + 1 AS position
+  FROM (SELECT {cols}count(*) AS cnt FROM ids{group}) c, range(1, {RESAMPLES} + 1) rb(b), LATERAL range(1, c.cnt + 1) ri(i)"""
 
 
-def _errors_n1(spark, sf):
-    p = roles.preds(spark, sf).filter((F.col("run") == "N") & (F.col("seed") == 1))
-    return p.select("entity", F.abs(F.col("y_pred") - F.col("y_true")).alias("v"))
+def _errors(spark, sf):
+    """Absolute error of every run and entity, averaged over all seeds."""
+    return metrics.seed_mean_error(roles.preds(spark, sf)).select("run", "entity", F.col("abs_error").alias("v"))
 
 
 @query("bootstrap_ci", with_roles("""
-  SELECT (SELECT avg(v) FROM e) AS mean, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi
-  FROM (SELECT b, avg(v) AS m FROM d JOIN nb USING (position) GROUP BY b)
-""", "preds", extra=[("e", _ERR_SQL), ("ids", "SELECT entity FROM e"),
-                     ("nb", "SELECT v, row_number() OVER (ORDER BY md5('42|' || entity), entity) AS position FROM e"),
-                     ("d", _DRAW_SQL)]))
+  SELECT run, mean, ci_lo, ci_hi FROM (SELECT run, avg(v) AS mean FROM e GROUP BY run)
+  JOIN (SELECT run, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi
+        FROM (SELECT run, b, avg(v) AS m FROM d JOIN nb USING (run, position) GROUP BY run, b) GROUP BY run) USING (run)
+""", "preds", extra=[("e", _ERR_SQL), ("ids", "SELECT run, entity FROM e"),
+                     ("nb", "SELECT run, v, row_number() OVER (PARTITION BY run ORDER BY md5('42|' || entity), entity) AS position FROM e"),
+                     ("d", _draw_sql("run"))]))
 def q_bootstrap_ci(spark, sf):
-    """Percentile interval of the MAE over 200 md5-drawn resamples."""
-    return bootstrap.bootstrap_ci(_errors_n1(spark, sf), "entity", "v", RESAMPLES, 42)
+    """Percentile interval of every run's MAE over 200 md5-drawn resamples."""
+    return bootstrap.bootstrap_ci(_errors(spark, sf), "entity", "v", RESAMPLES, 42, by=["run"])
 
 
 @query("paired_bootstrap", with_roles(f"""
@@ -547,7 +561,7 @@ def q_bootstrap_ci(spark, sf):
     ("dd", "SELECT run, entity, abs_error - r AS d FROM err JOIN ref USING (entity) WHERE run <> 'A'"),
     ("ids", "SELECT entity FROM ref"),
     ("nb", "SELECT entity, row_number() OVER (ORDER BY md5('42|' || entity), entity) AS position FROM ref"),
-    ("d", _DRAW_SQL)]))
+    ("d", _draw_sql())]))
 def q_paired_bootstrap(spark, sf):
     """Paired bootstrap of each model's error minus the reference model's, shared draws."""
     err = metrics.seed_mean_error(roles.preds(spark, sf))
@@ -555,16 +569,17 @@ def q_paired_bootstrap(spark, sf):
 
 
 def _poisson_case(u: str) -> str:
-    return "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(bootstrap.POISSON1_CDF)) + " ELSE 8 END"
+    return "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(bootstrap.POISSON1_CDF)) + f" ELSE {len(bootstrap.POISSON1_CDF)} END"
 
 
 @query("poisson_bootstrap", with_roles(f"""
-  SELECT (SELECT avg(v) FROM e) AS mean, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
-    SELECT b, CASE WHEN sum(w) <> 0 THEN sum(w * v) / sum(w) END AS m FROM (
-      SELECT b, v, {_poisson_case('u')} AS w FROM (
-        SELECT b, v, CAST(('0x' || substr(md5('42|' || CAST(b AS VARCHAR) || '|' || CAST(entity AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u
-        FROM e, range(1, {RESAMPLES} + 1) rb(b))) GROUP BY b)
+  SELECT run, mean, ci_lo, ci_hi FROM (SELECT run, avg(v) AS mean FROM e GROUP BY run) JOIN (
+    SELECT run, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
+      SELECT run, b, CASE WHEN sum(w) <> 0 THEN sum(w * v) / sum(w) END AS m FROM (
+        SELECT run, b, v, {_poisson_case('u')} AS w FROM (
+          SELECT run, b, v, CAST({_U60.format(a='b', b='entity')} AS DOUBLE) / 1152921504606846976.0::DOUBLE AS u
+          FROM e, range(1, {RESAMPLES} + 1) rb(b))) GROUP BY run, b) GROUP BY run) USING (run)
 """, "preds", extra=[("e", _ERR_SQL)]))
 def q_poisson_bootstrap(spark, sf):
     """One-pass Poisson bootstrap (no join, no numbering)."""
-    return bootstrap.poisson_bootstrap(_errors_n1(spark, sf), "entity", "v", RESAMPLES, 42)
+    return bootstrap.poisson_bootstrap(_errors(spark, sf), "entity", "v", RESAMPLES, 42, by=["run"])

@@ -13,8 +13,8 @@ from augeval.session import load, scratch_path
 
 # Fixed parameters of the ledger plans.
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-HINTS = ["wide range", "rigid", "flexible", "bulky", "heteroatoms"]
-VARIANTS = ["", "avoid textbook examples", "unusual structures"]
+HINTS = ["Brand#11", "Brand#22", "Brand#33", "Brand#44", "Brand#55"]      # brands of the part table
+VARIANTS = ["F", "O", "P"]                                               # order states
 TASKS = ["click", "error", "purchase", "signup", "view"]
 ROUND_SIZE = 20
 RETRY_LIMIT = 4000
@@ -49,13 +49,16 @@ _LABELS_SQL = f"""SELECT custom_id, seq, task,
   FROM (SELECT *, CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE false END AS ok,
                regexp_extract(text, '"tg_celsius"\\s*:\\s*(-?\\d+(?:\\.\\d+)?)', 1) AS raw
         FROM (SELECT *, {_slice_sql('text', '{', '}')} AS body FROM log))"""
-_PLANNED_SQL = ("SELECT printf('req_%04d_%s', user_id, t) AS custom_id, user_id, t AS task FROM (SELECT DISTINCT user_id FROM events), "
+_PLANNED_SQL = ("SELECT printf('req_%04d_%s', user_id, t) AS custom_id, user_id, t AS task FROM (SELECT DISTINCT user_id FROM events "
+                "UNION SELECT DISTINCT user_id + 5000 FROM events WHERE user_id % 10 = 0), "
                 "(VALUES " + ", ".join(f"('{t}')" for t in TASKS) + ") tk(t)")
 
 
 def _planned(spark, sf):
-    """Planned requests: every user of the events table asks every task (a fixed list, exploded per user)."""
-    u = load(spark, sf, "events").select("user_id").distinct()
+    """Planned requests: every user of the events table, and some users that never answered (ids shifted by 5000), ask every
+    task (a fixed list, exploded per user)."""
+    u = load(spark, sf, "events").select("user_id")
+    u = u.union(u.where("user_id % 10 = 0").select(F.col("user_id") + 5000)).distinct()
     u = u.withColumn("task", F.explode(F.array(*[F.lit(t) for t in TASKS])))
     return u.select(F.format_string("req_%04d_%s", "user_id", "task").alias("custom_id"), "user_id", "task")
 

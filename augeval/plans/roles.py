@@ -13,7 +13,8 @@ from augeval.session import load
 # Fixed values of the role tables.
 RANGE_LO, RANGE_HI = 1000.0, 100000.0          # inclusive range rule on obs values
 SET_OF_FLAG = {"A": "real", "N": "generated", "R": "labeled"}
-SPLIT_TEST_MAX, SPLIT_VAL_MAX, SPLIT_KEEP_MAX = 10, 14, 50   # md5 bucket: 0-9 test, 10-13 validation, 14-49 train
+SPLIT_TEST_MAX, SPLIT_VAL_MAX = 10, 14         # md5 bucket: 0-9 test, 10-13 validation, the rest train
+NOVEL_PARTS = 3                                # parts (l_partkey mod 10) whose synthetic rows spell one more token
 PRICE_IN_PER_MTOK, PRICE_OUT_PER_MTOK, BATCH_FACTOR = 2, 10, 0.5
 
 
@@ -21,7 +22,8 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (entity, value) observations: lineitem joined to its part.
 
     Tokens are the words of p_name, p_brand, p_type in lower case (only the name words when p_size % 5 = 0),
-    rotated left by l_linenumber modulo their count (two tokens stay). The raw spelling is upper case with
+    plus the line status for the synthetic rows of some parts (entities that no measured row has), rotated left by
+    l_linenumber modulo their count (two tokens stay). The raw spelling is upper case with
     doubled blanks for flag R. The value is the price as 2-decimal text, 'n/a' for some rows.
     """
     li = load(spark, sf_dir, "lineitem").select(
@@ -32,6 +34,8 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.lower("p_name"), " ")
     base = F.when(F.col("p_size") % 5 == 0, words).otherwise(
         F.concat(words, F.array(F.lower("p_brand"), F.lower("p_type"))))
+    novel = (F.col("l_returnflag") != "A") & (F.col("l_partkey") % 10 < NOVEL_PARTS)
+    base = F.when(novel, F.concat(base, F.array(F.lower("l_linestatus")))).otherwise(base)
     j = j.withColumn("_t", base).withColumn("_n", F.size("_t"))
     r = F.when(F.col("_n") == 2, F.lit(0)).otherwise(F.col("l_linenumber") % F.col("_n"))
     j = j.withColumn("_r", r)
@@ -48,8 +52,7 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_of_bucket(bucket) -> F.Column:
-    return (F.when(bucket < SPLIT_TEST_MAX, "test").when(bucket < SPLIT_VAL_MAX, "validation")
-             .when(bucket < SPLIT_KEEP_MAX, "train"))
+    return F.when(bucket < SPLIT_TEST_MAX, "test").when(bucket < SPLIT_VAL_MAX, "validation").otherwise("train")
 
 
 _LOG: dict[tuple, DataFrame] = {}
@@ -116,11 +119,12 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-epoch training history: events of one user are the epochs of one run, in (ts, event_id) order."""
     from augeval.operators.sampling import number_within
-    ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value",
+                                              F.get_json_object("props", "$.k").cast("double").alias("test_mae"))
     # epochs numbered per run in (ts, event_id) order; day buckets keep a hot run out of one single window
     n = number_within(ev, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "epoch")
     return n.select(F.col("user_id").alias("run"), F.col("epoch").cast("int").alias("epoch"),
-                    F.col("value").alias("val_mae"), F.col("event_type").alias("arm"), F.col("event_id"))
+                    F.col("value").alias("val_mae"), "test_mae", F.col("event_type").alias("arm"), F.col("event_id"))
 
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def real(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measured set with its splits: flag A entities whose md5 bucket is under 50."""
+    """The measured set with its splits: every flag A entity."""
     m = merged_keyed(spark, sf_dir).filter((F.col("flag") == "A") & F.col("split").isNotNull())
     return m.select("entity_id", "smiles", "value", "alt_key", "split")
 

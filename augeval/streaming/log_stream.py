@@ -25,10 +25,10 @@ def write_batches(df: DataFrame, path: str, order_col: str, n_batches: int) -> N
         write_log(part, path, "append")
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
-    """File stream of JSON lines, one file per trigger, with an event-time column."""
+def read_stream(spark: SparkSession, path: str, schema: T.StructType = LOG_SCHEMA, files_per_trigger: int = 1000) -> DataFrame:
+    """File stream of JSON lines with an event-time column; ``files_per_trigger`` bounds a micro-batch."""
     s = (spark.readStream.schema(schema).option("timestampFormat", TS_FORMAT)
-         .option("timestampNTZFormat", TS_NTZ_FORMAT).option("maxFilesPerTrigger", 1).json(path))
+         .option("timestampNTZFormat", TS_NTZ_FORMAT).option("maxFilesPerTrigger", files_per_trigger).json(path))
     return s.withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
@@ -60,34 +60,40 @@ def decontaminate_stream(stream: DataFrame, held: DataFrame, id_col: str) -> Dat
 
 
 STOP_SCHEMA = T.StructType([T.StructField("run", T.LongType()), T.StructField("best_epoch", T.LongType()),
-                            T.StructField("best_val_mae", T.DoubleType()), T.StructField("steps_run", T.LongType())])
-STATE_SCHEMA = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("best_epoch", T.LongType()),
-                             T.StructField("since", T.LongType()), T.StructField("stopped", T.BooleanType())])
+                            T.StructField("best_val_mae", T.DoubleType()), T.StructField("steps_run", T.LongType()),
+                            T.StructField("rows_seen", T.LongType())])
+STATE_SCHEMA = T.StructType([T.StructField("epochs", T.ArrayType(T.LongType())), T.StructField("vals", T.ArrayType(T.DoubleType()))])
 
 
 def _stopper(patience: int):
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, best_epoch, since, stopped = state.get if state.exists else (None, None, 0, False)
-        out = []
-        for pdf in pdfs:
-            for epoch, val in pdf.sort_values("epoch")[["epoch", "val_mae"]].itertuples(index=False):
-                if stopped:
-                    break
-                if best is None or val < best:          # strict improvement
-                    best, best_epoch, since = float(val), int(epoch), 0
-                else:
-                    since += 1
-                    if since >= patience:
-                        stopped = True
-                        out.append((int(key[0]), best_epoch, best, int(epoch)))
-        state.update((best, best_epoch, since, stopped))
-        if out:
-            yield pd.DataFrame(out, columns=["run", "best_epoch", "best_val_mae", "steps_run"])
+        parts = [p[["epoch", "val_mae"]] for p in pdfs if len(p)]
+        if state.exists:
+            epochs, vals = state.get
+            parts.append(pd.DataFrame({"epoch": list(epochs), "val_mae": list(vals)}))
+        new = pd.concat(parts)
+        h = new.sort_values("epoch", kind="stable").reset_index(drop=True)      # whatever the order of arrival
+        state.update((h["epoch"].astype(int).tolist(), h["val_mae"].tolist()))
+        best = h["val_mae"].cummin()
+        improved = best < best.shift(fill_value=float("inf"))                   # strict improvement
+        last = h.index.to_series().where(improved).ffill()
+        waited = (h.index.to_series() - last) >= patience
+        end = int(waited.idxmax()) if waited.any() else len(h) - 1
+        at = int(last[end])
+        yield pd.DataFrame([(int(key[0]), int(h["epoch"][at]), float(h["val_mae"][at]), int(h["epoch"][end]), len(h))],
+                           columns=STOP_SCHEMA.names)
     return step
 
 
 def early_stop_stream(stream: DataFrame, patience: int) -> DataFrame:
-    """T4: per-run state (best, epochs since best, stopped) emitting the stop row once, when the run stops.
-    The state is four numbers per run; each call sees only that run's rows of one micro-batch."""
+    """T4: early stopping over epochs that arrive in any order and any number of files. The state is the run's history
+    (bounded by its epochs), kept in epoch order. Every micro-batch that brings rows of a run emits the run's result so
+    far with the number of rows it rests on; ``latest_stop`` keeps the last one, so that runs that never stop end too."""
     return stream.groupBy("run").applyInPandasWithState(
         _stopper(patience), STOP_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_stop(results: DataFrame) -> DataFrame:
+    """The result that rests on most rows, per run."""
+    cols = ["best_epoch", "best_val_mae", "steps_run"]
+    return results.groupBy("run").agg(F.max_by(F.struct(*cols), "rows_seen").alias("_r")).select("run", "_r.*")

@@ -53,3 +53,15 @@ def test_running_sum_matches_window(spark):
     a = ledger.running_sum(df, "seq", "v", "cum", width=333)
     b = df.withColumn("cum2", F.sum("v").over(Window.orderBy("seq")))
     assert a.join(b, "seq").filter(F.col("cum") != F.col("cum2")).count() == 0
+
+
+def test_json_values_as_python_writes_them(spark):
+    import json
+
+    from augeval.operators.ledger import json_float, json_text
+    texts = ["plain", "é漢😀", 'a"b\\c', "line\nbreak\ttab\r\b\f\x01\x7f", "", "\u2028"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(json_text("t")).collect()
+    assert [r[0] for r in got] == [json.dumps(t) for t in texts]
+    nums = [3e-05, 0.0001, 1.5, -2.0, 0.0, -0.0, 123456789.125, 1e15, 1e16, 1.25e+22, 1e-300, 0.1, 100.0, 9999999.0, 12345678.9, 5e-324]
+    got = spark.createDataFrame([(x,) for x in nums], "x double").select(json_float("x")).collect()
+    assert [r[0] for r in got] == [json.dumps(x) for x in nums]

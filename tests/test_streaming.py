@@ -17,7 +17,7 @@ def test_late_row_ignored(spark, sf):
     late = log.filter(F.col("date") == first_day).limit(1).withColumn("custom_id", F.lit("late_row")) \
         .withColumn("seq", F.lit(10 ** 9).cast("bigint"))
     write_log(late, path, "append")                      # arrives after the watermark passed its day
-    out = ls.run_to_table(ls.cost_windows(ls.read_stream(spark, path), "1 hour"), spark, "late-out")
+    out = ls.run_to_table(ls.cost_windows(ls.read_stream(spark, path, files_per_trigger=1), "1 hour"), spark, "late-out")
     got = out.filter(F.col("day") == first_day).agg(F.sum("requests")).first()[0]
     expected = log.filter(F.col("date") == first_day).count()
     assert got == expected                               # the late copy is not counted
@@ -29,3 +29,22 @@ def test_ingest_one_row_per_id(spark, sf):
     ls.write_batches(log, path, "seq", 3)
     out = ls.run_to_table(ls.ingest(ls.read_stream(spark, path), "400 days").select("custom_id", "seq"), spark, "ing")
     assert out.count() == out.select("custom_id").distinct().count() == log.select("custom_id").distinct().count()
+
+
+def test_early_stop_holds_with_many_files_in_any_order(spark):
+    """Eight files per batch, rows shuffled over them: the stream gives the batch twin's rows."""
+    import random
+
+    from augeval.operators.paired import early_stop
+    r = random.Random(5)
+    rows = [(run, e, r.choice([5.0, 4.0, 3.0, 2.0, 1.0, 6.0])) for run in range(20) for e in range(1, r.randrange(2, 15))]
+    r.shuffle(rows)
+    schema = "run long, epoch long, val_mae double, ts timestamp_ntz"
+    d = spark.createDataFrame([(*x, None) for x in rows], schema)
+    path = scratch_path(spark, "t4-test")
+    d.repartition(20).write.json(path)
+    s = ls.read_stream(spark, path, d.schema, files_per_trigger=8)
+    got = ls.latest_stop(ls.run_to_table(ls.early_stop_stream(s.select("run", "epoch", "val_mae"), 3), spark, "t4t"))
+    want = early_stop(d, ["run"], "epoch", "val_mae", 3)
+    assert {tuple(x) for x in got.select("run", "best_epoch", "best_val_mae", "steps_run").collect()} == \
+        {tuple(x) for x in want.select("run", "best_epoch", "best_val_mae", "steps_run").collect()}

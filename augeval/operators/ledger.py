@@ -113,10 +113,12 @@ def json_text(c) -> Column:
 def json_float(c) -> Column:
     """A double as JSON text in Python's form: shortest digits, positional from 1e-4 to below 1e16, else like 3e-05."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
-    s = F.abs(c).cast("string")
+    size = F.abs(c)   # the fewest digits that give the number back
+    written = [F.format_string(f"%.{k}E", size) for k in range(17)]
+    s = F.coalesce(*[F.when(w.try_cast("double") == size, w) for w in written], size.cast("string"))
     mantissa = F.substring_index(s, "E", 1)
     power = F.coalesce(F.when(F.contains(s, F.lit("E")), F.substring_index(s, "E", -1).try_cast("int")), F.lit(0))
-    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    whole, part = F.substring_index(mantissa, ".", 1), F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise(F.lit(""))
     digits = F.concat(whole, part)
     lead = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
     d = F.rtrim(F.ltrim(digits, F.lit("0")), F.lit("0"))

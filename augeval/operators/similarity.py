@@ -53,3 +53,30 @@ def max_tanimoto(query: DataFrame, ref: DataFrame, id_col: str = "vec_id", bits_
     best = pairs.groupBy("qid").agg(F.max(F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("_m"))
     base = query.select(F.col(id_col).alias("qid"))
     return base.join(best, "qid", "left").select(F.col("qid").alias(id_col), F.coalesce("_m", F.lit(0.0)).alias(out))
+
+
+def nearest_at_least(query: DataFrame, ref: DataFrame, minimum: float, id_col: str = "doc_id", bits_col: str = "bits",
+                     out: str = "max_tanimoto") -> DataFrame:
+    """Largest Tanimoto similarity of each query item to any reference item, exact where it is ``minimum`` or more, else 0.
+
+    Distinct fingerprints are compared once. Bits are ordered from rare to common by their count among the references (a
+    table bounded by the fingerprint's width); sets that reach the minimum share one of the first
+    a - ceil(minimum * a) + 1 bits of each side, so only those prefixes are joined, under the size bound
+    minimum * a <= b <= a / minimum; the full lists are compared for the pairs that remain."""
+    freq = ref.select(F.explode(bits_col).alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
+    freq = freq.agg(F.map_from_entries(F.collect_list(F.struct("bit", "n"))).alias("_f"))   # one entry a bit
+
+    def prefixes(df, side):
+        d = df.select(F.array_sort(bits_col).alias(side)).where(F.size(side) > 0).distinct().withColumn("_f", freq.select("_f").scalar())
+        keyed = F.array_sort(F.transform(side, lambda x: F.struct(F.coalesce(F.try_element_at("_f", x), F.lit(0)).alias("n"), x.alias("bit"))))
+        n = F.size(side)
+        length = (n - F.ceil(n * F.lit(minimum)) + 1).cast("int")
+        return d.select(side, F.explode(F.slice(keyed, F.lit(1), length)).alias("_p")).select(side, F.col("_p.bit").alias("bit"))
+
+    q, r = prefixes(query, "_q"), prefixes(ref, "_r")
+    a, b = F.size("_q"), F.size("_r")
+    met = q.join(r, "bit").where((b >= a * minimum) & (a >= b * minimum)).select("_q", "_r").distinct()
+    c = F.size(F.array_intersect("_q", "_r"))
+    best = met.select("_q", F.try_divide(c, a + b - c).alias("_s")).where(F.col("_s") >= minimum).groupBy("_q").agg(F.max("_s").alias(out))
+    base = query.select(id_col, F.array_sort(bits_col).alias("_q"))
+    return base.join(best, "_q", "left").select(id_col, F.coalesce(out, F.lit(0.0)).alias(out))

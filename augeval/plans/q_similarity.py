@@ -75,3 +75,39 @@ def q_dense_histogram(spark, sf):
 def q_quantile_summary(spark, sf):
     """Exact quantiles, shares above / below thresholds, identical fingerprints."""
     return metrics.quantile_summary(_tanimoto(spark, sf), "max_tanimoto", QS, 0.7, 0.4)
+
+
+MIN_SIMILARITY = 0.25
+_BENCH_FP_SQL = _FP_SQL.replace("doc_id", "item_id").replace("documents", "benchmark")
+_NEAR_SQL = f"""SELECT d.doc_id, coalesce(max(s), 0.0) AS max_tanimoto FROM fp d LEFT JOIN (
+    SELECT doc_id, s FROM (SELECT q.doc_id, r.item_id, CAST(count(*) AS DOUBLE) / (any_value(q.a) + any_value(r.b) - count(*)) AS s
+      FROM (SELECT doc_id, len(bits) AS a, unnest(bits) AS bit FROM fp) q JOIN (SELECT item_id, len(bits) AS b, unnest(bits) AS bit FROM bfp) r ON q.bit = r.bit
+      GROUP BY 1, 2) WHERE s >= {MIN_SIMILARITY}) x ON x.doc_id = d.doc_id GROUP BY d.doc_id"""
+_NEAR_EXTRA = [("fp", _FP_SQL), ("bfp", _BENCH_FP_SQL)]
+
+
+def _nearest(spark, sf):
+    d = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    b = load(spark, sf, "benchmark").select("item_id", "text")
+    return similarity.nearest_at_least(similarity.fingerprint(d, "text", BITS, RADIUS), similarity.fingerprint(b, "text", BITS, RADIUS), MIN_SIMILARITY)
+
+
+@query("nearest_benchmark", with_roles(_NEAR_SQL, extra=_NEAR_EXTRA))
+def q_nearest_benchmark(spark, sf):
+    """M1 into J10: fingerprint similarity of every document to its nearest benchmark item, exact from 0.25 on."""
+    return _nearest(spark, sf)
+
+
+@query("error_by_similarity", with_roles(f"""
+  SELECT CASE WHEN GROUPING(band) = 1 THEN 'all' ELSE band END AS stratum, count(*) AS n, avg(n_chars) AS mean_chars, avg(quality) AS mean_quality
+  FROM (SELECT {_band_case('max_tanimoto')} AS band, d.n_chars, l.quality FROM near JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id))
+  WHERE band IS NOT NULL GROUP BY ROLLUP (band)
+""", extra=[*_NEAR_EXTRA, ("near", _NEAR_SQL)]))
+def q_error_by_similarity(spark, sf):
+    """M1, J10 and A15 in one: documents by their similarity to the benchmark, with size and label per stratum (rollup)."""
+    d = _nearest(spark, sf).join(load(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id") \
+        .join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = d.withColumn("band", metrics.band("max_tanimoto", SIM_EDGES)).where("band is not null")
+    r = d.rollup("band").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars"), F.avg("quality").alias("mean_quality"),
+                             F.grouping("band").alias("_g"))
+    return r.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("band")).alias("stratum"), "n", "mean_chars", "mean_quality")

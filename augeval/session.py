@@ -76,10 +76,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for tables a plan writes and reads back."""
+    """A fresh folder under the shared checkpoint folder for tables a plan writes and reads back.
+
+    All folders of an application lie under one, which ``drop_scratch`` removes."""
     import uuid
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/augeval-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/augeval-scratch/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Remove the tables that this application's plans have written. Call it when their results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:

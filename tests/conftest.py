@@ -13,6 +13,8 @@ def spark():
     from augeval.session import get_spark
     s = get_spark("local[4]", app="augeval-tests", shuffle_partitions=8)
     yield s
+    from augeval.session import drop_scratch
+    drop_scratch(s)
     s.stop()
 
 

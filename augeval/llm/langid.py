@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augeval.llm.textops import CHUNK_BYTES, LOWER, crc32_mod, mix, set_batches, span_hash, text_chunks, words_of
+from augeval.llm.textops import CHUNK_BYTES, LOWER, crc32_mod, mix, set_batches, span_hash, sparse_rows, text_chunks, words_of
 
 BITS = 16
 DIM = 16
@@ -99,7 +99,7 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = known.join(F.broadcast(ids), "doc_id").mapInArrow(_vectors(), "doc_id long, lang string, buckets array<int>, shares array<float>") \
         .where("size(buckets) > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "buckets").limit(limit).toArrow()
-    x = [(np.array(i, np.int64), np.array(s)) for i, s in zip(rows.column("buckets").to_pylist(), rows.column("shares").to_pylist(), strict=True)]
+    x = sparse_rows(rows, "buckets", "shares")
     return sgd(x, rows.column("lang").to_pylist())
 
 

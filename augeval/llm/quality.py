@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augeval.llm.textops import LOWER, crc32_mod, mix, segment_sum, set_batches, span_hash, text_chunks
+from augeval.llm.textops import LOWER, crc32_mod, mix, segment_sum, set_batches, span_hash, sparse_rows, text_chunks
 
 BITS = 18
 SCALE = 30.0
 FOLDS = 5
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 
@@ -97,10 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     ids = d.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = d.join(F.broadcast(ids), "doc_id").mapInArrow(_vectors(), "doc_id long, quality int, buckets array<int>, counts array<float>") \
         .orderBy(F.xxhash64("doc_id"), "doc_id", F.col("buckets")).limit(limit).toArrow()
-    cols = [rows.column(c).combine_chunks() for c in ("buckets", "counts")]
-    x = [(np.asarray(i), SCALE * np.asarray(c) / max(1.0, float(np.sum(c)))) for i, c in zip(
-        *[[v.as_py() for v in c] for c in cols], strict=True)]
-    x = [(i.astype(np.int64), c) for i, c in x]
+    x = [(i, SCALE * c / max(1.0, float(c.sum()))) for i, c in sparse_rows(rows, "buckets", "counts")]
     return ftrl(x, rows.column("quality").to_numpy())
 
 

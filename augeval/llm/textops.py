@@ -166,3 +166,14 @@ def set_batches(spark, records: int = 1000) -> None:
     """Bound the rows and the bytes of an Arrow batch sent to a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def sparse_rows(table, index: str, value: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of two list columns of equal lengths as numpy slices (no Python object per element)."""
+    out = []
+    for i, v in zip(table.column(index).chunks, table.column(value).chunks, strict=True):
+        at = i.offsets.to_numpy()
+        idx, val = i.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)
+        start = v.offsets.to_numpy()
+        out += [(idx[a:b], val[c:c + b - a]) for a, b, c in zip(at[:-1], at[1:], start[:-1], strict=True)]
+    return out

@@ -13,7 +13,7 @@ radius of about 0.1 n in every coordinate exceeds the spread of the counts of un
 
 1. every set is compared with the node's smallest member (one star per node), which joins most copies;
 2. in nodes that still hold several components, members of different components are compared: nodes of up to SMALL
-   sets give their pairs (a pair that meets in many nodes is compared once); larger nodes are cut into leaves of
+   sets give their pairs (compared once, and only if they meet in as many nodes as a link must); larger nodes are cut into leaves of
    bounded size, and leaf pairs go down by the bound "sum of coordinate minima of the two boxes", then the same bound
    for two points. A first round takes only as many pairs as would join the components, a second one all pairs that
    are still between components: few, as the bound is close.
@@ -26,6 +26,8 @@ Cases: a null or empty text, or one without words, has n_shingles 0 and links wi
 a null component; rows that repeat an id stay separate rows, each by its own text; other columns are ignored."""
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,11 +62,25 @@ def _distance(total: np.ndarray, num: int, den: int) -> np.ndarray:
     return total * (den - num) // (den + num)
 
 
+def _spare(most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks beyond the largest difference, on each side of the count, and how many of them a text leaves out."""
+    spare = 1 + most // 6
+    return spare, np.maximum(1, spare // 2)
+
+
+def shared_nodes(n: int, num: int, den: int) -> int:
+    """Least number of nodes that a set of n shingles shares with a linked set of its size or more."""
+    edges = size_edges(n + 1)
+    last = int(edges[np.searchsorted(edges, n, "right")]) - 1
+    spare, out = _spare(np.array([_distance(2 * last, num, den)]))
+    return int(2 * (spare[0] - out[0]) + 1)
+
+
 def block_points(h: np.ndarray, bounds: np.ndarray, num: int, den: int, common: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, text) of every block point that the texts of a chunk enter in the tree.
 
     A text that differs from a partner in at most r shingles looks at its first r + 2 s + 1 blocks (s by class) and
-    leaves out s of them: at least 2 s + 1 are equal, each side leaves out s, one stays. It leaves out the blocks whose
+    leaves out d <= s of them: at least 2 s + 1 are equal, each side leaves out d, so 2 (s - d) + 1 stay. It leaves out the blocks whose
     rarest shingle is the most common (``common``: sorted hashes and their counts), then those with the fewest shingles."""
     n = np.diff(bounds)
     if not len(h):
@@ -82,7 +98,7 @@ def block_points(h: np.ndarray, bounds: np.ndarray, num: int, den: int, common:
         last = edges[np.minimum(c + 1, len(edges) - 1)] - 1
         r = _distance(n + np.minimum(top, last), num, den)
         most = _distance(2 * last, num, den)
-        spare = 1 + most // 6
+        spare, out = _spare(most)
         m = most + 2 * spare + 1
         use = (n > 0) & (r > 0) & ((top >= edges[np.minimum(c, len(edges) - 1)]) if up else True)
         rows = np.flatnonzero(np.repeat(use, n))
@@ -106,15 +122,15 @@ def block_points(h: np.ndarray, bounds: np.ndarray, num: int, den: int, common:
         cell = cell[at]
         dd = cell // width
         filled = np.bincount(dd, minlength=len(n))
-        drop = np.maximum(spare - (look - filled), 0)
+        drop = np.maximum(out - (look - filled), 0)
         by_size = np.lexsort((size, -rarest, dd))
         rank = np.empty(len(dd), np.int64)
         rank[by_size] = np.arange(len(dd)) - np.searchsorted(dd, dd[by_size])
         stay = rank >= drop[dd]
         cell, point = cell[stay], point[stay]
-        for t in np.flatnonzero(use & (look - filled > spare)):  # more empty blocks than may be left out: enter those too
+        for t in np.flatnonzero(use & (look - filled > out)):  # more empty blocks than may be left out: enter those too
             have = cell[(cell >= t * width) & (cell < (t + 1) * width)] - t * width
-            miss = np.setdiff1d(np.arange(look[t]), have)[spare[t]:]
+            miss = np.setdiff1d(np.arange(look[t]), have)[out[t]:]
             cell = np.concatenate([cell, t * width + miss])
             point = np.concatenate([point, np.zeros(len(miss), np.uint64)])
         dd = cell // width
@@ -208,16 +224,18 @@ def _within_bound(num: int, den: int):
     return run
 
 
-def _pairs():
-    """Pairs of different components in small nodes."""
+def _pairs(num: int, den: int):
+    """Pairs of different components in small nodes whose sizes allow a link, with the nodes that a link would share."""
     def run(batches):
+        least = lru_cache(100_000)(lambda n: shared_nodes(n, num, den))
         for b in batches:
             out = []
             for members in b.column("members").to_pylist():
-                m = sorted((x["key"], x["comp"]) for x in members)
-                out += [(k, j) for i, (k, c) in enumerate(m) for j, d in m[:i] if c != d]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
-                                             names=["a", "b"])
+                m = sorted((x["key"], x["comp"], x["n"]) for x in members)
+                out += [(k, j, least(min(n, o))) for i, (k, c, n) in enumerate(m) for j, d, o in m[:i]
+                        if c != d and den * min(n, o) >= num * max(n, o)]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "least"])
     return run
 
 
@@ -342,8 +360,8 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     entries = d.mapInArrow(_entries(words, num, den, buckets, common), SCHEMA)
     nodes = cut_lineage(met(entries), "jaccard-nodes")
     rep = keyed.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_key").alias("key")).agg(
-        F.min("doc_id").alias("rep"))
-    wanted = nodes.select("key").union(nodes.select(F.col("lead").alias("key"))).distinct().join(rep, "key")
+        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    wanted = nodes.select("key").union(nodes.select(F.col("lead").alias("key"))).distinct().join(rep.select("key", "rep"), "key")
     held = wanted.join(d, F.col("rep") == F.col("doc_id")).select("key", "text")
     held = cut_lineage(held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary").dropDuplicates(["key"]), "jaccard-sets")
 
@@ -355,8 +373,11 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         F.least(F.min("b"), F.first("a")).alias("component"))
     member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
     member = cut_lineage(_mixed(member, hop), "jaccard-members")
-    small = member.where(F.col("size") <= SMALL).groupBy("sig").agg(F.collect_list(F.struct("key", "comp")).alias("members"))
-    near = small.select("members").mapInArrow(_pairs(), "a long, b long")
+    # A linked pair that meets in no large node shares at least ``least`` small ones; the others meet in the leaves below.
+    small = member.where(F.col("size") <= SMALL).join(rep.select("key", "n"), "key").groupBy("sig").agg(
+        F.collect_list(F.struct("key", "comp", "n")).alias("members"))
+    near = small.select("members").mapInArrow(_pairs(num, den), "a long, b long, least long").groupBy("a", "b").agg(
+        F.count("*").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     large = member.where(F.col("size") > SMALL)
     # Pairs that would join all components; where one of them is no link, all pairs that the points allow.
     near = near.union(_leaf_join(large, held, num, den, True)).distinct()

@@ -224,7 +224,7 @@ def q_parse_list_literal(spark, sf):
     ("k", "SELECT * FROM ex UNION ALL SELECT * FROM al"),
     ("b", "SELECT * FROM k UNION ALL SELECT synthetic_set, entity_id, value, split, 'either' FROM k"),
     ("m", """SELECT b.*, r.value AS real_value, b.value - r.value AS err FROM b
-             JOIN real r ON r.split = b.split AND r.entity_id = b.entity_id""")]))
+             JOIN real r ON r.split = b.split AND r.entity_id = b.entity_id""")]), digits=8, tie_safe=True)
 def q_memorization(spark, sf):
     """Memorization of each synthetic set against each real split, by match kind and 'either'."""
     return holdout.memorization(stages.syn_keyed(spark, sf), stages.real(spark, sf))

@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: one document of each group linked at Jaccard 0.8 of five-word shingles stays (the smallest id; of rows
-    that repeat an id and its set, each stays). Documents without words stay."""
+    """Stage 2: one document of each group linked at Jaccard 0.8 of five-word shingles stays, the one with the smallest id
+    (rows that repeat an id stay or go together). Documents without words or without an id stay."""
     from augeval.llm.jaccard_join import link_components
     groups = link_components(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()

@@ -1,15 +1,19 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Tokens are tags, told apart by their open containers, and whole text nodes outside the article. A token's occurrence vector over
+Tokens are tags, told apart by their open container and, for containers, by class or id (long numbers apart), and whole text nodes outside
+the article. A token's occurrence vector over
 the pages of its host is kept as an order-free hash (exclusive or over pages of a hash of page and count), so it is
 summed map-side and no host is ever gathered. Tokens of one vector are an equivalence class. The class of tokens that
 stand once on every page of the host is the root of its template; classes of two or more tokens (an opening and its
 end tag at least) that stand on half of the pages nest in the root's gaps. The gaps between template tokens are slots.
 
-A slot is main text when its containers are: inside an article (or main element, or else the body) and in no menu, header,
-footer, sidebar, notice, advert, form, script, style or comment section. Outside an article, text nodes that are template
-tokens (on at least TEXT_PAGES pages and half of the host) are boilerplate as well; inside one nothing is dropped, so
-that passages that pages share stay. Blocks follow block elements, a line break is white space.
+Text is main inside an article (or main element, or else the body), but for menus, headers, footers, sidebars, forms, hidden elements,
+scripts, styles and comment sections. A class word counts when it is a whole class token (``sponsored-box``, not
+``has-sidebar``); it never drops an article or main element, but for comments and teasers, nor an article inside its container, nor a
+container inside an article by a word that texts use as well (``_UNSURE``).
+
+Outside an article, text nodes that are template tokens (on at least TEXT_PAGES pages and half of the host) are boilerplate as well;
+passages that pages share inside one stay. Blocks follow block elements, a line break is white space.
 
 Cases: null html counts as empty and gives an empty text; a null address is the host ''; a host with one page has a template of its own
 tags, which lose no text; unclosed and stray tags are tolerated, and an article that opens in an unclosed menu is read; long pages
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +38,7 @@ _MASK = (1 << 64) - 1
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button", "canvas",
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "button", "canvas",
         "audio", "video", "noframes"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _CONTAINERS = {"html", "head", "body", "div", "nav", "ul", "ol", "li", "article", "section", "header", "footer", "aside", "main", "table",
@@ -46,75 +51,138 @@ _BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advert
                       "modal", "newsletter", "subscribe", "comments", "comment", "commentlist", "disqus", "replies", "footer", "share", "sharing",
                       "social", "related", "toolbar", "pagination", "pager", "login", "signup", "masthead", "complementary", "contentinfo", "search"}
 _KEEP_SKIPPING = {"comments", "comment", "commentlist", "disqus", "replies", "related", "aside", "sidebar"}
+_COMMENTS = {"comments", "comment", "commentlist", "disqus", "replies"}
+_UNSURE = {"banner", "menu", "nav", "navigation", "notice", "notices", "footer", "header", "share", "sharing", "social", "related", "search", "consent",
+           "cookie", "cookies", "complementary", "contentinfo", "login", "signup", "modal", "promo", "sponsor", "subscribe"}
+# Words that say nothing by themselves, beside a boilerplate word in a class token.
+_PLAIN = {"box", "block", "container", "wrapper", "wrap", "area", "section", "list", "item", "items", "widget", "bar", "panel", "unit", "slot", "links",
+          "inner", "outer", "top", "bottom", "left", "right", "site", "page", "global", "main", "buttons", "button", "posts", "articles", "body", "entry", "thread", "div"}
+_TEASERS = {"teaser", "teasers", "article", "card"}
+_SLOTS = {"body", "div", "article", "section", "header", "footer", "aside", "main", "nav", "form", "center", "details", "fieldset"}
+_DEEP = 30           # containers of a slot's path
+RICH = 0.2           # text a page, against the main slot, of a rich slot
 PAGE = "<page>"
 
 
+class Block(NamedTuple):
+    text: str
+    article: bool
+    main: bool
+    doubt: int       # 1: inside a container with an unsure class word, 2: with a sure one
+    slot: str
+    linked: int      # characters in links
+    head: bool       # in a first heading
+    side: bool       # in an article or main element inside a side container (teasers, or all the text of the page)
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
 
 
-def _marks(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words, hidden = set(), False
+def _named(token: str) -> str:
+    return token if len(token) <= 60 else f"{token[0]}#{_hash(token):016x}"
+
+
+def _marks(attributes: str) -> tuple[set[str], str, bool, bool]:
+    """Boilerplate words of class, id and role, the label of the element, whether it is a teaser and whether it is hidden."""
+    words, label, teaser, hidden = set(), "", False, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            words |= {w.lower() for w in _WORD.findall(value)}
+            if name == "class" or name == "id" and not label:
+                label = "." + re.sub(r"\d{3,}", "#", ".".join(value.split()))
+            for token in value.split():
+                parts = {w.lower() for w in _WORD.findall(token) if not w.isdigit()}
+                bad = parts & (_BOILERPLATE_WORDS | {"header"})
+                if bad and parts <= bad | _PLAIN:
+                    words |= bad
+                teaser |= bool(parts & {"teaser", "teasers"}) and parts <= _TEASERS | _PLAIN
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
-    return words, hidden
+    return words, label, teaser, hidden
+
+
+class Open(NamedTuple):
+    name: str
+    label: str
+    boilerplate: bool
+    endable: bool    # may be ended by an article
+    outer: tuple[int, bool, str]  # doubt, side and slot around it
 
 
 class Reader:
-    """One pass over a page: calls ``tag(token)`` for tags and collects blocks as (text, in article, in main)."""
+    """One pass over a page: its tokens, its blocks, and how often each slot of the template's containers opens."""
 
-    def __init__(self, page: str):
-        self.page = page
+    def __init__(self, page: str, template: frozenset[str] = frozenset()):
+        self.page, self.template = page, template
         self.tokens: list[str] = []
-        self.blocks: list[tuple[str, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, may be ended by an article
+        self.blocks: list[Block] = []
+        self.runs: dict[str, int] = {}
+        self.stack: list[Open] = []
         self.parts: list[str] = []
         self.article = self.main = 0
         self.skip = 0
+        self.doubt, self.side, self.slot = 0, False, ""
+        self.linked, self.link, self.head = 0, False, False
         self.read()
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(references.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append((text, self.article > 0, self.main > 0))
-            self.parts = []
+                self.blocks.append(Block(text, self.article > 0, self.main > 0, self.doubt, self.slot, min(self.linked, len(text)), self.head,
+                                         self.side and (self.article > 0 or self.main > 0)))
+            self.parts, self.linked = [], 0
 
     def pop(self) -> None:
-        name, boiler, _ = self.stack.pop()
-        self.skip -= boiler
-        self.article -= name == "article"
-        self.main -= name == "main"
-
-    def open(self, name: str, attributes: str) -> None:
-        words, hidden = _marks(attributes) if attributes else (set(), False)
-        bad = words & _BOILERPLATE_WORDS
-        if name in ("article", "main") and not bad and not hidden:
-            while self.skip and any(b for _, b, _ in self.stack):  # an element that was never closed
-                if not self.stack[-1][1] or self.stack[-1][2]:
-                    self.pop()
-                else:
-                    break
-        boiler = hidden or name in _BOILERPLATE_TAGS or bool(bad) or (name == "header" and not self.article) or ("header" in words and not self.article)
+        o = self.stack.pop()
+        self.skip -= o.boilerplate
+        self.article -= o.name == "article"
+        self.main -= o.name == "main"
+        self.doubt, self.side, self.slot = o.outer
+
+    def open(self, name: str, attributes: str) -> str:
+        """Puts the element on the stack and returns its token."""
+        bad, label, teaser, hidden = _marks(attributes) if attributes else (set(), "", False, False)
+        label = name if name in ("html", "body", "article", "main") else name + label
+        own = name in ("article", "main")
+        if own:
+            bad = bad & _COMMENTS
+            teaser = teaser and name == "article"
+            if not bad and not teaser and not hidden:
+                while self.skip and any(o.boilerplate for o in self.stack):  # an element that was never closed
+                    if not self.stack[-1].boilerplate or self.stack[-1].endable:
+                        self.pop()
+                    else:
+                        break
+        elif name in ("html", "body") or self.article:
+            bad = set() if name in ("html", "body") else bad - {"header"}
+        boiler = hidden or name in _BOILERPLATE_TAGS or bool(bad & _COMMENTS) or (own and teaser) or (name == "header" and not self.article)
         if name in ("html", "body"):
             boiler = False
-        self.stack.append((name, boiler, boiler and not (bad | {name}) & _KEEP_SKIPPING))
+        parent = self.stack[-1].label if self.stack else ""
+        self.stack.append(Open(name, label, boiler, boiler and not (bad | {name}) & _KEEP_SKIPPING, (self.doubt, self.side, self.slot)))
         self.skip += boiler
         self.article += name == "article"
         self.main += name == "main"
+        if own:
+            self.doubt = 0
+        elif bad:
+            self.doubt = max(self.doubt, 2 if bad - _UNSURE else 1)
+            self.side = self.side or not (self.article or self.main) and bool(bad & _KEEP_SKIPPING)
+        token = f"{parent}<{label}"
+        if name in _SLOTS and self.template and _named(token) in self.template and self.slot.count("/") < _DEEP:
+            self.slot += "/" + label
+            self.runs[self.slot] = self.runs.get(self.slot, 0) + 1
+        return token
 
     def close(self, name: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
+            if self.stack[k].name == name:
                 while len(self.stack) > k:
                     self.pop()
                 return
-            if self.stack[k][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
+            if self.stack[k].name in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                 return
 
     def read(self) -> None:
@@ -129,18 +197,18 @@ class Reader:
                 if page[m.start()] != "<" or m.end() == m.start() + 1:
                     if not self.skip:
                         self.parts.append(m[0])
+                        if self.link:
+                            self.linked += len(m[0].strip())
                 continue
             name = name.lower()
             ending = m[1] == "/"
             if not ending:
                 if name == "body":  # ends an unclosed head
-                    while self.stack and self.stack[-1][0] == "head":
+                    while self.stack and self.stack[-1].name == "head":
                         self.pop()
-                path = self.stack[-1][0] if self.stack else ""
-                self.tokens.append(f"{path}<{name}")
-            else:
-                self.tokens.append(f"</{name}")
+            path = self.stack[-1].label if self.stack else ""
             if name in _RAW and not ending:
+                self.tokens.append(f"{path}<{name}")
                 if not m[3].endswith("/"):
                     stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                     at = stop.end() if stop else (end if name in ("script", "style") else at)
@@ -149,13 +217,18 @@ class Reader:
                 continue
             if name in _BLOCKS:
                 self.flush()
+                self.head, self.link = name == "h1" and not ending, False
             elif name == "br" and not self.skip:
                 self.parts.append(" ")
-            if name in _CONTAINERS:
-                if ending:
-                    self.close(name)
-                elif not m[3].endswith("/"):
-                    self.open(name, m[3])
+            elif name == "a":
+                self.link = not ending
+            if name not in _CONTAINERS or not ending and m[3].endswith("/"):
+                self.tokens.append(f"</{name}" if ending else f"{path}<{name}")
+            elif ending:
+                self.tokens.append("</" + next((o.label for o in reversed(self.stack) if o.name == name), name))
+                self.close(name)
+            else:
+                self.tokens.append(self.open(name, m[3]))
         self.flush()
 
 
@@ -164,9 +237,9 @@ def _page_tokens(page: str) -> dict[str, int]:
     count: dict[str, int] = {PAGE: 1}
     for t in r.tokens:
         count[t] = count.get(t, 0) + 1
-    for text, article, _ in r.blocks:
-        if not article:
-            count["=" + text] = count.get("=" + text, 0) + 1
+    for b in r.blocks:
+        if not b.article:
+            count["=" + b.text] = count.get("=" + b.text, 0) + 1
     return count
 
 
@@ -177,8 +250,7 @@ def _vectors():
             seen: dict[tuple[str, str], list[int]] = {}
             for host, page, text in zip(*[b.column(c).to_pylist() for c in ("host", "page", "html")], strict=True):
                 for token, n in _page_tokens(text).items():
-                    name = token if len(token) <= 60 else f"{token[0]}#{_hash(token):016x}"
-                    s = seen.setdefault((host, name), [0, 0, 0])
+                    s = seen.setdefault((host, _named(token)), [0, 0, 0])
                     s[0] += 1
                     s[1] += n
                     x = ((page & _MASK) * 0x9E3779B97F4A7C15 + n * 0xD6E8FEB86659FD93) & _MASK
@@ -217,15 +289,20 @@ def templates(pages: DataFrame) -> DataFrame:
     return per_host.join(texts, "host", "left").select("host", "n_pages", "root", "nested", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
 
 
-def main_text(page: str, texts: set[str]) -> str:
-    """Blocks of the main slots of a page under the template texts of its host, one to a line."""
-    blocks = Reader(page).blocks
-    held = [t for t, article, _ in blocks if article]
+def main_text(page: str, texts: set[str], template: frozenset[str] = frozenset(), slots: dict[str, bool] | None = None) -> str:
+    """Blocks of the main slots of a page under the template texts, the template containers and the judged slots of its host, one to a line."""
+    blocks, slots = Reader(page, template).blocks, slots or {}
+    own = [b for b in blocks if b.article or _named("=" + b.text) not in texts]
+    held = [b for b in own if slots.get(b.slot) and b.doubt < (2 if b.article or b.main else 1)]
+    if not held:  # by the list alone
+        held = [b for b in blocks if b.article and not b.side and b.doubt < 2 and not (b.doubt and slots.get(b.slot) is False)]
     if not held:
-        inside = [t for t, _, main in blocks if main] or [t for t, _, _ in blocks]
-        named = [(t, "=" + t if len(t) < 60 else f"=#{_hash('=' + t):016x}") for t in inside]
-        held = [t for t, n in named if n not in texts]
-    return "\n".join(held)
+        inside = [b for b in blocks if b.main and not b.side and b.doubt < 2] or [b for b in blocks if not b.doubt and not b.side]
+        held = [b for b in inside if _named("=" + b.text) not in texts]
+        side = [b for b in blocks if b.side and b.doubt < 2]
+        if not any(b.main for b in held) and sum(len(b.text) for b in side) > sum(len(b.text) for b in held):
+            held = side
+    return "\n".join(b.text for b in held)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -35,3 +35,16 @@ def test_extract_with_host_templates(spark, frame):
     t = {r.host: r for r in templates(p).collect()}
     assert t["h.example"].n_pages == 8 and "body<article" in t["h.example"].root and "</footer" in t["h.example"].root
     assert extract(frame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<article class="post has-sidebar"><p>a</article>', "a"), ('<main class="no-sidebar"><p>a</main><p>b', "a"),
+    ('<div class="content comments-open"><article><p>a</article></div>', "a"), ('<div class="sidebar-wrapper"><main><p>long text</main></div><p>x', "long text"),
+    ('<article><p>a<section id="related-work"><p>b</section><section id="search-methods"><p>c</section></article>', "a\nb\nc"),
+    ('<article><p>a<section id="search"><p>b</section><p>x <math><mi>y</mi><mo>=</mo><mn>1</mn></math></article>', "a\nb\nx y=1"),
+    ('<article><p>a</article><div class="sidebar"><article><p>teaser</article></div>', "a"),
+    ('<article class="teaser-box"><p>t</article><article><p>a</article><article class="comment"><p>c</article>', "a"),
+    ('<article class="sidebar"><p>a<div class="ad-300">ad</div><div class="comment-list">c</div></article>', "a"),
+])
+def test_class_words_are_whole_tokens_and_keep_articles(html, want):
+    assert main_text(html, set()) == want

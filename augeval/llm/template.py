@@ -7,10 +7,15 @@ summed map-side and no host is ever gathered. Tokens of one vector are an equiva
 stand once on every page of the host is the root of its template; classes of two or more tokens (an opening and its
 end tag at least) that stand on half of the pages nest in the root's gaps. The gaps between template tokens are slots.
 
-Text is main inside an article (or main element, or else the body), but for menus, headers, footers, sidebars, forms, hidden elements,
-scripts, styles and comment sections. A class word counts when it is a whole class token (``sponsored-box``, not
-``has-sidebar``); it never drops an article or main element, but for comments and teasers, nor an article inside its container, nor a
-container inside an article by a word that texts use as well (``_UNSURE``).
+Every page is cut at the containers whose tags are root or nested tokens of its host; a slot is the text between them, told
+apart by its path of such containers. Each slot is judged over the host's pages (``judge``): how many pages hold it, how many different texts
+it has, how much of it is links, how much text a page. Fixed slots and slots of links are boilerplate; of the others the one with most text is main (inside
+an article or main element where one has a fair share of it), and with it those inside the article, and outside those that
+are rich and do not repeat on a page, as comments do. The tag list is a check: what stands in a menu, header, footer, sidebar, form, hidden
+element, script, style or comment section is no slot. A class word counts when it is a whole class token (``sponsored-box``, not
+``has-sidebar``); it never drops an article or main element, but for comments and teasers, nor an article inside its container, and of the words that texts use as
+well (``_UNSURE``) it drops a container inside an article only where the slots confirm it. Hosts of fewer than TEXT_PAGES pages
+and pages without text in the chosen slots are read by the list alone: article, or main element, or else the body.
 
 Outside an article, text nodes that are template tokens (on at least TEXT_PAGES pages and half of the host) are boilerplate as well;
 passages that pages share inside one stay. Blocks follow block elements, a line break is white space.
@@ -289,6 +294,96 @@ def templates(pages: DataFrame) -> DataFrame:
     return per_host.join(texts, "host", "left").select("host", "n_pages", "root", "nested", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
 
 
+def _slots():
+    """Per page and slot: hash of its text, characters, those in links, in doubt (unsure words) and out (sure words, or any outside an
+    article), how often it opens, whether it has a first heading, and characters inside an article or main element, and of those in side containers."""
+    def run(batches):
+        for b in batches:
+            known: dict[tuple, frozenset[str]] = {}
+            out: list[list] = [[] for _ in SLOT_NAMES]
+            for host, page, template in zip(*[b.column(c).to_pylist() for c in ("host", "html", "template")], strict=True):
+                key = tuple(template or ())
+                r = Reader(page, known.setdefault(key, frozenset(key)))
+                found: dict[str, list] = {}
+                for x in r.blocks:
+                    s = found.setdefault(x.slot, [[], 0, 0, 0, 0, 0, 0, 0])
+                    inside, n = x.article or x.main, len(x.text)
+                    s[0].append(x.text)
+                    doubt = n * (x.doubt == 1 and inside)
+                    for k, v in enumerate((n, x.linked, doubt, n * (x.doubt > 0) - doubt, int(x.head), n * inside, n * x.side)):
+                        s[k + 1] += v
+                for slot, s in found.items():
+                    for column, value in zip(out, [host, slot, _hash("\n".join(s[0])) >> 1, *s[1:5], r.runs.get(slot, 1), int(s[5] > 0), *s[6:]], strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(out)], names=SLOT_NAMES)
+    return run
+
+
+SLOT_NAMES = ["host", "slot", "hash", "chars", "linked", "doubt", "out", "runs", "heads", "inside", "side"]
+
+
+def judge(slots: list[dict]) -> dict[str, bool]:
+    """Slots of a host (pages, texts, chars, linked, doubt, out, runs, heads, inside, side: sums over its pages) -> whether each is main text."""
+    def prose(s):
+        return s["chars"] - s["linked"]
+
+    def a_page(s):
+        return prose(s) / s["pages"]
+
+    def repeats(s):
+        return s["runs"] > 1.5 * s["pages"]
+
+    varying = [s for s in slots if 2 * s["texts"] > s["pages"] and 2 * s["linked"] < s["chars"] and 2 * s["out"] < s["chars"]]
+    if not varying:
+        return {}
+    most = max(map(prose, varying))
+    fair = [s for s in varying if 2 * s["inside"] > s["chars"] and prose(s) >= RICH * most]
+    best = max([s for s in fair if 2 * s["side"] < s["chars"]] or fair or varying, key=lambda s: (prose(s), s["slot"]))
+    at = best["slot"]
+    article = next((i for i, x in enumerate(at.split("/")) if x in ("article", "main")), None)
+    root = "/".join(at.split("/")[:article + 1]) if article is not None else None
+    out = {s["slot"]: False for s in slots}
+    for s in varying:
+        rich = a_page(s) >= RICH * a_page(best)
+        if s is best:
+            keep = True
+        elif root is not None and (s["slot"] + "/").startswith(root + "/"):
+            keep = rich or 2 * s["doubt"] < s["chars"]
+        elif root is not None and (2 * s["inside"] <= s["chars"] or s["side"] and not best["side"]):
+            keep = False
+        else:
+            keep = (rich or s["heads"] * 2 > s["pages"]) and (not repeats(s) or repeats(best))
+        out[s["slot"]] = keep
+    return out
+
+
+def _judged(batches):
+    for b in batches:
+        main, other = [], []
+        for slots in b.column("slots").to_pylist():
+            verdict = judge(slots or [])
+            main.append(sorted(k for k, v in verdict.items() if v))
+            other.append(sorted(k for k, v in verdict.items() if not v))
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(main, pa.list_(pa.string())), pa.array(other, pa.list_(pa.string()))],
+                                         names=["host", "main", "other"])
+
+
+def _with_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    lists = [c for c, t in hosts.dtypes if t == "array<string>"]
+    size = hosts.agg(F.sum(sum((F.length(F.concat_ws("", c)) for c in lists), F.length("host") + 24))).first()[0] or 0
+    return _hosted(pages).join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
+
+
+def host_slots(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, main, other): the slots of each host with TEXT_PAGES pages or more that are main text and that are not."""
+    rows = _with_host(pages, hosts.where(F.col("n_pages") >= TEXT_PAGES).select("host", "template")).where("template is not null") \
+        .select("host", "html", "template").mapInArrow(_slots(), ", ".join(f"{c} {'string' if c in ('host', 'slot') else 'long'}" for c in SLOT_NAMES))
+    sums = rows.groupBy("host", "slot").agg(F.count("*").alias("pages"), F.approx_count_distinct("hash").alias("texts"),
+                                            *[F.sum(c).alias(c) for c in SLOT_NAMES[3:]])
+    per_host = sums.groupBy("host").agg(F.collect_list(F.struct(*[c for c in sums.columns if c != "host"])).alias("slots"))
+    return per_host.mapInArrow(_judged, "host string, main array<string>, other array<string>")
+
+
 def main_text(page: str, texts: set[str], template: frozenset[str] = frozenset(), slots: dict[str, bool] | None = None) -> str:
     """Blocks of the main slots of a page under the template texts, the template containers and the judged slots of its host, one to a line."""
     blocks, slots = Reader(page, template).blocks, slots or {}
@@ -307,20 +402,22 @@ def main_text(page: str, texts: set[str], template: frozenset[str] = frozenset()
 
 def extract(pages: DataFrame) -> DataFrame:
     """All rows of (page_id, url, html) -> page_id, url, text, n_chars, n_template (template tokens of the host)."""
-    t = cut_lineage(templates(pages), "templates").select("host", "texts", (F.size("root") + F.size("nested")).alias("n_template"))
-    size = t.agg(F.sum(F.length(F.concat_ws("", "texts")) + F.length("host") + 24)).first()[0] or 0
-    joined = _hosted(pages).join(F.broadcast(t) if size <= BROADCAST_BYTES else t, "host", "left")
+    t = cut_lineage(templates(pages).withColumn("template", F.filter(F.concat("root", F.flatten("nested")), lambda x: ~x.startswith("</"))), "templates")
+    t = t.select("host", "n_pages", "texts", "template", (F.size("root") + F.size("nested")).alias("n_template"))
+    t = cut_lineage(t.join(host_slots(pages, t), "host", "left").drop("n_pages"), "template-slots")
 
     def run(batches):
         for b in batches:
-            known: dict[tuple, set[str]] = {}
+            known: dict[tuple, tuple] = {}
             out = []
-            for page, texts in zip(b.column("html").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                key = tuple(texts or ())
-                out.append(main_text(page, known.setdefault(key, set(key))))
+            for page, *lists in zip(*[b.column(c).to_pylist() for c in ("html", "texts", "template", "main", "other")], strict=True):
+                key = tuple(tuple(x or ()) for x in lists)
+                if key not in known:
+                    known[key] = set(key[0]), frozenset(key[1]), dict.fromkeys(key[2], True) | dict.fromkeys(key[3], False)
+                out.append(main_text(page, *known[key]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()),
                                               pa.array([len(x) for x in out], pa.int64()), b.column("n_template").cast(pa.int64())],
                                              names=["page_id", "url", "text", "n_chars", "n_template"])
     set_batches(pages.sparkSession)
-    return joined.select("page_id", "url", "html", "texts", F.col("n_template").cast("long").alias("n_template")).mapInArrow(
-        run, "page_id long, url string, text string, n_chars long, n_template long")
+    return _with_host(pages, t).select("page_id", "url", "html", "texts", "template", "main", "other", F.col("n_template").cast("long").alias("n_template")) \
+        .mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")

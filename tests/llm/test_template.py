@@ -48,3 +48,18 @@ def test_extract_with_host_templates(spark, frame):
 ])
 def test_class_words_are_whole_tokens_and_keep_articles(html, want):
     assert main_text(html, set()) == want
+
+
+def test_slots_choose_where_names_and_texts_say_nothing(spark, frame):
+    words = lambda k, n: " ".join(f"w{(k * 31 + i * 17) % 997}x{k}" for i in range(n))
+    rows = []
+    for k in range(12):
+        box = f"<div class=x1><a href=/a>link {k} to</a> <a href=/b>page {k}</a></div><div class=x2>buy {k} now</div>"
+        talk = "<div class=x5>" + "".join(f"<div class=x6><p>{words(900 + k * 5 + i, 12)}</div>" for i in range(2 + k % 3)) + "</div>"
+        rows.append((k, f"http://plain.example/{k}", f"<body>{box}<div class=x3><h1>Head {k}</h1><div class=x4><p>{words(k, 60)}<p>{words(k + 50, 60)}</div></div>{talk}<div class=x7>by {k}</div></body>"))
+        inner = f"<div class=y1>Read this first.</div><section id=related><a href=/{k}>other {k}</a></section><section id=search><p>{words(k + 400, 50)}</section>"
+        rows.append((100 + k, f"http://held.example/{k}", f"<body>{box}<article class='p-{k} has-sidebar'><p>{words(k, 60)}<p>Shared passage.{inner}</article>{talk}</body>"))
+    got = {r.page_id: r.text for r in extract(frame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == f"Head {k}\n{words(k, 60)}\n{words(k + 50, 60)}"
+        assert got[100 + k] == f"{words(k, 60)}\nShared passage.\n{words(k + 400, 50)}"

@@ -4,8 +4,10 @@ Vectors of one label (and length) are dealt to shards of bounded size by hash, a
 hash of the id, points inserted level by level in batches, neighbours chosen by the usual diversity rule. Every
 shard's vectors then query every shard of their label (each pair of shards once, a link is symmetric): greedy
 descent, a beam on the lowest level, and from the links found on through the neighbours that are nearly links. An
-audit compares AUDIT queries of each pair of shards with brute force and doubles the beam until their recall is RECALL
-or more (a beam of an eighth of the shard gives way to brute force). Links are verified by cosine in double precision. Shards return
+audit compares queries of each pair of shards with brute force, without their matches with themselves, and doubles the beam until
+the recall is RECALL or more (a beam of an eighth of the shard gives way to brute force): both the mean over AUDIT queries that have a
+link, one of a direction, so that a small group counts as much as a large one (all queries are looked through for them where
+links are rare), and the share of the pairs of AUDIT queries dealt evenly, so that large groups are whole. Links are verified by cosine in double precision. Shards return
 a count of links and a spanning edge per vector, never pairs; the edges are joined to components.
 
 A shard's search runs for all its queries in step, in numpy: every step expands one candidate per query.
@@ -29,6 +31,7 @@ M = 8                # neighbours on upper levels; twice as many on the lowest
 BUILD_BEAM = 32
 BEAM = 32
 AUDIT = 64
+AUDIT_STEP = 512
 RECALL = 0.98
 NEAR = 0.02          # how far under the threshold the search still walks on
 
@@ -203,14 +206,44 @@ class Graph:
         return found
 
 
+def _truth(g: Graph, q: np.ndarray, part: np.ndarray, threshold: float, own: np.ndarray | None) -> np.ndarray:
+    """Queries ``part`` x nodes: the links by brute force, without those of a query with itself."""
+    truth = q[part] @ g.x.T >= threshold
+    if own is not None:
+        truth[np.arange(len(part)), own[part]] = False
+    return truth
+
+
+def directions(g: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Up to AUDIT queries that have a link, no two of them linked with each other, and their links."""
+    order = np.argsort(mix(np.arange(1, len(q) + 1, dtype=np.uint64)))
+    some: list[int] = []
+    rows: list[np.ndarray] = []
+    for lo in range(0, len(q), AUDIT_STEP):
+        part = order[lo:lo + AUDIT_STEP]
+        truth = _truth(g, q, part, threshold, own)
+        for k in np.flatnonzero(truth.any(1)):
+            if some and (q[some] @ q[part[k]] >= threshold).any():
+                continue
+            some.append(int(part[k]))
+            rows.append(truth[k])
+            if len(some) == AUDIT:
+                return np.array(some), np.array(rows)
+    return np.array(some, np.int64), np.array(rows, bool).reshape(len(some), len(g.x))
+
+
 def audited_links(g: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
     """Links of the queries, the recall of the audit and the beam that reached it."""
-    some = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64)
-    truth = q[some].astype(np.float64) @ g.x.astype(np.float64).T >= threshold
     ef = BEAM
+    if 8 * ef >= len(g.x):  # all products
+        return g.links(q, ef, threshold, own), 1.0, ef
+    each, links = directions(g, q, threshold, own)
+    even = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64)
+    pairs = _truth(g, q, even, threshold, own)
     while True:
         found = g.links(q, ef, threshold, own)
-        recall = float((found[some] & truth).sum() / max(1, truth.sum()))
+        mean = float(((found[each] & links).sum(1) / links.sum(1)).mean()) if len(each) else 1.0
+        recall = min(mean, float((found[even] & pairs).sum() / pairs.sum()) if pairs.any() else 1.0)
         if recall >= RECALL or 8 * ef >= len(g.x):
             return found, recall, ef
         ef *= 2

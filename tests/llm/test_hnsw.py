@@ -59,3 +59,35 @@ def test_nulls_repeats_and_empty(spark, frame):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_duplicates(frame(rows, SCHEMA)).collect())
     assert got == [(0, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     assert near_duplicates(frame([], SCHEMA)).count() == 0
+
+
+def test_audit_sees_small_groups_beside_a_hot_one():
+    r = np.random.default_rng(5)
+    hot, pair = r.normal(size=32), r.normal(size=(150, 32))
+    x = np.concatenate([r.normal(size=(600, 32)), hot + r.normal(size=(600, 32)) * 0.03, pair, pair + r.normal(size=(150, 32)) * 0.01])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for own in (None, np.arange(len(x))):
+        g = Graph.build(x, np.arange(len(x)))
+        lost = np.arange(1350, 1500)  # no edge leads to or from the second of each pair
+        for t in g.tables:
+            t[lost] = -1
+            t[np.isin(t, lost)] = -1
+        g.entry = 0
+        truth = x.astype(float) @ x.astype(float).T >= 0.98
+        np.fill_diagonal(truth, False)
+        found, recall, _ = audited_links(g, x, 0.98, own)
+        assert recall >= 0.98 and (found & truth)[1200:].sum() >= 0.98 * truth[1200:].sum()
+
+
+def test_several_large_shards_with_a_hot_group(spark, frame):
+    r = np.random.default_rng(6)
+    hot, pair = r.normal(size=16), r.normal(size=(300, 16))
+    x = np.concatenate([r.normal(size=(300, 16)), hot + r.normal(size=(400, 16)) * 0.03, pair, pair + r.normal(size=(300, 16)) * 0.02]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    got = near_duplicates(frame([(k, v.tolist(), 0, "z") for k, v in enumerate(x)], SCHEMA), shard=450).collect()
+    n = np.zeros(len(x), int)
+    for row in got:
+        n[row.vec_id] = row.n_links
+    small = np.r_[0:300, 700:1300]
+    assert (n <= want).all() and n[small].sum() >= 0.98 * want[small].sum() and n.sum() >= 0.98 * want.sum()

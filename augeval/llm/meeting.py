@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from augeval.llm.textops import set_batches
+from augeval.llm.textops import mix, set_batches
 
 SCHEMA = "bucket long, sigs binary, keys binary, leads binary"
 NAMES = ["bucket", "sigs", "keys", "leads"]
@@ -23,10 +23,10 @@ def pack(sig: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch | Non
     sig, key = sig[order], key[order]
     new = np.concatenate(([True], sig[1:] != sig[:-1]))
     lead = key[new][np.cumsum(new) - 1]
-    other = ~new & (key != lead)
+    other = ~new & (key != lead) & np.concatenate(([True], key[1:] != key[:-1]))
     rows = _by_bucket((sig[new] % np.uint64(buckets)).astype(np.int64), sig[new], key[new], key[new])
     if other.any():
-        side = -1 - (key[other].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        side = -1 - (mix(sig[other] ^ mix(key[other].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
         rows = [x + y for x, y in zip(rows, _by_bucket(side, sig[other], key[other], lead[other]), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=NAMES)
 

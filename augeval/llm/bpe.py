@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -257,8 +258,9 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text_bytes binary")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode every whole text, decode its ids again and return doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes.
+def digests(docs: DataFrame, path: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Encode every whole text, decode its ids again and return doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, and the
+    columns ``keep`` of ``docs`` behind them.
 
     One pass and no shuffle: the ids never leave the task."""
     path = path or vocabulary_path()
@@ -273,10 +275,13 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     rows.append((len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(data).hexdigest(), len(data)))
                 n, a, d, size = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a), pa.array(d),
-                                                  pa.array(size, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+                                                  pa.array(size, pa.int64()), *[b.column(c).slice(lo, hi - lo) for c in keep]],
+                                                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", *keep])
     set_batches(docs.sparkSession)
-    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    rows = _rows(docs, keep)
+    schema = ["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long", *[f"{c} {t}" for c, t in rows.dtypes if c in keep]]
+    return rows.mapInArrow(run, ", ".join(schema))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _rows(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)

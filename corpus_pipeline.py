@@ -39,15 +39,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 4: documents in the order of the mixing schedule (files follow the slots of the schedule)."""
+    """Stage 4: documents in the order of the mixing schedule (files follow the slots of the schedule). The schedule derives from
+    doc_id, source and the other columns alone, so that stage 5 finds the same one in the rows read again."""
     from augeval.llm.mixing import schedule
     return schedule(docs).orderBy("slot", "place").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: token ids and their byte offsets, checked by decoding them again."""
+    """Stage 5: token ids and their byte offsets, checked by decoding them again, with the source, block, slot and place of the
+    document in the mixing schedule."""
     from augeval.llm.bpe import digests
-    return digests(docs)
+    from augeval.llm.mixing import schedule
+    mixed = schedule(docs.select(*COLUMNS)).select("doc_id", "text", "source", "block", "slot", "place")
+    return digests(mixed, keep=["source", "block", "slot", "place"])
 
 
 STAGES = [("quality_classifier", keep_good), ("ngram_jaccard_join", keep_one_of_group), ("suffix_array_dedup", cut_repeats),

@@ -71,3 +71,15 @@ def test_tokens(outputs, library):  # noqa: F811
 
 def test_run_gives_the_last_stage(spark, sf, outputs):
     assert sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(map(tuple, outputs[5]))
+
+
+def test_tokens_follow_the_mixing_schedule(outputs):
+    duckdb = pytest.importorskip("duckdb")
+    from augeval.llm.queries import ORACLE
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r.doc_id, r.source) for r in outputs[4]])
+    want = {d: (source, block, slot, place) for d, source, block, slot, _, _, place in con.execute(ORACLE["op9_source_mixing"]).fetchall()}
+    assert {r.doc_id: (r.source, r.block, r.slot, r.place) for r in outputs[5]} == want
+    order = sorted(want, key=lambda d: want[d][2:])
+    assert [r.doc_id for r in sorted(outputs[5], key=lambda r: (r.slot, r.place))] == order

@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from augeval.llm.graph import connected_components
 from augeval.llm.meeting import SCHEMA, met, pack
@@ -159,6 +160,19 @@ def _keys(words: int):
     return run
 
 
+def with_set_key(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the set_key of ``link_components`` for each row's text."""
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, buf, offs in text_chunks(b.column("text")):
+                keys = pa.array(_set_keys(*shingle_sets(buf, offs, words)))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in names], keys], names=[*names, "set_key"])
+    set_batches(docs.sparkSession)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("set_key", T.LongType())]))
+
+
 def _sampled(words: int):
     """Shingles of sampled texts, counted within the chunk before they are shuffled."""
     def run(batches):
@@ -347,7 +361,8 @@ def _leaf_join(member: DataFrame, held: DataFrame, num: int, den: int, spanning:
 
 
 def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, set_key, component_id."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, set_key, component_id, group_key (one a component, where ids repeat
+    as well)."""
     if den > CLASS_RATIO * num:
         raise ValueError("the similarity must be at least 1 / CLASS_RATIO")
     spark = docs.sparkSession
@@ -394,9 +409,9 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     by_key = rep.join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "key").alias("comp"))
     by_key = by_key.join(by_key.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select(
-        F.col("key").alias("set_key"), "component_id")
+        F.col("key").alias("set_key"), "component_id", F.col("comp").alias("group_key"))
     out = keyed.join(by_key, "set_key", "left").select(
         "doc_id", "n_shingles", "set_key",
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(
-            F.col("doc_id"))).alias("component_id"))
+            F.col("doc_id"))).alias("component_id"), "group_key")
     return out

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augeval.session import load, scratch_path
+from augeval.session import cut_lineage, load, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY_LABEL_FOLDS = 5      # labels of documents whose crc32(doc_id) mod 5 is 0 are never learned from
@@ -25,11 +25,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: one document of each group linked at Jaccard 0.8 of five-word shingles stays, the one with the smallest id
-    (rows that repeat an id stay or go together). Documents without words or without an id stay."""
-    from augeval.llm.jaccard_join import link_components
-    groups = link_components(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    (of rows that repeat an id, each is judged by its own text, and one row of a group stays). Documents without words or
+    without an id stay."""
+    from augeval.llm.jaccard_join import link_components, with_set_key
+    groups = cut_lineage(link_components(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN), "near-groups").where("doc_id is not null and n_shingles > 0")
+    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    # The rows of a group that hold its smallest id: one set of them stays, and one row of those.
+    low = groups.where("component_id = doc_id").groupBy("group_key").agg(F.min("set_key").alias("low"))
+    gone = groups.join(low, "group_key").where("component_id <> doc_id or set_key <> low").select("doc_id", "set_key").distinct()
+    kept = with_set_key(docs.select(*COLUMNS), NEAR_WORDS).join(gone, ["doc_id", "set_key"], "left_anti")
+    again = groups.groupBy("doc_id", "set_key").count().where("count > 1").select("doc_id", "set_key")
+    first = kept.join(again, ["doc_id", "set_key"], "left_semi").groupBy("doc_id", "set_key").agg(
+        F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.join(again, ["doc_id", "set_key"], "left_anti").select(*COLUMNS).unionByName(first.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

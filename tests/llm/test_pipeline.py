@@ -83,3 +83,14 @@ def test_tokens_follow_the_mixing_schedule(outputs):
     assert {r.doc_id: (r.source, r.block, r.slot, r.place) for r in outputs[5]} == want
     order = sorted(want, key=lambda d: want[d][2:])
     assert [r.doc_id for r in sorted(outputs[5], key=lambda r: (r.slot, r.place))] == order
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark, frame):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, text["a"]), (2, text["a"] + " end"), (2, text["b"]), (3, text["c"]), (3, text["c"]), (4, text["d"]), (4, text["d"] + " end"),
+            (None, text["a"]), (None, text["a"]), (5, ""), (5, "")]
+    docs = frame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.keep_one_of_group(spark, docs, None).collect()]
+    assert sum(i == 4 for i, _ in got) == 1
+    assert sorted(((i or 0, t) for i, t in got if i != 4)) == sorted(
+        [(1, text["a"]), (2, text["b"]), (3, text["c"]), (0, text["a"]), (0, text["a"]), (5, ""), (5, "")])

@@ -70,14 +70,16 @@ def turns(text: Column) -> Column:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """Read back from the output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
-
-    The turns come from the longest prefix, the loss text from the masks of all prefixes; formatted_chars counts the
-    code points of all prefixes, each in full."""
-    reply = "transform(filter(prefixes, p -> p.loss_end is not null), p -> substring(formatted, int(p.loss_start) + 1, int(p.loss_end - p.loss_start)))"
-    r = rendered.select("conv_id", turns(F.expr("substring(formatted, 1, int(array_max(transform(prefixes, p -> p.chars))))")).alias("turns"),
-                        F.concat_ws("", F.transform(F.expr(reply), unescape)).alias("loss"),
-                        F.expr("aggregate(prefixes, 0L, (a, p) -> a + p.chars)").alias("formatted_chars"))
+    """Read back from the examples: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    The turns come from the longest example, the loss text from the mask of each example's own text; formatted_chars counts the
+    code points of all examples. The examples of a conversation stand in the partition of its render, so nothing is shuffled again."""
+    e = examples(rendered)
+    reply = F.when(F.col("loss_end").isNotNull(), unescape(F.expr("substring(text, int(loss_start) + 1, int(loss_end - loss_start))")))
+    e = e.select("conv_id", "text", F.length("text").alias("chars"), "example", reply.alias("reply"))
+    g = e.groupBy("conv_id").agg(F.max_by("text", "example").alias("longest"), F.sum("chars").cast("long").alias("formatted_chars"),
+                                 F.sort_array(F.collect_list(F.struct("example", "reply"))).alias("replies"))
+    r = g.select("conv_id", turns(F.col("longest")).alias("turns"), F.concat_ws("", F.transform("replies", lambda x: x["reply"])).alias("loss"), "formatted_chars")
     lines = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
     return r.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
                     F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars")

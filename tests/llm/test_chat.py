@@ -53,3 +53,13 @@ def test_ties_repeats_null_conversation_and_empty(spark, frame):
     assert got[1].turns_sha256 == hashlib.sha256(b"system\ns\nuser\na\nuser\na\nuser\nb\n").hexdigest() and got[1].loss_chars == 0
     assert got[None].loss_chars == 1
     assert digests(render(frame([], SCHEMA))).count() == 0
+
+
+def test_digests_read_every_example(spark, frame, monkeypatch):
+    from augeval.llm import chat
+    c = frame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    seen = []
+    monkeypatch.setattr(chat, "examples", lambda r, own=chat.examples: seen.append(own(r)) or seen[0])
+    got = chat.digests(chat.render(c)).first()
+    assert len(seen) == 1 and seen[0].count() == 2
+    assert got.formatted_chars == sum(len(r.text) for r in seen[0].collect()) and (got.n_turns, got.loss_chars) == (4, 2)

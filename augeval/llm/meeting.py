@@ -26,6 +26,8 @@ def pack(sig: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch | Non
     other = ~new & (key != lead) & np.concatenate(([True], key[1:] != key[:-1]))
     rows = _by_bucket((sig[new] % np.uint64(buckets)).astype(np.int64), sig[new], key[new], key[new])
     if other.any():
+        other = np.flatnonzero(other)
+        other = other[np.argsort(key[other], kind="stable")]  # equal owners side by side pack well
         side = -1 - (mix(sig[other] ^ mix(key[other].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
         rows = [x + y for x, y in zip(rows, _by_bucket(side, sig[other], key[other], lead[other]), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=NAMES)

@@ -199,3 +199,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at cosine 0.98: links, component, kept."""
     from augeval.llm.hnsw import near_duplicates
     return near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+# All pairs of anchors and rows: whole-number inner products, the first positives, the window of each.
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same,
+             CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * x.e[i])) AS BIGINT) AS score
+      FROM v a JOIN v x ON a.vec_id % 50 = 0 AND x.vec_id <> a.vec_id AND len(a.e) = len(x.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op11_hard_negatives", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector by whole-number inner products."""
+    from augeval.llm.hard_negatives import mine, whole_vectors
+    v = load(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return mine(whole_vectors(v), F.col("vec_id") % 50 == 0)

@@ -225,3 +225,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from augeval.llm.hard_negatives import mine, whole_vectors
     v = load(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
     return mine(whole_vectors(v), F.col("vec_id") % 50 == 0)
+
+
+# Runs by document, crc32 as the sum without carry of each byte's share at its distance from the end, words, pairs by equal
+# deletions (an inserted letter is the other word's deletion; a replaced one leaves equal texts at the same place), forms followed.
+_OP12 = """
+WITH RECURSIVE b(k, c, v) AS (
+  SELECT 0, i, CAST(i AS BIGINT) FROM range(256) r(i)
+  UNION ALL SELECT k + 1, c, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM b WHERE k < 8),
+t AS MATERIALIZED (SELECT c, v FROM b WHERE k = 8),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+r AS MATERIALIZED (SELECT doc || ':' AS doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+      FROM o WHERE length(run) >= 6 GROUP BY 1, 2),
+y AS MATERIALIZED (SELECT doc, run, hex(encode(doc || run)) AS x, strlen(doc || run) AS size FROM r),
+s(d, c, v) AS (SELECT 0, c, v FROM t UNION ALL
+  SELECT d + 1, s.c, xor(s.v >> 8, t.v) FROM s JOIN t ON t.c = s.v & 255 WHERE d < (SELECT max(size) FROM y)),
+z(k, v) AS (SELECT 0, CAST(4294967295 AS BIGINT) UNION ALL
+  SELECT k + 1, xor(z.v >> 8, t.v) FROM z JOIN t ON t.c = z.v & 255 WHERE k < (SELECT max(size) FROM y)),
+e AS (SELECT doc, run, size, unnest(range(size)) AS i, x FROM y),
+h AS (SELECT doc, run, size, bit_xor(s.v) AS part FROM e JOIN s ON s.d = size - 1 - i AND s.c =
+        (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1
+      GROUP BY doc, run, size),
+f AS (SELECT doc, run, xor(xor(part, z.v), 4294967295) AS crc FROM h JOIN z ON z.k = h.size),
+a AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n
+      FROM r JOIN f USING (doc, run)),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM a WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM w, range((SELECT max(length(word)) FROM w)) q(i) WHERE i < length(word)),
+p AS (SELECT x.word, y.word AS form, y.n AS form_n FROM g x JOIN g y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+      UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g.less
+      UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g.less),
+m AS (SELECT word, count(*) AS n_near, first(form ORDER BY form_n DESC, form) AS form, max(form_n) AS form_n FROM p GROUP BY word),
+v AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+             CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN m USING (word)),
+l(word, upto) AS (SELECT word, word FROM v UNION ALL SELECT l.word, v.form FROM l JOIN v ON v.word = l.upto WHERE v.form IS NOT NULL)
+SELECT v.word, v.form, l.upto AS root, v.n, v.n_near, v.form_n
+FROM v JOIN l ON l.word = v.word JOIN v u ON u.word = l.upto AND u.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with their near words, forms and roots."""
+    from augeval.llm.spelling import count_words, variants
+    return variants(count_words(load(spark, sf_dir, "documents")))

@@ -268,3 +268,31 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of all documents with their near words, forms and roots."""
     from augeval.llm.spelling import count_words, variants
     return variants(count_words(load(spark, sf_dir, "documents")))
+
+
+# All ten-word windows of documents and items, met by their text.
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item, least(len(ws), 10) AS k, array_to_string(ws[p:p + 9], ' ') AS win
+      FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM b WHERE len(ws) > 0)),
+o AS (SELECT r, p, n.k, array_to_string(ws[p:p + n.k - 1], ' ') AS win
+      FROM (SELECT d.r, d.ws, n.k, unnest(range(1, len(ws) - n.k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) n WHERE len(ws) >= n.k) n),
+m AS (SELECT r, p, o.k, item FROM o JOIN i USING (win) WHERE o.k = i.k),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM m GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query("op13_decontamination", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and the items they belong to."""
+    from augeval.llm.decontaminate import contamination
+    c = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

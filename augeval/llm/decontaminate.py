@@ -70,7 +70,7 @@ def prefixes(docs: DataFrame, wins: DataFrame, widths: list[int], shingle: int =
     k = F.size("words")
     s = wins.withColumn("k", k).withColumn("width", F.least(k, F.lit(shingle)))
     of = lambda n: f"transform(sequence(0, k - {n}), i -> named_struct('h', xxhash64({', '.join(f'words[i + {j}]' for j in range(n))}), 'ahead', i))"
-    s = s.select("win", "k", F.explode(F.expr("case " + " ".join(f"when width = {n} then {of(n)}" for n in widths) + " end")).alias("s")) \
+    s = s.select("win", "k", F.explode(F.expr("case " + " ".join(f"when width = {n} then {of(n)}" for n in widths or [1]) + " end")).alias("s")) \
         .select("win", "k", "s.h", "s.ahead")
     s = cut_lineage(s, "window-shingles")
     wanted = s.select("h").distinct()

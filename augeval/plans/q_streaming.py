@@ -16,33 +16,35 @@ from augeval.session import scratch_path
 from augeval.streaming import log_stream as ls
 
 BATCHES = 4
+FILES = 4           # files of an append; a trigger takes 8, so its files come from several appends
+PER_TRIGGER = 8
 LOG_COLS = [f.name for f in LOG_SCHEMA.fields]
 HIST_SCHEMA = T.StructType([T.StructField("run", T.LongType()), T.StructField("epoch", T.LongType()),
                             T.StructField("val_mae", T.DoubleType()), T.StructField("ts", T.TimestampNTZType())])
+DELAY = "15 days"   # rows of an append come in any order, so up to a fourth of the 30 days of the log may be out of order
+DAY_MS = 86_400_000
 
 
 def _log_stream(spark, sf, name):
-    path = scratch_path(spark, name)
-    ls.write_batches(roles.log(spark, sf, spread_rows=False).select(*LOG_COLS), path, "seq", BATCHES)
-    # the cost windows must see the log's appends one after the other; a real log arrives over time
-    return ls.read_stream(spark, path, files_per_trigger=1)
+    path, log = scratch_path(spark, name), roles.log(spark, sf, spread_rows=False).select(*LOG_COLS)
+    ls.write_batches(log, path, "seq", BATCHES, FILES)
+    ls.write_tick(log, path, "ts", "60 DAYS")
+    return ls.read_stream(spark, path, files_per_trigger=PER_TRIGGER)
 
 
-@query("stream_log_ingest", with_roles("SELECT DISTINCT custom_id FROM log", "log"))
+@query("stream_log_ingest", with_roles("SELECT custom_id, arg_min(seq, (ts, seq)) AS seq FROM log GROUP BY custom_id", "log"))
 def q_stream_log_ingest(spark, sf):
-    """First arrival per id within the watermark (delay longer than the log's span: one row per id)."""
-    s = ls.ingest(_log_stream(spark, sf, "t1-in"), "400 days").select("custom_id", "seq")
-    return ls.run_to_table(s, spark, "t1").select("custom_id")
+    """The first row per id by event time, from eight files a trigger."""
+    s = _log_stream(spark, sf, "t1-in").select("custom_id", "seq", "event_time")
+    return ls.run_to_table(ls.ingest(s, DELAY, horizon_ms=40 * DAY_MS), spark, "t1").select("custom_id", "seq")
 
 
 @query("stream_cost", with_roles("""
-  SELECT strftime(ts, '%Y-%m-%d') AS day, task, sum(cost_usd) AS cost_usd, count(*) AS requests FROM log
-  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR
-  GROUP BY 1, 2
+  SELECT strftime(ts, '%Y-%m-%d') AS day, task, sum(cost_usd) AS cost_usd, count(*) AS requests FROM log GROUP BY 1, 2
 """, "log"))
 def q_stream_cost(spark, sf):
-    """Cost per task in daily tumbling windows, emitted when the watermark closes them (append mode)."""
-    s = ls.cost_windows(_log_stream(spark, sf, "t2-in"), "1 hour")
+    """Cost per task in daily tumbling windows, eight files a trigger, emitted when the watermark closes them (append mode)."""
+    s = ls.cost_windows(_log_stream(spark, sf, "t2-in"), DELAY)
     return ls.run_to_table(s, spark, "t2")
 
 
@@ -58,7 +60,8 @@ def q_stream_decontaminate(spark, sf):
     p = _planned(spark, sf)
     u = F.conv(F.substring(seeded_hash(7, "custom_id"), 1, 8), 16, 10).cast("double") / float(16 ** 8)
     held = p.filter(u < SAMPLE_SHARE).select("custom_id")
-    s = ls.decontaminate_stream(_log_stream(spark, sf, "t3-in"), held, "custom_id").select("custom_id", "seq")
+    s = _log_stream(spark, sf, "t3-in").where("custom_id is not null")
+    s = ls.decontaminate_stream(s, held, "custom_id").select("custom_id", "seq")
     return ls.run_to_table(s, spark, "t3")
 
 
@@ -66,12 +69,11 @@ def q_stream_decontaminate(spark, sf):
   SELECT run, CAST(best_epoch AS BIGINT) AS best_epoch, best_val_mae, CAST(steps_run AS BIGINT) AS steps_run FROM stop
 """, "hist", extra=[("hx", "SELECT * FROM hist")] + _stop_sql("3", "run")))
 def q_stream_early_stop(spark, sf):
-    """T4: stateful early stopping over the epoch stream, several files per batch; one row for every run."""
+    """T4: stateful early stopping over the epoch stream, eight files a trigger in any order; one row for every run."""
     ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
-    h = roles.hist(spark, sf).join(ev, "event_id").select(
-        "run", F.col("epoch").cast("bigint").alias("epoch"), "val_mae", "ts")
+    h = roles.hist(spark, sf).join(ev, "event_id").select("run", F.col("epoch").cast("bigint").alias("epoch"), "val_mae", F.col("ts").cast("timestamp_ntz").alias("ts"))
     path = scratch_path(spark, "t4-in")
-    h = h.withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp")))     # batches follow event time
-    ls.write_batches(h, path, "_o", BATCHES)
-    s = ls.read_stream(spark, path, T.StructType(HIST_SCHEMA.fields + [T.StructField("_o", T.LongType())]), files_per_trigger=3)
-    return ls.latest_stop(ls.run_to_table(ls.early_stop_stream(s.select("run", "epoch", "val_mae"), 3), spark, "t4"))
+    ls.write_batches(h.withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp"))), path, "_o", BATCHES, FILES)
+    ls.write_tick(h, path, "ts", "60 DAYS")
+    s = ls.read_stream(spark, path, HIST_SCHEMA, files_per_trigger=PER_TRIGGER)
+    return ls.run_to_table(ls.early_stop_stream(s, 3, DELAY, 40 * DAY_MS), spark, "t4")

@@ -23,28 +23,74 @@ def test_late_row_ignored(spark, sf):
     assert got == expected                               # the late copy is not counted
 
 
-def test_ingest_one_row_per_id(spark, sf):
-    log = roles.log(spark, sf, spread_rows=False).select(*COLS)
-    path = scratch_path(spark, "ingest")
-    ls.write_batches(log, path, "seq", 3)
-    out = ls.run_to_table(ls.ingest(ls.read_stream(spark, path), "400 days").select("custom_id", "seq"), spark, "ing")
-    assert out.count() == out.select("custom_id").distinct().count() == log.select("custom_id").distinct().count()
+def _shuffled(spark, rows, schema, files):
+    """Rows in random order over ``files`` files, then a tick of the clock."""
+    d = spark.createDataFrame(rows, schema)
+    path = scratch_path(spark, "shuffled")
+    d.repartition(files).write.json(path)
+    ls.write_tick(d, path, "ts", "60 DAYS")
+    return ls.read_stream(spark, path, d.schema, files_per_trigger=8), d
+
 
+def _day(n):
+    from datetime import datetime, timedelta
+    return datetime(2024, 1, 1) + timedelta(hours=6 * n)
 
-def test_early_stop_holds_with_many_files_in_any_order(spark):
-    """Eight files per batch, rows shuffled over them: the stream gives the batch twin's rows."""
+
+def test_first_arrival_from_many_files_in_any_order(spark):
     import random
+    r = random.Random(3)
+    rows = [(f"r{r.randrange(40)}", i, _day(r.randrange(40)), f"text {i}") for i in range(400)]
+    schema = "custom_id string, seq long, ts timestamp_ntz, text string"
+    s, _ = _shuffled(spark, rows, schema, 20)
+    out, q = ls.run_query(ls.ingest(s.drop("ts"), "30 days", horizon_ms=86_400_000), spark, "first")
+    want = {}
+    for x in rows:
+        want[x[0]] = min(want.get(x[0], x), x, key=lambda y: (y[2], y[1]))
+    assert sorted((x.custom_id, x.seq, x.text) for x in out.collect()) == sorted((x[0], x[1], x[3]) for x in want.values())
+    assert ls.state_rows(q) == 0
 
-    from augeval.operators.paired import early_stop
-    r = random.Random(5)
-    rows = [(run, e, r.choice([5.0, 4.0, 3.0, 2.0, 1.0, 6.0])) for run in range(20) for e in range(1, r.randrange(2, 15))]
+
+def _runs(seed):
+    import random
+    r = random.Random(seed)
+    rows = [(run, e, r.choice([5.0, 4.0, 3.0, 2.0, 1.0, 6.0]), _day(e)) for run in range(20) for e in range(1, r.randrange(2, 15))]
     r.shuffle(rows)
-    schema = "run long, epoch long, val_mae double, ts timestamp_ntz"
-    d = spark.createDataFrame([(*x, None) for x in rows], schema)
-    path = scratch_path(spark, "t4-test")
-    d.repartition(20).write.json(path)
-    s = ls.read_stream(spark, path, d.schema, files_per_trigger=8)
-    got = ls.latest_stop(ls.run_to_table(ls.early_stop_stream(s.select("run", "epoch", "val_mae"), 3), spark, "t4t"))
-    want = early_stop(d, ["run"], "epoch", "val_mae", 3)
-    assert {tuple(x) for x in got.select("run", "best_epoch", "best_val_mae", "steps_run").collect()} == \
-        {tuple(x) for x in want.select("run", "best_epoch", "best_val_mae", "steps_run").collect()}
+    return rows
+
+
+RUNS = "run long, epoch long, val_mae double, ts timestamp_ntz"
+
+
+def test_early_stop_from_many_files_in_any_order(spark):
+    """Eight files per batch, rows shuffled over them: the stream gives the batch twin's rows, each run once, and no state is left."""
+    from augeval.operators.paired import early_stop
+    s, d = _shuffled(spark, _runs(5), RUNS, 20)
+    out, q = ls.run_query(ls.early_stop_stream(s, 3, "10 days", 20 * 86_400_000), spark, "t4t")
+    want = early_stop(d, ["run"], "epoch", "val_mae", 3).select("run", "best_epoch", "best_val_mae", "steps_run").collect()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want)) and len(want) == 20
+    assert ls.state_rows(q) == 0
+
+
+def test_settled_epochs_leave_the_state_while_the_stream_goes_on(spark):
+    """A file a trigger in event order and no final tick: behind the watermark a run holds its fold, not its epochs; runs that have
+    ended by silence hold nothing."""
+    d = spark.createDataFrame([(run, e, 100.0 - e, _day(e)) for run in range(4) for e in range(1, 200 if run else 20)], RUNS)
+    path = scratch_path(spark, "long")
+    for lo in range(0, 200, 25):
+        d.where(f"epoch > {lo} and epoch <= {lo + 25}").coalesce(1).write.mode("append").json(path)
+    s = ls.read_stream(spark, path, d.schema, files_per_trigger=1)
+    out, q = ls.run_query(ls.early_stop_stream(s, 3, "1 day", 5 * 86_400_000), spark, "long-out")
+    assert [tuple(x) for x in out.collect()] == [(0, 19, 81.0, 19)]  # silent for five days; the others go on
+    # clock, fold and timers (by key and by time) of three runs, and the epochs of the last day (four a day) of each
+    assert ls.state_rows(q) <= 3 * (4 + 6)
+
+
+def test_ingest_one_row_per_id(spark, sf):
+    log = roles.log(spark, sf, spread_rows=False).select(*COLS)
+    path = scratch_path(spark, "ingest")
+    ls.write_batches(log, path, "seq", 3)
+    ls.write_tick(log, path, "ts", "500 DAYS")
+    s = ls.read_stream(spark, path).select("custom_id", "seq", "event_time")
+    out = ls.run_to_table(ls.ingest(s, "400 days"), spark, "ing")
+    assert out.count() == out.select("custom_id").distinct().count() == log.select("custom_id").distinct().count()

@@ -37,33 +37,43 @@ def tokens(c) -> Column:
     return F.split(_col(c), " ")
 
 
-def _rotations(arr: Column, n: Column) -> Column:
-    return F.transform(arr, lambda _x, i: F.array_join(F.concat(F.slice(arr, i + 1, n - i), F.slice(arr, F.lit(1), i)), " "))
+def _least_start(t: Column, n: Column) -> Column:
+    """0-based start of the least rotation of a token array, in linear time.
+
+    Two candidate starts i < j (or j < i) are compared k tokens on; the one with the greater token loses, with every start up
+    to that token. Every step raises i + j + k, which ends below 3 n. The order of joined texts is the order of tokens with
+    their blank, so the arrays hold those."""
+    tok = lambda at: F.get(t, at % n)
+    new = lambda i, j, k: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"))
+
+    def step(s: Column, _: Column) -> Column:
+        i, j, k = s["i"], s["j"], s["k"]
+        a, b = tok(i + k), tok(j + k)
+        gone_i, gone_j = i + k + 1, j + k + 1
+        over = (i >= n) | (j >= n) | (k >= n)
+        return F.when(over, s).when(a == b, new(i, j, k + 1)) \
+            .when(a > b, new(F.when(gone_i == j, gone_i + 1).otherwise(gone_i), j, F.lit(0))) \
+            .otherwise(new(i, F.when(gone_j == i, gone_j + 1).otherwise(gone_j), F.lit(0)))
+    end = F.aggregate(F.sequence(F.lit(1), 3 * n), new(F.lit(0), F.lit(1), F.lit(0)), step)
+    return F.least(end["i"], end["j"])
 
 
-def cycle_key(exact) -> Column:
-    """Key equal for every cut and direction of a cyclic token sequence (column form).
+def add_cycle_key(df, exact_col: str = "exact_key", out: str = "alt_key"):
+    """A key equal for every cut and direction of a cyclic token sequence, as a column of ``df``.
 
-    Smallest text over all rotations of the tokens and of the reversed tokens. Null for fewer than three
+    The smallest text over all rotations of the tokens and of the reversed tokens. Null for fewer than three
     tokens (a two-token cycle has one cut) and for several fragments ('.' in the key). Periods are not reduced.
-    Prefer ``add_cycle_key`` on a DataFrame: it materializes the token arrays once per row.
-    """
-    e = _col(exact)
-    t = F.split(e, " ")
-    n = F.size(t)
-    key = F.array_min(F.concat(_rotations(t, n), _rotations(F.reverse(t), n)))
-    return F.when(e.isNotNull() & (n >= 3) & ~e.contains("."), key)
-
-
-def add_cycle_key(df, exact_col: str = "exact_key", out: str = "alt_key"):
-    """``cycle_key`` as a column of ``df``; tokens, reversed tokens and their count are computed once per row
-    (inside a lambda an inlined ``split`` would be re-evaluated for every rotation)."""
-    df = df.withColumn("_ck_t", F.split(F.col(exact_col), " "))
+    Each direction's least rotation is found in linear time; only these two are spelled out. Token arrays are columns of
+    their own, so that no lambda splits the text again."""
+    e = F.col(exact_col)
+    cyclic = e.isNotNull() & ~e.contains(".") & (F.size(F.split(e, " ")) >= 3)
+    df = df.withColumn("_ck_t", F.when(cyclic, F.transform(F.split(e, " "), lambda w: F.concat(w, F.lit(" ")))))
     df = df.withColumn("_ck_r", F.reverse("_ck_t")).withColumn("_ck_n", F.size("_ck_t"))
     n = F.col("_ck_n")
-    key = F.array_min(F.concat(_rotations(F.col("_ck_t"), n), _rotations(F.col("_ck_r"), n)))
-    e = F.col(exact_col)
-    return df.withColumn(out, F.when(e.isNotNull() & (n >= 3) & ~e.contains("."), key)).drop("_ck_t", "_ck_r", "_ck_n")
+    df = df.withColumn("_ck_i", F.when(n > 0, _least_start(F.col("_ck_t"), n))).withColumn("_ck_j", F.when(n > 0, _least_start(F.col("_ck_r"), n)))
+    turned = lambda t, at: F.array_join(F.concat(F.slice(t, F.col(at) + 1, n), F.slice(t, F.lit(1), F.col(at))), "")
+    key = F.rtrim(F.least(turned(F.col("_ck_t"), "_ck_i"), turned(F.col("_ck_r"), "_ck_j")))
+    return df.withColumn(out, F.when(n > 0, key)).drop("_ck_t", "_ck_r", "_ck_n", "_ck_i", "_ck_j")
 
 
 def entity_id(exact, alt) -> Column:

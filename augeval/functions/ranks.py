@@ -14,25 +14,30 @@ from pyspark.sql import functions as F
 from augeval.session import cut_lineage
 
 
-def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
-                 fanout: int = 32, accuracy: int = 10000) -> DataFrame:
-    """Add the tie-averaged rank (1-based) of ``value_col`` within ``by``; null values get a null rank."""
-    by = list(by)
-    vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
-
-    buckets = fanout * fanout                                   # two-level search: ~2 x fanout comparisons per value
+def value_buckets(vals: DataFrame, value_col: str, by: Sequence[str] = (), fanout: int = 32, accuracy: int = 10000) -> DataFrame:
+    """Add ``_b``, the bucket of a value in its group, in value order: fanout * fanout buckets at approximate quantiles of the rows
+    of ``vals`` (a bounded sketch per group), found by a two-level search of about 2 * fanout comparisons."""
+    buckets = fanout * fanout
     pcts = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(value_col, pcts, accuracy)   # bounded sketch per group, not the group's rows
     v = F.col(value_col)
     if by:
-        cut_join = vals.join(vals.groupBy(*by).agg(sketch.alias("_cuts")), by)
+        cut_join = vals.join(vals.groupBy(*by).agg(sketch.alias("_cuts")), list(by))
     else:   # one group: the cut points are a scalar subquery
         cut_join = vals.withColumn("_cuts", vals.select(sketch).scalar())
     # coarse bucket: how many of every fanout-th cut lie below v; fine: the same inside that coarse range
     coarse_cuts = F.transform(F.sequence(F.lit(1), F.lit(fanout - 1)), lambda i: F.element_at("_cuts", i * fanout))
     cut_join = cut_join.withColumn("_hi", F.size(F.filter(coarse_cuts, lambda c: c < v)))
     fine_cuts = F.slice("_cuts", F.col("_hi") * fanout + 1, F.lit(fanout - 1))
-    vb = cut_join.withColumn("_b", F.col("_hi") * fanout + F.size(F.filter(fine_cuts, lambda c: c < v))).drop("_cuts", "_hi")
+    return cut_join.withColumn("_b", F.col("_hi") * fanout + F.size(F.filter(fine_cuts, lambda c: c < v))).drop("_cuts", "_hi")
+
+
+def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
+                 fanout: int = 32, accuracy: int = 10000) -> DataFrame:
+    """Add the tie-averaged rank (1-based) of ``value_col`` within ``by``; null values get a null rank."""
+    by = list(by)
+    vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    vb = value_buckets(vals, value_col, by, fanout, accuracy)
     # read twice below (bucket totals, local ranks): cut its lineage once so the bucket search runs once
     vb = cut_lineage(vb, "rank-buckets")
     tot = vb.groupBy(*by, "_b").agg(F.sum("_c").alias("_bt"))

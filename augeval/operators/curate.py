@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augeval.functions.keys import numeric_or_null
+from augeval.functions.quantiles import with_quantiles
 
 
 # ---------------------------------------------------------------- row-level rules
@@ -143,10 +144,10 @@ def distribution_stats(df: DataFrame, value_col: str = "value", by: Sequence[str
                        n_col: str | None = None) -> DataFrame:
     """n, mean, SD, min, median, max (and rows with 2+ points) per table."""
     aggs = [F.count(value_col).alias("n"), F.avg(value_col).alias("mean"), F.stddev_samp(value_col).alias("sd"),
-            F.min(value_col).alias("min"), F.median(value_col).alias("median"), F.max(value_col).alias("max")]
+            F.min(value_col).alias("min"), F.max(value_col).alias("max")]
     if n_col:
         aggs.append(F.count_if(F.col(n_col) >= 2).cast("bigint").alias("n_multi"))
-    return df.groupBy(*by).agg(*aggs)
+    return with_quantiles(df.groupBy(*by).agg(*aggs), df, value_col, {"median": 0.5}, by)
 
 
 def value_counts_topk(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -169,9 +170,9 @@ def label_concentration(df: DataFrame, col: str, v: float, t: float, by: Sequenc
 def repeat_spread(df: DataFrame, id_col: str, value_col: str, min_repeats: int = 3) -> DataFrame:
     """Largest repeat count; median SD among entities seen ``min_repeats``+ times; how many such entities."""
     per = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value_col).alias("_sd"))
-    return per.agg(F.max("_n").alias("max_repeats"),
-                   F.median(F.when(F.col("_n") >= min_repeats, F.col("_sd"))).alias("median_sd_repeated"),
-                   F.count_if(F.col("_n") >= min_repeats).cast("bigint").alias("n_repeated"))
+    often = F.col("_n") >= min_repeats
+    g = per.agg(F.max("_n").alias("max_repeats"), F.count_if(often).cast("bigint").alias("n_repeated"))
+    return with_quantiles(g, per.where(often), "_sd", {"median_sd_repeated": 0.5})
 
 
 def category_counts(df: DataFrame, *cols: str) -> DataFrame:

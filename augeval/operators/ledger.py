@@ -160,13 +160,37 @@ def resume_plan(planned: DataFrame, ledger: DataFrame, id_col: str, current: str
     return j.withColumn("action", action).drop("_done")
 
 
-def running_sum(df: DataFrame, order_col: str, value_col: str, out: str, width: int = 1024) -> DataFrame:
-    """Prefix sum in ``order_col`` order without a single-partition window: fixed-width ranges of the order key,
-    range totals (a small table) give offsets, and each window holds one range only."""
-    d = df.withColumn("_rb", F.floor(F.col(order_col) / width))
-    tot = d.groupBy("_rb").agg(F.sum(value_col).alias("_t"))
-    offs = tot.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    w = Window.partitionBy("_rb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("_loc", F.sum(value_col).over(w)).join(offs, "_rb").withColumn(
-        out, F.col("_off") + F.col("_loc")).drop("_rb", "_off", "_loc")
+RANGE_BITS = 16      # order keys of a range, as a power of two; four levels of ranges cover a long
+
+
+def running_sums(df: DataFrame, order_col: str, sums: dict[str, str]) -> DataFrame:
+    """Prefix sums in the order of a whole-number column: ``sums`` names an output for each value column.
+
+    A scan over levels of ranges: the order key without its last 16 bits is a row's range, a range's range drops 16 more.
+    A window holds one range (at most 65,536 order keys below, 65,536 ranges further up), and each level adds
+    what stands before its range on the next, so nothing is ordered in one partition whatever the table's size."""
+    vals = list(sums)
+    upto = [F.sum(c) for c in vals]
+
+    def before(ranges: DataFrame, level: int) -> DataFrame:
+        """(_r, totals) -> (_r, what stands before each range)."""
+        parent = F.shiftright("_r", RANGE_BITS) if level < 64 // RANGE_BITS - 1 else F.col("_r") % 1  # the last: one parent
+        r = ranges.withColumn("_p", parent)
+        w = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        out = r.select("_r", "_p", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_before_{c}") for c in vals])
+        if level == 64 // RANGE_BITS - 1:
+            return out.drop("_p")
+        above = before(r.groupBy(F.col("_p").alias("_r")).agg(*[s.alias(c) for s, c in zip(upto, vals, strict=True)]), level + 1)
+        above = above.select(F.col("_r").alias("_p"), *[F.col(f"_before_{c}").alias(f"_above_{c}") for c in vals])
+        return out.join(above, "_p").select("_r", *[(F.col(f"_before_{c}") + F.col(f"_above_{c}")).alias(f"_before_{c}") for c in vals])
+
+    d = df.withColumn("_r", F.shiftright(F.col(order_col).cast("long"), RANGE_BITS))
+    offsets = before(d.groupBy("_r").agg(*[s.alias(c) for s, c in zip(upto, vals, strict=True)]), 1)
+    w = Window.partitionBy("_r").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(c).over(w).alias(f"_own_{c}") for c in vals]).join(offsets, "_r")
+    return d.select(*df.columns, *[(F.col(f"_own_{c}") + F.col(f"_before_{c}")).alias(out) for c, out in sums.items()])
+
+
+def running_sum(df: DataFrame, order_col: str, value_col: str, out: str) -> DataFrame:
+    """``running_sums`` of one column."""
+    return running_sums(df, order_col, {value_col: out})

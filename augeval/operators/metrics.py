@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from augeval.functions.quantiles import with_quantiles
 from augeval.functions.ranks import spearman
 
 
@@ -107,12 +108,10 @@ def dense_histogram(df: DataFrame, col: str, edges: Sequence[float], by_total: b
 def quantile_summary(df: DataFrame, col: str, qs: Sequence[float], above: float, below: float,
                      identical: float = 0.9999) -> DataFrame:
     """Exact quantiles (linear interpolation), shares above / below thresholds, count of (near) identical."""
-    q = F.percentile(col, list(qs))
-    aggs = [F.element_at(q, i + 1).alias(f"q{int(round(x * 100)):02d}") for i, x in enumerate(qs)]
-    aggs += [F.avg(F.when(F.col(col) > above, 1.0).otherwise(0.0)).alias("share_above"),
-             F.avg(F.when(F.col(col) < below, 1.0).otherwise(0.0)).alias("share_below"),
-             F.count_if(F.col(col) >= identical).cast("bigint").alias("n_identical")]
-    return df.agg(*aggs)
+    aggs = [F.avg(F.when(F.col(col) > above, 1.0).otherwise(0.0)).alias("share_above"),
+            F.avg(F.when(F.col(col) < below, 1.0).otherwise(0.0)).alias("share_below"),
+            F.count_if(F.col(col) >= identical).cast("bigint").alias("n_identical")]
+    return with_quantiles(df.agg(*aggs), df, col, {f"q{int(round(x * 100)):02d}": x for x in qs})
 
 
 def density_histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -129,9 +128,9 @@ def density_histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int)
 def median_error_by_band(preds: DataFrame, width: float, min_rows: int = 10) -> DataFrame:
     """Median signed error (prediction minus truth) per fixed band of y_true with at least ``min_rows`` rows."""
     e = F.col("y_pred") - F.col("y_true")
-    g = preds.groupBy((F.floor(F.col("y_true") / width) * width).alias("band_lo")).agg(
-        F.count(F.lit(1)).alias("n"), F.median(e).alias("median_error"))
-    return g.filter(F.col("n") >= min_rows)
+    d = preds.select((F.floor(F.col("y_true") / width) * width).alias("band_lo"), e.alias("_error"))
+    g = d.groupBy("band_lo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
+    return with_quantiles(g, d, "_error", {"median_error": 0.5}, ["band_lo"])
 
 
 def prediction_noise(preds: DataFrame, run_col: str = "run", pass_col: str = "seed",
@@ -155,8 +154,8 @@ def noise_floor(measured: DataFrame, errors: DataFrame, models: Sequence[str], i
     per = per.withColumn("_multi", F.col("_c") >= 2)
     k = 2 / math.sqrt(math.pi)
     floor = per.agg(F.count_if("_multi").cast("double").alias("n_multi"),
-                    F.median(F.when(F.col("_multi"), F.col("_sd"))).alias("median_sd"),
                     F.avg(F.when(F.col("_multi"), F.col("_sd"))).alias("mean_sd"))
+    floor = with_quantiles(floor, per.where("_multi"), "_sd", {"median_sd": 0.5})
     floor = floor.withColumn("expected_diff_median", F.col("median_sd") * k).withColumn(
         "expected_diff_mean", F.col("mean_sd") * k)
     ej = errors.join(per.select(id_col, "_multi"), id_col)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from augeval.functions.keys import cycle_key, entity_id, exact_key, numeric_or_null
+from augeval.functions.keys import entity_id, exact_key, numeric_or_null
 from augeval.operators import curate, holdout
 from augeval.plans import roles, stages
 from augeval.plans.oracle_roles import avg_rank_sql, corr_sql, with_roles

@@ -369,7 +369,7 @@ def q_compute_hours(spark, sf):
   SELECT seq, sum(cost_usd) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_cost FROM log
 """, "log"))
 def q_running_total(spark, sf):
-    """Cumulative cost in request order (range-bucketed prefix sum, no single-partition window)."""
+    """Cumulative cost in request order (prefix sum over levels of ranges, no single-partition window)."""
     return ledger.running_sum(roles.log(spark, sf).select("seq", "cost_usd"), "seq", "cost_usd", "cum_cost").select(
         "seq", "cum_cost")
 
@@ -392,6 +392,5 @@ def q_distinct_curve(spark, sf):
     items = pairs.groupBy("seq").agg(F.count(F.lit(1)).alias("items"))
     steps = log.join(first, "seq", "left").join(items, "seq", "left").select(
         "seq", F.coalesce("new_entities", F.lit(0)).alias("new_entities"), F.coalesce("items", F.lit(0)).alias("items"))
-    c = ledger.running_sum(steps, "seq", "new_entities", "cum_distinct")
-    c = ledger.running_sum(c, "seq", "items", "cum_items")
+    c = ledger.running_sums(steps, "seq", {"new_entities": "cum_distinct", "items": "cum_items"})
     return c.select("seq", "new_entities", "cum_distinct", "cum_items")

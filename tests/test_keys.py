@@ -66,3 +66,20 @@ def test_numeric_or_null(spark):
     got = {r["t"]: r["v"] for r in df.collect()}
     assert got["12.5"] == 12.5 and got[" -3 "] == -3.0 and got["1e3"] == 1000.0 and got[".5"] == 0.5
     assert got["n/a"] is None and got["1d"] is None and got["nan"] is None and got[""] is None and got[None] is None
+
+
+def test_long_cycle_takes_linear_time(spark):
+    import random
+    import time
+    r = random.Random(2)
+    key = {}
+    for n in (2_500, 20_000):
+        tokens = [r.choice("ab") for _ in range(n)]
+        tokens[n // 2:] = tokens[:n - n // 2]                       # long equal stretches
+        turned = tokens[n // 3:] + tokens[:n // 3]
+        t0 = time.time()
+        k = keys_of(spark, [" ".join(tokens), " ".join(turned[::-1])])
+        key[n] = (time.time() - t0, {v[1] for v in k.values()})
+        assert len(key[n][1]) == 1
+    assert key[2_500][1] == {brute_cycle(key[2_500][1].copy().pop().split(" "))}
+    assert key[20_000][0] < 8 * 4 * max(key[2_500][0], 0.5)         # quadratic would be 64 times

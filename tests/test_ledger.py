@@ -50,7 +50,7 @@ def test_settings_hash_matches_python(spark):
 def test_running_sum_matches_window(spark):
     from pyspark.sql import Window
     df = spark.range(5000).select(F.col("id").alias("seq"), (F.col("id") % 7).alias("v"))
-    a = ledger.running_sum(df, "seq", "v", "cum", width=333)
+    a = ledger.running_sum(df, "seq", "v", "cum")
     b = df.withColumn("cum2", F.sum("v").over(Window.orderBy("seq")))
     assert a.join(b, "seq").filter(F.col("cum") != F.col("cum2")).count() == 0
 
@@ -65,3 +65,16 @@ def test_json_values_as_python_writes_them(spark):
     nums = [3e-05, 0.0001, 1.5, -2.0, 0.0, -0.0, 123456789.125, 1e15, 1e16, 1.25e+22, 1e-300, 0.1, 100.0, 9999999.0, 12345678.9, 5e-324]
     got = spark.createDataFrame([(x,) for x in nums], "x double").select(json_float("x")).collect()
     assert [r[0] for r in got] == [json.dumps(x) for x in nums]
+
+
+def test_running_sums_over_all_levels_of_ranges(spark):
+    import random
+    r = random.Random(1)
+    keys = sorted({r.choice([1, 1 << 20, 1 << 40, (1 << 62) - 5, -(1 << 50)]) + r.randrange(200_000) for _ in range(800)})
+    rows = [(k, r.randrange(9), r.randrange(9), "x") for k in keys]
+    d = spark.createDataFrame(rows, "seq long, a long, b long, _other string").repartition(3)
+    got = ledger.running_sums(d, "seq", {"a": "cum_a", "b": "cum_b"}).orderBy("seq").collect()
+    a = b = 0
+    for row, (k, x, y, _) in zip(got, rows, strict=True):
+        a, b = a + x, b + y
+        assert (row.seq, row.cum_a, row.cum_b, row._other) == (k, a, b, "x")

@@ -1,5 +1,9 @@
-"""Bootstrap intervals as Spark jobs: hash-drawn resamples (join form, small n) and a one-pass Poisson form
-(large n, no join). Draws come from md5 text, so any engine reproduces them."""
+"""Bootstrap intervals as Spark jobs: resampling with replacement by a tree of binomial splits, and a one-pass Poisson form.
+
+Resampling deals n draws to n positions. The draws of a resample are split down a tree over ranges of positions: of a node's
+draws, a binomial share goes left, with the exact ratio of the two sizes. At a leaf (LEAF positions) the draws that arrive are dealt
+to its positions inside the row that holds the leaf's values. So a resample is (leaves) rows, never n, no draw is shuffled and no draw is joined to a position.
+All randomness is md5 text and all arithmetic is in whole numbers, so any engine reproduces the weights."""
 from __future__ import annotations
 
 import math
@@ -13,57 +17,110 @@ from augeval.operators.sampling import number_within, seeded_order
 from augeval.session import cut_lineage, spread
 
 
-def _draw(seed: int, b, i, n) -> F.Column:
-    """1 + floor(u * n) for a 60-bit u in [0, 1), in whole numbers (n under 2**33; beyond, the product overflows and fails)."""
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), i.cast("string")))
-    hi, lo = (F.conv(F.substring(h, at, n_hex), 16, 10).cast("bigint") for at, n_hex in ((1, 8), (9, 7)))
-    return F.shiftright(hi * n + F.shiftright(lo * n, 28), 32) + 1
+LEAF = 256
+_BITS = 60           # of a hash word, and of a split's ratio
+
+
+def _word(seed: int, *parts) -> F.Column:
+    """60 random bits: the first 15 hex digits of md5('seed|part|...')."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+
+
+def _scaled(u: F.Column, n: F.Column) -> F.Column:
+    """floor(u / 2**60 * n) in whole numbers (n under 2**31)."""
+    return F.shiftright(F.shiftright(u, 28) * n + F.shiftright(u.bitwiseAND(F.lit((1 << 28) - 1)) * n, 28), 32)
+
+
+def _left(seed: int, b, lo, hi, draws, left, size) -> F.Column:
+    """How many of a node's draws go left: each compares random bits with the binary digits of left / size, until they differ.
 
+    Digit by digit, the draws still undecided are counted by one random bit each (a popcount of hash words), so half of them are
+    decided by a digit and the whole takes about two bits a draw."""
+    def mask(n):  # the n lowest bits of a word
+        return F.when(n >= _BITS, F.lit((1 << _BITS) - 1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - 1)
 
-def draws(numbered: DataFrame, resamples: int, seed: int, position: str = "position", by: Sequence[str] = ()) -> DataFrame:
-    """The draw table (by, b, position): for every resample b, n positions drawn with replacement, where n is the
-    row count of the group in ``numbered`` (positions 1..n). Each numbered row emits its B draw slots by ``explode``, so the
-    B x n table is generated in parallel from the data's own partitions (no driver-side range, no cross join)."""
+    def ones(n, t):
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / _BITS).cast("int")), F.lit(0).cast("bigint"), lambda acc, w: acc + F.bit_count(
+            _word(seed, F.lit("split"), b, lo, hi, t, w).bitwiseAND(mask(n - w * _BITS))))).otherwise(F.lit(0).cast("bigint"))
+
+    def state(gone, open_, rest):
+        return F.struct(gone.cast("bigint").alias("left"), open_.cast("bigint").alias("open"), rest.cast("bigint").alias("rest"))
+
+    def digit(s, t):
+        n, twice = s["open"], s["rest"] * 2
+        counted = F.transform(F.array(ones(n, t)), lambda one: F.when(twice >= size, state(s["left"] + n - one, one, twice - size))
+                              .otherwise(state(s["left"], n - one, twice)))[0]   # an array of one, so that it is counted once
+        return F.when((n == 0) | (s["rest"] == 0), s).otherwise(counted)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_BITS)), state(F.lit(0), draws, left), digit)["left"]
+
+
+def leaf_draws(groups: DataFrame, resamples: int, seed: int, by: Sequence[str] = (), leaf: int = LEAF) -> DataFrame:
+    """(by, n) -> (by, b, leaf, draws): how many of the n draws of each resample fall on each leaf of ``leaf`` positions."""
     by = list(by)
-    # the numbered table is small in bytes but emits B rows each (md5 per draw): spread it over the cores first
-    slots = spread(numbered).select(*by, F.col(position).alias("i"),
-                                    F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    if by:
-        slots, n = slots.join(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by), F.col("_n")
-    else:
-        n = numbered.select(F.count(F.lit(1))).scalar()
-    return slots.select(*by, "b", _draw(seed, F.col("b"), F.col("i"), n).alias(position))
+    t = groups.select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select(
+        *by, "n", "b", F.lit(0).cast("bigint").alias("lo"), F.ceil(F.col("n") / leaf).alias("hi"), F.col("n").alias("draws"))
+    t = t.repartition(2 * t.sparkSession.sparkContext.defaultParallelism, *by, "b")   # few rows, much work in each
+    depth = ((groups.agg(F.max(F.ceil(F.col("n") / leaf))).first()[0] or 1) - 1).bit_length()
+    for _ in range(depth):
+        lo, hi, n = F.col("lo"), F.col("hi"), F.col("n")
+        mid = F.expr("(lo + hi) div 2")
+        t = t.select(*by, "n", "b", "lo", "hi", "draws", mid.alias("mid"),
+                     F.when(hi - lo > 1, _left(seed, F.col("b"), lo, hi, F.col("draws"), F.least(mid * leaf, n) - lo * leaf,
+                                               F.least(hi * leaf, n) - lo * leaf)).alias("left"))
+        node = lambda lo, hi, c: f"named_struct('lo', {lo}, 'hi', {hi}, 'draws', {c})"
+        t = t.select(*by, "n", "b", F.explode(F.expr(f"filter(if(hi - lo > 1, array({node('lo', 'mid', 'left')}, {node('mid', 'hi', 'draws - left')}), "
+                                                     f"array({node('lo', 'hi', 'draws')})), x -> x.draws > 0)")).alias("x")).select(*by, "n", "b", "x.*")
+    return t.select(*by, "b", F.col("lo").alias("leaf"), "draws", F.least(F.lit(leaf), F.col("n") - F.col("lo") * leaf).alias("size"))
+
+
+def _resampled(leaves: DataFrame, counts: DataFrame, on: Sequence[str], by: Sequence[str], seed: int, lo: float, hi: float) -> DataFrame:
+    """(by, leaf, vals: place in the leaf -> value) and the leaves' draws -> (by, _q): the interval of the resamples' means
+    over the values that are there."""
+    t = leaves.join(counts, [*on, "leaf"])
+    place = lambda j: _scaled(_word(seed, F.lit("leaf"), F.col("b"), F.col("leaf"), j), F.col("size"))
+    v = F.filter(F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: F.get("vals", place(j).cast("int"))), lambda x: x.isNotNull())
+    t = t.select(*by, "b", v.alias("_v")).select(*by, "b", F.size("_v").alias("_n"), F.aggregate("_v", F.lit(0.0), lambda a, x: a + x).alias("_s"))
+    means = t.groupBy(*by, "b").agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("m"))
+    return means.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("_q"))   # B values a group
+
+
+def _leaves(numbered: DataFrame, by: Sequence[str], value: str, leaf: int = LEAF) -> DataFrame:
+    """(by, position, value) -> (by, leaf, vals), null where a position has no row. LEAF values a row."""
+    at = F.map_from_entries(F.collect_list(F.struct(F.expr(f"(position - 1) % {leaf}").alias("i"), F.col(value).alias("v"))))
+    g = numbered.groupBy(*by, F.expr(f"(position - 1) div {leaf}").alias("leaf")).agg(at.alias("_at"))
+    return g.select(*by, "leaf", F.transform(F.sequence(F.lit(0), F.lit(leaf - 1)), lambda i: F.try_element_at("_at", i.cast("bigint"))).alias("vals"))
 
 
 def bootstrap_ci(df: DataFrame, id_col: str, value_col: str, resamples: int = 1000, seed: int = 42,
                  lo: float = 0.025, hi: float = 0.975, by: Sequence[str] = ()) -> DataFrame:
-    """Percentile interval of the mean over B resamples, per group of ``by`` (positions of an md5 order, then a join)."""
+    """Percentile interval of the mean over B resamples, per group of ``by`` (positions in an md5 order)."""
     by = list(by)
     d = df.select(*by, id_col, value_col).withColumn("_h", seeded_hash(seed, id_col))
-    # read three times (count, draw slots, join): written once
-    numbered = cut_lineage(number_within(d, by, ["_h", id_col], F.substring("_h", 1, 3), "position").drop("_h"), "boot-numbered")
-    dt = draws(numbered, resamples, seed, by=by)
-    means = dt.join(numbered, [*by, "position"]).groupBy(*by, "b").agg(F.avg(value_col).alias("m"))
+    # read twice (leaves, sizes): written once
+    leaves = cut_lineage(_leaves(number_within(d, by, ["_h", id_col], F.substring("_h", 1, 3), "position"), by, value_col), "boot-leaves")
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    ci = _resampled(leaves, leaf_draws(n, resamples, seed, by), by, by, seed, lo, hi)
     point = df.groupBy(*by).agg(F.avg(value_col).alias("mean"))
-    ci = means.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("_q"))   # B values a group
     j = point.join(ci, by) if by else point.withColumn("_q", ci.select("_q").scalar())
     return j.select(*by, "mean", F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
 
 
-def paired_bootstrap(errors: DataFrame, id_col: str, model_col: str, value_col: str, reference: str,
+def paired_bootstrap(errors: DataFrame, reference: DataFrame, id_col: str, by: Sequence[str], value_col: str,
                      resamples: int = 1000, seed: int = 42, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """Same draws for every model: per model, the interval of mean(|e_model| - |e_ref|) over entities present for
-    both, and whether it excludes zero."""
-    ref = errors.filter(F.col(model_col) == reference).select(id_col, F.col(value_col).alias("_r"))
-    d = (errors.filter(F.col(model_col) != reference).join(ref, id_col)
-               .select(model_col, id_col, (F.col(value_col) - F.col("_r")).alias("d")))
-    numbered = cut_lineage(seeded_order(ref.select(id_col), id_col, seed, "position"), "boot-numbered")
-    dt = draws(numbered, resamples, seed).join(numbered, "position")
-    means = dt.join(d, id_col).groupBy(model_col, "b").agg(F.avg("d").alias("m"))
-    ci = means.groupBy(model_col).agg(F.percentile("m", [lo, hi]).alias("_q"))
-    point = d.groupBy(model_col).agg(F.avg("d").alias("mean_diff"))
-    out = point.join(ci, model_col).select(model_col, "mean_diff", F.col("_q")[0].alias("ci_lo"),
-                                           F.col("_q")[1].alias("ci_hi"))
+    """Per group of ``by`` (such as a student run and its seed) the interval of mean(error - reference error) over the entities of
+    both, with the same draws over the reference's entities for every group, and whether it excludes zero.
+
+    ``errors``: by, id, value. ``reference``: id, value, one row an entity."""
+    by = list(by)
+    numbered = seeded_order(reference.select(id_col, F.col(value_col).alias("_r")), id_col, seed, "position")
+    d = cut_lineage(errors.select(*by, id_col, value_col).join(numbered, id_col)
+                    .select(*by, "position", (F.col(value_col) - F.col("_r")).alias("d")), "boot-differences")
+    n = reference.agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(leaf_draws(n, resamples, seed), "boot-draws")   # shared by all groups
+    ci = _resampled(_leaves(d, by, "d"), counts, [], by, seed, lo, hi)
+    point = d.groupBy(*by).agg(F.avg("d").alias("mean_diff"))
+    out = point.join(ci, by).select(*by, "mean_diff", F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
     return out.withColumn("excludes_zero", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 

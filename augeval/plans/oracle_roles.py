@@ -143,11 +143,11 @@ def _order(names: list[str]) -> list[str]:
     return seen
 
 
-def with_roles(sql: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
-    """``WITH`` the named roles (and their dependencies), then optional extra CTEs, then ``sql``."""
+def with_roles(sql: str, *names: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
+    """``WITH`` the named roles (and their dependencies), then optional extra CTEs (``recursive``: some refer to themselves), then ``sql``."""
     ctes = [f"{n} AS ({ROLE_SQL[n]})" for n in _order(list(names))]
     ctes += [f"{n} AS ({s})" for n, s in (extra or [])]
-    return ("WITH " + ",\n".join(ctes) + "\n" + sql) if ctes else sql
+    return ("WITH " + "RECURSIVE " * recursive + ",\n".join(ctes) + "\n" + sql) if ctes else sql
 
 role("syn_keyed", """
   SELECT s.*, s.smiles AS exact_key, k.alt_key FROM syn s

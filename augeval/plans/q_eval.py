@@ -524,12 +524,29 @@ _ERR_SQL = "SELECT run, entity, avg(abs(y_pred - y_true)) AS v FROM preds GROUP
 _U60 = "CAST(('0x' || substr(md5('42|' || CAST({a} AS VARCHAR) || '|' || CAST({b} AS VARCHAR)), 1, 15)) AS BIGINT)"
 
 
-def _draw_sql(by: str = "") -> str:
-    """Draws (by, b, position) of 1 + floor(u * n), u of 60 bits, for the groups of ``ids``."""
-    cols = f"{by}, " if by else ""
-    group = f" GROUP BY {by}" if by else ""
-    return f"""SELECT {cols}b, CAST((CAST({_U60.format(a='b', b='i')} AS HUGEINT) * cnt) // 1152921504606846976 AS BIGINT) + 1 AS position
-  FROM (SELECT {cols}count(*) AS cnt FROM ids{group}) c, range(1, {RESAMPLES} + 1) rb(b), LATERAL range(1, c.cnt + 1) ri(i)"""
+_LEAF = bootstrap.LEAF
+
+
+def _tree_sql(by: str = "") -> list[tuple[str, str]]:
+    """Draws (by, b, position) for the groups of ``ids``: n draws split down a tree of leaves by the binary digits of the sizes' ratio,
+    one hashed bit a draw and digit, then dealt inside each leaf."""
+    cols, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    u = "CAST(('0x' || substr(md5({}), 1, 15)) AS BIGINT)"
+    word = u.format("'42|split|' || b || '|' || lo || '|' || hi || '|' || t.t || '|' || w")
+    ones = f"""coalesce(list_sum(list_transform(range((a.o + 59) // 60), lambda w: bit_count({word} &
+               CASE WHEN a.o - w * 60 >= 60 THEN 1152921504606846975 ELSE (CAST(1 AS BIGINT) << CAST(a.o - w * 60 AS INTEGER)) - 1 END))), 0)"""
+    st = lambda g, o, r: f"{{'g': CAST({g} AS BIGINT), 'o': CAST({o} AS BIGINT), 'r': CAST({r} AS BIGINT), 't': t.t}}"
+    left = f"""list_reduce(list_transform(range(61), lambda i: {{'g': CAST(0 AS BIGINT), 'o': c, 'r': least((lo + hi) // 2 * {_LEAF}, n) - lo * {_LEAF}, 't': i}}),
+      lambda a, t: CASE WHEN a.o = 0 OR a.r = 0 THEN {st('a.g', 'a.o', 'a.r')}
+        WHEN 2 * a.r >= least(hi * {_LEAF}, n) - lo * {_LEAF} THEN {st(f'a.g + a.o - {ones}', ones, f'2 * a.r - (least(hi * {_LEAF}, n) - lo * {_LEAF})')}
+        ELSE {st('a.g', f'a.o - {ones}', '2 * a.r')} END).g"""
+    return [
+        ("tree", f"""SELECT {cols}n, b, CAST(0 AS BIGINT) AS lo, (n + {_LEAF - 1}) // {_LEAF} AS hi, n AS c
+           FROM (SELECT {cols}count(*) AS n FROM ids{group}), range(1, {RESAMPLES} + 1) rb(b)
+         UNION ALL SELECT {cols}n, b, x.lo, x.hi, x.c FROM (SELECT {cols}n, b, unnest([{{'lo': lo, 'hi': (lo + hi) // 2, 'c': l}}, {{'lo': (lo + hi) // 2, 'hi': hi, 'c': c - l}}]) AS x
+           FROM (SELECT *, {left} AS l FROM tree WHERE hi - lo > 1)) WHERE x.c > 0"""),
+        ("d", f"""SELECT {cols}b, lo * {_LEAF} + CAST((CAST({u.format("'42|leaf|' || b || '|' || lo || '|' || j")} AS HUGEINT) * least({_LEAF}, n - lo * {_LEAF})) // 1152921504606846976 AS BIGINT) + 1 AS position
+          FROM tree, LATERAL range(1, c + 1) rj(j) WHERE hi - lo = 1""")]
 
 
 def _errors(spark, sf):
@@ -543,29 +560,30 @@ def _errors(spark, sf):
         FROM (SELECT run, b, avg(v) AS m FROM d JOIN nb USING (run, position) GROUP BY run, b) GROUP BY run) USING (run)
 """, "preds", extra=[("e", _ERR_SQL), ("ids", "SELECT run, entity FROM e"),
                      ("nb", "SELECT run, v, row_number() OVER (PARTITION BY run ORDER BY md5('42|' || entity), entity) AS position FROM e"),
-                     ("d", _draw_sql("run"))]))
+                     *_tree_sql("run")], recursive=True))
 def q_bootstrap_ci(spark, sf):
     """Percentile interval of every run's MAE over 200 md5-drawn resamples."""
     return bootstrap.bootstrap_ci(_errors(spark, sf), "entity", "v", RESAMPLES, 42, by=["run"])
 
 
-@query("paired_bootstrap", with_roles(f"""
-  SELECT a.run, mean_diff, ci_lo, ci_hi, ci_lo > 0 OR ci_hi < 0 AS excludes_zero FROM
-    (SELECT run, avg(d) AS mean_diff FROM dd GROUP BY run) a
-  JOIN (SELECT run, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM
-          (SELECT run, b, avg(d) AS m FROM d JOIN nb USING (position) JOIN dd USING (entity) GROUP BY run, b) GROUP BY run) c
-  ON a.run = c.run
+@query("paired_bootstrap", with_roles("""
+  SELECT a.run, a.seed, mean_diff, ci_lo, ci_hi, ci_lo > 0 OR ci_hi < 0 AS excludes_zero FROM
+    (SELECT run, seed, avg(d) AS mean_diff FROM dd GROUP BY run, seed) a
+  JOIN (SELECT run, seed, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM
+          (SELECT run, seed, b, avg(dd.d) AS m FROM d JOIN nb USING (position) JOIN dd USING (entity) GROUP BY run, seed, b) GROUP BY run, seed) c
+  ON a.run = c.run AND a.seed = c.seed
 """, "preds", extra=[
-    ("err", f"SELECT run, entity, avg(abs{E}) AS abs_error FROM preds GROUP BY run, entity"),
-    ("ref", "SELECT entity, abs_error AS r FROM err WHERE run = 'A'"),
-    ("dd", "SELECT run, entity, abs_error - r AS d FROM err JOIN ref USING (entity) WHERE run <> 'A'"),
+    ("ref", f"SELECT entity, avg(abs{E}) AS r FROM preds WHERE run = 'A' GROUP BY entity"),
+    ("dd", f"SELECT run, seed, entity, abs{E} - r AS d FROM preds JOIN ref USING (entity) WHERE run <> 'A'"),
     ("ids", "SELECT entity FROM ref"),
     ("nb", "SELECT entity, row_number() OVER (ORDER BY md5('42|' || entity), entity) AS position FROM ref"),
-    ("d", _draw_sql())]))
+    *_tree_sql()], recursive=True))
 def q_paired_bootstrap(spark, sf):
-    """Paired bootstrap of each model's error minus the reference model's, shared draws."""
-    err = metrics.seed_mean_error(roles.preds(spark, sf))
-    return bootstrap.paired_bootstrap(err, "entity", "run", "abs_error", "A", RESAMPLES, 42)
+    """Paired bootstrap of each student run and seed against the reference model, shared draws."""
+    p = roles.preds(spark, sf)
+    students = p.filter(F.col("run") != "A").select("run", "seed", "entity", F.abs(F.col("y_pred") - F.col("y_true")).alias("abs_error"))
+    teacher = metrics.seed_mean_error(p.filter(F.col("run") == "A")).select("entity", "abs_error")
+    return bootstrap.paired_bootstrap(students, teacher, "entity", ["run", "seed"], "abs_error", RESAMPLES, 42)
 
 
 def _poisson_case(u: str) -> str:

@@ -1,10 +1,9 @@
-"""Hashed token fingerprints and nearest-reference Tanimoto similarity as an inverted-index join.
+"""Hashed token fingerprints and nearest-reference Tanimoto similarity.
 
-Tanimoto(q, r) = c / (a + b - c) with c the shared on-bits. Instead of comparing every (q, r) pair, both sides
-are exploded to (item, bit) rows and equi-joined on the bit, so only pairs that share a bit meet; ``count``
-per pair is c. A hot bit (present in a third of all rows) is a skewed join key: AQE's skew-join splits its
-partition. Query items with no shared bit get 0 through a left join.
-"""
+Tanimoto(q, r) = c / (a + b - c) with c the shared on-bits of sets of sizes a and b. Sets that reach a similarity m share one
+of the rarest a - ceil(m * a) + 1 bits of each side and differ in size by a factor of m at most; so a search from m on joins those
+prefixes only. The largest similarity of every item is found by falling m: what reaches m is settled, the rest goes on
+with longer prefixes, and what is left at the end meets every set that shares a bit. A hot bit is a skewed join key, which AQE's skew join splits."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -12,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from augeval.session import cut_lineage
+
 # Fixed value: the token pattern splits on every run of characters that are neither letters nor digits.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -43,40 +44,90 @@ def fingerprint(df: DataFrame, text_col: str, bits: int = 2048, radius: int = 2,
     return d.withColumn(out, hash_bits(F.col("_grams"), bits)).drop("_tokens", "_grams")
 
 
-def max_tanimoto(query: DataFrame, ref: DataFrame, id_col: str = "vec_id", bits_col: str = "bits",
-                 out: str = "max_tanimoto") -> DataFrame:
-    """For each query item the largest Tanimoto similarity to any reference item (0 when none shares a bit)."""
-    q = query.select(F.col(id_col).alias("qid"), F.size(bits_col).alias("a"), F.explode(bits_col).alias("bit"))
-    r = ref.select(F.col(id_col).alias("rid"), F.size(bits_col).alias("b"), F.explode(bits_col).alias("bit"))
-    pairs = q.join(r, "bit").groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("a"),
-                                                         F.first("b").alias("b"))
-    best = pairs.groupBy("qid").agg(F.max(F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("_m"))
-    base = query.select(F.col(id_col).alias("qid"))
-    return base.join(best, "qid", "left").select(F.col("qid").alias(id_col), F.coalesce("_m", F.lit(0.0)).alias(out))
+BANDS = (0.8, 0.6, 0.4, 0.2)
+WORTH = 4      # a band is searched if it joins at most a WORTH-th of the rows that the join on all bits would
 
 
-def nearest_at_least(query: DataFrame, ref: DataFrame, minimum: float, id_col: str = "doc_id", bits_col: str = "bits",
-                     out: str = "max_tanimoto") -> DataFrame:
-    """Largest Tanimoto similarity of each query item to any reference item, exact where it is ``minimum`` or more, else 0.
+def _sets(df: DataFrame, bits_col: str, side: str) -> DataFrame:
+    """Distinct fingerprints, not empty."""
+    return df.select(F.array_sort(bits_col).alias(side)).where(F.size(side) > 0).distinct()
+
+
+def _rare_first(df: DataFrame, side: str, freq: DataFrame) -> DataFrame:
+    """Add ``_rare``, the bits from rare to common by their count among the references."""
+    d = df.withColumn("_f", freq.select("_f").scalar())
+    keyed = F.array_sort(F.transform(side, lambda x: F.struct(F.coalesce(F.try_element_at("_f", x), F.lit(0)).alias("n"), x.alias("bit"))))
+    return d.select(*df.columns, F.transform(keyed, lambda x: x["bit"]).alias("_rare"))
 
-    Distinct fingerprints are compared once. Bits are ordered from rare to common by their count among the references (a
-    table bounded by the fingerprint's width); sets that reach the minimum share one of the first
-    a - ceil(minimum * a) + 1 bits of each side, so only those prefixes are joined, under the size bound
-    minimum * a <= b <= a / minimum; the full lists are compared for the pairs that remain."""
+
+def _prefix(df: DataFrame, side: str, minimum: float) -> DataFrame:
+    """(side, bit): the bits of which a set of similarity ``minimum`` or more must share one."""
+    n = F.size(side)
+    length = (n - F.ceil(n * F.lit(minimum)) + 1).cast("int")
+    return df.select(side, F.explode(F.slice("_rare", F.lit(1), length)).alias("bit"))
+
+
+def _frequencies(ref: DataFrame, bits_col: str) -> DataFrame:
+    """One map of bit -> references with it (a table bounded by the fingerprint's width)."""
     freq = ref.select(F.explode(bits_col).alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
-    freq = freq.agg(F.map_from_entries(F.collect_list(F.struct("bit", "n"))).alias("_f"))   # one entry a bit
+    return freq.agg(F.map_from_entries(F.collect_list(F.struct("bit", "n"))).alias("_f"))
 
-    def prefixes(df, side):
-        d = df.select(F.array_sort(bits_col).alias(side)).where(F.size(side) > 0).distinct().withColumn("_f", freq.select("_f").scalar())
-        keyed = F.array_sort(F.transform(side, lambda x: F.struct(F.coalesce(F.try_element_at("_f", x), F.lit(0)).alias("n"), x.alias("bit"))))
-        n = F.size(side)
-        length = (n - F.ceil(n * F.lit(minimum)) + 1).cast("int")
-        return d.select(side, F.explode(F.slice(keyed, F.lit(1), length)).alias("_p")).select(side, F.col("_p.bit").alias("bit"))
 
-    q, r = prefixes(query, "_q"), prefixes(ref, "_r")
+def met_pairs(q: DataFrame, r: DataFrame, minimum: float) -> DataFrame:
+    """(_q, _r) of the sets that a search from ``minimum`` on has to compare."""
     a, b = F.size("_q"), F.size("_r")
-    met = q.join(r, "bit").where((b >= a * minimum) & (a >= b * minimum)).select("_q", "_r").distinct()
+    return _prefix(q, "_q", minimum).join(_prefix(r, "_r", minimum), "bit") \
+        .where((b >= a * minimum) & (a >= b * minimum)).select("_q", "_r").distinct()
+
+
+def _best(met: DataFrame, minimum: float, out: str) -> DataFrame:
     c = F.size(F.array_intersect("_q", "_r"))
-    best = met.select("_q", F.try_divide(c, a + b - c).alias("_s")).where(F.col("_s") >= minimum).groupBy("_q").agg(F.max("_s").alias(out))
+    s = met.select("_q", F.try_divide(c, F.size("_q") + F.size("_r") - c).alias("_s"))
+    return s.where(F.col("_s") >= minimum).groupBy("_q").agg(F.max("_s").alias(out))
+
+
+def _joined_rows(q: DataFrame, r: DataFrame, minimum: float) -> int:
+    """Rows that the join of the prefixes makes, from the counts of each bit."""
+    a, b = (_prefix(d, side, minimum).groupBy("bit").agg(F.count(F.lit(1)).alias(n)) for d, side, n in ((q, "_q", "nq"), (r, "_r", "nr")))
+    return a.join(b, "bit").agg(F.sum(F.col("nq") * F.col("nr"))).first()[0] or 0
+
+
+def max_tanimoto(query: DataFrame, ref: DataFrame, id_col: str = "vec_id", bits_col: str = "bits",
+                 out: str = "max_tanimoto", bands: Sequence[float] = BANDS) -> DataFrame:
+    """For each query item the largest Tanimoto similarity to any reference item (0 when none shares a bit).
+
+    Distinct fingerprints are compared once. A band of ``bands`` settles the sets that reach it; one that would not save rows (dense
+    fingerprints) is passed over. Sets that no band settles meet all references that share a bit, counted by join on the bit."""
+    freq = _frequencies(ref, bits_col)
+    # Numbered in a written table, so that a number stands for its set.
+    q = cut_lineage(_rare_first(_sets(query, bits_col, "_q"), "_q", freq).withColumn("_k", F.monotonically_increasing_id()), "similar-queries")
+    r = cut_lineage(_rare_first(_sets(ref, bits_col, "_r"), "_r", freq).withColumn("_i", F.monotonically_increasing_id()), "similar-references")
+    settled, every = [], None
+    for minimum in sorted(bands, reverse=True):
+        every = _joined_rows(q, r, 0.0) if every is None else every
+        if WORTH * _joined_rows(q, r, minimum) > every:
+            continue
+        settled.append(cut_lineage(_best(met_pairs(q, r, minimum), minimum, out), "similar-settled"))
+        q = cut_lineage(q.join(settled[-1].select("_q"), "_q", "left_anti"), "similar-queries")
+        every = None
+    a = q.select("_k", F.size("_q").alias("a"), F.explode("_q").alias("bit"))
+    b = r.select("_i", F.size("_r").alias("b"), F.explode("_r").alias("bit"))
+    rest = a.join(b, "bit").groupBy("_k", "_i").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("a"), F.first("b").alias("b")) \
+        .groupBy("_k").agg(F.max(F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias(out))
+    best = q.join(rest, "_k").select("_q", out)
+    for s in settled:
+        best = best.union(s.select("_q", out))
+    base = query.select(id_col, F.array_sort(bits_col).alias("_q"))
+    return base.join(best, "_q", "left").select(id_col, F.coalesce(out, F.lit(0.0)).alias(out))
+
+
+def nearest_at_least(query: DataFrame, ref: DataFrame, minimum: float, id_col: str = "doc_id", bits_col: str = "bits",
+                     out: str = "max_tanimoto") -> DataFrame:
+    """Largest Tanimoto similarity of each query item to any reference item, exact where it is ``minimum`` or more, else 0.
+
+    Distinct fingerprints are compared once, those of ``met_pairs``."""
+    freq = _frequencies(ref, bits_col)
+    q, r = _rare_first(_sets(query, bits_col, "_q"), "_q", freq), _rare_first(_sets(ref, bits_col, "_r"), "_r", freq)
     base = query.select(id_col, F.array_sort(bits_col).alias("_q"))
+    best = _best(met_pairs(q, r, minimum), minimum, out)
     return base.join(best, "_q", "left").select(id_col, F.coalesce(out, F.lit(0.0)).alias(out))

@@ -32,11 +32,10 @@ def value_buckets(vals: DataFrame, value_col: str, by: Sequence[str] = (), fanou
     return cut_join.withColumn("_b", F.col("_hi") * fanout + F.size(F.filter(fine_cuts, lambda c: c < v))).drop("_cuts", "_hi")
 
 
-def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
-                 fanout: int = 32, accuracy: int = 10000) -> DataFrame:
-    """Add the tie-averaged rank (1-based) of ``value_col`` within ``by``; null values get a null rank."""
+def rank_values(vals: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
+                fanout: int = 32, accuracy: int = 10000) -> DataFrame:
+    """Add the tie-averaged rank (1-based) of each distinct value of a group, ``_c`` rows having it."""
     by = list(by)
-    vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
     vb = value_buckets(vals, value_col, by, fanout, accuracy)
     # read twice below (bucket totals, local ranks): cut its lineage once so the bucket search runs once
     vb = cut_lineage(vb, "rank-buckets")
@@ -45,9 +44,15 @@ def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str
     offs = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wo), F.lit(0))).drop("_bt")
     wl = Window.partitionBy(*by, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     local = vb.withColumn("_before", F.coalesce(F.sum("_c").over(wl), F.lit(0)))
-    ranked = (local.join(offs, [*by, "_b"])
-                   .select(*by, value_col, (F.col("_off") + F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out)))
-    return df.join(ranked, [*by, value_col], "left")
+    return local.join(offs, [*by, "_b"]).select(*vals.columns, (F.col("_off") + F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out))
+
+
+def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
+                 fanout: int = 32, accuracy: int = 10000) -> DataFrame:
+    """Add the tie-averaged rank (1-based) of ``value_col`` within ``by``; null values get a null rank."""
+    by = list(by)
+    vals = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    return df.join(rank_values(vals, value_col, by, out, fanout, accuracy).drop("_c"), [*by, value_col], "left")
 
 
 def guarded_corr(x: str | Column, y: str | Column) -> Column:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from augeval.functions.stats import signed_rank_exact_p, t_two_sided_p
+from augeval.functions.ranks import rank_values
+from augeval.functions.stats import signed_rank_is_exact, signed_rank_p, t_two_sided_p
 
 
 def seed_pairs(metrics: DataFrame, pairs: DataFrame, run_col: str = "run", seed_col: str = "seed",
@@ -19,38 +20,34 @@ def seed_pairs(metrics: DataFrame, pairs: DataFrame, run_col: str = "run", seed_
                  .select("label", seed_col, "a", "b", (F.col("a") - F.col("b")).alias("diff")))
 
 
-def seed_matched_diff(paired: DataFrame, by: Sequence[str] = ("label",), diff: str = "diff",
-                      min_pairs: int = 2) -> DataFrame:
-    """Per pair: n, mean, SD, min, max, same-sign count, paired-t p and exact signed-rank p (n >= min_pairs).
+def signed_rank(paired: DataFrame, by: Sequence[str] = ("label",), diff: str = "diff") -> DataFrame:
+    """Wilcoxon's signed-rank test per group, for any number of pairs: n, zeros, w_plus, w_minus, wilcoxon_p, wilcoxon_method.
 
-    The per-pair rows are a handful of seeds, so ranking them inside a per-pair window is bounded."""
-    by = list(by)
-    d = F.col(diff)
-    w = Window.partitionBy(*by)
-    x = (paired.withColumn("_mean", F.avg(d).over(w))
-               .withColumn("_absd", F.abs(d))
-               .withColumn("_rank", F.rank().over(w.orderBy("_absd")) +
-                           (F.count(F.lit(1)).over(Window.partitionBy(*by, "_absd")) - 1) / 2.0))
-    g = x.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"),
-        F.min(d).alias("min"), F.max(d).alias("max"),
-        F.count_if(F.signum(d) == F.signum(F.col("_mean"))).cast("bigint").alias("same_sign"),
-        F.max(F.abs(d)).alias("_maxabs"),
-        F.sum(F.when(d > 0, F.col("_rank")).otherwise(0.0)).alias("_wplus"),
-        F.sum(F.when(d < 0, F.col("_rank")).otherwise(0.0)).alias("_wminus"),
-        F.count_if(d == 0).alias("_zeros"), F.count_distinct("_absd").alias("_distinct_abs"))
-    g = g.filter(F.col("n") >= min_pairs)
+    Differences are collapsed to (group, absolute value) with their counts by sign, the values are ranked in buckets, and the
+    rank sums and tie groups are partial aggregates, so a group of any size is spread over many tasks. Null differences are left out."""
+    by, d = list(by), F.col(diff)
+    rows = paired.where(d.isNotNull())
+    vals = rows.where(d != 0).groupBy(*by, F.abs(d).alias("_a")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(d > 0).alias("_plus"))
+    r = rank_values(vals, "_a", by, "_rank").groupBy(*by).agg(
+        F.sum(F.col("_rank") * F.col("_plus")).alias("w_plus"), F.sum(F.col("_rank") * (F.col("_c") - F.col("_plus"))).alias("w_minus"),
+        F.sum(F.pow(F.col("_c").cast("double"), F.lit(3)) - F.col("_c")).alias("_ties"))
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(d == 0).alias("zeros")).join(r, by, "left").fillna(0.0, ["w_plus", "w_minus", "_ties"])
+    method = F.when(F.col("n") == F.col("zeros"), "all zero").when(signed_rank_is_exact("n", "zeros", "_ties"), "exact").otherwise("normal")
+    return g.select(*by, "n", "zeros", "w_plus", "w_minus", signed_rank_p("w_plus", "w_minus", "n", "zeros", "_ties").alias("wilcoxon_p"),
+                    method.alias("wilcoxon_method"))
+
+
+def seed_matched_diff(paired: DataFrame, by: Sequence[str] = ("label",), diff: str = "diff", min_pairs: int = 2) -> DataFrame:
+    """Per pair: n, mean, SD, min, max, same-sign count and paired-t p (n >= min_pairs)."""
+    by, d = list(by), F.col(diff)
+    sums = [F.count_if(F.signum(d) == s).cast("bigint").alias(f"_sign{s + 1}") for s in (-1, 0, 1)]
+    g = paired.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"),
+                                F.min(d).alias("min"), F.max(d).alias("max"), *sums).filter(F.col("n") >= min_pairs)
+    same = F.when(F.col("mean") > 0, F.col("_sign2")).when(F.col("mean") < 0, F.col("_sign0")).otherwise(F.col("_sign1"))
     t = F.col("mean") / (F.col("sd") / F.sqrt(F.col("n").cast("double")))
-    different = F.col("_maxabs") > 0
-    untied = (F.col("_zeros") == 0) & (F.col("_distinct_abs") == F.col("n"))
-    w_stat = F.least("_wplus", "_wminus")
-    return g.select(
-        *by, "n", "mean", "sd", "min", "max", "same_sign",
-        F.concat(F.col("same_sign").cast("string"), F.lit("/"), F.col("n").cast("string")).alias("same_sign_label"),
-        F.when(different & (F.col("sd") > 0), t_two_sided_p(t, F.col("n") - 1)).alias("t_p"),
-        F.when(different & untied, signed_rank_exact_p(w_stat, F.col("n"))).alias("wilcoxon_p"),
-        F.when(~different, F.lit("all zero")).when(untied, F.lit("exact")).otherwise(F.lit("ties or zeros"))
-         .alias("wilcoxon_method"))
+    return g.select(*by, "n", "mean", "sd", "min", "max", same.alias("same_sign"),
+                    F.concat(same.cast("string"), F.lit("/"), F.col("n").cast("string")).alias("same_sign_label"),
+                    F.when(F.col("sd") > 0, t_two_sided_p(t, F.col("n") - 1)).alias("t_p"))
 
 
 def early_stop(hist: DataFrame, keys: Sequence[str], order: str, metric: str, patience, carry: Sequence[str] = ()) -> DataFrame:

@@ -289,18 +289,39 @@ def q_paired_t(spark, sf):
     return _diff(spark, sf).select("label", "t_p")
 
 
-@query("wilcoxon", with_roles("""
-  SELECT label, CASE WHEN maxabs > 0 AND zeros = 0 AND nd = n THEN least(1.0, 2.0 * (
-           SELECT count(*) FROM range(0, (1::BIGINT << CAST(n AS INTEGER))) t(mk)
+_NORMAL_P_SQL = """CASE WHEN abs(z) < 5 THEN greatest(0.0, 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * abs(z) * list_reduce(
+    list_transform(range(101), lambda k: {'k': CAST(k AS DOUBLE), 'term': CAST(1 AS DOUBLE), 'total': CAST(1 AS DOUBLE)}),
+    lambda a, x: {'k': x.k, 'term': a.term * z * z / (2 * x.k + 1), 'total': a.total + a.term * z * z / (2 * x.k + 1)}).total)
+  WHEN z IS NOT NULL THEN 2 * exp(-z * z / 2) / sqrt(2 * pi()) / list_reduce(
+    list_prepend(CAST(abs(z) AS DOUBLE), list_transform(range(1, 61), lambda k: CAST(61 - k AS DOUBLE))), lambda a, k: abs(z) + k / a) END"""
+# Entities as pairs: thousands of differences a label, beside the few seeds of the others.
+_ENTITY_PAIRS = [(m, "A") for m in MODELS if m != "A"]
+
+
+@query("wilcoxon", with_roles(f"""
+  SELECT label, CASE WHEN n = zeros THEN NULL WHEN exact THEN least(1.0, 2.0 * (
+           SELECT count(*) FROM range(0, CASE WHEN exact AND n <= 20 THEN 1::BIGINT << CAST(n AS INTEGER) ELSE 0 END) t(mk)
            WHERE list_sum([(k + 1) * ((mk >> k) & 1) for k in range(CAST(n AS INTEGER))]) <= least(wplus, wminus))
-         / pow(2, n)) END AS wilcoxon_p,
-         CASE WHEN NOT maxabs > 0 THEN 'all zero' WHEN zeros = 0 AND nd = n THEN 'exact' ELSE 'ties or zeros' END
-           AS wilcoxon_method
-  FROM g
-""", "preds", extra=_DIFF_EXTRA))
+         / pow(2, n)) ELSE {_NORMAL_P_SQL} END AS wilcoxon_p,
+         CASE WHEN n = zeros THEN 'all zero' WHEN exact THEN 'exact' ELSE 'normal' END AS wilcoxon_method, n, zeros
+  FROM (SELECT *, zeros = 0 AND ties = 0 AND n <= 50 AS exact, (least(wplus, wminus) - m * (m + 1) / 4)
+               / sqrt(nullif(m * (m + 1) * (2 * m + 1) / 24 - ties / 48, 0)) AS z FROM sg)
+""", "preds", extra=[*_DIFF_EXTRA[:3],
+    ("en", f"SELECT run, entity, avg(abs{E}) AS v FROM preds GROUP BY run, entity"),
+    ("al", "SELECT label, diff FROM pd UNION ALL SELECT 'entities ' || x.run || ' - A', x.v - y.v FROM en x JOIN en y ON y.run = 'A' AND y.entity = x.entity WHERE x.run <> 'A'"),
+    ("sr", f"SELECT *, {avg_rank_sql('abs(diff)', 'label')} AS rk FROM al WHERE diff <> 0"),
+    ("sg", """SELECT label, n, zeros, CAST(n - zeros AS DOUBLE) AS m, coalesce(wplus, 0) AS wplus, coalesce(wminus, 0) AS wminus, coalesce(ties, 0) AS ties
+              FROM (SELECT label, count(*) AS n, CAST(count_if(diff = 0) AS BIGINT) AS zeros FROM al GROUP BY label)
+              LEFT JOIN (SELECT label, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wplus, sum(CASE WHEN diff < 0 THEN rk ELSE 0 END) AS wminus FROM sr GROUP BY label) USING (label)
+              LEFT JOIN (SELECT label, sum(pow(t, 3) - t) AS ties FROM (SELECT label, count(*) AS t FROM sr GROUP BY label, abs(diff)) GROUP BY label) USING (label)""")]))
 def q_wilcoxon(spark, sf):
-    """A10: exact two-sided signed-rank p for untied non-zero differences (method column otherwise)."""
-    return _diff(spark, sf).select("label", "wilcoxon_p", "wilcoxon_method")
+    """A10: signed-rank test of the seed pairs (exact) and of every model against the reference entity by entity (normal)."""
+    pairs = spark.createDataFrame(PAIRS, "label string, run_a string, run_b string")
+    by_seed = paired.seed_pairs(_basic(spark, sf), pairs).select("label", "diff")
+    e = _errors(spark, sf)
+    models = spark.createDataFrame([(f"entities {m} - {r}", m, r) for m, r in _ENTITY_PAIRS], "label string, run_a string, run_b string")
+    by_entity = paired.seed_pairs(e, models, seed_col="entity", value="v").select("label", "diff")
+    return paired.signed_rank(by_seed.union(by_entity)).select("label", "wilcoxon_p", "wilcoxon_method", "n", "zeros")
 
 
 @query("same_sign_label", with_roles("SELECT label, CAST(same_sign AS VARCHAR) || '/' || CAST(n AS VARCHAR) AS same_sign_label FROM g",

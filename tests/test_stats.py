@@ -23,7 +23,8 @@ def test_seed_matched_golden(spark):
     assert (round(r["mean"], 2), round(r["sd"], 2), round(r["min"], 2), round(r["max"], 2)) == (-2.72, 1.39, -4.47, -1.15)
     assert r["same_sign_label"] == "5/5"
     assert round(r["t_p"], 3) == 0.012
-    assert round(r["wilcoxon_p"], 4) == 0.0625 and r["wilcoxon_method"] == "exact"
+    w = paired.signed_rank(df).first()
+    assert round(w["wilcoxon_p"], 4) == 0.0625 and w["wilcoxon_method"] == "exact"
 
 
 def test_t_p_against_integration(spark):
@@ -60,3 +61,42 @@ def test_early_stop_strict_improvement(spark):
     h = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (1, 3, 5.0), (1, 4, 4.0)], "run int, epoch int, val_mae double")
     r = paired.early_stop(h, ["run"], "epoch", "val_mae", 2).first()
     assert (r["best_epoch"], r["steps_run"]) == (1, 3)     # ties are not improvements
+
+
+def brute_signed_rank(d):
+    nz = [x for x in d if x]
+    a = sorted(abs(x) for x in nz)
+    rank = {v: a.index(v) + (a.count(v) + 1) / 2 for v in set(a)}
+    m, w = len(nz), min(sum(rank[abs(x)] for x in nz if x > 0), sum(rank[abs(x)] for x in nz if x < 0))
+    ties = sum(a.count(v) ** 3 - a.count(v) for v in set(a))
+    if not ties and m == len(d) <= 50:
+        ways = [1] + [0] * (m * (m + 1) // 2)
+        for k in range(1, m + 1):
+            for s in range(len(ways) - 1, k - 1, -1):
+                ways[s] += ways[s - k]
+        return "exact", min(1.0, 2 * sum(ways[:int(w) + 1]) / 2 ** m)
+    z = (w - m * (m + 1) / 4) / math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)
+    return "normal", math.erfc(abs(z) / math.sqrt(2))
+
+
+def test_signed_rank_with_ties_zeros_and_many_pairs(spark):
+    import random
+    r = random.Random(6)
+    cases = {"ties": [1.0, -1.0, 2.0, 2.0, 2.0, 3.0, -4.0, 5.0], "zeros": [0.0, 0.0, 1.5, -2.5, 3.5, 4.5, 6.0], "fifty": [r.gauss(0.4, 1) for _ in range(50)],
+             "many": [r.gauss(0.05, 1) for _ in range(3000)], "many ties": [float(r.randrange(-4, 6)) for _ in range(2000)],
+             "far": [r.gauss(3, 1) for _ in range(400)], "one": [2.0]}
+    rows = [(k, x) for k, v in cases.items() for x in v] + [("none", 0.0), ("none", 0.0), ("ties", None)]
+    got = {x.label: x for x in paired.signed_rank(spark.createDataFrame(rows, "label string, diff double").repartition(4)).collect()}
+    for k, v in cases.items():
+        method, p = brute_signed_rank(v)
+        assert got[k].wilcoxon_method == method and got[k].n == len(v)
+        assert math.isclose(got[k].wilcoxon_p, p, rel_tol=1e-8), (k, got[k].wilcoxon_p, p)
+    assert got["none"].wilcoxon_p is None and got["none"].wilcoxon_method == "all zero"
+    assert got["far"].wilcoxon_p < 1e-50
+
+
+def test_normal_tail(spark):
+    from augeval.functions.stats import normal_two_sided_p
+    zs = [0.0, 0.1, 1.0, 1.959963984540054, 3.0, 4.999, 5.0, 5.001, 8.0, 20.0, 37.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_two_sided_p(-F.col("z")).alias("p")).collect()
+    assert all(math.isclose(r.p, math.erfc(r.z / math.sqrt(2)), rel_tol=3e-9) for r in got)

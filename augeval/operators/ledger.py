@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from augeval.functions.keys import numeric_or_null
+from augeval.functions.keys import numeric_or_null, with_keys
 from augeval.functions.text import is_object, label_fields, pair_items
+from augeval.operators.curate import between, valid
 
 LOG_SCHEMA = T.StructType([
     T.StructField("custom_id", T.StringType()), T.StructField("seq", T.LongType()),
@@ -64,6 +65,36 @@ def invalid_count(log: DataFrame, by: Sequence[str] = ("task",)) -> DataFrame:
                                 F.count_if(~pair_validity(log)).cast("bigint").alias("n_invalid"))
 
 
+def clean_pairs(pairs: DataFrame, lo: float, hi: float, name: str = "smiles", value: str = "tg_celsius") -> DataFrame:
+    """Parsed pairs that pass the rules (a numeric value in [lo, hi], a name with a key), with exact_key, alt_key and entity_id.
+
+    Keys are computed once per distinct spelling and joined back."""
+    p = between(pairs, value, lo, hi).where(F.col(name).isNotNull())
+    keys = with_keys(p.select(name).distinct(), name)
+    return valid(p.join(keys, name), "exact_key")
+
+
+def first_requests(pairs: DataFrame, entity: str = "entity_id", order: str = "seq") -> DataFrame:
+    """(entity, first): the first request number of every entity."""
+    return pairs.groupBy(entity).agg(F.min(order).alias("first"))
+
+
+def yield_by_round(requests: DataFrame, pairs: DataFrame, width: int, entity: str = "entity_id", order: str = "seq") -> DataFrame:
+    """Per round of ``width`` request numbers: requests, entities first seen in it, and those per request."""
+    f = first_requests(pairs, entity, order).groupBy(F.floor(F.col("first") / width).alias("round")).agg(F.count(F.lit(1)).alias("n_new"))
+    r = requests.groupBy(F.floor(F.col(order) / width).alias("round")).agg(F.count(F.lit(1)).alias("n_requests"))
+    j = r.join(f, "round", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    return j.select("round", "n_requests", "n_new", (F.col("n_new") / F.col("n_requests")).alias("new_per_request"))
+
+
+def yield_curve(requests: DataFrame, pairs: DataFrame, items: DataFrame, entity: str = "entity_id", order: str = "seq") -> DataFrame:
+    """By request number (those that bring nothing included): new entities, distinct entities so far, and all items so far."""
+    new = first_requests(pairs, entity, order).groupBy(F.col("first").alias(order)).agg(F.count(F.lit(1)).alias("new_entities"))
+    n = items.groupBy(order).agg(F.count(F.lit(1)).alias("items"))
+    steps = requests.select(order).join(new, order, "left").join(n, order, "left").fillna(0, ["new_entities", "items"])
+    return running_sums(steps, order, {"new_entities": "cum_distinct", "items": "cum_items"})
+
+
 def latest(log: DataFrame, id_col: str = "custom_id", order: Sequence[str] = ("ts", "seq"),
            cols: Sequence[str] = ("seq", "stop_reason")) -> DataFrame:
     """Last record per id wins (partial aggregation with ``max_by`` on an explicit order; no window)."""

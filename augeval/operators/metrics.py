@@ -95,6 +95,20 @@ def stratified_error(preds: DataFrame, stratum: Column, models: Sequence[str], m
                     "n", *[f"mae_{m}" for m in models])
 
 
+def error_by_strata(errors: DataFrame, strata: DataFrame, models: Sequence[str], id_col: str = "entity", model_col: str = "run",
+                    error_col: str = "abs_error") -> DataFrame:
+    """Model error by several kinds of strata at once: kind, stratum, n (entities), MAE per model, and an 'all' row per kind.
+
+    ``errors``: model, id, error (one row each). ``strata``: id, kind, stratum (one row an entity and kind; a null stratum counts in
+    'all' only). Errors are spread to a column a model before the join, so an entity meets its strata once."""
+    wide = errors.groupBy(id_col).agg(*[F.avg(F.when(F.col(model_col) == m, F.col(error_col))).alias(f"_e_{m}") for m in models])
+    r = strata.join(wide, id_col).rollup("kind", "stratum").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f"_e_{m}").alias(f"mae_{m}") for m in models],
+        F.grouping("kind").alias("_no_kind"), F.grouping("stratum").alias("_all"))
+    r = r.where((F.col("_no_kind") == 0) & ((F.col("_all") == 1) | F.col("stratum").isNotNull()))
+    return r.select("kind", F.when(F.col("_all") == 1, "all").otherwise(F.col("stratum")).alias("stratum"), "n", *[f"mae_{m}" for m in models])
+
+
 def dense_histogram(df: DataFrame, col: str, edges: Sequence[float], by_total: bool = True) -> DataFrame:
     """Counts and shares per band including empty bands (band table left join counts)."""
     bt = band_table(df.sparkSession, edges)

@@ -5,12 +5,15 @@ import math
 
 from pyspark.sql import functions as F
 
+from augeval.functions.keys import md5_bucket
 from augeval.functions.ranks import average_rank
-from augeval.operators import bootstrap, metrics, paired, sampling
+from augeval.operators import bootstrap, metrics, paired, sampling, similarity
 from augeval.plans import roles, stages
 from augeval.plans.oracle_roles import avg_rank_sql, corr_sql, with_roles
+from augeval.plans.oracle_roles import md5_bucket as md5_bucket_sql
+from augeval.plans.q_similarity import _FP_SQL, BITS, RADIUS, SIM_EDGES
 from augeval.plans.registry import query
-from augeval.session import load
+from augeval.session import cut_lineage, load, spread
 
 # Fixed parameters of the evaluation plans.
 SEEDS = [1, 2, 3, 4, 5, 6, 7]
@@ -106,14 +109,48 @@ def q_error_by_band(spark, sf):
     return metrics.error_by_band(roles.preds(spark, sf), EDGES)
 
 
+HIGH_SD = 10000.0
+_NAME = ["p_name", "p_brand", "p_type", "p_size"]   # an entity's text, whose fingerprint is compared
+_NAME_FP_SQL = _FP_SQL.replace("SELECT doc_id", "SELECT entity").replace("SELECT entity, list_filter", "SELECT p_partkey AS entity, list_filter") \
+    .replace("documents", "part").replace("lower(text)", f"lower(concat_ws(' ', {', '.join(_NAME)}))")
+_SIM_CASE = "CASE " + " ".join(f"WHEN s >= {lo!r} AND s < {hi!r} THEN '[{lo:g}, {hi:g})'" for lo, hi in zip(SIM_EDGES[:-1], SIM_EDGES[1:])) + " END"
+_STRATA_EXTRA = [
+    ("en", f"SELECT run, entity, avg(abs{E}) AS v FROM preds GROUP BY run, entity"),
+    ("te", f"SELECT entity, avg(y_true) AS truth FROM preds WHERE {md5_bucket_sql('entity')} < 10 GROUP BY entity"),
+    ("me", "SELECT part_key AS entity, min(reliability) AS reliability, stddev_samp(value) AS sd FROM obs_valid GROUP BY part_key"),
+    ("fp", f"SELECT *, {md5_bucket_sql('entity')} < 10 AS test FROM ({_NAME_FP_SQL})"),
+    ("si", """SELECT q.entity, coalesce(max(x.s), 0.0) AS s FROM fp q LEFT JOIN (
+        SELECT a.entity, CAST(count(*) AS DOUBLE) / (any_value(a.n) + any_value(b.n) - count(*)) AS s
+        FROM (SELECT entity, len(bits) AS n, unnest(bits) AS bit FROM fp WHERE test) a
+        JOIN (SELECT entity AS ref, len(bits) AS n, unnest(bits) AS bit FROM fp WHERE NOT test) b ON a.bit = b.bit GROUP BY a.entity, b.ref) x
+      ON x.entity = q.entity WHERE q.test GROUP BY q.entity"""),
+    ("st", f"""SELECT entity, 'band' AS kind, {_band_case('truth')} AS stratum FROM te
+      UNION ALL SELECT te.entity, 'reliability', me.reliability FROM te LEFT JOIN me USING (entity)
+      UNION ALL SELECT te.entity, 'high_sd', CASE WHEN me.sd > {HIGH_SD} THEN 'high' ELSE 'other' END FROM te LEFT JOIN me USING (entity)
+      UNION ALL SELECT te.entity, 'similarity', {_SIM_CASE} FROM te LEFT JOIN si USING (entity)""")]
+
+
 @query("stratified_error", with_roles(f"""
-  SELECT coalesce(band, 'all') AS stratum, count(*) AS n,
-         {", ".join(f"avg(CASE WHEN run = '{m}' THEN abs{E} END) AS mae_{m}" for m in MODELS)}
-  FROM (SELECT *, {_band_case('y_true')} AS band FROM preds) WHERE band IS NOT NULL GROUP BY ROLLUP (band)
-""", "preds"))
+  SELECT kind, CASE WHEN GROUPING(stratum) = 1 THEN 'all' ELSE stratum END AS stratum, count(*) AS n, {", ".join(f"avg(e_{m}) AS mae_{m}" for m in MODELS)}
+  FROM st JOIN (SELECT entity, {", ".join(f"avg(CASE WHEN run = '{m}' THEN v END) AS e_{m}" for m in MODELS)} FROM en GROUP BY entity) USING (entity)
+  GROUP BY GROUPING SETS ((kind, stratum), (kind)) HAVING GROUPING(stratum) = 1 OR stratum IS NOT NULL
+""", "preds", "obs_valid", extra=_STRATA_EXTRA))
 def q_stratified_error(spark, sf):
-    """Per stratum n and MAE per model, plus the 'all' row (rollup)."""
-    return metrics.stratified_error(roles.preds(spark, sf), metrics.band("y_true", EDGES), MODELS)
+    """Test entities and MAE per model by value band, reliability, spread of the measurements and similarity to the training
+    entities' texts (M1 and J10), with an 'all' row each."""
+    test = md5_bucket("entity") < 10
+    p = roles.preds(spark, sf)
+    t = p.where(test).groupBy("entity").agg(F.avg("y_true").alias("truth"))
+    measured = stages.obs_valid(spark, sf).groupBy(F.col("part_key").alias("entity")).agg(
+        F.min("reliability").alias("reliability"), F.stddev_samp("value").alias("sd"))
+    names = load(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.concat_ws(" ", *[F.col(c).cast("string") for c in _NAME]).alias("name"))
+    fp = cut_lineage(similarity.fingerprint(spread(names), "name", BITS, RADIUS).select("entity", "bits"), "name-bits")
+    near = similarity.max_tanimoto(fp.where(test), fp.where(~test), "entity", out="s")
+    t = t.join(measured, "entity", "left").join(near, "entity", "left")
+    kinds = {"band": metrics.band("truth", EDGES), "reliability": F.col("reliability"),
+             "high_sd": F.when(F.col("sd") > HIGH_SD, "high").otherwise("other"), "similarity": metrics.band("s", SIM_EDGES)}
+    strata = t.select("entity", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("stratum")) for k, c in kinds.items()])).alias("x"))
+    return metrics.error_by_strata(metrics.seed_mean_error(p), strata.select("entity", "x.*"), MODELS)
 
 
 @query("density_histogram", with_roles("""

@@ -7,9 +7,9 @@ from augeval.functions.keys import numeric_or_null, seeded_hash
 from augeval.functions.text import label_fields
 from augeval.operators import ledger
 from augeval.plans import roles
-from augeval.plans.oracle_roles import numeric, with_roles
+from augeval.plans.oracle_roles import keyed, numeric, with_roles
 from augeval.plans.registry import query
-from augeval.session import load, scratch_path
+from augeval.session import cut_lineage, load, scratch_path
 
 # Fixed parameters of the ledger plans.
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -21,6 +21,7 @@ RETRY_LIMIT = 4000
 BUDGET_USD = 18.0
 EXPECTED_OUT_TOKENS = 50
 ROUND_WIDTH = 2500          # request numbers per acquisition round
+TG_LO, TG_HI = 0.0, 500.0   # range rule of the log's pairs
 SAMPLE_SHARE = 0.3
 
 LOG_COLS = [f.name for f in ledger.LOG_SCHEMA.fields]
@@ -326,21 +327,22 @@ def q_budget_guard(spark, sf):
                     (F.col("spent") + F.col("estimate") <= BUDGET_USD).alias("within_budget"))
 
 
+# Clean pairs: a numeric value in range and a name with a key, by entity (either key).
+_CLEAN_EXTRA = [("pairs", _PAIRS_SQL), ("ranged", f"SELECT * FROM pairs WHERE smiles IS NOT NULL AND tg_celsius BETWEEN {TG_LO} AND {TG_HI}"),
+                ("clean", f"SELECT * FROM ({keyed('ranged', 'smiles')}) WHERE exact_key IS NOT NULL")]
+
+
 @query("first_seen", with_roles(f"""
   SELECT r.round, r.n_requests, coalesce(f.n_new, 0) AS n_new, coalesce(f.n_new, 0) / r.n_requests AS new_per_request
   FROM (SELECT seq // {ROUND_WIDTH} AS round, count(*) AS n_requests FROM log GROUP BY 1) r
   LEFT JOIN (SELECT first // {ROUND_WIDTH} AS round, count(*) AS n_new FROM
-               (SELECT smiles, min(seq) AS first FROM pairs WHERE smiles IS NOT NULL GROUP BY smiles) GROUP BY 1) f
+               (SELECT entity_id, min(seq) AS first FROM clean GROUP BY entity_id) GROUP BY 1) f
   ON f.round = r.round
-""", "log", extra=[("pairs", _PAIRS_SQL)]))
+""", "log", extra=_CLEAN_EXTRA))
 def q_first_seen(spark, sf):
-    """First request number per entity; new entities per request in each round."""
+    """First request number per entity of the clean pairs; new entities per request in each round."""
     log = roles.log(spark, sf)
-    first = ledger.parse_pairs(log).filter(F.col("smiles").isNotNull()).groupBy("smiles").agg(F.min("seq").alias("first"))
-    f = first.groupBy(F.floor(F.col("first") / ROUND_WIDTH).alias("round")).agg(F.count(F.lit(1)).alias("n_new"))
-    r = log.groupBy(F.floor(F.col("seq") / ROUND_WIDTH).alias("round")).agg(F.count(F.lit(1)).alias("n_requests"))
-    j = r.join(f, "round", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
-    return j.select("round", "n_requests", "n_new", (F.col("n_new") / F.col("n_requests")).alias("new_per_request"))
+    return ledger.yield_by_round(log, ledger.clean_pairs(ledger.parse_pairs(log), TG_LO, TG_HI), ROUND_WIDTH)
 
 
 @query("pairs_per_request", with_roles(f"""
@@ -379,18 +381,14 @@ def q_running_total(spark, sf):
          CAST(sum(items) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_items
   FROM (SELECT l.seq, coalesce(n.k, 0) AS new_entities, coalesce(i.k, 0) AS items FROM log l
         LEFT JOIN (SELECT first AS seq, count(*) AS k FROM
-                     (SELECT smiles, min(seq) AS first FROM pairs WHERE smiles IS NOT NULL GROUP BY smiles) GROUP BY first) n
+                     (SELECT entity_id, min(seq) AS first FROM clean GROUP BY entity_id) GROUP BY first) n
           ON n.seq = l.seq
         LEFT JOIN (SELECT seq, count(*) AS k FROM pairs GROUP BY seq) i ON i.seq = l.seq)
-""", "log", extra=[("pairs", _PAIRS_SQL)]))
+""", "log", extra=_CLEAN_EXTRA))
 def q_distinct_curve(spark, sf):
-    """Cumulative distinct entities by request number (steps with none included) beside the no-repeat ideal."""
-    log = roles.log(spark, sf).select("seq")
-    pairs = ledger.parse_pairs(roles.log(spark, sf))
-    first = pairs.filter(F.col("smiles").isNotNull()).groupBy("smiles").agg(F.min("seq").alias("seq")) \
-        .groupBy("seq").agg(F.count(F.lit(1)).alias("new_entities"))
-    items = pairs.groupBy("seq").agg(F.count(F.lit(1)).alias("items"))
-    steps = log.join(first, "seq", "left").join(items, "seq", "left").select(
-        "seq", F.coalesce("new_entities", F.lit(0)).alias("new_entities"), F.coalesce("items", F.lit(0)).alias("items"))
-    c = ledger.running_sums(steps, "seq", {"new_entities": "cum_distinct", "items": "cum_items"})
+    """Cumulative distinct entities of the clean pairs by request number (steps with none included) beside the no-repeat ideal."""
+    log = roles.log(spark, sf)
+    # parsed once: the pairs are read for the items and, keyed, for the entities
+    pairs = cut_lineage(ledger.parse_pairs(log), "pairs")
+    c = ledger.yield_curve(log, ledger.clean_pairs(pairs, TG_LO, TG_HI), pairs)
     return c.select("seq", "new_entities", "cum_distinct", "cum_items")

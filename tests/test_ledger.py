@@ -78,3 +78,15 @@ def test_running_sums_over_all_levels_of_ranges(spark):
     for row, (k, x, y, _) in zip(got, rows, strict=True):
         a, b = a + x, b + y
         assert (row.seq, row.cum_a, row.cum_b, row._other) == (k, a, b, "x")
+
+
+def test_two_spellings_of_an_entity_are_seen_once(spark):
+    rows = [(1, "a b c", 10.0), (2, "B  C a", 20.0), (3, "c b a", 30.0), (3, "x", 900.0), (4, "x", 5.0), (5, None, 5.0), (6, "y z", None), (7, "Y Z", 1.0)]
+    pairs = spark.createDataFrame(rows, "seq long, smiles string, tg_celsius double")
+    clean = ledger.clean_pairs(pairs, 0.0, 500.0)
+    assert sorted(r["first"] for r in ledger.first_requests(clean).collect()) == [1, 4, 7]
+    requests = spark.range(10).select(F.col("id").alias("seq"))
+    rounds = {r["round"]: (r.n_requests, r.n_new) for r in ledger.yield_by_round(requests, clean, 5).collect()}
+    assert rounds == {0: (5, 2), 1: (5, 1)}
+    curve = ledger.yield_curve(requests, clean, pairs).orderBy("seq").collect()
+    assert [r.cum_distinct for r in curve] == [0, 1, 1, 1, 2, 2, 2, 3, 3, 3] and curve[-1].cum_items == len(rows)

@@ -1,43 +1,96 @@
-"""A small Spark ML baseline: random forests over hashed token n-gram features of the entity spelling."""
+"""A Spark ML baseline: random forests over hashed token n-gram features of the entity spelling, a grid of training sets and seeds.
+
+Features are computed once per spelling and written; every run joins them to its (entity, spelling, label) rows. Fits are jobs of a
+few threads, so the cluster works on several at once; a run's training rows are released when its predictions are written."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from augeval.operators.holdout import union_prefer_first
+from augeval.operators.metrics import regression_metrics
+from augeval.operators.sampling import seeded_order, shuffle_labels
 from augeval.operators.similarity import add_ngrams, add_tokens
+from augeval.session import cut_lineage, scratch_path
+
+PARALLEL = 4   # fits at a time
+
+
+def features(spellings: DataFrame, text_col: str = "smiles", radius: int = 2, bits: int = 2048) -> DataFrame:
+    """(spelling, features): binary hashed n-grams (up to radius + 1 tokens) of every distinct spelling, a written table."""
+    d = spellings.select(text_col).distinct()
+    d = add_ngrams(add_tokens(d, text_col), "_tokens", radius + 1, out="_grams")
+    tf = HashingTF(inputCol="_grams", outputCol="features", numFeatures=bits, binary=True)
+    return cut_lineage(tf.transform(d).select(text_col, "features"), "forest-features")
+
+
+def fit(train: DataFrame, trees: int, depth: int, seed: int, label: str = "value") -> RandomForestRegressionModel:
+    """A forest trying every feature at every split (as the reference's); Spark caps the depth at 30, the reference grows
+    trees without a limit."""
+    return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", numTrees=trees,
+                                 maxDepth=depth, featureSubsetStrategy="all", seed=seed).fit(train)
+
+
+def first_rows(real: DataFrame, n: int, seed: int, id_col: str = "entity_id") -> DataFrame:
+    """The first n rows of the seeded order (the subset that nested subsets of this seed share)."""
+    chosen = seeded_order(real.select(id_col), id_col, seed, "_p").where(F.col("_p") <= n).select(id_col)
+    return real.join(chosen, id_col)
+
+
+def training_sets(real: DataFrame, synthetic: dict[str, DataFrame], n: int, seed: int) -> dict[str, DataFrame]:
+    """The published grid of one seed: all real rows, each synthetic set, both together (real rows win), and the same with the first
+    n real rows only."""
+    small = first_rows(real, n, seed)
+    sets = {"real_nfull": real, f"real_n{n}": small}
+    for name, df in synthetic.items():
+        sets |= {f"synthetic_{name}": df, f"concat_{name}_nfull": union_prefer_first(real, df), f"concat_{name}_n{n}": union_prefer_first(small, df)}
+    return sets
+
+
+def shuffled_sets(synthetic: dict[str, DataFrame], seed: int, label: str = "value") -> dict[str, DataFrame]:
+    """Each synthetic set with its labels permuted over its entities, fixed by the seed."""
+    return {f"shuffled_{name}": shuffle_labels(df, "entity_id", label, seed).drop(label).withColumnRenamed("shuffled", label)
+            for name, df in synthetic.items()}
 
 
-def featurize(df: DataFrame, text_col: str = "smiles", radius: int = 2) -> DataFrame:
-    """Token n-grams (up to radius + 1) of the text, for ``HashingTF``."""
-    return add_ngrams(add_tokens(df, text_col), "_tokens", radius + 1, out="grams").drop("_tokens")
+def run_grid(runs: Sequence[tuple[str, int, DataFrame]], feats: DataFrame, test: DataFrame, trees: int, depth: int,
+             text_col: str = "smiles", label: str = "value", parallel: int = PARALLEL) -> DataFrame:
+    """Fit every (run, seed, training rows) and predict ``test``: run, seed, n_train, entity_id, y_true, y_pred, a written table."""
+    spark = test.sparkSession
+    held = test.join(feats, text_col)
+    out = scratch_path(spark, "forest-predictions")
 
+    def one(job: tuple[str, int, DataFrame]) -> None:
+        run, seed, rows = job
+        train = rows.select(text_col, label).join(feats, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n_train = train.count()
+            pred = fit(train, trees, depth, seed, label).transform(held)
+            pred.select(F.lit(run).alias("run"), F.lit(seed).alias("seed"), F.lit(n_train).cast("bigint").alias("n_train"), "entity_id",
+                        F.col(label).alias("y_true"), F.col("prediction").alias("y_pred")).write.parquet(f"{out}/{run}-{seed}")
+        finally:
+            train.unpersist()
 
-def forest(bits: int = 2048, trees: int = 20, depth: int = 10, seed: int = 42, label: str = "value") -> Pipeline:
-    """Binary hashed features -> random forest trying every feature at every split (as the reference's forest);
-    Spark caps the depth at 30, the reference grows trees without a limit."""
-    tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=bits, binary=True)
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", numTrees=trees,
-                               maxDepth=depth, featureSubsetStrategy="all", seed=seed)
-    return Pipeline(stages=[tf, rf])
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(inheritable_thread_target(spark)(one), runs))
+    return spark.read.parquet(*[f"{out}/{run}-{seed}" for run, seed, _ in runs])
 
 
-def fit_predict(train: DataFrame, test: DataFrame, seed: int, trees: int = 20, depth: int = 10,
-                label: str = "value") -> DataFrame:
-    model = forest(trees=trees, depth=depth, seed=seed, label=label).fit(train)
-    return model.transform(test)
+def pseudo_labeled(rows: DataFrame, teacher: RandomForestRegressionModel, feats: DataFrame, text_col: str = "smiles", label: str = "value") -> DataFrame:
+    """Rows with the teacher's predictions in place of their labels."""
+    p = teacher.transform(rows.drop(label).join(feats, text_col))
+    return p.withColumnRenamed("prediction", label).drop("features")
 
 
-def test_metrics(pred: DataFrame, y: str = "value", p: str = "prediction") -> DataFrame:
-    """MAE, RMSE, R2 of one prediction table (one row)."""
-    e = F.col(p) - F.col(y)
-    sst = F.var_pop(y) * F.count(F.lit(1))
-    return pred.agg(F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                    F.when(sst > 0, 1 - F.try_divide(F.sum(e * e), sst)).alias("r2"))
+def grid_metrics(predictions: DataFrame) -> DataFrame:
+    """n_train, n_test, MAE, RMSE, R2, mean signed error and Spearman of every run and seed."""
+    return regression_metrics(predictions, ["run", "seed", "n_train"]).withColumnRenamed("n", "n_test")
 
 
 def experiment_grid(set_sizes: DataFrame, sizes: Sequence[int | None], seeds: Sequence[int],

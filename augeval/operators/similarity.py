@@ -60,11 +60,14 @@ def _rare_first(df: DataFrame, side: str, freq: DataFrame) -> DataFrame:
     return d.select(*df.columns, F.transform(keyed, lambda x: x["bit"]).alias("_rare"))
 
 
+def _prefix_length(side: str, minimum: float) -> Column:
+    n = F.size(side)
+    return (n - F.ceil(n * F.lit(minimum)) + 1).cast("int")
+
+
 def _prefix(df: DataFrame, side: str, minimum: float) -> DataFrame:
     """(side, bit): the bits of which a set of similarity ``minimum`` or more must share one."""
-    n = F.size(side)
-    length = (n - F.ceil(n * F.lit(minimum)) + 1).cast("int")
-    return df.select(side, F.explode(F.slice("_rare", F.lit(1), length)).alias("bit"))
+    return df.select(side, F.explode(F.slice("_rare", F.lit(1), _prefix_length(side, minimum))).alias("bit"))
 
 
 def _frequencies(ref: DataFrame, bits_col: str) -> DataFrame:
@@ -86,10 +89,13 @@ def _best(met: DataFrame, minimum: float, out: str) -> DataFrame:
     return s.where(F.col("_s") >= minimum).groupBy("_q").agg(F.max("_s").alias(out))
 
 
-def _joined_rows(q: DataFrame, r: DataFrame, minimum: float) -> int:
-    """Rows that the join of the prefixes makes, from the counts of each bit."""
-    a, b = (_prefix(d, side, minimum).groupBy("bit").agg(F.count(F.lit(1)).alias(n)) for d, side, n in ((q, "_q", "nq"), (r, "_r", "nr")))
-    return a.join(b, "bit").agg(F.sum(F.col("nq") * F.col("nr"))).first()[0] or 0
+def _joined_rows(q: DataFrame, r: DataFrame, minima: Sequence[float]) -> list[int]:
+    """Rows that the join of the prefixes makes for each minimum, from the counts of each bit, in one job."""
+    def counts(df, side, name):
+        d = df.select(*[_prefix_length(side, m).alias(f"_l{i}") for i, m in enumerate(minima)], F.posexplode("_rare").alias("_p", "bit"))
+        return d.groupBy("bit").agg(*[F.count_if(F.col("_p") < F.col(f"_l{i}")).alias(f"{name}{i}") for i in range(len(minima))])
+    j = counts(q, "_q", "a").join(counts(r, "_r", "b"), "bit")
+    return [x or 0 for x in j.agg(*[F.sum(F.col(f"a{i}") * F.col(f"b{i}")) for i in range(len(minima))]).first()]
 
 
 def max_tanimoto(query: DataFrame, ref: DataFrame, id_col: str = "vec_id", bits_col: str = "bits",
@@ -102,14 +108,15 @@ def max_tanimoto(query: DataFrame, ref: DataFrame, id_col: str = "vec_id", bits_
     # Numbered in a written table, so that a number stands for its set.
     q = cut_lineage(_rare_first(_sets(query, bits_col, "_q"), "_q", freq).withColumn("_k", F.monotonically_increasing_id()), "similar-queries")
     r = cut_lineage(_rare_first(_sets(ref, bits_col, "_r"), "_r", freq).withColumn("_i", F.monotonically_increasing_id()), "similar-references")
-    settled, every = [], None
-    for minimum in sorted(bands, reverse=True):
-        every = _joined_rows(q, r, 0.0) if every is None else every
-        if WORTH * _joined_rows(q, r, minimum) > every:
-            continue
-        settled.append(cut_lineage(_best(met_pairs(q, r, minimum), minimum, out), "similar-settled"))
+    settled, left = [], sorted(bands, reverse=True)
+    while left:
+        *rows, every = _joined_rows(q, r, [*left, 0.0])
+        worth = [m for m, n in zip(left, rows, strict=True) if WORTH * n <= every]
+        if not worth or not every:
+            break
+        settled.append(cut_lineage(_best(met_pairs(q, r, worth[0]), worth[0], out), "similar-settled"))
         q = cut_lineage(q.join(settled[-1].select("_q"), "_q", "left_anti"), "similar-queries")
-        every = None
+        left = [m for m in left if m < worth[0]]
     a = q.select("_k", F.size("_q").alias("a"), F.explode("_q").alias("bit"))
     b = r.select("_i", F.size("_r").alias("b"), F.explode("_r").alias("bit"))
     rest = a.join(b, "bit").groupBy("_k", "_i").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("a"), F.first("b").alias("b")) \

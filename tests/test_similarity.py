@@ -33,11 +33,13 @@ def frames(spark, *sides):
 
 
 @pytest.mark.parametrize("width,size,near", [(2000, 60, True), (2000, 60, False), (40, 30, True)])
-def test_equal_to_all_pairs(spark, width, size, near):
+def test_equal_to_all_pairs(spark, monkeypatch, width, size, near):
     queries, refs = fingerprints(width, 240, width, size, near)
     q, r = frames(spark, queries, refs)
     got = {x.vec_id: x.max_tanimoto for x in max_tanimoto(q, r).collect()}
     assert got == pytest.approx(brute(queries, refs))
+    monkeypatch.setattr(similarity, "WORTH", 1)   # every band is searched
+    assert {x.vec_id: x.max_tanimoto for x in max_tanimoto(q, r).collect()} == pytest.approx(got)
     assert {x.max_tanimoto for x in max_tanimoto(q, r.where("vec_id < 0")).collect()} == {0.0}
 
 

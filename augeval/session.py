@@ -63,7 +63,15 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     columnar scan with column pruning and pushed filters."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove tables that ``cut_lineage`` returned, once everything derived from them is written itself."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_at)
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -89,7 +97,11 @@ def _scratch_root(spark: SparkSession) -> str:
 
 def drop_scratch(spark: SparkSession) -> bool:
     """Remove the tables that this application's plans have written. Call it when their results are no longer read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return _remove(spark, _scratch_root(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

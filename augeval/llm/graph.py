@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augeval.session import cut_lineage
+from augeval.session import cut_lineage, drop_tables
 
 
 LOCAL_EDGES = 500_000
@@ -65,10 +65,13 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut_lineage(e, "cc")
     if e.count() <= local_edges:
-        return cut_lineage(e.repartition(1).mapInArrow(_join_all, "node long, component long"), "cc-joined")
+        joined = cut_lineage(e.repartition(1).mapInArrow(_join_all, "node long, component long"), "cc-joined")
+        drop_tables(e)
+        return joined
     sign = None
     while True:
-        e = cut_lineage(_star(_star(e, large=True), large=False), "cc")
+        before, e = e, cut_lineage(_star(_star(e, large=True), large=False), "cc")
+        drop_tables(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == sign or now["n"] == 0:
             break

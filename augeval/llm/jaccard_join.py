@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from augeval.llm.graph import connected_components
 from augeval.llm.meeting import SCHEMA, met, pack
 from augeval.llm.textops import mix, segment_sum, set_batches, shingle_sets, text_chunks
-from augeval.session import cut_lineage
+from augeval.session import cut_lineage, drop_tables
 
 COORDS = 1 << 20      # coordinates of one block (few, and blocks of one or two shingles would meet by chance)
 BOUND_COORDS = 256    # coordinates of the point that the minima bound uses
@@ -239,17 +239,20 @@ def _within_bound(num: int, den: int):
 
 
 def _pairs(num: int, den: int):
-    """Pairs of different components in small nodes whose sizes allow a link, with the nodes that a link would share."""
+    """Pairs of different components in lists of members (by key, with the number of nodes that hold just these) whose sizes allow a
+    link, with the nodes that a link would share."""
     def run(batches):
         least = lru_cache(100_000)(lambda n: shared_nodes(n, num, den))
         for b in batches:
-            out = []
-            for members in b.column("members").to_pylist():
-                m = sorted((x["key"], x["comp"], x["n"]) for x in members)
-                out += [(k, j, least(min(n, o))) for i, (k, c, n) in enumerate(m) for j, d, o in m[:i]
-                        if c != d and den * min(n, o) >= num * max(n, o)]
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "least"])
+            out: dict[tuple[int, int], list[int]] = {}
+            for members, nodes in zip(b.column("members").to_pylist(), b.column("nodes").to_pylist(), strict=True):
+                m = [(x["key"], x["comp"], x["n"]) for x in members]
+                for i, (k, c, n) in enumerate(m):
+                    for j, d, o in m[:i]:
+                        if c != d and den * min(n, o) >= num * max(n, o):
+                            out.setdefault((k, j), [0, least(min(n, o))])[0] += nodes
+            cols = [[k for k, _ in out], [j for _, j in out], [v[0] for v in out.values()], [v[1] for v in out.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "met", "least"])
     return run
 
 
@@ -388,23 +391,30 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         F.least(F.min("b"), F.first("a")).alias("component"))
     member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
     member = cut_lineage(_mixed(member, hop), "jaccard-members")
-    # A linked pair that meets in no large node shares at least ``least`` small ones; the others meet in the leaves below.
+    drop_tables(nodes)
+    # A linked pair that meets in no large node shares at least ``least`` small ones; the others meet in the leaves below. Near copies
+    # meet in dozens of nodes with the same members: their pairs are listed once.
     small = member.where(F.col("size") <= SMALL).join(rep.select("key", "n"), "key").groupBy("sig").agg(
-        F.collect_list(F.struct("key", "comp", "n")).alias("members"))
-    near = small.select("members").mapInArrow(_pairs(num, den), "a long, b long, least long").groupBy("a", "b").agg(
-        F.count("*").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
+        F.sort_array(F.collect_list(F.struct("key", "comp", "n"))).alias("members"))
+    small = small.groupBy("members").agg(F.count("*").alias("nodes"))
+    near = small.mapInArrow(_pairs(num, den), "a long, b long, met long, least long").groupBy("a", "b").agg(
+        F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     large = member.where(F.col("size") > SMALL)
     # Pairs that would join all components; where one of them is no link, all pairs that the points allow.
     near = near.union(_leaf_join(large, held, num, den, True)).distinct()
     set_batches(spark, SET_ROWS)
-    links = star.union(cut_lineage(_verified(near, held, num, den), "jaccard-listed"))
+    listed = cut_lineage(_verified(near, held, num, den), "jaccard-listed")
+    links = star.union(listed)
     groups = connected_components(links)
     large = cut_lineage(_mixed(large.select("sig", "key"), groups), "jaccard-large")
+    drop_tables(member)
     near = cut_lineage(_leaf_join(large, held, num, den, False), "jaccard-near")
+    drop_tables(large)
     set_batches(spark, SET_ROWS)
     deep = cut_lineage(_verified(near, held, num, den), "jaccard-deep")
     if not deep.isEmpty():
         groups = connected_components(links.union(deep))
+    drop_tables(near, held, star, listed, deep)
 
     by_key = rep.join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "key").alias("comp"))

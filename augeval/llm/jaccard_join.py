@@ -47,6 +47,7 @@ LEAF = 128            # sets in a leaf, on average
 SMALL = 16            # sets in a node whose pairs are listed
 CLASS_RATIO = 1.6     # sizes within a class
 BUCKET_BYTES = 8 << 20
+BROADCAST_BYTES = 8 << 20 # keys of pairs sent to every executor
 SAMPLE_DOCS = 8000        # texts that tell common shingles from rare ones
 COMMON_SHINGLES = 200_000
 
@@ -336,19 +337,27 @@ def join_leaves(left, right, num: int, den: int, spanning: bool) -> list[tuple[i
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of set keys that link: first by their points, then by their sets."""
+    """Pairs (a, b) of set keys that link, written: first by their points, then by their sets."""
     side = lambda c, k, to: held.select(F.col("key").alias(k), F.col(c).alias(to))
-    near = pairs.join(side("point", "a", "pa"), "a").join(side("point", "b", "pb"), "b").mapInArrow(
-        _within_bound(num, den), "a long, b long")
-    return near.join(side("shingles", "a", "sa"), "a").join(side("shingles", "b", "sb"), "b").mapInArrow(
-        _links(num, den), "a long, b long")
+    near = cut_lineage(pairs.join(side("point", "a", "pa"), "a").join(side("point", "b", "pb"), "b").mapInArrow(
+        _within_bound(num, den), "a long, b long"), "jaccard-within")
+    keys = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key")))
+    if near.count() * 16 <= BROADCAST_BYTES:  # whole sets are moved for these pairs only
+        held = held.join(F.broadcast(keys.distinct()), "key", "left_semi")
+    links = cut_lineage(near.join(side("shingles", "a", "sa"), "a").join(side("shingles", "b", "sb"), "b").mapInArrow(
+        _links(num, den), "a long, b long"), "jaccard-links")
+    drop_tables(near)
+    return links
 
 
 def _mixed(member: DataFrame, components: DataFrame) -> DataFrame:
-    """Members (sig, key) of the nodes that hold several components, with comp and the node's size."""
+    """Members (sig, key) of the nodes that hold several components, with comp and the node's size. Near copies meet in dozens of nodes:
+    of the nodes with the same members one stays, with their number (``nodes``)."""
     m = member.join(components, F.col("key") == F.col("node"), "left").select("sig", "key", F.coalesce("component", "key").alias("comp"))
-    nodes = m.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return m.join(nodes.where("lo <> hi").select("sig", "size"), "sig")
+    nodes = m.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                 F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    nodes = nodes.where("lo <> hi").groupBy("size", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("nodes"))
+    return m.join(nodes.select("sig", "size", "nodes"), "sig")
 
 
 def _leaf_join(member: DataFrame, held: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
@@ -385,25 +394,23 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
 
     pairs = nodes.where("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
     set_batches(spark, SET_ROWS)
-    star = cut_lineage(_verified(pairs, held, num, den), "jaccard-star")
+    star = _verified(pairs, held, num, den)
     # One hop is enough to leave out most pairs that are joined already.
     hop = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(
         F.least(F.min("b"), F.first("a")).alias("component"))
     member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
     member = cut_lineage(_mixed(member, hop), "jaccard-members")
     drop_tables(nodes)
-    # A linked pair that meets in no large node shares at least ``least`` small ones; the others meet in the leaves below. Near copies
-    # meet in dozens of nodes with the same members: their pairs are listed once.
+    # A linked pair that meets in no large node shares at least ``least`` small ones; the others meet in the leaves below.
     small = member.where(F.col("size") <= SMALL).join(rep.select("key", "n"), "key").groupBy("sig").agg(
-        F.sort_array(F.collect_list(F.struct("key", "comp", "n"))).alias("members"))
-    small = small.groupBy("members").agg(F.count("*").alias("nodes"))
-    near = small.mapInArrow(_pairs(num, den), "a long, b long, met long, least long").groupBy("a", "b").agg(
+        F.sort_array(F.collect_list(F.struct("key", "comp", "n"))).alias("members"), F.max("nodes").alias("nodes"))
+    near = small.select("members", "nodes").mapInArrow(_pairs(num, den), "a long, b long, met long, least long").groupBy("a", "b").agg(
         F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     large = member.where(F.col("size") > SMALL)
     # Pairs that would join all components; where one of them is no link, all pairs that the points allow.
     near = near.union(_leaf_join(large, held, num, den, True)).distinct()
     set_batches(spark, SET_ROWS)
-    listed = cut_lineage(_verified(near, held, num, den), "jaccard-listed")
+    listed = _verified(near, held, num, den)
     links = star.union(listed)
     groups = connected_components(links)
     large = cut_lineage(_mixed(large.select("sig", "key"), groups), "jaccard-large")
@@ -411,7 +418,7 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     near = cut_lineage(_leaf_join(large, held, num, den, False), "jaccard-near")
     drop_tables(large)
     set_batches(spark, SET_ROWS)
-    deep = cut_lineage(_verified(near, held, num, den), "jaccard-deep")
+    deep = _verified(near, held, num, den)
     if not deep.isEmpty():
         groups = connected_components(links.union(deep))
     drop_tables(near, held, star, listed, deep)

@@ -15,8 +15,8 @@ radius of about 0.1 n in every coordinate exceeds the spread of the counts of un
 2. in nodes that still hold several components, members of different components are compared: nodes of up to SMALL
    sets give their pairs (compared once, and only if they meet in as many nodes as a link must); larger nodes are cut into leaves of
    bounded size, and leaf pairs go down by the bound "sum of coordinate minima of the two boxes", then the same bound
-   for two points. A first round takes only as many pairs as would join the components, a second one all pairs that
-   are still between components: few, as the bound is close.
+   for two points. A first round takes two sets a component and only as many pairs as would join the components, a second one
+   all pairs that are still between components: few, as the bound is close. Of nodes with the same members one is read.
 
 Every pair passes the bound on its points before its sets are fetched and compared exactly. Identical sets are one node
 of the graph from the start. Hashes are 64 bits wide: sets are compared by shingle hash, set identity by 64 bits of
@@ -43,7 +43,7 @@ from augeval.session import cut_lineage, drop_tables
 COORDS = 1 << 20      # coordinates of one block (few, and blocks of one or two shingles would meet by chance)
 BOUND_COORDS = 256    # coordinates of the point that the minima bound uses
 SET_ROWS = 100        # rows with two whole sets, or with leaves, in an Arrow batch
-LEAF = 128            # sets in a leaf, on average
+LEAF = 512            # sets in a leaf, on average
 SMALL = 16            # sets in a node whose pairs are listed
 CLASS_RATIO = 1.6     # sizes within a class
 BUCKET_BYTES = 8 << 20
@@ -361,15 +361,24 @@ def _mixed(member: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _leaf_join(member: DataFrame, held: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
-    """Candidate pairs (a, b) of large nodes: leaves of bounded size, every two leaves of a node in a row of their own."""
+    """Candidate pairs (a, b) of large nodes: leaves of bounded size, every two leaves of a node in a row of their own. Nodes of one leaf
+    are read where their members meet."""
     leaves = member.withColumn("n_leaves", F.ceil(F.col("size") / LEAF).cast("int")) \
         .withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("n_leaves")).cast("int"))
     leaves = leaves.join(held.select("key", "point"), "key").groupBy("sig", "n_leaves", "leaf").agg(
         F.collect_list(F.struct("key", "comp", "point")).alias("members"))
-    met_leaves = leaves.select("sig", F.explode(F.sequence(F.lit(0), F.col("n_leaves") - 1)).alias("other"), "leaf", "members") \
+    one = leaves.where("n_leaves = 1").select(F.array(F.struct("leaf", "members")).alias("leaves"))
+    met_leaves = leaves.where("n_leaves > 1").select("sig", F.explode(F.sequence(F.lit(0), F.col("n_leaves") - 1)).alias("other"), "leaf", "members") \
         .select("sig", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "members") \
         .groupBy("sig", "i", "j").agg(F.collect_list(F.struct("leaf", "members")).alias("leaves")).select("leaves")
-    return met_leaves.mapInArrow(_leaf_pairs(num, den, spanning), "a long, b long").distinct()
+    return one.union(met_leaves).mapInArrow(_leaf_pairs(num, den, spanning), "a long, b long").distinct()
+
+
+def _ends(member: DataFrame) -> DataFrame:
+    """Two members of each component of a node (those of the smallest and the largest key), with the size that the node has then."""
+    two = member.groupBy("sig", "comp").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    size = two.groupBy("sig").agg((F.count("*") + F.count_if(F.col("lo") < F.col("hi"))).alias("size"))
+    return two.join(size, "sig").select("sig", "size", "comp", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("key"))
 
 
 def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -407,8 +416,8 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     near = small.select("members", "nodes").mapInArrow(_pairs(num, den), "a long, b long, met long, least long").groupBy("a", "b").agg(
         F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     large = member.where(F.col("size") > SMALL)
-    # Pairs that would join all components; where one of them is no link, all pairs that the points allow.
-    near = near.union(_leaf_join(large, held, num, den, True)).distinct()
+    # Pairs of two members a component that would join all components; where one of them is no link, all pairs that the points allow.
+    near = near.union(_leaf_join(_ends(large), held, num, den, True)).distinct()
     set_batches(spark, SET_ROWS)
     listed = _verified(near, held, num, den)
     links = star.union(listed)

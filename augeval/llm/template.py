@@ -22,7 +22,8 @@ passages that pages share inside one stay. Blocks follow block elements, a line
 
 Cases: null html counts as empty and gives an empty text; a null address is the host ''; a host with one page has a template of its own
 tags, which lose no text; unclosed and stray tags are tolerated, and an article that opens in an unclosed menu is read; long pages
-are whole; rows that repeat an id are separate pages; other columns are ignored; an empty table gives no rows."""
+are whole and read in linear time; rows that repeat an id are separate pages, and a page that stands in several rows of a host counts
+once in its template and its slots, so that repeats change no text; other columns are ignored; an empty table gives no rows."""
 from __future__ import annotations
 
 import hashlib
@@ -40,7 +41,9 @@ from augeval.session import cut_lineage
 TEXT_PAGES = 5
 BROADCAST_BYTES = 16 << 20
 _MASK = (1 << 64) - 1
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?/][^>]*>|[^<]+|<", re.S)
+_TAIL = re.compile(r"<!--.*?(?:-->|\Z)|()()(?!)|[^<]+|<", re.S)  # behind the last > of a page
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "button", "canvas",
@@ -129,6 +132,10 @@ class Reader:
         self.skip = 0
         self.doubt, self.side, self.slot = 0, False, ""
         self.linked, self.link, self.head = 0, False, False
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.ends: dict[int, int] = {}     # by > or quote outside quotes: place behind the tag that it stands in
+        self.ahead = (0, -1)               # a place and the first > or quote from there on
+        self.unended: set[str] = set()
         self.read()
 
     def flush(self) -> None:
@@ -190,20 +197,51 @@ class Reader:
             if self.stack[k].name in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                 return
 
+    def tag_end(self, at: int) -> int:
+        """Place behind the first > from ``at`` on that is outside quotes, -1 if there is none. Every > and quote is followed once a page."""
+        page, way, end = self.page, [], -1
+        first = True
+        while True:
+            if first and self.ahead[0] <= at <= self.ahead[1]:
+                stop = self.ahead[1]
+            else:
+                m = _STOP.search(page, at)
+                stop = m.start() if m else -1
+                if first and m:
+                    self.ahead = (at, stop)
+            first = False
+            if stop < 0:
+                break
+            if stop in self.ends:
+                end = self.ends[stop]
+                break
+            way.append(stop)
+            if page[stop] == ">":
+                end = stop + 1
+                break
+            if stop == self.last[page[stop]]:
+                break
+            at = page.find(page[stop], stop + 1) + 1
+        self.ends.update(dict.fromkeys(way, end))
+        return end
+
     def read(self) -> None:
         page, at, end = self.page, 0, len(self.page)
         while at < end:
-            m = _TOKEN.match(page, at)
-            if m is None:
-                break
-            at = m.end()
-            name = m[2]
+            m = (_TOKEN if at < self.last[">"] else _TAIL).match(page, at)
+            token, name, at = m[0], m[2], m.end()
+            if name is not None:
+                start, at = at, self.tag_end(at)
+                attributes = page[start:at - 1]
+                if at < 0:  # no tag: an end is passed over up to the next >, else the < is text
+                    name, at = None, page.find(">", start) + 1 if m[1] else m.start() + 1
+                    token = page[m.start():at]
             if name is None:
-                if page[m.start()] != "<" or m.end() == m.start() + 1:
+                if token[0] != "<" or len(token) == 1:
                     if not self.skip:
-                        self.parts.append(m[0])
+                        self.parts.append(token)
                         if self.link:
-                            self.linked += len(m[0].strip())
+                            self.linked += len(token.strip())
                 continue
             name = name.lower()
             ending = m[1] == "/"
@@ -214,8 +252,10 @@ class Reader:
             path = self.stack[-1].label if self.stack else ""
             if name in _RAW and not ending:
                 self.tokens.append(f"{path}<{name}")
-                if not m[3].endswith("/"):
-                    stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if not attributes.endswith("/"):
+                    stop = None if name in self.unended else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                    if not stop:
+                        self.unended.add(name)
                     at = stop.end() if stop else (end if name in ("script", "style") else at)
                     if stop:
                         self.tokens.append(f"</{name}")
@@ -227,13 +267,13 @@ class Reader:
                 self.parts.append(" ")
             elif name == "a":
                 self.link = not ending
-            if name not in _CONTAINERS or not ending and m[3].endswith("/"):
+            if name not in _CONTAINERS or not ending and attributes.endswith("/"):
                 self.tokens.append(f"</{name}" if ending else f"{path}<{name}")
             elif ending:
                 self.tokens.append("</" + next((o.label for o in reversed(self.stack) if o.name == name), name))
                 self.close(name)
             else:
-                self.tokens.append(self.open(name, m[3]))
+                self.tokens.append(self.open(name, attributes))
         self.flush()
 
 
@@ -274,11 +314,27 @@ def _hosted(pages: DataFrame) -> DataFrame:
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def repeated(pages: DataFrame) -> DataFrame:
+    """(host, page): the pages that stand in several rows of a host, told apart by a 64-bit hash of the html; written."""
+    rows = _hosted(pages).select("host", F.xxhash64("html").alias("page"))
+    return cut_lineage(rows.groupBy("host", "page").count().where("count > 1").select("host", "page"), "template-repeats")
+
+
+def _once(pages: DataFrame, again: DataFrame) -> DataFrame:
+    """(host, page, html) with every different page of a host once: only the pages in several rows are shuffled."""
+    rows = _hosted(pages).select("host", F.xxhash64("html").alias("page"), "html")
+    size = again.agg(F.sum(F.length("host") + 32)).first()[0] or 0
+    again = F.broadcast(again) if size <= BROADCAST_BYTES else again
+    return rows.join(again, ["host", "page"], "left_anti").union(
+        rows.join(again, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]).select(*rows.columns))
+
+
+def templates(pages: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """(page_id, url, html) -> host, n_pages, root (tokens once on every page), nested (classes in its gaps), texts (template
-    text nodes). Each list is bounded by the tokens of a page, as its tokens stand on half of the pages or more."""
+    text nodes), all over the different pages of the host (``again``: those that ``repeated`` found). Each list is bounded by the
+    tokens of a page, as its tokens stand on half of the pages or more."""
     set_batches(pages.sparkSession)
-    rows = _hosted(pages).select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(
+    rows = _once(pages, repeated(pages) if again is None else again).mapInArrow(
         _vectors(), "host string, token string, pages long, n long, vector long")
     tokens = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"))
     tokens = cut_lineage(tokens, "template-tokens")
@@ -368,18 +424,20 @@ def _judged(batches):
                                          names=["host", "main", "other"])
 
 
-def _with_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+def _joined(hosted: DataFrame, hosts: DataFrame) -> DataFrame:
     lists = [c for c, t in hosts.dtypes if t == "array<string>"]
     size = hosts.agg(F.sum(sum((F.length(F.concat_ws("", c)) for c in lists), F.length("host") + 24))).first()[0] or 0
-    return _hosted(pages).join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
+    return hosted.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
 
 
-def host_slots(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+def host_slots(pages: DataFrame, hosts: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """(host, main, other): the slots of each host with TEXT_PAGES pages or more that are main text and that are not."""
-    rows = _with_host(pages, hosts.where(F.col("n_pages") >= TEXT_PAGES).select("host", "template")).where("template is not null") \
+    once = _once(pages, repeated(pages) if again is None else again).drop("page")
+    rows = _joined(once, hosts.where(F.col("n_pages") >= TEXT_PAGES).select("host", "template")).where("template is not null") \
         .select("host", "html", "template").mapInArrow(_slots(), ", ".join(f"{c} {'string' if c in ('host', 'slot') else 'long'}" for c in SLOT_NAMES))
-    sums = rows.groupBy("host", "slot").agg(F.count("*").alias("pages"), F.approx_count_distinct("hash").alias("texts"),
-                                            *[F.sum(c).alias(c) for c in SLOT_NAMES[3:]])
+    added = [F.sum(c).alias(c) for c in SLOT_NAMES[3:]]
+    texts = rows.groupBy("host", "slot", "hash").agg(F.count("*").alias("pages"), *added)
+    sums = texts.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.count("*").alias("texts"), *added)
     per_host = sums.groupBy("host").agg(F.collect_list(F.struct(*[c for c in sums.columns if c != "host"])).alias("slots"))
     return per_host.mapInArrow(_judged, "host string, main array<string>, other array<string>")
 
@@ -402,9 +460,10 @@ def main_text(page: str, texts: set[str], template: frozenset[str] = frozenset()
 
 def extract(pages: DataFrame) -> DataFrame:
     """All rows of (page_id, url, html) -> page_id, url, text, n_chars, n_template (template tokens of the host)."""
-    t = cut_lineage(templates(pages).withColumn("template", F.filter(F.concat("root", F.flatten("nested")), lambda x: ~x.startswith("</"))), "templates")
+    again = repeated(pages)
+    t = cut_lineage(templates(pages, again).withColumn("template", F.filter(F.concat("root", F.flatten("nested")), lambda x: ~x.startswith("</"))), "templates")
     t = t.select("host", "n_pages", "texts", "template", (F.size("root") + F.size("nested")).alias("n_template"))
-    t = cut_lineage(t.join(host_slots(pages, t), "host", "left").drop("n_pages"), "template-slots")
+    t = cut_lineage(t.join(host_slots(pages, t, again), "host", "left").drop("n_pages"), "template-slots")
 
     def run(batches):
         for b in batches:
@@ -419,5 +478,5 @@ def extract(pages: DataFrame) -> DataFrame:
                                               pa.array([len(x) for x in out], pa.int64()), b.column("n_template").cast(pa.int64())],
                                              names=["page_id", "url", "text", "n_chars", "n_template"])
     set_batches(pages.sparkSession)
-    return _with_host(pages, t).select("page_id", "url", "html", "texts", "template", "main", "other", F.col("n_template").cast("long").alias("n_template")) \
+    return _joined(_hosted(pages), t).select("page_id", "url", "html", "texts", "template", "main", "other", F.col("n_template").cast("long").alias("n_template")) \
         .mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")

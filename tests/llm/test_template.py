@@ -1,6 +1,9 @@
+import re
+import time
+
 import pytest
 
-from augeval.llm.template import TEXT_PAGES, extract, main_text, templates
+from augeval.llm.template import TEXT_PAGES, Reader, extract, main_text, templates
 
 PAGE = ('<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var a="<p>";</script></head><body><nav><ul><li>'
         '<a href="/a">m{n}</a></li></ul></nav><!-- ad --><div class="ad">buy {n}</div><article><h1>Head {n}</h1><p><b>One &amp; two<br>three'
@@ -50,7 +53,38 @@ def test_class_words_are_whole_tokens_and_keep_articles(html, want):
     assert main_text(html, set()) == want
 
 
-def test_slots_choose_where_names_and_texts_say_nothing(spark, frame):
+@pytest.mark.parametrize("unit", ['<a "', "<a ", "<a '\"", "</a '", "<!", "<select>", "<textarea>\""])
+def test_long_broken_pages_are_read_in_linear_time(unit):
+    for tail in ("", "\">", ">"):
+        began = time.process_time()
+        main_text(unit * 100_000 + tail, set())
+        assert time.process_time() - began < 4
+
+
+def test_tag_ends_match_the_pattern():
+    import random
+    pattern = re.compile("(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+    r = random.Random(3)
+    for _ in range(400):
+        page = "".join(r.choice("<ab\"'> ") for _ in range(r.randrange(30)))
+        reader = Reader(page)
+        for at in range(len(page) + 1):
+            m = pattern.match(page, at)
+            reader.ahead = (0, -1)
+            assert reader.tag_end(at) == (m.end() if m else -1), (page, at)
+
+
+@pytest.mark.parametrize("repeat", ["twice", "often"])
+def test_repeated_pages_change_no_text(spark, frame, repeat):
+    rows = plain_host()
+    want = {r.page_id: r.text for r in extract(frame(rows, "page_id long, url string, html string")).collect()}
+    more = rows if repeat == "twice" else [(1000 + i, *rows[0][1:]) for i in range(40)]
+    got = extract(frame(rows + more, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) + len(more)
+    assert all(r.text == want[r.page_id if r.page_id < 1000 else rows[0][0]] for r in got)
+
+
+def plain_host():
     words = lambda k, n: " ".join(f"w{(k * 31 + i * 17) % 997}x{k}" for i in range(n))
     rows = []
     for k in range(12):
@@ -59,7 +93,12 @@ def test_slots_choose_where_names_and_texts_say_nothing(spark, frame):
         rows.append((k, f"http://plain.example/{k}", f"<body>{box}<div class=x3><h1>Head {k}</h1><div class=x4><p>{words(k, 60)}<p>{words(k + 50, 60)}</div></div>{talk}<div class=x7>by {k}</div></body>"))
         inner = f"<div class=y1>Read this first.</div><section id=related><a href=/{k}>other {k}</a></section><section id=search><p>{words(k + 400, 50)}</section>"
         rows.append((100 + k, f"http://held.example/{k}", f"<body>{box}<article class='p-{k} has-sidebar'><p>{words(k, 60)}<p>Shared passage.{inner}</article>{talk}</body>"))
-    got = {r.page_id: r.text for r in extract(frame(rows, "page_id long, url string, html string")).collect()}
+    return rows
+
+
+def test_slots_choose_where_names_and_texts_say_nothing(spark, frame):
+    words = lambda k, n: " ".join(f"w{(k * 31 + i * 17) % 997}x{k}" for i in range(n))
+    got = {r.page_id: r.text for r in extract(frame(plain_host(), "page_id long, url string, html string")).collect()}
     for k in range(12):
         assert got[k] == f"Head {k}\n{words(k, 60)}\n{words(k + 50, 60)}"
         assert got[100 + k] == f"{words(k, 60)}\nShared passage.\n{words(k + 400, 50)}"

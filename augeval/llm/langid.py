@@ -8,12 +8,12 @@ The model is fitted in the driver on at most TRAIN_DOCS documents (bounded by th
 known language whose crc32(doc_id) mod 4 is not 2. One tenth of the sample calibrates: a temperature by likelihood,
 and the score under which a prediction is marked as rejected (REJECT_SHARE of the right calibration answers).
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; without any known language everything is ``und``; null
+Cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; without any known language everything is ``und``; null
 languages are never learned from; rows that repeat an id are all used; long texts are whole; other columns are
 ignored; an empty table gives an empty table."""
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +37,6 @@ _ASCII_LETTER[65:91] = True
 _ASCII_LETTER[97:123] = True
 _NOT_LETTER = ~_ASCII_LETTER
 _NOT_LETTER[128:] = False
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -147,7 +146,7 @@ def _has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     np.cumsum(_ASCII_LETTER[buf], out=total[1:])
     found = total[offs[1:]] > total[offs[:-1]]
     for t in np.flatnonzero(~found & (np.diff(offs) > 0)):
-        found[t] = _LETTER.search(buf[offs[t]:offs[t + 1]].tobytes().decode("utf-8")) is not None
+        found[t] = any(unicodedata.category(c)[0] == "L" for c in set(buf[offs[t]:offs[t + 1]].tobytes().decode("utf-8")))
     return found
 
 

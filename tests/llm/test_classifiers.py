@@ -62,12 +62,12 @@ def test_language_held_out_accuracy(spark):
 def test_language_edge_cases(spark, frame):
     schema = "doc_id long, text string, lang string"
     docs = frame([(k, f"the cat and dog {k}" if k % 2 else f"der hund und katze {k}", "en" if k % 2 else "de") for k in range(40)] +
-                 [(100, None, None), (101, "", None), (102, "12 !!", "en"), (103, "é", None), (104, "漢字", None), (None, "the", None)], schema)
+                 [(100, None, None), (101, "", None), (102, "12 !!", "en"), (105, "\u00bd \u00b2", None), (106, "\u2167", None), (103, "é", None), (104, "漢字", None), (None, "the", None)], schema)
     model = langid.train(docs)
     assert model.languages == ["de", "en"]
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
-    assert len(got) == 46
-    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (100, 101, 102))
+    assert len(got) == 48
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (100, 101, 102, 105, 106))
     assert all(got[k].lang_pred != "und" and 0 < got[k].score <= 1 for k in (1, 2, 103, 104, None))
     none = langid.train(frame([], schema))
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}

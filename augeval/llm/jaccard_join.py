@@ -216,12 +216,22 @@ def _sets(words: int):
                 arr = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
                 own = pa.array(_set_keys(h, bounds))
                 counts = _counts([h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
-                point = [c.astype(np.uint16).tobytes() if c.max() < 65536 else None for c in counts]
+                point = [pack_point(c) for c in counts]
                 part = pa.RecordBatch.from_arrays([own, arr, pa.array(point, pa.binary())], names=["key", "shingles", "point"])
                 yield part.filter(pc.equal(own, b.column("key").slice(lo, hi - lo)))
     return run
 
 
+def pack_point(counts: np.ndarray) -> bytes | None:
+    """A point in one byte a coordinate, in two where a count needs them, null beyond that."""
+    top = counts.max()
+    return counts.astype(np.uint8 if top < 256 else np.uint16).tobytes() if top < 65536 else None
+
+
+def unpack_point(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8 if len(point) == BOUND_COORDS else np.uint16)
+
+
 def _within_bound(num: int, den: int):
     """Keep the pairs whose points allow a link (a set too large for a point always stays)."""
     def run(batches):
@@ -231,7 +241,7 @@ def _within_bound(num: int, den: int):
                 if x is None or y is None:
                     keep.append(True)
                     continue
-                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                x, y = unpack_point(x), unpack_point(y)
                 o, total = int(np.minimum(x, y).sum(dtype=np.int64)), int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
                 keep.append(den * o >= num * (total - o))
             idx = pa.array(np.flatnonzero(keep))
@@ -304,7 +314,7 @@ def join_leaves(left, right, num: int, den: int, spanning: bool) -> list[tuple[i
     """Pairs between two leaves of (key, component, point): components differ and the points allow a link. ``spanning``:
     only as many as would join the components if all of them were links."""
     def matrix(side):
-        return np.array([np.frombuffer(p, np.uint16) if p is not None else np.full(BOUND_COORDS, 65535) for _, _, p in side], np.int64)
+        return np.array([unpack_point(p) if p is not None else np.full(BOUND_COORDS, 65535) for _, _, p in side], np.int64)
 
     ca, cb = matrix(left), matrix(right)
     open_a, open_b = (np.array([p is None for _, _, p in side]) for side in (left, right))
@@ -399,7 +409,10 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     wanted = nodes.select("key").union(nodes.select(F.col("lead").alias("key"))).distinct().join(rep.select("key", "rep"), "key")
     held = wanted.join(d, F.col("rep") == F.col("doc_id")).select("key", "text")
-    held = cut_lineage(held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary").dropDuplicates(["key"]), "jaccard-sets")
+    held = held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary")
+    if not keyed.groupBy("doc_id", "set_key").count().where("count > 1").isEmpty():  # rows that repeat an id with its text
+        held = held.dropDuplicates(["key"])
+    held = cut_lineage(held, "jaccard-sets")
 
     pairs = nodes.where("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
     set_batches(spark, SET_ROWS)

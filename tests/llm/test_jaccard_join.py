@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from augeval.llm.jaccard_join import _counts, block_points, join_leaves, link_components
+from augeval.llm.jaccard_join import BOUND_COORDS, _counts, block_points, join_leaves, link_components, pack_point, unpack_point
 from augeval.llm.textops import shingle_sets, text_chunks
 
 
@@ -116,3 +116,20 @@ def test_components_by_stars_and_in_one_task(spark, frame):
     for bound in (0, 10_000):
         assert {x.node: x.component for x in connected_components(e, bound).collect()} == low
     assert connected_components(frame([], "a long, b long")).count() == 0
+
+
+def test_points_keep_their_counts():
+    for top in (0, 255, 256, 65535):
+        counts = np.arange(BOUND_COORDS) % (top + 1)
+        counts[7] = top
+        packed = pack_point(counts)
+        assert len(packed) == BOUND_COORDS * (1 if top < 256 else 2) and (unpack_point(packed) == counts).all()
+    assert pack_point(np.full(BOUND_COORDS, 65536)) is None
+
+
+def test_rows_repeated_with_their_text(spark, frame):
+    docs = corpus(11, groups=3, copies=12)
+    rows = docs + docs[:40] + docs[:40]
+    got = link_components(frame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    want = brute(docs, 5, 80, 100)
+    assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)

@@ -351,11 +351,12 @@ def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFram
     side = lambda c, k, to: held.select(F.col("key").alias(k), F.col(c).alias(to))
     near = cut_lineage(pairs.join(side("point", "a", "pa"), "a").join(side("point", "b", "pb"), "b").mapInArrow(
         _within_bound(num, den), "a long, b long"), "jaccard-within")
-    keys = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key")))
-    if near.count() * 16 <= BROADCAST_BYTES:  # whole sets are moved for these pairs only
-        held = held.join(F.broadcast(keys.distinct()), "key", "left_semi")
-    links = cut_lineage(near.join(side("shingles", "a", "sa"), "a").join(side("shingles", "b", "sb"), "b").mapInArrow(
-        _links(num, den), "a long, b long"), "jaccard-links")
+    if near.count() * 16 <= BROADCAST_BYTES:  # pairs go to the sets: only the sets of a pair move, once a pair and once a partner
+        left = side("shingles", "a", "sa").join(F.broadcast(near), "a")
+        right = side("shingles", "b", "sb").join(F.broadcast(near.select("b").distinct()), "b", "left_semi")
+    else:
+        left, right = near.join(side("shingles", "a", "sa"), "a"), side("shingles", "b", "sb")
+    links = cut_lineage(left.join(right, "b").mapInArrow(_links(num, den), "a long, b long"), "jaccard-links")
     drop_tables(near)
     return links
 

@@ -11,7 +11,8 @@ points with that partner, so a search needs to enter only those nodes of the tre
 own point in a block (an inner node = one block point; a box with room around it prunes nothing here, since the
 radius of about 0.1 n in every coordinate exceeds the spread of the counts of unrelated texts). Inside a node:
 
-1. every set is compared with the node's smallest member (one star per node), which joins most copies;
+1. every set is compared with the smallest members of its nodes (one star per node), which joins most copies: first with the
+   smallest of all, then with those that are not yet in its component;
 2. in nodes that still hold several components, members of different components are compared: nodes of up to SMALL
    sets give their pairs (compared once, and only if they meet in as many nodes as a link must); larger nodes are cut into leaves of
    bounded size, and leaf pairs go down by the bound "sum of coordinate minima of the two boxes", then the same bound
@@ -415,12 +416,17 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         held = held.dropDuplicates(["key"])
     held = cut_lineage(held, "jaccard-sets")
 
-    pairs = nodes.where("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
+    pairs = cut_lineage(nodes.where("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b"))
+                        .distinct(), "jaccard-pairs")
     set_batches(spark, SET_ROWS)
-    star = _verified(pairs, held, num, den)
-    # One hop is enough to leave out most pairs that are joined already.
-    hop = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(
-        F.least(F.min("b"), F.first("a")).alias("component"))
+    # A long text has many leaders: its pair with the smallest one first, then those that are still between components.
+    first = _verified(pairs.groupBy("a").agg(F.min("b").alias("b")), held, num, den)
+    joined = connected_components(first)
+    of = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    star = first.union(others := _verified(rest, held, num, den))
+    hop = connected_components(star)
+    drop_tables(pairs)
     member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
     member = cut_lineage(_mixed(member, hop), "jaccard-members")
     drop_tables(nodes)
@@ -444,7 +450,7 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     deep = _verified(near, held, num, den)
     if not deep.isEmpty():
         groups = connected_components(links.union(deep))
-    drop_tables(near, held, star, listed, deep)
+    drop_tables(near, held, first, others, listed, deep)
 
     by_key = rep.join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "key").alias("comp"))

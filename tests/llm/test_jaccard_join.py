@@ -133,3 +133,10 @@ def test_rows_repeated_with_their_text(spark, frame):
     got = link_components(frame(rows, "doc_id long, text string"), 5, 80, 100).collect()
     want = brute(docs, 5, 80, 100)
     assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+
+
+def test_more_pairs_than_are_sent(spark, frame, monkeypatch):
+    monkeypatch.setattr("augeval.llm.jaccard_join.BROADCAST_BYTES", -1)
+    docs = corpus(23, groups=2, copies=10)
+    got = link_components(frame(docs, "doc_id long, text string"), 5, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(docs, 5, 80, 100)

@@ -51,3 +51,21 @@ def test_sparse_fingerprints_meet_few_pairs(spark):
     met = {m: similarity.met_pairs(q, r, m).count() for m in (0.8, 0.6, 0.4)}
     every = q.count() * r.count()
     assert met[0.8] < every / 10 and met[0.8] < met[0.6] < met[0.4] < every
+
+
+@pytest.mark.parametrize("cells", [1 << 25, 500])
+def test_dense_fingerprints_make_no_row_a_pair(spark, monkeypatch, cells):
+    monkeypatch.setattr(similarity, "CELLS", cells)
+    queries, refs = fingerprints(5, 150, 64, 40, True)
+    q, r = frames(spark, queries, refs)
+    near = max_tanimoto(q, r)
+    assert {x.vec_id: x.max_tanimoto for x in near.collect()} == pytest.approx(brute(queries, refs))
+    assert "Generate" not in near._jdf.queryExecution().optimizedPlan().toString()   # before: a row for each shared bit of a pair
+
+
+def test_sparse_rest_is_joined_on_its_bits(spark):
+    queries, refs = fingerprints(11, 300, 20000, 30, False)
+    q, r = frames(spark, queries, refs)
+    near = max_tanimoto(q, r, bands=())
+    assert "Generate" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.vec_id: x.max_tanimoto for x in near.collect()} == pytest.approx(brute(queries, refs))

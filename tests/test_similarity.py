@@ -53,6 +53,10 @@ def test_sparse_fingerprints_meet_few_pairs(spark):
     assert met[0.8] < every / 10 and met[0.8] < met[0.6] < met[0.4] < every
 
 
+def brute_nearest(queries, refs, minimum):
+    return {i: s if s >= minimum else 0.0 for i, s in brute(queries, refs).items()}
+
+
 @pytest.mark.parametrize("cells", [1 << 25, 500])
 def test_dense_fingerprints_make_no_row_a_pair(spark, monkeypatch, cells):
     monkeypatch.setattr(similarity, "CELLS", cells)
@@ -69,3 +73,14 @@ def test_sparse_rest_is_joined_on_its_bits(spark):
     near = max_tanimoto(q, r, bands=())
     assert "Generate" in near._jdf.queryExecution().optimizedPlan().toString()
     assert {x.vec_id: x.max_tanimoto for x in near.collect()} == pytest.approx(brute(queries, refs))
+
+
+def test_nearest_at_least_keeps_every_row_and_shuffles_no_fingerprint(spark):
+    queries, refs = fingerprints(9, 120, 64, 40, True)
+    rows = [(i, sorted(x)) for i, x in queries] + [(None, sorted(queries[0][1])), (0, sorted(queries[1][1])), (7000, None)]
+    q = spark.createDataFrame(rows, "vec_id long, bits array<int>")
+    near = similarity.nearest_at_least(q, frames(spark, refs)[0], 0.6, "vec_id")
+    got = sorted((x.vec_id is not None, x.vec_id or 0, round(x.max_tanimoto, 9)) for x in near.collect())
+    best = brute_nearest([(n, frozenset(x or [])) for n, (_, x) in enumerate(rows)], refs, 0.6)
+    assert got == sorted((i is not None, i or 0, round(best[n], 9)) for n, (i, _) in enumerate(rows))
+    assert "bits" not in near._jdf.queryExecution().optimizedPlan().toString()   # before: joined on the bits of a fingerprint

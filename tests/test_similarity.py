@@ -84,3 +84,17 @@ def test_nearest_at_least_keeps_every_row_and_shuffles_no_fingerprint(spark):
     best = brute_nearest([(n, frozenset(x or [])) for n, (_, x) in enumerate(rows)], refs, 0.6)
     assert got == sorted((i is not None, i or 0, round(best[n], 9)) for n, (i, _) in enumerate(rows))
     assert "bits" not in near._jdf.queryExecution().optimizedPlan().toString()   # before: joined on the bits of a fingerprint
+
+
+def test_fingerprint_is_one_column_function(spark):
+    import hashlib
+    texts = {1: "One two  one TWO three", 2: "", 3: None, 4: "é-Å x"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fp = similarity.fingerprint(d, "text", 256, 2)
+
+    def bits(text):
+        w = [x for x in text.lower().replace("-", " ").split(" ") if x]
+        grams = {" ".join(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+        return sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 256 for g in grams})
+    assert {x.doc_id: x.bits for x in fp.collect()} == {i: None if t is None else bits(t) for i, t in texts.items()}
+    assert "conv(" not in fp._jdf.queryExecution().optimizedPlan().toString()   # before: a chain of expressions for each gram

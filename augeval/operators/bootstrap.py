@@ -3,12 +3,16 @@
 Resampling deals n draws to n positions. The draws of a resample are split down a tree over ranges of positions: of a node's
 draws, a binomial share goes left, with the exact ratio of the two sizes. At a leaf (LEAF positions) the draws that arrive are dealt
 to its positions inside the row that holds the leaf's values. So a resample is (leaves) rows, never n, no draw is shuffled and no draw is joined to a position.
+Groups that share their draws (paired) share a leaf's weights, which are hashed once and multiplied with the values of each group.
 All randomness is md5 text and all arithmetic is in whole numbers, so any engine reproduces the weights."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,66 +25,98 @@ LEAF = 256
 _BITS = 60           # of a hash word, and of a split's ratio
 
 
-def _word(seed: int, *parts) -> F.Column:
-    """60 random bits: the first 15 hex digits of md5('seed|part|...')."""
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+def _words(texts: Sequence[bytes]) -> np.ndarray:
+    """60 random bits of each text: the first 15 hex digits of its md5."""
+    return (np.frombuffer(b"".join([md5(t).digest() for t in texts]), ">u8")[::2] >> 4).astype(np.int64)
 
 
-def _scaled(u: F.Column, n: F.Column) -> F.Column:
+def _scaled(u: np.ndarray, n: int) -> np.ndarray:
     """floor(u / 2**60 * n) in whole numbers (n under 2**31)."""
-    return F.shiftright(F.shiftright(u, 28) * n + F.shiftright(u.bitwiseAND(F.lit((1 << 28) - 1)) * n, 28), 32)
+    return ((u >> 28) * n + ((u & ((1 << 28) - 1)) * n >> 28)) >> 32
 
 
-def _left(seed: int, b, lo, hi, draws, left, size) -> F.Column:
+def _left(seed: int, b: int, lo: int, hi: int, draws: int, left: int, size: int) -> int:
     """How many of a node's draws go left: each compares random bits with the binary digits of left / size, until they differ.
 
     Digit by digit, the draws still undecided are counted by one random bit each (a popcount of hash words), so half of them are
     decided by a digit and the whole takes about two bits a draw."""
-    def mask(n):  # the n lowest bits of a word
-        return F.when(n >= _BITS, F.lit((1 << _BITS) - 1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - 1)
-
-    def ones(n, t):
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / _BITS).cast("int")), F.lit(0).cast("bigint"), lambda acc, w: acc + F.bit_count(
-            _word(seed, F.lit("split"), b, lo, hi, t, w).bitwiseAND(mask(n - w * _BITS))))).otherwise(F.lit(0).cast("bigint"))
-
-    def state(gone, open_, rest):
-        return F.struct(gone.cast("bigint").alias("left"), open_.cast("bigint").alias("open"), rest.cast("bigint").alias("rest"))
-
-    def digit(s, t):
-        n, twice = s["open"], s["rest"] * 2
-        counted = F.transform(F.array(ones(n, t)), lambda one: F.when(twice >= size, state(s["left"] + n - one, one, twice - size))
-                              .otherwise(state(s["left"], n - one, twice)))[0]   # an array of one, so that it is counted once
-        return F.when((n == 0) | (s["rest"] == 0), s).otherwise(counted)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_BITS)), state(F.lit(0), draws, left), digit)["left"]
+    gone, undecided, rest = 0, draws, left
+    for t in range(1, _BITS + 1):
+        if not undecided or not rest:
+            break
+        n = -(-undecided // _BITS)
+        words = _words([b"%d|split|%d|%d|%d|%d|%d" % (seed, b, lo, hi, t, w) for w in range(n)])
+        words[-1] &= (1 << (undecided - _BITS * (n - 1))) - 1
+        ones, rest = int(np.bitwise_count(words).sum()), 2 * rest
+        if rest >= size:
+            gone, undecided, rest = gone + undecided - ones, ones, rest - size
+        else:
+            undecided -= ones
+    return gone
 
 
 def leaf_draws(groups: DataFrame, resamples: int, seed: int, by: Sequence[str] = (), leaf: int = LEAF) -> DataFrame:
-    """(by, n) -> (by, b, leaf, draws): how many of the n draws of each resample fall on each leaf of ``leaf`` positions."""
+    """(by, n) -> (by, b, leaf, draws, size): how many of the n draws of each resample fall on each leaf of ``leaf`` positions."""
     by = list(by)
-    t = groups.select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select(
-        *by, "n", "b", F.lit(0).cast("bigint").alias("lo"), F.ceil(F.col("n") / leaf).alias("hi"), F.col("n").alias("draws"))
+
+    def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (n, b) in enumerate(zip(batch.column("n").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                nodes, found = [(0, -(-n // leaf), n)], []
+                while nodes:   # depth first: a path's nodes at a time
+                    lo, hi, draws = nodes.pop()
+                    if hi - lo > 1:
+                        mid = (lo + hi) // 2
+                        left = _left(seed, b, lo, hi, draws, min(mid * leaf, n) - lo * leaf, min(hi * leaf, n) - lo * leaf)
+                        nodes += [x for x in ((mid, hi, draws - left), (lo, mid, left)) if x[2]]
+                    elif draws:
+                        found.append((lo, draws, min(leaf, n - lo * leaf)))
+                at = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in [*by, "b"]],
+                                                  *[pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], [], []))]], [*by, "b", "leaf", "draws", "size"])
+
+    t = groups.select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
     t = t.repartition(2 * t.sparkSession.sparkContext.defaultParallelism, *by, "b")   # few rows, much work in each
-    depth = ((groups.agg(F.max(F.ceil(F.col("n") / leaf))).first()[0] or 1) - 1).bit_length()
-    for _ in range(depth):
-        lo, hi, n = F.col("lo"), F.col("hi"), F.col("n")
-        mid = F.expr("(lo + hi) div 2")
-        t = t.select(*by, "n", "b", "lo", "hi", "draws", mid.alias("mid"),
-                     F.when(hi - lo > 1, _left(seed, F.col("b"), lo, hi, F.col("draws"), F.least(mid * leaf, n) - lo * leaf,
-                                               F.least(hi * leaf, n) - lo * leaf)).alias("left"))
-        node = lambda lo, hi, c: f"named_struct('lo', {lo}, 'hi', {hi}, 'draws', {c})"
-        t = t.select(*by, "n", "b", F.explode(F.expr(f"filter(if(hi - lo > 1, array({node('lo', 'mid', 'left')}, {node('mid', 'hi', 'draws - left')}), "
-                                                     f"array({node('lo', 'hi', 'draws')})), x -> x.draws > 0)")).alias("x")).select(*by, "n", "b", "x.*")
-    return t.select(*by, "b", F.col("lo").alias("leaf"), "draws", F.least(F.lit(leaf), F.col("n") - F.col("lo") * leaf).alias("size"))
+    kinds = ", ".join(f"`{c}` {t.schema[c].dataType.simpleString()}" for c in [*by, "b"])
+    return t.mapInArrow(tree, f"{kinds}, leaf long, draws long, size long")
+
+
+def _weights(seed: int, leaf: int, size: int, draws: list[dict], width: int) -> np.ndarray:
+    """Resamples x places: how often each place of a leaf is drawn."""
+    u = _words([b"%d|leaf|%d|%d|%d" % (seed, x["b"], leaf, j) for x in draws for j in range(1, x["draws"] + 1)])
+    row = np.repeat(np.arange(len(draws)), [x["draws"] for x in draws])
+    return np.bincount(row * width + _scaled(u, size), minlength=len(draws) * width).reshape(len(draws), width).astype(np.float64)
 
 
 def _resampled(leaves: DataFrame, counts: DataFrame, on: Sequence[str], by: Sequence[str], seed: int, lo: float, hi: float) -> DataFrame:
     """(by, leaf, vals: place in the leaf -> value) and the leaves' draws -> (by, _q): the interval of the resamples' means
-    over the values that are there."""
-    t = leaves.join(counts, [*on, "leaf"])
-    place = lambda j: _scaled(_word(seed, F.lit("leaf"), F.col("b"), F.col("leaf"), j), F.col("size"))
-    v = F.filter(F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: F.get("vals", place(j).cast("int"))), lambda x: x.isNotNull())
-    t = t.select(*by, "b", v.alias("_v")).select(*by, "b", F.size("_v").alias("_n"), F.aggregate("_v", F.lit(0.0), lambda a, x: a + x).alias("_s"))
+    over the values that are there.
+
+    The rows of a leaf lie together, so that its weights (B x LEAF) are made once for all groups that share them."""
+    on = [*on, "leaf"]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = w = bs = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in on], strict=True))
+            for i, key in enumerate(keys):
+                if key != last:
+                    draws = batch.column("_draws")[i].as_py()
+                    vals, last, bs = len(batch.column("vals")[i]), key, [x["b"] for x in draws]
+                    w = _weights(seed, key[-1], batch.column("_size")[i].as_py(), draws, vals)
+                v = batch.column("vals")[i].values
+                there = v.is_valid().to_numpy(zero_copy_only=False)
+                v = v.fill_null(0.0).to_numpy(zero_copy_only=False)
+                s = w @ v if np.isfinite(v).all() else np.where(w > 0, w * v, 0.0).sum(axis=1)   # a value that is not drawn does not count
+                at = pa.array(np.full(len(bs), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in by], pa.array(bs, pa.int32()), pa.array((w @ there).astype(np.int64)), pa.array(s)],
+                                                 [*by, "b", "_n", "_s"])
+
+    draws = counts.groupBy(*on).agg(F.collect_list(F.struct("b", "draws")).alias("_draws"), F.first("size").alias("_size"))   # B a leaf
+    t = leaves.withColumn("vals", F.col("vals").cast("array<double>")).join(draws, on)
+    t = t.repartition(2 * t.sparkSession.sparkContext.defaultParallelism, *on).sortWithinPartitions(*on)   # few bytes, much work in each
+    kinds = "".join(f"`{c}` {t.schema[c].dataType.simpleString()}, " for c in by)
+    t = t.mapInArrow(dealt, f"{kinds}b int, _n long, _s double")
     means = t.groupBy(*by, "b").agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("_q"))   # B values a group
 
@@ -129,25 +165,39 @@ def paired_bootstrap(errors: DataFrame, reference: DataFrame, id_col: str, by: S
 POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(17)]
 
 
-def poisson_weight(u: F.Column) -> F.Column:
-    """Poisson(1) draw from a uniform u by CDF steps."""
-    w = F.lit(len(POISSON1_CDF))
-    for k in reversed(range(len(POISSON1_CDF))):
-        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    return w
+def _poisson_sums(seed: int, resamples: int, by: Sequence[str], rows: int = 500):
+    """Rows (by, _id text, _v) -> the sums of the weights and of the weighted values per group and resample, ``rows`` rows at a time."""
+    starts = [b"%d|%d" % (seed, b) for b in range(1, resamples + 1)]
+    cdf = np.array(POISSON1_CDF)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+            ids = [b"" if x is None else b"|" + x.encode() for x in batch.column("_id").to_pylist()]
+            u = _words([s + x for x in ids for s in starts]).astype(np.float64) / float(16 ** 15)
+            w = np.searchsorted(cdf, u, side="right").reshape(len(ids), resamples).astype(np.float64)
+            there = batch.column("_v").is_valid().to_numpy(zero_copy_only=False)
+            v = batch.column("_v").fill_null(0.0).to_numpy(zero_copy_only=False)
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in by], strict=True) if by else [()] * len(ids)):
+                groups.setdefault(key, []).append(i)
+            for at in groups.values():
+                first = pa.array(np.full(resamples, at[0]))
+                some = there[at].any()
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(first) for c in by], pa.array(np.arange(1, resamples + 1), pa.int32()), pa.array(w[at].sum(axis=0).astype(np.int64)),
+                     pa.array(v[at] @ w[at]) if some else pa.nulls(resamples, pa.float64())], [*by, "b", "_w", "_s"])
+    return sums
 
 
 def poisson_bootstrap(df: DataFrame, id_col: str, value_col: str, resamples: int = 1000, seed: int = 42,
                       lo: float = 0.025, hi: float = 0.975, by: Sequence[str] = ()) -> DataFrame:
-    """One-pass bootstrap for large n: each (row, b) gets a Poisson(1) weight from md5(seed|b|id); weighted
-    means per b are partial aggregates (no join, no numbering); percentiles of the B means."""
+    """One-pass bootstrap for large n: each (row, b) gets a Poisson(1) weight from md5(seed|b|id), by CDF steps; weighted
+    means per b are partial aggregates of many rows (no row a draw, no join, no numbering); percentiles of the B means."""
     by = list(by)
-    bs = F.sequence(F.lit(1), F.lit(resamples))
-    x = spread(df).select(*by, id_col, value_col, F.explode(bs).alias("b"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"),
-                                            F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("bigint").cast("double") / float(16 ** 15)
-    x = x.withColumn("w", poisson_weight(u))
-    means = x.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(value_col)), F.sum("w")).alias("m"))
+    x = spread(df).select(*by, F.col(id_col).cast("string").alias("_id"), F.col(value_col).cast("double").alias("_v"))
+    kinds = "".join(f"`{c}` {x.schema[c].dataType.simpleString()}, " for c in by)
+    x = x.mapInArrow(_poisson_sums(seed, resamples, by), f"{kinds}b int, _w long, _s double")
+    means = x.groupBy(*by, "b").agg(F.try_divide(F.sum("_s"), F.sum("_w")).alias("m"))
     ci = means.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("_q"))
     point = df.groupBy(*by).agg(F.avg(value_col).alias("mean"))
     j = point.join(ci, by) if by else point.withColumn("_q", ci.select("_q").scalar())

@@ -48,3 +48,52 @@ def test_no_table_of_all_draws(spark):
     n, resamples = 5000, 50
     counts = leaf_draws(spark.createDataFrame([(n,)], "n long"), resamples, 1)
     assert counts.count() <= resamples * -(-n // 256) and counts.agg(F.sum("draws")).first()[0] == n * resamples
+
+
+def test_hashed_draws_follow_the_contract_and_are_no_expression_a_draw(spark):
+    import hashlib
+    word = lambda *p: int(hashlib.md5("|".join(map(str, p)).encode()).hexdigest()[:15], 16)
+    values = {i: float(i * i % 97) for i in range(40)}          # one leaf: a draw is floor(u * 40 / 2**60)
+    values[5] = None
+    order = sorted(values, key=lambda i: (hashlib.md5(f"3|{i}".encode()).hexdigest(), i))
+    means = []
+    for b in range(1, 21):
+        drawn = [values[order[word(3, "leaf", b, 0, j) * 40 >> 60]] for j in range(1, 41)]
+        means.append(np.mean([x for x in drawn if x is not None]))
+    d = spark.createDataFrame(list(values.items()), "id long, v double")
+    df = bootstrap_ci(d, "id", "v", 20, 3)
+    r = df.first()
+    assert [r.ci_lo, r.ci_hi] == pytest.approx(list(np.quantile(means, [0.025, 0.975])))
+    assert "conv(" not in df._jdf.queryExecution().optimizedPlan().toString()   # before: a chain of expressions a draw
+
+
+def test_weights_of_a_leaf_are_hashed_once_for_all_groups(spark, monkeypatch):
+    from augeval.operators import bootstrap
+    calls = spark.sparkContext.accumulator(0)
+    plain = bootstrap._weights
+
+    def counted(*args):
+        calls.add(1)
+        return plain(*args)
+    monkeypatch.setattr(bootstrap, "_weights", counted)
+    ref = [(i, float(i % 13)) for i in range(600)]              # three leaves
+    d = spark.createDataFrame([(s, i, v + s) for s in range(20) for i, v in ref], "seed long, id long, e double")
+    assert paired_bootstrap(d, spark.createDataFrame(ref, "id long, e double"), "id", ["seed"], "e", 10, 1).count() == 20
+    assert 3 <= calls.value <= 6   # before: hashed for each of 60 leaves of groups
+
+
+def test_poisson_weights_by_row_and_resample(spark):
+    import hashlib
+    from augeval.operators.bootstrap import POISSON1_CDF, poisson_bootstrap
+    rows = [("a", i, float(i % 7)) for i in range(60)] + [("b", 3, None), ("b", None, 2.0), (None, 4, 5.0), ("c", 1, None)]
+    d = spark.createDataFrame(rows, "g string, id long, v double")
+    df = poisson_bootstrap(d, "id", "v", 15, 9, by=["g"])
+    weight = lambda b, i: sum(c <= int(hashlib.md5("|".join(["9", str(b)] + ([] if i is None else [str(i)])).encode()).hexdigest()[:15], 16) / 16 ** 15 for c in POISSON1_CDF)
+    m = []
+    for b in range(1, 16):
+        w = [(weight(b, i), v) for g, i, v in rows if g == "a"]
+        m.append(sum(x * v for x, v in w) / sum(x for x, _ in w))
+    got = {r.g: r for r in df.collect()}
+    assert [got["a"].ci_lo, got["a"].ci_hi] == pytest.approx(list(np.quantile(m, [0.025, 0.975])))
+    assert got["c"].ci_lo is None and got["b"].mean == 2.0
+    assert "explode" not in df._jdf.queryExecution().analyzed().toString()   # before: a row for each row and resample

@@ -7,7 +7,9 @@ that keep the two name spaces apart) is the either-key rule as ONE equi-join, ne
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,25 +39,39 @@ def tokens(c) -> Column:
     return F.split(_col(c), " ")
 
 
-def _least_start(t: Column, n: Column) -> Column:
-    """0-based start of the least rotation of a token array, in linear time.
+def _least_rotation(t: list[bytes]) -> bytes:
+    """The least rotation of a token list, joined, in linear time.
 
     Two candidate starts i < j (or j < i) are compared k tokens on; the one with the greater token loses, with every start up
     to that token. Every step raises i + j + k, which ends below 3 n. The order of joined texts is the order of tokens with
-    their blank, so the arrays hold those."""
-    tok = lambda at: F.get(t, at % n)
-    new = lambda i, j, k: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"))
-
-    def step(s: Column, _: Column) -> Column:
-        i, j, k = s["i"], s["j"], s["k"]
-        a, b = tok(i + k), tok(j + k)
-        gone_i, gone_j = i + k + 1, j + k + 1
-        over = (i >= n) | (j >= n) | (k >= n)
-        return F.when(over, s).when(a == b, new(i, j, k + 1)) \
-            .when(a > b, new(F.when(gone_i == j, gone_i + 1).otherwise(gone_i), j, F.lit(0))) \
-            .otherwise(new(i, F.when(gone_j == i, gone_j + 1).otherwise(gone_j), F.lit(0)))
-    end = F.aggregate(F.sequence(F.lit(1), 3 * n), new(F.lit(0), F.lit(1), F.lit(0)), step)
-    return F.least(end["i"], end["j"])
+    their blank, so the list holds those."""
+    n, i, j, k = len(t), 0, 1, 0
+    while i < n and j < n and k < n:
+        a, b = t[(i + k) % n], t[(j + k) % n]
+        if a == b:
+            k += 1
+            continue
+        if a > b:
+            i = i + k + 2 if i + k + 1 == j else i + k + 1
+        else:
+            j = j + k + 2 if j + k + 1 == i else j + k + 1
+        k = 0
+    at = min(i, j)
+    return b"".join(t[at:] + t[:at])
+
+
+@lru_cache(maxsize=1 << 16)   # a worker sees many rows of a spelling
+def _cycle_key(key: str | None) -> str | None:
+    if key is None or "." in key:
+        return None
+    t = [w + b" " for w in key.encode().split(b" ")]
+    if len(t) < 3:
+        return None
+    return min(_least_rotation(t), _least_rotation(t[::-1])).rstrip(b" ").decode()
+
+
+def _cycle_keys(keys: pa.Array) -> pa.Array:
+    return pa.array([_cycle_key(k) for k in keys.to_pylist()], pa.string())
 
 
 def add_cycle_key(df, exact_col: str = "exact_key", out: str = "alt_key"):
@@ -63,17 +79,8 @@ def add_cycle_key(df, exact_col: str = "exact_key", out: str = "alt_key"):
 
     The smallest text over all rotations of the tokens and of the reversed tokens. Null for fewer than three
     tokens (a two-token cycle has one cut) and for several fragments ('.' in the key). Periods are not reduced.
-    Each direction's least rotation is found in linear time; only these two are spelled out. Token arrays are columns of
-    their own, so that no lambda splits the text again."""
-    e = F.col(exact_col)
-    cyclic = e.isNotNull() & ~e.contains(".") & (F.size(F.split(e, " ")) >= 3)
-    df = df.withColumn("_ck_t", F.when(cyclic, F.transform(F.split(e, " "), lambda w: F.concat(w, F.lit(" ")))))
-    df = df.withColumn("_ck_r", F.reverse("_ck_t")).withColumn("_ck_n", F.size("_ck_t"))
-    n = F.col("_ck_n")
-    df = df.withColumn("_ck_i", F.when(n > 0, _least_start(F.col("_ck_t"), n))).withColumn("_ck_j", F.when(n > 0, _least_start(F.col("_ck_r"), n)))
-    turned = lambda t, at: F.array_join(F.concat(F.slice(t, F.col(at) + 1, n), F.slice(t, F.lit(1), F.col(at))), "")
-    key = F.rtrim(F.least(turned(F.col("_ck_t"), "_ck_i"), turned(F.col("_ck_r"), "_ck_j")))
-    return df.withColumn(out, F.when(n > 0, key)).drop("_ck_t", "_ck_r", "_ck_n", "_ck_i", "_ck_j")
+    Each direction's least rotation is found in linear time; only these two are spelled out."""
+    return df.withColumn(out, F.arrow_udf(_cycle_keys, "string")(F.col(exact_col)))
 
 
 def entity_id(exact, alt) -> Column:

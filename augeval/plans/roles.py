@@ -43,10 +43,12 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("l_returnflag") == "R", F.upper(F.array_join(toks, "  "))).otherwise(F.array_join(toks, " "))
     value_text = F.when((F.col("l_linenumber") == 7) & (F.col("l_discount") == 0.1), F.lit("n/a")).otherwise(
         F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
+    # The spelling is made once a row: as a generated column, no filter on it or its keys is rewritten into these expressions
+    # and moved below (where it was expanded and made several times over).
     return j.select(
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_key"),
-        raw.alias("raw_key"), value_text.alias("value_text"),
+        F.explode(F.array(raw)).alias("raw_key"), value_text.alias("value_text"),
         F.col("l_quantity").cast("int").alias("n_points"), F.col("l_returnflag").alias("reliability"),
         F.col("l_linestatus").alias("source"), F.col("p_type").alias("class"))
 

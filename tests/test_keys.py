@@ -1,6 +1,7 @@
 """Identity keys: the reference's key cases as token sequences, plus properties of the cycle key."""
 import itertools
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,3 +84,22 @@ def test_long_cycle_takes_linear_time(spark):
         assert len(key[n][1]) == 1
     assert key[2_500][1] == {brute_cycle(key[2_500][1].copy().pop().split(" "))}
     assert key[20_000][0] < 8 * 4 * max(key[2_500][0], 0.5)         # quadratic would be 64 times
+
+
+@pytest.mark.parametrize("name", ["validity_gate", "cycle_key", "entity_id"])
+def test_a_filter_on_keys_is_not_rewritten_into_the_spelling(spark, sf, name):
+    from augeval.plans.registry import QUERIES, load_all
+    load_all()
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if ("Filter" in x or "Join" in x) and "slice(" in x]   # before: made several times for each row
+
+
+def test_keys_are_made_where_the_row_is_read(spark, sf, monkeypatch):
+    from augeval.plans import stages
+    written = []
+    monkeypatch.setattr(stages, "_KEYED", {})
+    plain = stages.cut_lineage
+    monkeypatch.setattr(stages, "cut_lineage", lambda df, name: written.append(name) or plain(df, name))
+    o = stages.obs_keyed(spark, sf)
+    assert written == ["obs-keyed"]   # before: the spellings apart, then joined to all rows
+    assert o.where("exact_key is not null and entity_id is null").isEmpty() and o.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()

@@ -19,7 +19,8 @@ radius of about 0.1 n in every coordinate exceeds the spread of the counts of un
    for two points. A first round takes two sets a component and only as many pairs as would join the components, a second one
    all pairs that are still between components: few, as the bound is close. Of nodes with the same members one is read.
 
-Every pair passes the bound on its points before its sets are fetched and compared exactly. Identical sets are one node
+Every pair passes the bound on its points before its sets are fetched and compared exactly. As the bound of 256 coordinates
+lets all pairs of sets of some thousand shingles pass, large sets have a second point with a coordinate for about two shingles. Identical sets are one node
 of the graph from the start. Hashes are 64 bits wide: sets are compared by shingle hash, set identity by 64 bits of
 its shingles.
 
@@ -43,6 +44,7 @@ from augeval.session import cut_lineage, drop_tables
 
 COORDS = 1 << 20      # coordinates of one block (few, and blocks of one or two shingles would meet by chance)
 BOUND_COORDS = 256    # coordinates of the point that the minima bound uses
+FINE_COORDS = 1 << 16 # most coordinates of the point that a pair of large sets is judged by before the sets move
 SET_ROWS = 100        # rows with two whole sets, or with leaves, in an Arrow batch
 LEAF = 512            # sets in a leaf, on average
 SMALL = 16            # sets in a node whose pairs are listed
@@ -218,7 +220,9 @@ def _sets(words: int):
                 own = pa.array(_set_keys(h, bounds))
                 counts = _counts([h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
                 point = [pack_point(c) for c in counts]
-                part = pa.RecordBatch.from_arrays([own, arr, pa.array(point, pa.binary())], names=["key", "shingles", "point"])
+                fine = [fine_point(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                part = pa.RecordBatch.from_arrays([own, arr, pa.array(point, pa.binary()), pa.array(fine, pa.binary())],
+                                                  names=["key", "shingles", "point", "fine"])
                 yield part.filter(pc.equal(own, b.column("key").slice(lo, hi - lo)))
     return run
 
@@ -233,8 +237,23 @@ def unpack_point(point: bytes) -> np.ndarray:
     return np.frombuffer(point, np.uint8 if len(point) == BOUND_COORDS else np.uint16)
 
 
-def _within_bound(num: int, den: int):
-    """Keep the pairs whose points allow a link (a set too large for a point always stays)."""
+def fine_point(h: np.ndarray) -> bytes | None:
+    """The counts of a large set over so many coordinates (a power of two) that each holds about two shingles; null for small
+    sets, which their point tells apart, and where a count needs more than a byte."""
+    if len(h) <= 2 * BOUND_COORDS:
+        return None
+    coords = min(FINE_COORDS, 1 << (len(h) // 2 - 1).bit_length())
+    counts = _coord_counts(h, coords)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _fold(point: np.ndarray, coords: int) -> np.ndarray:
+    """A point over fewer coordinates: both numbers are powers of two, and a coordinate is the low bits of a hash."""
+    return point if len(point) == coords else point.reshape(-1, coords).sum(0, dtype=np.int64)
+
+
+def _within_bound(num: int, den: int, unpack=unpack_point):
+    """Keep the pairs whose points allow a link (a set without a point always stays)."""
     def run(batches):
         for b in batches:
             keep = []
@@ -242,7 +261,8 @@ def _within_bound(num: int, den: int):
                 if x is None or y is None:
                     keep.append(True)
                     continue
-                x, y = unpack_point(x), unpack_point(y)
+                x, y = unpack(x), unpack(y)
+                x, y = _fold(x, min(len(x), len(y))), _fold(y, min(len(x), len(y)))
                 o, total = int(np.minimum(x, y).sum(dtype=np.int64)), int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
                 keep.append(den * o >= num * (total - o))
             idx = pa.array(np.flatnonzero(keep))
@@ -290,10 +310,14 @@ def _links(num: int, den: int):
     return run
 
 
+def _coord_counts(s: np.ndarray, coords: int) -> np.ndarray:
+    return np.bincount((s.view(np.uint64) >> np.uint64(8)).astype(np.int64) & (coords - 1), minlength=coords)
+
+
 def _counts(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), BOUND_COORDS), np.int32)
     for i, s in enumerate(sets):
-        out[i] = np.bincount((s.view(np.uint64) >> np.uint64(8)).astype(np.int64) & (BOUND_COORDS - 1), minlength=BOUND_COORDS)
+        out[i] = _coord_counts(s, BOUND_COORDS)
     return out
 
 
@@ -347,18 +371,26 @@ def join_leaves(left, right, num: int, den: int, spanning: bool) -> list[tuple[i
     return out
 
 
-def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of set keys that link, written: first by their points, then by their sets."""
-    side = lambda c, k, to: held.select(F.col("key").alias(k), F.col(c).alias(to))
-    near = cut_lineage(pairs.join(side("point", "a", "pa"), "a").join(side("point", "b", "pb"), "b").mapInArrow(
-        _within_bound(num, den), "a long, b long"), "jaccard-within")
-    if near.count() * 16 <= BROADCAST_BYTES:  # pairs go to the sets: only the sets of a pair move, once a pair and once a partner
-        left = side("shingles", "a", "sa").join(F.broadcast(near), "a")
-        right = side("shingles", "b", "sb").join(F.broadcast(near.select("b").distinct()), "b", "left_semi")
+def _fetched(pairs: DataFrame, held: DataFrame, column: str, to: str) -> DataFrame:
+    """Pairs (a, b) with a column of both sets, as ``to``a and ``to``b."""
+    side = lambda k: held.select(F.col("key").alias(k), F.col(column).alias(to + k))
+    if pairs.count() * 16 <= BROADCAST_BYTES:  # pairs go to the sets: only the sets of a pair move, once a pair and once a partner
+        left = side("a").join(F.broadcast(pairs), "a")
+        right = side("b").join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     else:
-        left, right = near.join(side("shingles", "a", "sa"), "a"), side("shingles", "b", "sb")
-    links = cut_lineage(left.join(right, "b").mapInArrow(_links(num, den), "a long, b long"), "jaccard-links")
+        left, right = pairs.join(side("a"), "a"), side("b")
+    return left.join(right, "b")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of set keys that link, written: first by their points, then by the fine points of large sets, then by their sets."""
+    side = lambda k: held.select(F.col("key").alias(k), F.col("point").alias("p" + k))
+    near = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within_bound(num, den), "a long, b long"), "jaccard-within")
+    fine = cut_lineage(_fetched(near, held, "fine", "p").mapInArrow(
+        _within_bound(num, den, lambda p: np.frombuffer(p, np.uint8)), "a long, b long"), "jaccard-fine")
     drop_tables(near)
+    links = cut_lineage(_fetched(fine, held, "shingles", "s").mapInArrow(_links(num, den), "a long, b long"), "jaccard-links")
+    drop_tables(fine)
     return links
 
 
@@ -411,7 +443,7 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     wanted = nodes.select("key").union(nodes.select(F.col("lead").alias("key"))).distinct().join(rep.select("key", "rep"), "key")
     held = wanted.join(d, F.col("rep") == F.col("doc_id")).select("key", "text")
-    held = held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary")
+    held = held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary, fine binary")
     if not keyed.groupBy("doc_id", "set_key").count().where("count > 1").isEmpty():  # rows that repeat an id with its text
         held = held.dropDuplicates(["key"])
     held = cut_lineage(held, "jaccard-sets")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augeval.session import cut_lineage, load, scratch_path
+from augeval.session import cut_lineage, load
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY_LABEL_FOLDS = 5      # labels of documents whose crc32(doc_id) mod 5 is 0 are never learned from
@@ -71,9 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; every stage but the last is written to the shared folder and read again."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut_lineage(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from augeval.llm.jaccard_join import BOUND_COORDS, _counts, block_points, join_leaves, link_components, pack_point, unpack_point
+from augeval.llm.jaccard_join import (BOUND_COORDS, FINE_COORDS, _counts, _within_bound, block_points, fine_point, join_leaves, link_components,
+                                      pack_point, unpack_point)
 from augeval.llm.textops import shingle_sets, text_chunks
 
 
@@ -140,3 +141,43 @@ def test_more_pairs_than_are_sent(spark, frame, monkeypatch):
     docs = corpus(23, groups=2, copies=10)
     got = link_components(frame(docs, "doc_id long, text string"), 5, 80, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(docs, 5, 80, 100)
+
+
+def test_fine_points_tell_long_unrelated_sets_apart():
+    rng = np.random.default_rng(7)
+    sets, pairs = [], []
+    for n in (600, 1100, 5000, 20_000):  # by twos: no shingle in common; then sets of several sizes that just link at 0.8
+        h = np.sort(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        rng.shuffle(h)
+        for other in (h[n:], np.concatenate([h[:n - n // 9], h[n:n + n // 9]]), h[:-(-n * 4 // 5)]):
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [h[:n], other]
+    frame = lambda points: pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs]), pa.array([points[x] for x, _ in pairs], pa.binary()),
+         pa.array([points[y] for _, y in pairs], pa.binary())], names=["a", "b", "pa", "pb"])
+
+    def linked(points, **unpack):
+        out = list(_within_bound(8, 10, **unpack)(iter([frame(points)])))
+        return list(zip(out[0].column("a").to_pylist(), out[0].column("b").to_pylist(), strict=True))
+    coarse = linked([pack_point(c) for c in _counts(sets)])
+    assert coarse[-3:] == pairs[-3:]  # long sets all pass the bound of 256 coordinates
+    fine = [fine_point(s) for s in sets]
+    assert all(p is None or len(p) <= FINE_COORDS for p in fine) and len({len(p) for p in fine if p}) > 3
+    assert linked(fine, unpack=lambda p: np.frombuffer(p, np.uint8)) == [p for i, p in enumerate(pairs) if i % 3]
+    assert fine_point(sets[0][:512]) is None and fine_point(np.repeat(sets[0], 300)) is None
+
+
+def test_long_texts(spark, frame):
+    r = random.Random(9)
+    rows = []
+    for i in range(12):  # pairs of 700 to 4,000 words that link, and that just do not
+        words = [r.choice("abcdefgh") + str(r.randrange(5000)) for _ in range(700 + 300 * i)]
+        near = list(words)
+        for at in r.sample(range(len(words)), len(words) // (40 if i % 2 else 25)):
+            near[at] = "z" + str(at)
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(near))]
+    got = {x.doc_id: x.component_id for x in link_components(frame(rows, "doc_id long, text string"), 3, 80, 100).collect()}
+    sets = {k: {tuple(w[j:j + 3]) for j in range(len(w) - 2)} for k, w in ((k, t.split(" ")) for k, t in rows)}
+    links = {k for k in range(0, 120, 10) if 100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1])}
+    assert 0 < len(links) < 12
+    assert got == {k: k - k % 10 if k - k % 10 in links else k for k, _ in rows}

@@ -46,7 +46,7 @@ COORDS = 1 << 20      # coordinates of one block (few, and blocks of one or two
 BOUND_COORDS = 256    # coordinates of the point that the minima bound uses
 FINE_COORDS = 1 << 16 # most coordinates of the point that a pair of large sets is judged by before the sets move
 SET_ROWS = 100        # rows with two whole sets, or with leaves, in an Arrow batch
-LEAF = 512            # sets in a leaf, on average
+LEAF = 2048           # sets in a leaf, on average: points move once for every leaf of their node
 SMALL = 16            # sets in a node whose pairs are listed
 CLASS_RATIO = 1.6     # sizes within a class
 BUCKET_BYTES = 8 << 20
@@ -219,7 +219,7 @@ def _sets(words: int):
                 arr = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
                 own = pa.array(_set_keys(h, bounds))
                 counts = _counts([h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
-                point = [pack_point(c) for c in counts]
+                point = [slim_point(c) for c in counts]
                 fine = [fine_point(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 part = pa.RecordBatch.from_arrays([own, arr, pa.array(point, pa.binary()), pa.array(fine, pa.binary())],
                                                   names=["key", "shingles", "point", "fine"])
@@ -233,7 +233,15 @@ def pack_point(counts: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8 if top < 256 else np.uint16).tobytes() if top < 65536 else None
 
 
+def slim_point(counts: np.ndarray) -> bytes | None:
+    """A point in half a byte a coordinate, as ``pack_point`` where a count needs more."""
+    return (counts[::2] * 16 + counts[1::2]).astype(np.uint8).tobytes() if counts.max() < 16 else pack_point(counts)
+
+
 def unpack_point(point: bytes) -> np.ndarray:
+    if len(point) < BOUND_COORDS:
+        two = np.frombuffer(point, np.uint8)
+        return np.stack([two >> 4, two & 15], 1).ravel()
     return np.frombuffer(point, np.uint8 if len(point) == BOUND_COORDS else np.uint16)
 
 
@@ -339,7 +347,7 @@ def join_leaves(left, right, num: int, den: int, spanning: bool) -> list[tuple[i
     """Pairs between two leaves of (key, component, point): components differ and the points allow a link. ``spanning``:
     only as many as would join the components if all of them were links."""
     def matrix(side):
-        return np.array([unpack_point(p) if p is not None else np.full(BOUND_COORDS, 65535) for _, _, p in side], np.int64)
+        return np.array([unpack_point(p) if p is not None else np.full(BOUND_COORDS, 65535) for _, _, p in side], np.int32)
 
     ca, cb = matrix(left), matrix(right)
     open_a, open_b = (np.array([p is None for _, _, p in side]) for side in (left, right))

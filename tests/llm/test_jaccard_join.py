@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from augeval.llm.jaccard_join import (BOUND_COORDS, FINE_COORDS, _counts, _within_bound, block_points, fine_point, join_leaves, link_components,
-                                      pack_point, unpack_point)
+                                      pack_point, slim_point, unpack_point)
 from augeval.llm.textops import shingle_sets, text_chunks
 
 
@@ -128,6 +128,14 @@ def test_points_keep_their_counts():
     assert pack_point(np.full(BOUND_COORDS, 65536)) is None
 
 
+def test_points_of_small_counts_take_half_a_byte():
+    rng = np.random.default_rng(4)
+    for top, size in ((15, BOUND_COORDS // 2), (16, BOUND_COORDS), (255, BOUND_COORDS), (256, 2 * BOUND_COORDS)):
+        counts = rng.integers(0, top + 1, BOUND_COORDS).astype(np.int32)
+        counts[3] = top
+        assert len(slim_point(counts)) == size and (unpack_point(slim_point(counts)) == counts).all()
+
+
 def test_rows_repeated_with_their_text(spark, frame):
     docs = corpus(11, groups=3, copies=12)
     rows = docs + docs[:40] + docs[:40]

@@ -12,7 +12,7 @@ from augeval.plans import roles
 from augeval.plans.oracle_roles import with_roles
 from augeval.plans.q_eval import _stop_sql
 from augeval.plans.registry import query
-from augeval.session import scratch_path
+from augeval.session import cut_lineage, scratch_path
 from augeval.streaming import log_stream as ls
 
 BATCHES = 4
@@ -72,6 +72,7 @@ def q_stream_early_stop(spark, sf):
     """T4: stateful early stopping over the epoch stream, eight files a trigger in any order; one row for every run."""
     ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
     h = roles.hist(spark, sf).join(ev, "event_id").select("run", F.col("epoch").cast("bigint").alias("epoch"), "val_mae", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    h = cut_lineage(h, "t4-hist")  # read by every append and the tick: numbered once
     path = scratch_path(spark, "t4-in")
     ls.write_batches(h.withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp"))), path, "_o", BATCHES, FILES)
     ls.write_tick(h, path, "ts", "60 DAYS")

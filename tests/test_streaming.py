@@ -94,3 +94,60 @@ def test_ingest_one_row_per_id(spark, sf):
     s = ls.read_stream(spark, path).select("custom_id", "seq", "event_time")
     out = ls.run_to_table(ls.ingest(s, "400 days"), spark, "ing")
     assert out.count() == out.select("custom_id").distinct().count() == log.select("custom_id").distinct().count()
+
+
+class _Value:
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+
+class _Handle:
+    """State of one key, in memory."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Value())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_early_stop_state_calls_do_not_grow_with_the_rows():
+    class Times:
+        def __init__(self, watermark):
+            self.watermark = watermark
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+    def calls(n):
+        op, handle = ls.EarlyStop(3, 10 ** 9), _Handle()
+        op.init(handle)
+        row = lambda e, v: {"epoch": e, "val_mae": v, "_at": e * 1000}
+        rows = [row(e, 1000.0 - e) for e in range(1, n + 1)]
+        assert not list(op.handleInputRows((7,), iter([*reversed(rows), row(n, 5000.0)]), Times(0)))  # of a repeated epoch the last row counts
+        assert handle.timers == {2}
+        assert not list(op.handleInputRows((7,), iter([row(n + 2, None), row(n + 1, 4000.0)]), Times(n)))
+        out = list(op.handleInputRows((7,), iter([row(3, 0.0)]), Times(10 * n)))  # epoch 3 is folded already
+        assert [tuple(r) for r in out] == [(7, n - 1, 1001.0 - n, n + 2)] and handle.states["ahead"].value is None
+        return sum(s.calls for s in handle.states.values())
+    assert calls(10) == calls(500) <= 25

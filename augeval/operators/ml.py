@@ -20,6 +20,7 @@ from augeval.operators.similarity import add_ngrams, add_tokens
 from augeval.session import cut_lineage, scratch_path
 
 PARALLEL = 4   # fits at a time
+FIT_ROWS = 10_000   # training rows that a partition holds at least
 
 
 def features(spellings: DataFrame, text_col: str = "smiles", radius: int = 2, bits: int = 2048) -> DataFrame:
@@ -37,6 +38,12 @@ def fit(train: DataFrame, trees: int, depth: int, seed: int, label: str = "value
                                  maxDepth=depth, featureSubsetStrategy="all", seed=seed).fit(train)
 
 
+def packed(train: DataFrame, n: int) -> DataFrame:
+    """n training rows in no more partitions than they need. Every partition shuffles the statistics of all nodes, features and trees of a
+    level, however few its rows are, so a fit's shuffle grows with the partitions."""
+    return train.coalesce(max(1, min(-(-n // FIT_ROWS), train.sparkSession.sparkContext.defaultParallelism)))
+
+
 def first_rows(real: DataFrame, n: int, seed: int, id_col: str = "entity_id") -> DataFrame:
     """The first n rows of the seeded order (the subset that nested subsets of this seed share)."""
     chosen = seeded_order(real.select(id_col), id_col, seed, "_p").where(F.col("_p") <= n).select(id_col)
@@ -71,7 +78,7 @@ def run_grid(runs: Sequence[tuple[str, int, DataFrame]], feats: DataFrame, test:
         train = rows.select(text_col, label).join(feats, text_col).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n_train = train.count()
-            pred = fit(train, trees, depth, seed, label).transform(held)
+            pred = fit(packed(train, n_train), trees, depth, seed, label).transform(held)
             pred.select(F.lit(run).alias("run"), F.lit(seed).alias("seed"), F.lit(n_train).cast("bigint").alias("n_train"), "entity_id",
                         F.col(label).alias("y_true"), F.col("prediction").alias("y_pred")).write.parquet(f"{out}/{run}-{seed}")
         finally:

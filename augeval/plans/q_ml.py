@@ -107,7 +107,7 @@ def q_pseudo_label(spark, sf):
     runs = []
     for seed in SEEDS:
         small = ml.first_rows(real, CONTROL, seed)
-        teacher = ml.fit(small.join(feats, "smiles"), TREES, DEPTH, seed)
+        teacher = ml.fit(ml.packed(small.join(feats, "smiles"), CONTROL), TREES, DEPTH, seed)
         labels = cut_lineage(ml.pseudo_labeled(sets["labeled"], teacher, feats).select(*COLS), "pseudo-labels")
         runs += [("teacher", seed, small), ("selftrain", seed, labels), ("concat_selftrain", seed, holdout.union_prefer_first(small, labels))]
     return ml.grid_metrics(ml.run_grid(runs, feats, test, TREES, DEPTH))

@@ -53,3 +53,16 @@ def test_pseudo_labels_are_the_teachers(tables):
     assert rows.columns and rows.count() == sets["labeled"].count()
     own = {r.entity_id: r.value for r in sets["labeled"].collect()}
     assert sum(abs(r.value - own[r.entity_id]) > 1e-9 for r in rows.collect()) > 140   # not the set's own labels
+
+
+def test_a_fit_has_no_more_partitions_than_its_rows_need(tables, monkeypatch):
+    real, _, test, feats = tables
+    assert ml.packed(real.repartition(8), 200).rdd.getNumPartitions() == 1
+    assert ml.packed(real.repartition(8), 25_000).rdd.getNumPartitions() == 3
+    cores = real.sparkSession.sparkContext.defaultParallelism
+    assert ml.packed(real.repartition(2 * cores), 10 ** 9).rdd.getNumPartitions() == cores
+    seen, fit = [], ml.fit
+    monkeypatch.setattr(ml, "fit", lambda train, *a, **k: seen.append(train.rdd.getNumPartitions()) or fit(train, *a, **k))
+    spread = real.sparkSession.createDataFrame(real.repartition(8).rdd, real.schema).hint("shuffle_merge")
+    assert ml.run_grid([("spread", 1, spread)], feats.hint("broadcast"), test, 2, 3).count() == 100
+    assert seen == [1]

@@ -16,8 +16,10 @@ radius of about 0.1 n in every coordinate exceeds the spread of the counts of un
 2. in nodes that still hold several components, members of different components are compared: nodes of up to SMALL
    sets give their pairs (compared once, and only if they meet in as many nodes as a link must); larger nodes are cut into leaves of
    bounded size, and leaf pairs go down by the bound "sum of coordinate minima of the two boxes", then the same bound
-   for two points. A first round takes two sets a component and only as many pairs as would join the components, a second one
-   all pairs that are still between components: few, as the bound is close. Of nodes with the same members one is read.
+   for two points, and for large sets by points of more coordinates. A pair that meets in several of the MET_NODES first large nodes
+   of its sets is compared in the first of them only. A first round takes two sets a component and only as many pairs as would join
+   the components, a second one all pairs that are still between components: few, as the bound is close. Of nodes with the same
+   members one is read.
 
 Every pair passes the bound on its points before its sets are fetched and compared exactly. As the bound of 256 coordinates
 lets all pairs of sets of some thousand shingles pass, large sets have a second point with a coordinate for about two shingles. Identical sets are one node
@@ -48,6 +50,8 @@ FINE_COORDS = 1 << 16 # most coordinates of the point that a pair of large sets
 SET_ROWS = 100        # rows with two whole sets, or with leaves, in an Arrow batch
 LEAF = 2048           # sets in a leaf, on average: points move once for every leaf of their node
 SMALL = 16            # sets in a node whose pairs are listed
+BLOCK_PAIRS = 1 << 16 # pairs of a leaf looked at together
+MET_NODES = 4         # large nodes of a set that its rows in later nodes name
 CLASS_RATIO = 1.6     # sizes within a class
 BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 8 << 20 # keys of pairs sent to every executor
@@ -221,8 +225,8 @@ def _sets(words: int):
                 counts = _counts([h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
                 point = [slim_point(c) for c in counts]
                 fine = [fine_point(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                part = pa.RecordBatch.from_arrays([own, arr, pa.array(point, pa.binary()), pa.array(fine, pa.binary())],
-                                                  names=["key", "shingles", "point", "fine"])
+                part = pa.RecordBatch.from_arrays([own, arr, *[pa.array(p, pa.binary()) for p in (point, fine, map(leaf_point, fine))]],
+                                                  names=["key", "shingles", "point", "fine", "leaf_point"])
                 yield part.filter(pc.equal(own, b.column("key").slice(lo, hi - lo)))
     return run
 
@@ -255,6 +259,14 @@ def fine_point(h: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
+def leaf_point(fine: bytes | None) -> bytes | None:
+    """A fine point over a quarter of its coordinates, which goes into the leaves; null where that is no more than a point has."""
+    if fine is None or len(fine) < 8 * BOUND_COORDS:
+        return None
+    counts = _fold(np.frombuffer(fine, np.uint8), len(fine) // 4)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def _fold(point: np.ndarray, coords: int) -> np.ndarray:
     """A point over fewer coordinates: both numbers are powers of two, and a coordinate is the low bits of a hash."""
     return point if len(point) == coords else point.reshape(-1, coords).sum(0, dtype=np.int64)
@@ -335,27 +347,43 @@ def _leaf_pairs(num: int, den: int, spanning: bool):
         for b in batches:
             out = []
             for leaves in b.column("leaves").to_pylist():
-                sides = [[(m["key"], m["comp"], m["point"]) for m in x["members"]] for x in leaves]
-                if len({m[1] for s in sides for m in s}) > 1:
-                    out += join_leaves(sides[0], sides[-1], num, den, spanning)
+                sides = [x["members"] for x in leaves]
+                if len({m["comp"] for s in sides for m in s}) > 1:
+                    members = [[(m["key"], m["comp"], m["point"]) for m in s] for s in sides]
+                    fine, before = ([[m[c] for m in s] for s in sides] for c in ("leaf_point", "before"))
+                    out += join_leaves(members[0], members[-1], num, den, spanning, (fine[0], fine[-1]), (before[0], before[-1]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
                                              names=["a", "b"])
     return run
 
 
-def join_leaves(left, right, num: int, den: int, spanning: bool) -> list[tuple[int, int]]:
+def join_leaves(left, right, num: int, den: int, spanning: bool, fine=None, before=None) -> list[tuple[int, int]]:
     """Pairs between two leaves of (key, component, point): components differ and the points allow a link. ``spanning``:
-    only as many as would join the components if all of them were links."""
-    def matrix(side):
-        return np.array([unpack_point(p) if p is not None else np.full(BOUND_COORDS, 65535) for _, _, p in side], np.int32)
-
-    ca, cb = matrix(left), matrix(right)
-    open_a, open_b = (np.array([p is None for _, _, p in side]) for side in (left, right))
-    na, nb = ca.sum(1), cb.sum(1)
+    only as many as would join the components if all of them were links. ``fine``: points of large sets (else null) of both
+    sides, in place of their points. ``before``: nodes of both sides' sets; pairs with a node in common are compared there."""
+    fine = [[None if p is None else np.frombuffer(p, np.uint8) for p in side] for side in fine or [[None] * len(left), [None] * len(right)]]
+
+    def point(p, f):
+        if f is not None:
+            return _fold(f, BOUND_COORDS)
+        return unpack_point(p) if p is not None else np.full(BOUND_COORDS, 65535)
+
+    ca, cb = (np.array([point(m[2], f) for m, f in zip(side, of, strict=True)], np.uint16) for side, of in zip((left, right), fine, strict=True))
+    open_a, open_b = (np.array([m[2] is None and f is None for m, f in zip(side, of, strict=True)]) for side, of in zip((left, right), fine, strict=True))
+    na, nb = ca.sum(1, dtype=np.int64), cb.sum(1, dtype=np.int64)
     reach = lambda o, x, y: den * o >= num * (x + y - o)
-    box = int(np.minimum(ca.max(0), cb.max(0)).sum())
+    box = int(np.minimum(ca.max(0), cb.max(0)).sum(dtype=np.int64))
     if not (open_a.any() or open_b.any() or reach(box, int(na.min()), int(nb.min()))):
         return []
+    width = np.uint16 if min(na.max(), nb.max()) < 65536 else np.int64
+    comps = np.unique([m[1] for m in [*left, *right]], return_inverse=True)[1]
+    comp_a, comp_b = comps[:len(left)], comps[len(left):]
+    keys_a, keys_b = (np.array([m[0] for m in side]) for side in (left, right))
+    there: dict[int, list[int]] = {}
+    for j, nodes in enumerate(before[1] if before else []):
+        for x in nodes:
+            there.setdefault(x, []).append(j)
+    there = {x: np.array(at) for x, at in there.items()}
     parent: dict[int, int] = {}
 
     def find(x):
@@ -365,15 +393,34 @@ def join_leaves(left, right, num: int, den: int, spanning: bool) -> list[tuple[i
         return x
 
     out = []
-    for i, (key, comp, _) in enumerate(left):
-        near = reach(np.minimum(ca[i], cb).sum(1), na[i], nb) | open_b | open_a[i]
-        for j in np.flatnonzero(near):
-            other, its, _ = right[j]
-            if its == comp or other == key or (left is right and j >= i):
+    step = max(1, BLOCK_PAIRS // len(right))
+    for lo in range(0, len(left), step):
+        a = np.arange(lo, min(lo + step, len(left)))[:, None]
+        todo = reach(np.minimum(na[a], nb), na[a], nb) | open_b | open_a[a]
+        todo &= (comp_a[a] != comp_b) & (keys_a[a] != keys_b)
+        if left is right:
+            todo &= np.arange(len(right)) < a
+        for i, nodes in enumerate(before[0][lo:lo + step] if before else []):
+            for x in nodes:
+                if x in there:
+                    todo[i, there[x]] = False
+        i, j = np.nonzero(todo)
+        i += lo
+        o = np.zeros(len(i), np.int64)
+        for at in range(0, len(i), BLOCK_PAIRS // 8):
+            some = slice(at, at + BLOCK_PAIRS // 8)
+            o[some] = np.minimum(ca[i[some]], cb[j[some]]).sum(1, dtype=width)
+        near = reach(o, na[i], nb[j]) | open_b[j] | open_a[i]
+        for i, j in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            (key, comp, _), (other, its, _) = left[i], right[j]
+            if spanning and find(its) == find(comp):
                 continue
-            if spanning:
-                if find(its) == find(comp):
+            x, y = fine[0][i], fine[1][j]
+            if x is not None and y is not None:
+                coords = min(len(x), len(y))
+                if not reach(int(np.minimum(_fold(x, coords), _fold(y, coords)).sum(dtype=np.int64)), na[i], nb[j]):
                     continue
+            if spanning:
                 parent[find(its)] = find(comp)
             out.append((max(key, other), min(key, other)))
     return out
@@ -412,18 +459,26 @@ def _mixed(member: DataFrame, components: DataFrame) -> DataFrame:
     return m.join(nodes.select("sig", "size", "nodes"), "sig")
 
 
-def _leaf_join(member: DataFrame, held: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
-    """Candidate pairs (a, b) of large nodes: leaves of bounded size, every two leaves of a node in a row of their own. Nodes of one leaf
-    are read where their members meet."""
-    leaves = member.withColumn("n_leaves", F.ceil(F.col("size") / LEAF).cast("int")) \
-        .withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("n_leaves")).cast("int"))
-    leaves = leaves.join(held.select("key", "point"), "key").groupBy("sig", "n_leaves", "leaf").agg(
-        F.collect_list(F.struct("key", "comp", "point")).alias("members"))
+def _leaf_rows(member: DataFrame, held: DataFrame) -> DataFrame:
+    """Large nodes as leaves of bounded size, every two leaves of a node in a row of their own. Nodes of one leaf
+    are read where their members meet. A row names the first MET_NODES nodes of its set that come before its own (``before``)."""
+    sets = member.groupBy("key").agg(F.min("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("sig", "size"))).alias("nodes"))
+    points = held.select("key", F.when(F.col("leaf_point").isNull(), F.col("point")).alias("point"), "leaf_point")
+    leaves = sets.join(points, "key").withColumn("first", F.slice("nodes.sig", 1, MET_NODES)).withColumn("node", F.explode("nodes")) \
+        .select("key", "comp", "point", "leaf_point", F.col("node.sig").alias("sig"), F.ceil(F.col("node.size") / LEAF).cast("int").alias("n_leaves"),
+                F.filter("first", lambda x: x < F.col("node.sig")).alias("before")) \
+        .withColumn("leaf", F.pmod(F.xxhash64("key"), F.col("n_leaves")).cast("int")) \
+        .groupBy("sig", "n_leaves", "leaf").agg(F.collect_list(F.struct("key", "comp", "point", "leaf_point", "before")).alias("members"))
     one = leaves.where("n_leaves = 1").select(F.array(F.struct("leaf", "members")).alias("leaves"))
     met_leaves = leaves.where("n_leaves > 1").select("sig", F.explode(F.sequence(F.lit(0), F.col("n_leaves") - 1)).alias("other"), "leaf", "members") \
         .select("sig", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "members") \
         .groupBy("sig", "i", "j").agg(F.collect_list(F.struct("leaf", "members")).alias("leaves")).select("leaves")
-    return one.union(met_leaves).mapInArrow(_leaf_pairs(num, den, spanning), "a long, b long").distinct()
+    return one.union(met_leaves)
+
+
+def _leaf_join(member: DataFrame, held: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
+    """Candidate pairs (a, b) of large nodes."""
+    return _leaf_rows(member, held).mapInArrow(_leaf_pairs(num, den, spanning), "a long, b long").distinct()
 
 
 def _ends(member: DataFrame) -> DataFrame:
@@ -451,7 +506,7 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     wanted = nodes.select("key").union(nodes.select(F.col("lead").alias("key"))).distinct().join(rep.select("key", "rep"), "key")
     held = wanted.join(d, F.col("rep") == F.col("doc_id")).select("key", "text")
-    held = held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary, fine binary")
+    held = held.mapInArrow(_sets(words), "key long, shingles array<long>, point binary, fine binary, leaf_point binary")
     if not keyed.groupBy("doc_id", "set_key").count().where("count > 1").isEmpty():  # rows that repeat an id with its text
         held = held.dropDuplicates(["key"])
     held = cut_lineage(held, "jaccard-sets")

@@ -5,8 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from augeval.llm.jaccard_join import (BOUND_COORDS, FINE_COORDS, _counts, _within_bound, block_points, fine_point, join_leaves, link_components,
-                                      pack_point, slim_point, unpack_point)
+from augeval.llm.jaccard_join import (BOUND_COORDS, FINE_COORDS, _counts, _leaf_pairs, _leaf_rows, _within_bound, block_points, fine_point,
+                                      join_leaves, leaf_point, link_components, pack_point, slim_point, unpack_point)
 from augeval.llm.textops import shingle_sets, text_chunks
 
 
@@ -189,3 +189,36 @@ def test_long_texts(spark, frame):
     links = {k for k in range(0, 120, 10) if 100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1])}
     assert 0 < len(links) < 12
     assert got == {k: k - k % 10 if k - k % 10 in links else k for k, _ in rows}
+
+
+def test_leaves_tell_long_sets_apart_and_compare_a_pair_once():
+    r = np.random.default_rng(13)
+    base = r.integers(0, 2**63, 9000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[300 * k:], r.integers(0, 2**63, 300 * k).astype(np.uint64)])) for k in range(4)]
+    sets += [np.unique(r.integers(0, 2**63, 9000).astype(np.uint64)) for _ in range(12)]
+    side = [(k, k, slim_point(_counts([s])[0])) for k, s in enumerate(sets)]
+    fine = [leaf_point(fine_point(s)) for s in sets]
+    assert len(join_leaves(side, side, 80, 100, False)) == 16 * 15 // 2  # 256 coordinates let all pairs of such sets pass
+    linked = {(a, b) for a in range(4) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    lean = [(k, k, None) for k in range(16)]
+    assert linked <= set(join_leaves(lean, lean, 80, 100, False, (fine, fine))) <= {(a, b) for a in range(4) for b in range(a)}
+    assert leaf_point(fine_point(sets[0][:2048])) is None and leaf_point(None) is None
+    before = [[5], [5, 7], [7], [], *[[k] for k in range(100, 112)]]
+    assert set(join_leaves(side, side, 80, 100, False, None, (before, before))) == {
+        (a, b) for a in range(16) for b in range(a)} - {(1, 0), (2, 1)}
+
+
+def test_a_pair_of_many_nodes_is_a_candidate_once(frame, monkeypatch):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], r.integers(0, 2**63, k).astype(np.uint64)])) for k in range(30)]
+    held = frame([(k, bytearray(slim_point(_counts([s])[0])), None) for k, s in enumerate(sets)], "key long, point binary, leaf_point binary")
+    nodes = [(sig, sorted(r.choice(30, 20, replace=False).tolist())) for sig in range(-20, 20)]
+    member = frame([(sig, k, k, 20) for sig, keys in nodes for k in keys], "sig long, key long, comp long, size long")
+    want = {(a, b) for _, keys in nodes for a in keys for b in keys if a > b}
+    for leaf in (2048, 8):  # nodes of one leaf and of three
+        monkeypatch.setattr("augeval.llm.jaccard_join.LEAF", leaf)
+        rows = _leaf_rows(member, held).toArrow().to_batches()
+        made = [(x, y) for b in _leaf_pairs(80, 100, False)(iter(rows)) for x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b")), strict=True)]
+        assert set(made) == want
+        assert len(made) < 1.5 * len(want) < 40 * 190  # 40 nodes of 190 pairs

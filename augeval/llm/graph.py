@@ -1,6 +1,6 @@
 """Connected components of an edge table.
 
-Up to LOCAL_EDGES distinct edges (a fixed bound, checked by a count) are joined in one task. More edges go through
+Up to LOCAL_EDGES distinct edges (a fixed bound, checked by a count unless the caller has one) are joined in one task. More edges go through
 alternating large-star and small-star steps, DataFrame joins only, until nothing changes.
 
 Every step writes its edges to the shared checkpoint folder, so a lost executor recomputes one step. Hubs are safe:
@@ -58,12 +58,15 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, at_most: int | None = None) -> DataFrame:
     """(a, b) edges of longs -> (node, component): the smallest node reachable, for every node on an edge.
 
-    Edges with a null end and loops are ignored; repeated edges count once; no edges give no rows."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut_lineage(e, "cc")
+    Edges with a null end and loops are ignored; repeated edges count once; no edges give no rows. ``at_most``: a number of edges,
+    repeated ones included, that the caller knows there are no more than; where that is local, nothing is counted or written first."""
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if at_most is not None and at_most <= local_edges:
+        return cut_lineage(e.repartition(1).mapInArrow(_join_all, "node long, component long"), "cc-joined")
+    e = cut_lineage(e.distinct(), "cc")
     if e.count() <= local_edges:
         joined = cut_lineage(e.repartition(1).mapInArrow(_join_all, "node long, component long"), "cc-joined")
         drop_tables(e)

@@ -426,10 +426,10 @@ def join_leaves(left, right, num: int, den: int, spanning: bool, fine=None, befo
     return out
 
 
-def _fetched(pairs: DataFrame, held: DataFrame, column: str, to: str) -> DataFrame:
+def _fetched(pairs: DataFrame, held: DataFrame, column: str, to: str, few: bool) -> DataFrame:
     """Pairs (a, b) with a column of both sets, as ``to``a and ``to``b."""
     side = lambda k: held.select(F.col("key").alias(k), F.col(column).alias(to + k))
-    if pairs.count() * 16 <= BROADCAST_BYTES:  # pairs go to the sets: only the sets of a pair move, once a pair and once a partner
+    if few:  # pairs go to the sets: only the sets of a pair move, once a pair and once a partner
         left = side("a").join(F.broadcast(pairs), "a")
         right = side("b").join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     else:
@@ -437,16 +437,22 @@ def _fetched(pairs: DataFrame, held: DataFrame, column: str, to: str) -> DataFra
     return left.join(right, "b")
 
 
-def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of set keys that link, written: first by their points, then by the fine points of large sets, then by their sets."""
+def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> tuple[DataFrame, int]:
+    """Pairs (a, b) of set keys that link, written: first by their points, then by the fine points of large sets, then by their sets.
+    With them a number that they are no more than: of the pairs whose points allow a link."""
+    few = lambda n: n * 16 <= BROADCAST_BYTES
     side = lambda k: held.select(F.col("key").alias(k), F.col("point").alias("p" + k))
     near = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within_bound(num, den), "a long, b long"), "jaccard-within")
-    fine = cut_lineage(_fetched(near, held, "fine", "p").mapInArrow(
+    n = near.count()
+    if not n:
+        return near, 0
+    fine = cut_lineage(_fetched(near, held, "fine", "p", few(n)).mapInArrow(
         _within_bound(num, den, lambda p: np.frombuffer(p, np.uint8)), "a long, b long"), "jaccard-fine")
     drop_tables(near)
-    links = cut_lineage(_fetched(fine, held, "shingles", "s").mapInArrow(_links(num, den), "a long, b long"), "jaccard-links")
+    links = cut_lineage(_fetched(fine, held, "shingles", "s", few(n) or few(fine.count())).mapInArrow(
+        _links(num, den), "a long, b long"), "jaccard-links")
     drop_tables(fine)
-    return links
+    return links, n
 
 
 def _mixed(member: DataFrame, components: DataFrame) -> DataFrame:
@@ -515,12 +521,13 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
                         .distinct(), "jaccard-pairs")
     set_batches(spark, SET_ROWS)
     # A long text has many leaders: its pair with the smallest one first, then those that are still between components.
-    first = _verified(pairs.groupBy("a").agg(F.min("b").alias("b")), held, num, den)
-    joined = connected_components(first)
+    first, n_first = _verified(pairs.groupBy("a").agg(F.min("b").alias("b")), held, num, den)
+    joined = connected_components(first, at_most=n_first)
     of = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    star = first.union(others := _verified(rest, held, num, den))
-    hop = connected_components(star)
+    others, n_others = _verified(rest, held, num, den)
+    star, n_star = first.union(others), n_first + n_others
+    hop = connected_components(star, at_most=n_star) if n_others else joined
     drop_tables(pairs)
     member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
     member = cut_lineage(_mixed(member, hop), "jaccard-members")
@@ -531,21 +538,27 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     near = small.select("members", "nodes").mapInArrow(_pairs(num, den), "a long, b long, met long, least long").groupBy("a", "b").agg(
         F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     large = member.where(F.col("size") > SMALL)
-    # Pairs of two members a component that would join all components; where one of them is no link, all pairs that the points allow.
-    near = near.union(_leaf_join(_ends(large), held, num, den, True)).distinct()
+    any_large = not large.isEmpty()
+    ends = []
+    if any_large:
+        # Pairs of two members a component that would join all components; where one of them is no link, all pairs that the points allow.
+        ends = [cut_lineage(_leaf_join(_ends(large), held, num, den, True), "jaccard-ends")]
+        near = near.union(ends[0]).distinct()
     set_batches(spark, SET_ROWS)
-    listed = _verified(near, held, num, den)
-    links = star.union(listed)
-    groups = connected_components(links)
-    large = cut_lineage(_mixed(large.select("sig", "key"), groups), "jaccard-large")
-    drop_tables(member)
-    near = cut_lineage(_leaf_join(large, held, num, den, False), "jaccard-near")
-    drop_tables(large)
-    set_batches(spark, SET_ROWS)
-    deep = _verified(near, held, num, den)
-    if not deep.isEmpty():
-        groups = connected_components(links.union(deep))
-    drop_tables(near, held, first, others, listed, deep)
+    listed, n_listed = _verified(near, held, num, den)
+    drop_tables(*ends)
+    links, n_links = star.union(listed), n_star + n_listed
+    groups = connected_components(links, at_most=n_links) if n_listed else hop
+    if any_large:
+        large = cut_lineage(_mixed(large.select("sig", "key"), groups), "jaccard-large")
+        near = cut_lineage(_leaf_join(large, held, num, den, False), "jaccard-near")
+        drop_tables(large)
+        set_batches(spark, SET_ROWS)
+        deep, n_deep = _verified(near, held, num, den)
+        if n_deep:
+            groups = connected_components(links.union(deep), at_most=n_links + n_deep)
+        drop_tables(near, deep)
+    drop_tables(member, held, first, others, listed)
 
     by_key = rep.join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "key").alias("comp"))

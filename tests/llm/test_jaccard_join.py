@@ -222,3 +222,26 @@ def test_a_pair_of_many_nodes_is_a_candidate_once(frame, monkeypatch):
         made = [(x, y) for b in _leaf_pairs(80, 100, False)(iter(rows)) for x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b")), strict=True)]
         assert set(made) == want
         assert len(made) < 1.5 * len(want) < 40 * 190  # 40 nodes of 190 pairs
+
+
+def test_steps_without_candidates_run_no_jobs(spark, frame):
+    """The driver's threads and plans grow with the jobs: copies that the first star joins leave nothing for the later steps."""
+    r = random.Random(3)
+    base = [" ".join(r.choice("abcdefghijkl") + str(r.randrange(900)) for _ in range(60)) for _ in range(6)]
+    docs = [(i, base[i % 6] + (" end" if i >= 6 else "")) for i in range(12)]
+    sc = spark.sparkContext
+    sc.setJobGroup("few-jobs", "few-jobs")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in link_components(frame(docs, "doc_id long, text string"), 3, 90, 100).collect()}
+    sc._jsc.clearJobGroup()
+    assert got == brute(docs, 3, 90, 100)
+    assert len(sc.statusTracker().getJobIdsForGroup("few-jobs")) <= 90
+
+
+def test_components_of_a_known_bound_of_edges(frame):
+    from augeval.llm.graph import connected_components
+    e = frame([(5, 2), (2, 5), (5, 2), (9, 5), (7, 7), (None, 3), (8, 4)], "a long, b long")
+    want = {2: 2, 5: 2, 9: 2, 4: 4, 8: 4}
+    for bound in (None, 7):
+        assert {x.node: x.component for x in connected_components(e, at_most=bound).collect()} == want
+    assert {x.node: x.component for x in connected_components(e, 1, 7).collect()} == want
+    assert connected_components(frame([], "a long, b long"), at_most=0).count() == 0

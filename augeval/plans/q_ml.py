@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augeval.operators import holdout, ml, sampling
+from augeval.operators import holdout, ml
 from augeval.plans import stages
 from augeval.plans.oracle_roles import with_roles
 from augeval.plans.registry import query
@@ -115,15 +115,10 @@ def q_pseudo_label(spark, sf):
 
 @query("learning_curve")
 def q_learning_curve(spark, sf):
-    """M5: test MAE by number of real rows (nested subsets), mean and SD over seeds."""
-    real, _, test, feats = _written(spark, sf)
-    runs = []
-    for seed in SEEDS:
-        subsets = sampling.nested_subsets(real, "entity_id", seed, [n for n in GRID_SIZES if n])
-        runs += [(k, seed, real.join(subsets.filter(F.col("subset") == k).select("entity_id"), "entity_id")) for k in ("n100", "n250", "full")]
-    m = ml.grid_metrics(ml.run_grid(runs, feats, test, TREES, DEPTH))
-    return m.groupBy(F.col("run").alias("subset")).agg(F.avg("mae").alias("mae_mean"), F.stddev_samp("mae").alias("mae_sd"),
-                                                       F.count(F.lit(1)).alias("n_seeds"))
+    """M5: test MAE by number of real rows (nested subsets) and training set (real only, in two stages from each synthetic set), mean
+    and SD over seeds."""
+    real, sets, test, feats = _written(spark, sf)
+    return ml.learning_curve(real, sets, feats, test, [n for n in GRID_SIZES if n], SEEDS, TREES, DEPTH)
 
 
 @query("label_shuffle_control")

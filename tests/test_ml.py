@@ -1,5 +1,6 @@
 """The forest grid on a learnable table: sets as published, shuffled labels do worse, a repeated seed gives the same metrics."""
 import pytest
+from pyspark.sql import functions as F
 
 from augeval.operators import ml
 
@@ -66,3 +67,28 @@ def test_a_fit_has_no_more_partitions_than_its_rows_need(tables, monkeypatch):
     spread = real.sparkSession.createDataFrame(real.repartition(8).rdd, real.schema).hint("shuffle_merge")
     assert ml.run_grid([("spread", 1, spread)], feats.hint("broadcast"), test, 2, 3).count() == 100
     assert seen == [1]
+
+
+def test_learning_curve_has_the_two_stage_sets(tables, monkeypatch):
+    real, sets, test, feats = tables
+    fitted, fit = [], ml.fit
+    monkeypatch.setattr(ml, "fit", lambda train, *a, **k: fitted.append(train.count()) or fit(train, *a, **k))
+    empty = {"none": sets["labeled"].limit(0)}
+    got = {(r.train_set, r.subset): r for r in ml.learning_curve(real, sets | empty, feats, test, [20, 60], [1, 2], 5, 6).collect()}
+    assert set(got) == {(s, n) for s in ("real", "twostage_generated", "twostage_labeled") for n in ("n20", "n60", "full")}
+    assert all(r.n_seeds == 2 and r.mae_sd >= 0 for r in got.values())
+    # a set's first stage is fit once a seed, the three curves on the same nested subsets
+    assert sorted(fitted) == sorted(2 * ([160, 150] + 3 * [20, 60, 200]))
+    assert got["real", "full"].mae_mean < got["real", "n20"].mae_mean
+    assert got["twostage_labeled", "n20"].mae_mean < got["real", "n20"].mae_mean
+
+
+def test_a_second_stage_starts_at_the_first(tables):
+    real, sets, test, feats = tables
+    train, held = sets["labeled"].join(feats, "smiles"), test.join(feats, "smiles")
+    first = ml.fit(train, 5, 6, 1)
+    at_first = {r.entity_id: r.prediction for r in first.transform(held).collect()}
+    # rows that the first stage is off by 7 at, each: the second one moves every prediction by 7
+    moved = first.transform(train).select("features", (F.col("prediction") + 7).alias("value"))
+    rows = ml.second_stage(moved, held, first, 5, 6, 1).collect()
+    assert len(rows) == 100 and all(r.prediction == pytest.approx(at_first[r.entity_id] + 7) for r in rows)

@@ -19,7 +19,8 @@ radius of about 0.1 n in every coordinate exceeds the spread of the counts of un
    for two points, and for large sets by points of more coordinates. A pair that meets in several of the MET_NODES first large nodes
    of its sets is compared in the first of them only. A first round takes two sets a component and only as many pairs as would join
    the components, a second one all pairs that are still between components: few, as the bound is close. Of nodes with the same
-   members one is read.
+   members one is read. A set leaves its largest nodes, as many as it shares with a partner less one: the smallest node of a
+   linked pair is then still a node of both, and nodes of a common passage lose the sets that have rarer ones.
 
 Every pair passes the bound on its points before its sets are fetched and compared exactly. As the bound of 256 coordinates
 lets all pairs of sets of some thousand shingles pass, large sets have a second point with a coordinate for about two shingles. Identical sets are one node
@@ -35,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,17 +293,17 @@ def _within_bound(num: int, den: int, unpack=unpack_point):
 
 def _pairs(num: int, den: int):
     """Pairs of different components in lists of members (by key, with the number of nodes that hold just these) whose sizes allow a
-    link, with the nodes that a link would share."""
+    link, with the small nodes that a link would share, did it share no large node in which both have stayed."""
     def run(batches):
         least = lru_cache(100_000)(lambda n: shared_nodes(n, num, den))
         for b in batches:
             out: dict[tuple[int, int], list[int]] = {}
             for members, nodes in zip(b.column("members").to_pylist(), b.column("nodes").to_pylist(), strict=True):
-                m = [(x["key"], x["comp"], x["n"]) for x in members]
-                for i, (k, c, n) in enumerate(m):
-                    for j, d, o in m[:i]:
+                m = [(x["key"], x["comp"], x["n"], x["large"], x["left"]) for x in members]
+                for i, (k, c, n, large, left) in enumerate(m):
+                    for j, d, o, its, gone in m[:i]:
                         if c != d and den * min(n, o) >= num * max(n, o):
-                            out.setdefault((k, j), [0, least(min(n, o))])[0] += nodes
+                            out.setdefault((k, j), [0, least(min(n, o)) - min(large, its, max(left, gone))])[0] += nodes
             cols = [[k for k, _ in out], [j for _, j in out], [v[0] for v in out.values()], [v[1] for v in out.values()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "met", "least"])
     return run
@@ -465,6 +466,28 @@ def _mixed(member: DataFrame, components: DataFrame) -> DataFrame:
     return m.join(nodes.select("sig", "size", "nodes"), "sig")
 
 
+def _least(n: Column, top: int, num: int, den: int) -> Column:
+    """``shared_nodes`` of up to ``top`` shingles."""
+    edges = size_edges(top + 1).tolist()
+    out = F.when(n < edges[1], shared_nodes(edges[0], num, den))
+    for lo, hi in zip(edges[1:], edges[2:], strict=False):
+        out = out.when(n < hi, shared_nodes(lo, num, den))
+    return out
+
+
+def _left_largest(member: DataFrame, sizes: DataFrame, top: int, num: int, den: int) -> DataFrame:
+    """Members with n, without the rows in the largest large nodes of a set: with a linked set it shares ``least`` nodes at the least, so
+    of the nodes in the order of (size, sig) it leaves as many at the end as count less than that. The first node that a pair shares stays a
+    node of both, and what a pair shares of left nodes is left by one of the two. ``large``: large nodes of the set; ``left``: those left."""
+    by_key = Window.partitionBy("key")
+    end = by_key.orderBy(F.desc("size"), F.desc("sig")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = _least(F.ceil(F.col("n") * num / den), top, num, den)  # of the smallest set that it links with
+    goes = (F.col("size") > SMALL) & (F.col("upto") < least)
+    weight = lambda which: F.coalesce(F.sum(F.when(which, F.col("nodes"))).over(by_key), F.lit(0))
+    return member.join(sizes, "key").withColumn("upto", F.sum("nodes").over(end)).withColumn("goes", goes) \
+        .withColumn("large", weight(F.col("size") > SMALL)).withColumn("left", weight(F.col("goes"))).where("not goes").drop("upto", "goes")
+
+
 def _leaf_rows(member: DataFrame, held: DataFrame) -> DataFrame:
     """Large nodes as leaves of bounded size, every two leaves of a node in a row of their own. Nodes of one leaf
     are read where their members meet. A row names the first MET_NODES nodes of its set that come before its own (``before``)."""
@@ -503,7 +526,7 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     set_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = cut_lineage(d.mapInArrow(_keys(words), "doc_id long, n_shingles long, set_key long"), "jaccard-keys")
-    n_docs, total = keyed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    n_docs, total, top = keyed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(0))).first()
     common = spark.sparkContext.broadcast(common_shingles(d, words, n_docs))
     buckets = int(max(24, total * (den - num) / num * 2 * 16 // BUCKET_BYTES))
     entries = d.mapInArrow(_entries(words, num, den, buckets, common), SCHEMA)
@@ -530,14 +553,14 @@ def link_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     hop = connected_components(star, at_most=n_star) if n_others else joined
     drop_tables(pairs)
     member = nodes.select("sig", "key").union(nodes.select("sig", F.col("lead").alias("key"))).distinct()
-    member = cut_lineage(_mixed(member, hop), "jaccard-members")
+    member = cut_lineage(_left_largest(_mixed(member, hop), rep.select("key", "n"), top, num, den), "jaccard-members")
     drop_tables(nodes)
     # A linked pair that meets in no large node shares at least ``least`` small ones; the others meet in the leaves below.
-    small = member.where(F.col("size") <= SMALL).join(rep.select("key", "n"), "key").groupBy("sig").agg(
-        F.sort_array(F.collect_list(F.struct("key", "comp", "n"))).alias("members"), F.max("nodes").alias("nodes"))
+    small = member.where(F.col("size") <= SMALL).groupBy("sig").agg(
+        F.sort_array(F.collect_list(F.struct("key", "comp", "n", "large", "left"))).alias("members"), F.max("nodes").alias("nodes"))
     near = small.select("members", "nodes").mapInArrow(_pairs(num, den), "a long, b long, met long, least long").groupBy("a", "b").agg(
         F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
-    large = member.where(F.col("size") > SMALL)
+    large = member.where(F.col("size") > SMALL).select("sig", "key", "comp", "size", "nodes")
     any_large = not large.isEmpty()
     ends = []
     if any_large:

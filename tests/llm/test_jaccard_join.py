@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from augeval.llm import jaccard_join
 from augeval.llm.jaccard_join import (BOUND_COORDS, FINE_COORDS, _counts, _leaf_pairs, _leaf_rows, _within_bound, block_points, fine_point,
                                       join_leaves, leaf_point, link_components, pack_point, slim_point, unpack_point)
 from augeval.llm.textops import shingle_sets, text_chunks
@@ -245,3 +246,54 @@ def test_components_of_a_known_bound_of_edges(frame):
         assert {x.node: x.component for x in connected_components(e, at_most=bound).collect()} == want
     assert {x.node: x.component for x in connected_components(e, 1, 7).collect()} == want
     assert connected_components(frame([], "a long, b long"), at_most=0).count() == 0
+
+
+def test_sets_leave_the_nodes_of_a_common_passage(spark, frame, monkeypatch):
+    """Texts with rarer nodes than those of a passage that all hold are not compared there, and none of their links is lost."""
+    r = random.Random(17)
+    passage = [f"p{k}" for k in range(120)]
+    docs = []
+    for i in range(90):
+        own = [f"w{r.randrange(10**6)}" for _ in range(340)]
+        docs.append(passage + own)
+        if i % 6 == 0:  # copies that just link, one of them beside the passage's end
+            docs += [passage + own[:305] + [f"x{i}-{k}" for k in range(k0, k0 + 20)] for k0 in (0, 50)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    compared, leaves = [], jaccard_join._leaf_rows
+    monkeypatch.setattr(jaccard_join, "_leaf_rows", lambda member, held: compared.append(member.count()) or leaves(member, held))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in link_components(frame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    want = brute(rows, 5, 80, 100)
+    assert got == want and len({c for _, c in want.values()}) == 90
+    assert sum(compared) < len(docs)
+
+
+def test_pairs_of_left_large_nodes_are_found(frame):
+    """Any two sets that share as many nodes as a link must meet in a large node of both or in as many small ones as asked for."""
+    r = random.Random(29)
+    sizes = {k: r.choice([8, 30, 60, 90, 300, 700]) for k in range(80)}
+    lists = [sorted(r.sample(range(80), r.choice([2, 5, 12, 20, 40, 60]))) for _ in range(120)]
+    member = [(sig, k, k, len(keys), weight) for sig, keys in enumerate(lists) for weight in [r.choice([1, 1, 3])] for k in keys]
+    out = jaccard_join._left_largest(frame(member, "sig long, key long, comp long, size long, nodes long"),
+                                     frame(list(sizes.items()), "key long, n long"), 700, 80, 100).collect()
+    small = [x for x in out if x.size <= jaccard_join.SMALL]
+    assert len(small) == sum(size <= jaccard_join.SMALL for *_, size, _ in member) and len(out) < 0.9 * len(member)
+    stay = {(x.sig, x.key) for x in out if x.size > jaccard_join.SMALL}
+    by_sig = {}
+    for x in small:
+        by_sig.setdefault(x.sig, []).append({"key": x.key, "comp": x.comp, "n": x.n, "large": x.large, "left": x.left})
+    weight = {sig: w for sig, *_, w in member}
+    batch = pa.RecordBatch.from_pylist([{"members": m, "nodes": weight[sig]} for sig, m in by_sig.items()])
+    found = {}
+    for b in jaccard_join._pairs(80, 100)(iter([batch])):
+        for x in b.to_pylist():
+            pair = frozenset((x["a"], x["b"]))
+            found[pair] = found.get(pair, False) or x["met"] >= x["least"]
+    checked = 0
+    for a in range(80):
+        for b in range(a):
+            n = min(sizes[a], sizes[b])
+            shared = [sig for sig, keys in enumerate(lists) if a in keys and b in keys]
+            if 100 * n >= 80 * max(sizes[a], sizes[b]) and sum(weight[s] for s in shared) >= jaccard_join.shared_nodes(n, 80, 100):
+                checked += 1
+                assert any((s, a) in stay and (s, b) in stay for s in shared) or found.get(frozenset((a, b)))
+    assert checked > 100

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -102,40 +102,42 @@ def _streamed(spark: SparkSession, pattern: str, longest: int) -> DataFrame:
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        return cut_lineage(lines.mapInArrow(_line_digests, "file string, length long, md5 string"), "manifest")
+        return cut_lineage(lines.mapInArrow(_line_digests(), "file string, length long, md5 string"), "manifest")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of whole files, one file after the other -> file, length, md5."""
-    def ended(name: str, length: int, n: int, plain, marked) -> pa.RecordBatch:
-        # The lines do not tell whether the last one is ended, and the reader leaves out a byte order mark; the length tells both.
-        for digest, left in ((plain, length - n), (marked, length - n - len(codecs.BOM_UTF8))):
-            if left in (0, 1):
-                digest.update(b"\n" * left)
-                return pa.RecordBatch.from_pydict({"file": [unquote(name)], "length": [length], "md5": [digest.hexdigest()]})
-        raise RuntimeError(f"{name}: {n} bytes read of {length}")
-
-    at = None
-    for b in batches:
-        runs = pc.run_end_encode(b.column("id"))
-        start = 0
-        for end, key in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
-            lines = b.column("line").slice(start, end - start)
-            if key != at:
-                if at is not None:
-                    yield ended(*file, n, plain, marked)
-                at, file, n = key, (b.column("file")[start].as_py(), b.column("length")[start].as_py()), 0
-                plain, marked = hashlib.md5(), hashlib.md5(codecs.BOM_UTF8)
-            else:
-                plain.update(b"\n")
-                marked.update(b"\n")
-                n += 1
-            data = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), b"\n")[0].as_buffer()
-            plain.update(data)
-            marked.update(data)
-            n, start = n + data.size, end
-    if at is not None:
-        yield ended(*file, n, plain, marked)
+def _line_digests() -> Callable:
+    """Lines of whole files, one file after the other -> file, length, md5. The function goes to the workers by itself, without this module."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended(name: str, length: int, n: int, plain, marked) -> pa.RecordBatch:
+            # The lines do not tell whether the last one is ended, and the reader leaves out a byte order mark; the length tells both.
+            for digest, left in ((plain, length - n), (marked, length - n - len(codecs.BOM_UTF8))):
+                if left in (0, 1):
+                    digest.update(b"\n" * left)
+                    return pa.RecordBatch.from_pydict({"file": [unquote(name)], "length": [length], "md5": [digest.hexdigest()]})
+            raise RuntimeError(f"{name}: {n} bytes read of {length}")
+
+        at = None
+        for b in batches:
+            runs = pc.run_end_encode(b.column("id"))
+            start = 0
+            for end, key in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                lines = b.column("line").slice(start, end - start)
+                if key != at:
+                    if at is not None:
+                        yield ended(*file, n, plain, marked)
+                    at, file, n = key, (b.column("file")[start].as_py(), b.column("length")[start].as_py()), 0
+                    plain, marked = hashlib.md5(), hashlib.md5(codecs.BOM_UTF8)
+                else:
+                    plain.update(b"\n")
+                    marked.update(b"\n")
+                    n += 1
+                data = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), b"\n")[0].as_buffer()
+                plain.update(data)
+                marked.update(data)
+                n, start = n + data.size, end
+        if at is not None:
+            yield ended(*file, n, plain, marked)
+    return run
